@@ -19,11 +19,14 @@ FEATURE_COLUMNS = (
 )
 
 
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_features(
+        signals_from_events(spark, sf_dir), event_days(spark, sf_dir), generated_at=CLOCK)
+
+
 def pit_features_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of every user at every day, lineage counted."""
-    return build_features(
-        signals_from_events(spark, sf_dir), event_days(spark, sf_dir), generated_at=CLOCK,
-    ).selectExpr(*FEATURE_COLUMNS, "contributing_signal_count")
+    return event_features(spark, sf_dir).selectExpr(*FEATURE_COLUMNS, "contributing_signal_count")
 
 
 def pit_features_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
