@@ -14,6 +14,7 @@ from pitsignal.operators.extract import extract_signals
 from pitsignal.operators.reconcile import reconcile
 from pitsignal.sources.schemas import EVIDENCE, SIGNAL
 from pitsignal.sources.sinks import append_quarantine, append_to_ledger
+from pitsignal.staging import stage
 
 
 @dataclass(frozen=True)
@@ -67,9 +68,10 @@ def run_extraction(
     if check_unique:
         require_unique_sources(notes)
     valid = with_evidence_errors(notes).where("size(errors) = 0").drop("errors")
-    signals = extract_signals(
+    # Linking reads the signals several times; the texts are interpreted once.
+    signals = stage(extract_signals(
         valid, known_entities, extraction_run_id=extraction_run_id,
-        keep=("authored_at", "available_at", *scope), **versions)
+        keep=("authored_at", "available_at", *scope), **versions))
     linked = reconcile(signals, scope=("extraction_run_id", *scope))
     return ExtractionRun(extraction_run_id, classify(linked, "signal_record"), notes)
 

@@ -28,37 +28,44 @@ def _fingerprint(df: DataFrame) -> str:
     return f"sha2(to_json(struct({', '.join(df.columns)})), 256)"
 
 
+def append_actions(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(signal_id, action)`` for each id of a batch: ``write``, ``skip`` or ``conflict``.
+
+    An id is a conflict when the batch or the ledger holds different content for it.  All
+    sides are reduced to one row per id map-side first, so repeated copies of a record
+    cost no shuffle.  The run id is part of the content: the same id under another run
+    is a conflict in itself, so content is hashed only inside the batch's own runs and
+    the other partitions give no more than their id columns.
+    """
+    runs = batch.select("extraction_run_id").distinct()
+    incoming = batch.selectExpr("signal_id", "extraction_run_id as run", f"{_fingerprint(batch)} as fp").groupBy(
+        "signal_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("fp_max"), F.min("run").alias("run"))
+    same = stored.join(runs, "extraction_run_id", "left_semi").select(*batch.columns)
+    same_fp = same.selectExpr("signal_id", f"{_fingerprint(same)} as stored_fp").groupBy("signal_id").agg(
+        F.min("stored_fp").alias("stored_fp"), F.max("stored_fp").alias("stored_fp_max"))
+    others = stored.select("signal_id", "extraction_run_id").join(runs, "extraction_run_id", "left_anti").select(
+        "signal_id", F.lit(True).alias("elsewhere")).distinct()
+    action = (
+        "case when fp <> fp_max or fp <> stored_fp or stored_fp <> stored_fp_max or elsewhere then 'conflict' "
+        "when stored_fp is not null then 'skip' else 'write' end")
+    return incoming.join(same_fp, "signal_id", "left").join(others, "signal_id", "left").selectExpr(
+        "signal_id", f"{action} as action")
+
+
 def append_to_ledger(records: DataFrame, path: str) -> int:
     """Append a batch; returns the number of rows written.
 
-    The whole batch is checked first.  Rows already stored with the same content are
-    skipped, so a retry writes nothing; an id stored (or repeated in the batch) with
-    different content raises before anything is written.  Content is compared only
-    inside the batch's own runs: the run id is part of the content, so the same id in
-    another run is a conflict in itself and needs no more than the id columns.
+    The whole batch is checked first: a contract violation or a conflict raises before
+    anything is written.  Rows stored already are skipped, so a retry writes nothing.
     """
-    spark = records.sparkSession
     batch = records.select(*SIGNAL.names).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         require_valid(batch, "signal_record")
-        prints = batch.selectExpr("extraction_run_id", "signal_id", f"{_fingerprint(batch)} as fp")
-        ids = prints.groupBy("signal_id").agg(
-            F.min("fp").alias("fp"), F.max("fp").alias("fp_other"), F.first("extraction_run_id").alias("run"))
-        stored = read_ledger(spark, path)
-        runs = batch.select("extraction_run_id").distinct()
-        same_runs = stored.join(runs, "extraction_run_id", "left_semi")
-        stored_prints = same_runs.selectExpr("signal_id", f"{_fingerprint(same_runs)} as stored_fp")
-        other_runs = stored.selectExpr("signal_id", "extraction_run_id as stored_run").join(ids, "signal_id")
-        conflicts = (
-            ids.where("fp <> fp_other").select("signal_id")
-            .union(ids.join(stored_prints, "signal_id").where("fp <> stored_fp").select("signal_id"))
-            .union(other_runs.where("stored_run <> run").select("signal_id"))
-        )
-        clash = conflicts.take(1)
+        actions = append_actions(batch, read_ledger(batch.sparkSession, path))
+        clash = actions.where("action = 'conflict'").take(1)
         if clash:
-            raise ConflictingContent(f"Conflicting content for signal_id {clash[0][0]}")
-        known = same_runs.select("extraction_run_id", "signal_id")
-        pending = batch.join(known, ["extraction_run_id", "signal_id"], "left_anti").dropDuplicates(["signal_id"])
+            raise ConflictingContent(f"Conflicting content for signal_id {clash[0]['signal_id']}")
+        pending = batch.dropDuplicates(["signal_id"]).join(actions.where("action = 'write'"), "signal_id", "left_semi")
         written = Observation("ledger")
         pending.select(*SIGNAL.names).observe(written, F.count(F.lit(1)).alias("rows")).write.mode(
             "append").partitionBy("extraction_run_id").parquet(path)

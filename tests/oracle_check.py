@@ -18,6 +18,9 @@ from pitsignal.plans.registry import all_oracles, all_queries  # noqa: E402
 from pitsignal.sources.tables import TABLES  # noqa: E402
 
 
+TIMES: dict[str, list[float]] = {}  # seconds in Spark and in DuckDB
+
+
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -34,16 +37,20 @@ def _rows(columns, rows):
 
 def compare(spark, sf_dir: str, name: str, report_only: bool = False) -> str | None:
     """None when equal, else a description of the first difference."""
+    start = time.time()
     df = all_queries()[name](spark, sf_dir)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    TIMES[name] = [time.time() - start]
     sql = all_oracles().get(name)
     if sql is None:
         return None if got[1] else "no rows"
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    start = time.time()
     cur = con.execute(sql)
     want = _rows([d[0] for d in cur.description], cur.fetchall())
+    TIMES[name].append(time.time() - start)
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
@@ -78,7 +85,7 @@ def main() -> None:
             problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
         failed += problem is not None
         kind = "" if name in all_oracles() else " (rows only)"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name}{kind} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name}{kind} {[round(t, 1) for t in TIMES.get(name, [])]} {problem or ''}", flush=True)
     print(f"{len(names) - failed} of {len(names)} ok")
     sys.exit(1 if failed else 0)
 
