@@ -183,19 +183,23 @@ def run_arm(demand: DataFrame, arm: str, features: DataFrame | None = None, conf
     return run_arms(demand, {arm: features}, config)
 
 
-def seasonal_naive(demand: DataFrame, config: ForecastConfig = ForecastConfig()) -> DataFrame:
-    """The same origins and horizons predicted by the seasonal lag alone."""
+def simple_forecast(demand: DataFrame, arm: str, predictor: str, config: ForecastConfig = ForecastConfig()) -> DataFrame:
+    """The same origins and horizons with one tabular feature as the prediction.
+
+    ``predictor`` is an expression over the tabular columns, such as ``seasonal_lag`` or
+    ``lag_1``: the reference points a fitted arm has to beat.
+    """
     tabular = tabular_features(demand, config)
     fits = origin_schedule(tabular, config).selectExpr("entity_key", "origin as t", "origin_week_index")
-    leads = ", ".join(
+    ahead = ", ".join(
         f"named_struct('horizon', {h}, 'horizon_week_index', lead(week_index, {h}) over {_SERIES}), "
         f"'actual', lead(demand, {h}) over {_SERIES}))" for h in range(1, config.horizon_weeks + 1))
-    ahead = tabular.selectExpr("entity_key", "t", "seasonal_lag", f"array({leads}) as ahead")
-    return fits.join(ahead, ["entity_key", "t"]).selectExpr(
-        "entity_key", "origin_week_index", "seasonal_lag", "inline(ahead)",
+    weeks = tabular.selectExpr("entity_key", "t", f"{predictor} as value", f"array({ahead}) as ahead")
+    return fits.join(weeks, ["entity_key", "t"]).selectExpr(
+        "entity_key", "origin_week_index", "value", "inline(ahead)",
     ).where("actual is not null").selectExpr(
-        "'N' as arm", "entity_key", "origin_week_index", "horizon_week_index", "horizon", "actual",
-        "greatest(0.0D, seasonal_lag) as predicted")
+        f"'{arm}' as arm", "entity_key", "origin_week_index", "horizon_week_index", "horizon", "actual",
+        "greatest(0.0D, value) as predicted")
 
 
 def incremental_lift(baseline: str, enhanced: str) -> str:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a scratch folder where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder the cluster names; a scratch folder only where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _scratch()
 
 
 def stage(df: DataFrame) -> DataFrame:
