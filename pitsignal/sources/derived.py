@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitsignal.sources.tables import table
-from pitsignal.vocabulary import SCHEMA_VERSION
+from pitsignal.vocabulary import SCHEMA_VERSION, SCORED_FIELDS
 
 # Events read as ready-made signals: one source per user and day, known from midnight on.
 EVENT_SIGNALS_SQL = """
@@ -241,3 +241,51 @@ def nation_signals_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.join(nations, customers.c_nationkey == nations.n_nationkey).select(
         F.concat(F.lit("CUST-"), F.col("c_custkey").cast("string")).alias("customer_key"),
         F.col("n_name").alias("nation_key"))
+
+
+def cases_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated cases: the order notes with their truth as label.
+
+    A scenario is one customer's notes, so it stays inside one split and sample.  Labels
+    of some notes cover only part of the fields, and some cite only part of the text.
+    """
+    notes = notes_from_orders(spark, sf_dir)
+    truth = truth_from_orders(spark, sf_dir).drop("event_id", "supersedes_event_id")
+    keys = table(spark, sf_dir, "orders").selectExpr(
+        "'ORD-' || cast(o_orderkey as string) as source_id", "o_orderkey as k", "o_custkey as c")
+    fields = ", ".join(f"'{f}'" for f in SCORED_FIELDS)
+    joined = notes.selectExpr("source_id", f"struct({', '.join(notes.columns)}) as evidence").join(
+        truth, "source_id").join(keys, "source_id")
+    expected = {
+        "signal_type": "signal_type", "direction": "direction",
+        "impact_channel": "case when signal_type = 'SUPPLY_FULFILLMENT' then 'FULFILLMENT' "
+                          "when signal_type = 'NO_SIGNAL' then 'UNKNOWN' else 'DEMAND' end",
+        "business_certainty": "business_certainty", "conditionality": "conditionality",
+        "condition_text": "condition_text", "negated": "negated",
+        "magnitude_value": "stated_magnitude_value", "magnitude_unit": "stated_magnitude_unit",
+        "effective_start": "cast(effective_start as timestamp)", "effective_end": "cast(effective_end as timestamp)",
+        "forecast_key": "if(k % 23 = 0 or k % 29 = 0, null, concat('CUST-', cast(c as string)))",
+        "supersedes_source_id": "if(is_reversal and k % 4 = 3, concat('ORD-', cast(k - 10 as string)), null)",
+        "decision": "case when is_irrelevant then 'NO_SIGNAL' when is_reversal or k % 23 = 0 then 'REVIEW' else 'PASS' end",
+        "abstention_reason": "case when is_irrelevant then 'no_signal' when is_reversal then 'reversal' "
+                             "when k % 23 = 0 then 'entity' end",
+    }
+    span = "array(named_struct('source_id', source_id, 'char_start', 0L, 'char_end', cast({end} as bigint)))"
+    text_end = "length(evidence.raw_text)"
+    whole, part = span.format(end=text_end), span.format(end=f"if(k % 13 = 0, {text_end} + 1, 8)")
+    return joined.selectExpr(
+        "evidence", "concat('SC-', cast(c as string)) as scenario_id",
+        "if(k % 101 = 0, concat('T-', cast(k % 7 as string)), concat('T-', cast(c as string))) as template_group",
+        "if(c % 2 = 0, 'dev', 'test') as split", "if(c % 3 = 0, 'natural_prevalence', 'challenge') as sample",
+        "array_compact(array(if(negated, 'negation', null), if(conditionality = 'CONDITIONAL', 'conditional', null))) as tags",
+        "if(c % 4 = 0, 'assistant_draft', 'human') as label_origin",
+        "if(k % 17 = 0, array('ann', 'ann'), if(k % 5 = 0, array('ann'), array('ann', 'bob'))) as annotator_ids",
+        "case when c % 4 = 0 then if(k % 19 = 0, 'agreed', 'draft') when c % 4 = 1 then 'agreed' "
+        "when c % 4 = 2 then 'single' else 'resolved' end as adjudication_state",
+        "if(k % 3 = 0, null, 'eve') as adjudicator_id", "false as ambiguity_flag",
+        f"struct({', '.join(f'{e} as {n}' for n, e in expected.items())}) as expected",
+        f"if(k % 6 = 0, array('forecast_key', 'direction'), array({fields})) as scored_fields",
+        f"map('signal_type', {whole}, 'direction', {part}, 'impact_channel', {whole}, 'business_certainty', {whole}, "
+        f"'conditionality', {whole}, 'condition_text', {whole}, 'negated', {whole}, 'magnitude_value', {part}, "
+        f"'magnitude_unit', {whole}, 'effective_start', {whole}, 'forecast_key', {whole}) as field_evidence",
+    )
