@@ -42,26 +42,34 @@ MAGNITUDE_PATTERN = r"(?iuU)roughly\s+(\d+(?:\.\d+)?)\s*%"
 # End of fixed values.
 
 
-def _words(phrases) -> str:
-    """A pattern for any of the phrases as whole words."""
-    return r"(?U)\b(?:" + "|".join(phrases) + r")\b"
+# A plain substring test comes before each pattern: most texts lack the word altogether and
+# never reach the regular expression.
+
+
+def _any(words) -> str:
+    return "(" + " or ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+def _phrases(phrases) -> str:
+    """Any of the phrases as whole words."""
+    return rf"({_any(phrases)} and low rlike r'(?U)\b(?:{'|'.join(phrases)})\b')"
 
 
 def _word(word: str) -> str:
-    return rf"low rlike r'(?U)\b{word}\b'"
+    return _phrases([word])
 
 
 def negated() -> str:
-    return f"low rlike r'{_words(NEGATION_PHRASES)}'"
+    return _phrases(NEGATION_PHRASES)
 
 
 def is_reversal() -> str:
-    return f"low rlike r'{_words(REVERSAL_PHRASES)}'"
+    return _phrases(REVERSAL_PHRASES)
 
 
 def rising() -> str:
     return (rf"({_word('increase')} and not contains(low, 'no increase') "
-            r"or low rlike r'(?U)\bneeds?\s+(?:additional|more)\b')")
+            r"or contains(low, 'need') and low rlike r'(?U)\bneeds?\s+(?:additional|more)\b')")
 
 
 def falling() -> str:
@@ -69,7 +77,7 @@ def falling() -> str:
 
 
 def steady() -> str:
-    return r"low rlike r'(?dU)\bkeep\b.*\bsteady\b'"
+    return r"(contains(low, 'keep') and contains(low, 'steady') and low rlike r'(?dU)\bkeep\b.*\bsteady\b')"
 
 
 def direction() -> str:
@@ -86,12 +94,13 @@ def certainty() -> str:
 
 
 def condition_text() -> str:
-    clause = f"regexp_extract(raw_text, r'{CONDITION_PATTERN}', 1)"
+    clause = f"if({_any(('if ', 'pending ', 'unless '))}, regexp_extract(raw_text, r'{CONDITION_PATTERN}', 1), '')"
     return rf"nullif(regexp_replace({clause}, r'(?U)^\s+|\s+$', ''), '')"
 
 
 def magnitude_value() -> str:
-    return f"try_cast(nullif(regexp_extract(raw_text, r'{MAGNITUDE_PATTERN}', 1), '') as double)"
+    number = f"if(contains(low, 'roughly'), regexp_extract(raw_text, r'{MAGNITUDE_PATTERN}', 1), '')"
+    return f"try_cast(nullif({number}, '') as double)"
 
 
 def subject() -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitsignal import vocabulary as V
 from pitsignal.functions import cues, ids
 from pitsignal.sources.schemas import SIGNAL
+from pitsignal.staging import spread
 
 # A master given as a Python collection is inlined into the expression.
 MAX_INLINE_ENTITIES = 1000
@@ -21,7 +22,7 @@ def detect_cues(notes: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     ``direction`` and ``signal_type`` are null where the text has no cue.
     """
     keep = list(keep)
-    flags = notes.selectExpr(
+    flags = spread(notes).selectExpr(
         "* except (raw_text)", "coalesce(raw_text, '') as raw_text", "lower(coalesce(raw_text, '')) as low",
     ).selectExpr(
         "*", f"{cues.negated()} as negated", f"{cues.rising()} as rising", f"{cues.falling()} as falling",

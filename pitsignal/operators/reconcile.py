@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -189,49 +190,57 @@ def _fold(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.Data
     """Decide links over reversals sorted by entity and reading position."""
     current, state = None, _Corrections()
     for batch in batches:
-        links = []
         if not len(batch):
             continue
-        new_group = batch[group].ne(batch[group].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-        for start, stop in zip(new_group, new_group[1:] + [len(batch)]):
-            rows = batch.iloc[start:stop]
-            key = tuple(rows[group].iloc[0])
+        keys = [batch[c].to_numpy() for c in group]
+        columns = {c: batch[c].to_numpy() for c in (
+            "signal_id", "source_id", "kinds", "read_us", "available_us", "negated", "n", *_IDENTITY,
+            "own_end_us", "own_h1", "own_h2")}
+        changed = np.zeros(len(batch), bool)
+        changed[0] = True
+        for k in keys:
+            changed[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(changed)
+        stops = np.append(starts[1:], len(batch))
+        # Without a lone candidate as written there is no first link, hence no correction.
+        lone = np.logical_or.reduceat(columns["n"] == 1, starts)
+        links: list[tuple] = []
+        for start, stop, some in zip(starts.tolist(), stops.tolist(), lone.tolist()):
+            key = tuple(k[start] for k in keys)
             if key != current:
                 current, state = key, _Corrections()
-            links.extend(_fold_entity(rows, state))
+            if some or state.delta or state.agenda:
+                links.extend(_fold_entity({c: v[start:stop] for c, v in columns.items()}, state))
         yield pd.DataFrame(links, columns=["signal_id", "target_h1", "target_h2", "target_kind"])
 
 
-def _fold_entity(rows: pd.DataFrame, state: _Corrections) -> Iterator[tuple]:
-    read, avail = rows["read_us"].to_numpy(), rows["available_us"].to_numpy()
-    n, kinds, sid = rows["n"].to_numpy(), rows["kinds"].to_numpy(), rows["source_id"].to_numpy()
-    masks: dict[str, object] = {k: kinds == k for k in set(kinds)}
-    i = 0
-    while i < len(rows):
+def _fold_entity(rows: dict[str, np.ndarray], state: _Corrections) -> Iterator[tuple]:
+    read, avail, n, kinds = rows["read_us"], rows["available_us"], rows["n"], rows["kinds"]
+    masks = {k: kinds == k for k in set(kinds.tolist())}
+    i, size = 0, len(read)
+    while i < size:
         late = read[i] < avail[i]
-        state.advance((int(read[i]), 1, "") if late else (int(read[i]), 0, sid[i]))
+        state.advance((int(read[i]), 1, "") if late else (int(read[i]), 0, rows["source_id"][i]))
         # Rows read before the next correction all see the present one.
-        stop = len(rows)
+        stop = size
         if state.agenda:
             stop = max(i + 1, int(read.searchsorted(state.agenda[0][0][0], side="left")))
-        unique = None
+        lone = np.zeros(stop - i, bool)
         for k, mask in masks.items():
-            hits = (mask[i:stop] & (n[i:stop] + state.at(k)[0] == 1)).nonzero()[0]
-            if len(hits) and (unique is None or hits[0] < unique):
-                unique = int(hits[0])
-        if unique is None:
+            lone |= mask[i:stop] & (n[i:stop] + state.at(k)[0] == 1)
+        hits = lone.nonzero()[0]
+        if not len(hits):
             i = stop
             continue
-        j = i + unique
-        row = rows.iloc[j]
+        j = i + int(hits[0])
         delta = state.at(kinds[j])
-        claim = tuple(int(row[c]) ^ delta[p] for p, c in enumerate(_IDENTITY, start=1))
-        state.link(claim, int(avail[j]), sid[j])
-        own_end = int(row["own_end_us"])
-        if not row["negated"] and (own_end == 0 or own_end > avail[j]):
-            own = (int(row["own_h1"]), int(row["own_h2"]), own_end, claim[3])
-            state.plan((int(avail[j]), 0, sid[j]), "arrive", own)
-        yield row["signal_id"], claim[0], claim[1], claim[3]
+        claim = tuple(int(rows[c][j]) ^ delta[p] for p, c in enumerate(_IDENTITY, start=1))
+        state.link(claim, int(avail[j]), rows["source_id"][j])
+        own_end = int(rows["own_end_us"][j])
+        if not rows["negated"][j] and (own_end == 0 or own_end > avail[j]):
+            own = (int(rows["own_h1"][j]), int(rows["own_h2"][j]), own_end, claim[3])
+            state.plan((int(avail[j]), 0, rows["source_id"][j]), "arrive", own)
+        yield rows["signal_id"][j], claim[0], claim[1], claim[3]
         i = j + 1
 
 

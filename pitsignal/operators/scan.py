@@ -9,17 +9,19 @@ HOUR_US = 3_600_000_000
 
 def running_before(
     points: DataFrame, keys: tuple[str, ...], us: str, *, sums: tuple[str, ...] = (), xors: tuple[str, ...] = (),
-    block_us: int = HOUR_US,
+    block: str | None = None,
 ) -> DataFrame:
     """Add ``before_<c>``: the sum (or xor) of ``c`` over all earlier points of the group.
 
-    ``points`` has one row per (keys, us).  The scan has two levels so that a group with
+    ``points`` has one row per (keys, us); ``block`` names a column that rises with ``us``
+    and cuts it into pieces (hours, when ``us`` is a time).  The scan has two levels so that a group with
     most of the data is not one sorted partition: running values inside time blocks of
     the group, plus the running total of the blocks before (one row per block).
     """
     spark, by = points.sparkSession, ", ".join(keys)
     measures = [(c, "sum") for c in sums] + [(c, "bit_xor") for c in xors]
-    blocked = points.selectExpr("*", f"{us} div {block_us}L as block")
+    columns = [c for c in points.columns if c != block]
+    blocked = points.selectExpr(*columns, f"{block or f'{us} div {HOUR_US}L'} as block")
     earlier = f"(partition by {by}, block order by {us} rows between unbounded preceding and 1 preceding)"
     inside = blocked.selectExpr("*", *(f"{how}({c}) over {earlier} as in_{c}" for c, how in measures))
     totals = spark.sql(
@@ -30,4 +32,4 @@ def running_before(
     combine = lambda c, how: (
         f"coalesce(in_{c}, 0L) {'+' if how == 'sum' else '^'} coalesce(off_{c}, 0L) as before_{c}")
     return inside.join(offsets, [*keys, "block"]).selectExpr(
-        *points.columns, *(combine(c, how) for c, how in measures))
+        *columns, *(combine(c, how) for c, how in measures))

@@ -161,7 +161,10 @@ def _sweep_slice(claims: DataFrame, pairs: DataFrame, calendar: Calendar, **days
     spans = eligibility_intervals(claims, calendar, **days)
     rows = _claim_cells(spans).union(_source_cells(spans)).union(_pair_cells(pairs, calendar))
     cells = _aggregate(rows, _KEY, [f"{how}({m}) as {m}" for m, (_, how) in _MEASURES.items()])
-    at = cells.repartition("entity_key").selectExpr("*", "explode(sequence(lo, end - 1)) as idx")
+    # A fixed number of partitions: the rows multiply below, which adaptive coalescing of
+    # the small shuffled cells would not see.
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = cells.repartition(partitions, "entity_key").selectExpr("*", "explode(sequence(lo, end - 1)) as idx")
     in_30 = lambda m, how="sum": f"{how}(if(idx < end_30, {m}, null)) as {m}"
     counted = ("up", "down", "qty", "n_qty", "cancelled", "n_cancelled", "committed", "n_committed", "n_sources")
     per_cutoff = _aggregate(at, ("entity_key", "idx"), [

@@ -12,6 +12,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles a method of more than 8000 bytes of bytecode.  A fused stage
+    # above that size runs interpreted; below this limit Spark uses split projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -25,8 +28,9 @@ def get_session(app_name: str = "pitsignal", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_utc(spark: SparkSession) -> SparkSession:
-    """All clocks in the data model are UTC, so the session must be too."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def ensure_settings(spark: SparkSession) -> SparkSession:
+    """Apply the settings results depend on (UTC clocks) and the compilation limit."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        if spark.conf.get(key) != _DEFAULTS[key]:
+            spark.conf.set(key, _DEFAULTS[key])
     return spark

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitsignal.session import ensure_utc
+from pitsignal.session import ensure_settings
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -15,4 +15,4 @@ TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
-    return ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ensure_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,3 +29,15 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{staging_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the scan has fewer splits than cores.
+
+    Large inputs have more splits than cores and are returned unchanged, without a
+    shuffle; so are streams.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
