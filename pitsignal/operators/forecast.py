@@ -122,8 +122,10 @@ def _rolling_ridge(series: pd.DataFrame, config: ForecastConfig, columns: list[s
     x = series[columns].to_numpy(float)
     n = int(series["n"].iloc[0])
     arm, entity = series["arm"].iloc[0], series["entity_key"].iloc[0]
-    empty = pd.DataFrame({c: [] for c in (
-        "arm", "entity_key", "origin_week_index", "horizon_week_index", "horizon", "actual", "predicted")})
+    empty = pd.DataFrame({
+        "arm": pd.Series(dtype=object), "entity_key": pd.Series(dtype=object),
+        "origin_week_index": pd.Series(dtype="int32"), "horizon_week_index": pd.Series(dtype="int32"),
+        "horizon": pd.Series(dtype="int32"), "actual": pd.Series(dtype=float), "predicted": pd.Series(dtype=float)})
     last = n - config.horizon_weeks
     if last - config.train_weeks < config.min_origins:
         return empty

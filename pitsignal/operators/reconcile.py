@@ -211,7 +211,8 @@ def _fold(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.Data
                 current, state = key, _Corrections()
             if some or state.delta or state.agenda:
                 links.extend(_fold_entity({c: v[start:stop] for c, v in columns.items()}, state))
-        yield pd.DataFrame(links, columns=["signal_id", "target_h1", "target_h2", "target_kind"])
+        if links:
+            yield pd.DataFrame(links, columns=["signal_id", "target_h1", "target_h2", "target_kind"])
 
 
 def _fold_entity(rows: dict[str, np.ndarray], state: _Corrections) -> Iterator[tuple]:
