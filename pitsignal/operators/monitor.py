@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitsignal.functions.clock import to_us
 from pitsignal.operators.features import contributing_signals
 from pitsignal.operators.scan import running_before
+from pitsignal.staging import stage
 
 
 def lineage_trace(signals: DataFrame, sources: DataFrame, pairs: DataFrame, **options) -> DataFrame:
@@ -40,13 +41,13 @@ def ks_distance(values: DataFrame, *, blocks: int = 1000) -> DataFrame:
     Equal values are counted map-side; the distribution functions are running counts over
     the distinct values, scanned in value blocks rather than in one sorted partition.
     """
-    counts = values.where("value is not null and not isnan(value)").groupBy("feature", "part", "value").count()
+    counts = stage(values.where("value is not null and not isnan(value)").groupBy("feature", "part", "value").count())
     windows = counts.where("part is not null").select("feature", "part").distinct()
     reference = counts.where("part is null").drop("part").join(windows, "feature")
     sides = reference.selectExpr("feature", "part", "value", "count as ref", "0L as mon").union(
         counts.where("part is not null").selectExpr("feature", "part", "value", "0L", "count"))
     points = sides.groupBy("feature", "part", "value").agg(F.sum("ref").alias("ref"), F.sum("mon").alias("mon"))
-    extent = values.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    extent = counts.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     placed = points.join(extent, "feature").selectExpr(
         "feature", "part", "value", "ref", "mon",
         f"cast(floor((value - low) / greatest(high - low, 1e-300D) * {blocks}) as bigint) as block")
@@ -67,7 +68,7 @@ def category_shift(values: DataFrame) -> DataFrame:
     ``values``: feature, part (null for the reference), category.  ``z`` is the
     Wilson-Hilferty normal score of the statistic and ``effect`` is Cramer's V.
     """
-    counts = values.groupBy("feature", "part", "category").count()
+    counts = stage(values.groupBy("feature", "part", "category").count())
     windows = counts.where("part is not null").select("feature", "part").distinct()
     reference = counts.where("part is null").drop("part").join(windows, "feature")
     sides = reference.selectExpr("feature", "part", "category", "count as ref", "0L as mon").union(

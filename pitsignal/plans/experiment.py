@@ -10,6 +10,7 @@ from pitsignal.operators.forecast import ForecastConfig, arm_metrics, run_arms
 from pitsignal.operators.grid import period_grid
 from pitsignal.operators.oracle import build_oracle_features
 from pitsignal.operators.shuffle import shuffle_features
+from pitsignal.staging import stage
 
 
 def run_experiment(
@@ -19,15 +20,15 @@ def run_experiment(
 ) -> tuple[DataFrame, DataFrame]:
     """Results of all arms and their metrics.
 
-    ``extracted`` may be the stored feature table; arms C and D then read it instead of
-    computing the features twice.
+    Arms C and D read the extracted features from a table: the one passed as
+    ``extracted``, or one written here.
     """
     grid = period_grid(entities, demand)
     periods = demand.select(F.col("period_start").cast("timestamp").alias("forecast_cutoff")).distinct()
     oracle = build_oracle_features(truth, notes, grid, generated_at=generated_at, cutoffs=periods)
     if extracted is None:
-        extracted = store.get_historical_features(
-            grid, lineage="none", generated_at=generated_at, cutoffs=periods, unique=True)
+        extracted = stage(store.get_historical_features(
+            grid, lineage="none", generated_at=generated_at, cutoffs=periods, unique=True))
     arms = {"A": None, "B": oracle, "C": extracted, "D": shuffle_features(extracted, seed=shuffle_seed)}
-    results = run_arms(demand, arms, config)
+    results = stage(run_arms(demand, arms, config))
     return results, arm_metrics(results)

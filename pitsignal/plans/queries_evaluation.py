@@ -38,14 +38,14 @@ def scored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.per_class(scoring.confusion(scored_notes(spark, sf_dir), COHORT), COHORT).selectExpr(
+    return scoring.per_class(stage(scoring.confusion(scored_notes(spark, sf_dir), COHORT)), COHORT).selectExpr(
         *COHORT, "metric", "label", "tp", "fp", "fn", "round(precision, 6) as precision", "round(recall, 6) as recall",
         "round(f1, 6) as f1")
 
 
 def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and macro-F1 over all notes together."""
-    return scoring.classification_summary(scoring.confusion(scored_notes(spark, sf_dir), ()), ()).selectExpr(
+    return scoring.classification_summary(stage(scoring.confusion(scored_notes(spark, sf_dir), ())), ()).selectExpr(
         "metric", "round(accuracy, 6) as accuracy", "n_correct", "n_pairs", "round(macro_f1, 6) as macro_f1", "n_classes")
 
 

@@ -71,6 +71,8 @@ _PREDICTORS = {"A": "seasonal_lag", "B": "rolling_mean_4", "C": "(rolling_mean_4
 
 def _simple_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     demand = weekly_demand(spark, sf_dir)
+    # All arms read the history; it is derived once.
+    demand = stage(demand)
     return reduce(DataFrame.unionByName, (simple_forecast(demand, arm, p) for arm, p in _PREDICTORS.items()))
 
 
@@ -110,7 +112,7 @@ def forecast_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arm_metrics(stage(_experiment(spark, sf_dir)[0]))
+    return _experiment(spark, sf_dir)[1]
 
 
 def experiment_decision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,12 +121,12 @@ def oracle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffle_features(event_features(spark, sf_dir)).selectExpr(*FEATURE_COLUMNS)
+    return shuffle_features(stage(event_features(spark, sf_dir))).selectExpr(*FEATURE_COLUMNS)
 
 
 def shuffle_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cutoff, what a permutation of entities must preserve."""
-    shuffled = shuffle_features(event_features(spark, sf_dir))
+    shuffled = shuffle_features(stage(event_features(spark, sf_dir)))
     return shuffled.selectExpr("*", "cast(forecast_cutoff as timestamp_ntz) as cutoff").groupBy("cutoff").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_key").alias("n_entities"),
         F.sum("signal_count_30d").alias("signals"), F.sum("delay_count_90d").alias("delays"),
