@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitsignal.shipping import ship_by_value
@@ -51,6 +51,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where null equals null; the result has ``a``'s keys once.
+
+    ``how`` is inner, left, left_semi or left_anti.
+    """
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = b.select(*(F.col(k).alias(n) for k, n in names.items()), *(c for c in b.columns if c not in names))
+    same = F.lit(True)
+    for k, n in names.items():
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return a.join(right, same, how).drop(*names.values())
+
+
+def number_rows(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add ``name``: the row's gapless position from 0 in its group, in the given order.
+
+    The rows are cut into ranges over (groups, order); a position is the count of the
+    group's earlier ranges plus the place inside the range, so a group of any size is never
+    one task.  Two columns are used on the way; ``df`` must not have them.
+    """
+    by_name = [F.col(g) for g in groups]
+    dealt = stage(df.repartitionByRange(*by_name, *order).withColumn("_part", F.spark_partition_id()), "dealt")
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*groups, "_part").count().select(
+        *groups, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order)))
+    return join_on(inside, offsets, [*groups, "_part"]).select(
+        *df.columns, (F.col("_before") + F.col("_inside") - 1).alias(name))
+
+
 def worker_store(name: str, build: Callable[[], object]) -> object:
     """An object built once in a Python worker and kept for its later tasks.
 

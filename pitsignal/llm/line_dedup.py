@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import ascii_lower, stage, text_key
+from pitsignal.llm.common import ascii_lower, join_on, stage, text_key
 
 BLANKS = " \t\n\x0b\x0c\r"
 _KEY = ["h1", "h2"]
@@ -67,9 +67,8 @@ def keep_bitmaps(occurrences: DataFrame, *, min_docs: int = 10, keep_first: bool
 
 def kept_texts(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the text of the lines that stay, one row per input row."""
-    left, right = _documents(docs, id_col, text_col).alias("d"), bitmaps.alias("b")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.t1") == F.col("b.t1")) & (F.col("d.t2") == F.col("b.t2"))
-    joined = left.join(right, same, "left").select("d.doc_id", "d.text", F.map_from_entries("b.keep").alias("keep"))
+    joined = join_on(_documents(docs, id_col, text_col), bitmaps, _DOC, "left").select(
+        "doc_id", "text", F.map_from_entries("keep").alias("keep"))
     lines = joined.withColumn("lines", F.split("text", "\n", -1))
     stays = "filter(lines, (x, i) -> getbit(coalesce(try_element_at(keep, cast(i div 64 as int)), -1L), cast(i % 64 as int)) = 1)"
     kept = lines.withColumn("stay", F.expr(f"if(keep is null, lines, {stays})"))

@@ -16,3 +16,32 @@ FROM marked GROUP BY doc_id
 """
 
 ORACLE = {"op4_line_dedup": OP4}
+
+# Words are found by their separators: every ASCII character but digits and letters.
+_WORDS = "regexp_extract_all({0}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+def _word_list(text: str) -> str:
+    return _WORDS.format(_LOWER.format(f"coalesce({text}, '')"))
+
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, {_word_list('text')} AS w FROM documents),
+b AS (SELECT item_id, {_word_list('text')} AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s, w FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS span FROM bw),
+lengths AS (SELECT DISTINCT n FROM windows),
+dw AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d JOIN lengths ON len(w) >= n),
+hits AS (SELECT doc_id, x.n, s, item_id FROM (
+  SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS span FROM dw) x
+  JOIN windows y ON x.n = y.n AND x.span = y.span),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+  SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, n, s FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE["op2_winnowing"] = OP2
