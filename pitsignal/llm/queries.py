@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, seekable_tokens, warc
+from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, quality, seekable_tokens, warc
 from pitsignal.llm.common import table
 
 
@@ -44,6 +44,13 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), label="quality"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op9_kd_sharding)
+    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op9_kd_sharding, op10_quality_network)
 }
