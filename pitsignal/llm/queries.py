@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, quality, seekable_tokens, warc
+from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, multi_index, quality, seekable_tokens, warc
 from pitsignal.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.assign_shards(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -52,5 +56,5 @@ def op10_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op9_kd_sharding, op10_quality_network)
+    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op6_multi_index_ann, op9_kd_sharding, op10_quality_network)
 }
