@@ -188,7 +188,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, visit: float = 0
     left_of = F.expr(f"cell div {wide}")
     per_list = F.get(F.from_json(F.lit(json.dumps(blocks.tolist())), "array<bigint>"), left_of.cast("int"))
     blocked = placed.select(
-        "vec_id", "v", (F.col("cell") % wide).cast("int").cast("binary").alias("tag"),
+        "vec_id", "v", F.unhex(F.lpad(F.hex(F.col("cell") % wide), 8, "0")).alias("tag"),
         (left_of * (1 << 32) + F.pmod(F.xxhash64("vec_id"), per_list)).alias("block"))
     asked = entries.where(F.col("vec_id") % every == 0).mapInArrow(to_blocks, "vec_id long, v array<double>, tag binary, block long")
     spread = asked.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches_of)))

@@ -96,7 +96,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.layers is None:
             return np.full(len(x), self.share)
-        return sigmoid(logits((x - self.centre) / self.scale, self.layers) / self.temperature)
+        # Rounded, since the last bits of a product depend on how many rows are scored at once.
+        return np.round(sigmoid(logits((x - self.centre) / self.scale, self.layers) / self.temperature), 9)
 
 
 class Pooler:
