@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, multi_index, pii, quality, seekable_tokens, warc
+from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, multi_index, ngram_join, pii, quality, seekable_tokens, warc
 from pitsignal.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.assign_shards(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -60,5 +65,5 @@ def op10_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op6_multi_index_ann, op7_crf_pii, op9_kd_sharding, op10_quality_network)
+    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op6_multi_index_ann, op7_crf_pii, op8_ngram_join, op9_kd_sharding, op10_quality_network)
 }
