@@ -26,92 +26,90 @@ from pitsignal.llm.common import number_rows, stage, text_key
 ROW_BYTES = 8  # what a row costs besides its text
 _DIMENSIONS = ("bytes", "first_id", "copies")
 _SCALE = (1 << 31) - 1
-_BITS = 11
+_BINS = 2_048
+_CLOSE = 1_000  # a cut may miss its target by this part of it, where bins are still coarse
 
 
-def _key(dimension: str, low: float, high: float) -> str:
-    """A group's place along a dimension: 31 bits of position, 32 bits of hash for ties."""
-    span = high - low
-    place = f"cast(({dimension} - {low!r}D) / {span!r}D * {_SCALE}D as bigint)" if span > 0 else "0L"
-    return f"shiftleft(greatest(0L, least({_SCALE}L, {place})), 32) | (xxhash64(t1, t2) & 4294967295L)"
+def _with_keys(groups: DataFrame) -> DataFrame:
+    """A 63-bit key per dimension: 31 bits of the place in the table's range, 32 bits of hash for ties."""
+    ends = groups.agg(*(f(F.col(d)).cast("double").alias(f"{n}_{d}") for d in _DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max)))).first()
 
+    def key(d: str) -> str:
+        low, high = ends[f"lo_{d}"], ends[f"hi_{d}"]
+        place = f"cast(({d} - {low!r}D) / {high - low!r}D * {_SCALE}D as bigint)" if low is not None and high > low else "0L"
+        return f"shiftleft({place}, 32) | (xxhash64(t1, t2) & 4294967295L) as key_{d}"
 
-def _quantiles(groups: DataFrame, node: str, cuts: dict[int, tuple[str, float]]) -> dict[int, int]:
-    """For each node: the key at which the running weight first reaches its target.
+    return groups.selectExpr("t1", "t2", "weight", *map(key, _DIMENSIONS))
 
-    ``cuts`` maps a node to (key expression, target weight).  Each pass histograms the bins
-    below the prefix found so far and stops early where a bin holds little of its node.
+
+def _quantiles(placed: DataFrame, cuts: dict[int, tuple[str, float, int, int]]) -> dict[int, int]:
+    """For each node the key at which its running weight comes nearest to the target.
+
+    ``cuts`` maps a node to (key column, target weight, least key, greatest key).  Each pass
+    sums the weights of 2,048 equal bins between the ends and goes on inside one bin.
     """
-    state = {n: {"prefix": 0, "target": target, "total": target} for n, (_, target) in cuts.items()}
-    open_nodes, shift = set(cuts), 63
-    while open_nodes and shift > 0:
-        width = min(_BITS, shift)
-        shift -= width
-        key = "case node " + " ".join(f"when {n} then {cuts[n][0]}" for n in sorted(open_nodes)) + " end"
-        prefix = "case node " + " ".join(f"when {n} then {state[n]['prefix']}L" for n in sorted(open_nodes)) + " end"
-        bins = (
-            groups.selectExpr("*", f"{node} as node").where(F.col("node").isin(sorted(open_nodes)))
-            .selectExpr("node", "weight", f"{key} as k", f"{prefix} as prefix")
-            .where(f"shiftright(k, {shift + width}) = prefix")
-            .groupBy("node", F.expr(f"shiftright(k, {shift})").alias("bin")).agg(F.sum("weight").alias("weight"))
-            .collect())  # at most 2,048 rows a node
-        for n in list(open_nodes):
-            mine = sorted((r["bin"], r["weight"]) for r in bins if r["node"] == n)
-            if not mine:
-                open_nodes.discard(n)
-                continue
-            s, run = state[n], 0
-            for at, (b, weight) in enumerate(mine):
-                if run + weight >= s["target"] or at + 1 == len(mine):
+    out, open_nodes = {}, {n: [target, lo, hi] for n, (_, target, lo, hi) in cuts.items()}
+    while open_nodes:
+        pick = lambda values: "case node " + " ".join(f"when {n} then {values(n)}" for n in sorted(open_nodes)) + " end"  # noqa: B023, E731
+        width = {n: max(1, -(-(hi - lo + 1) // _BINS)) for n, (_, lo, hi) in open_nodes.items()}
+        inside = (
+            placed.where(F.col("node").isin(sorted(open_nodes)))
+            .selectExpr("node", "weight", f"{pick(lambda n: cuts[n][0])} as k", f"{pick(lambda n: f'{open_nodes[n][1]}L')} as lo",
+                        f"{pick(lambda n: f'{open_nodes[n][2]}L')} as hi", f"{pick(lambda n: f'{width[n]}L')} as width")
+            .where("k between lo and hi"))
+        bins: dict[int, list] = {n: [] for n in open_nodes}
+        for r in inside.groupBy("node", F.expr("(k - lo) div width").alias("bin")).agg(F.sum("weight").alias("weight")).collect():
+            bins[r["node"]].append((r["bin"], r["weight"]))  # at most 2,048 a node
+        for n, rows in bins.items():
+            (target, lo, hi), run = open_nodes[n], 0
+            for at, (b, weight) in enumerate(sorted(rows)):
+                if run + weight >= target or at + 1 == len(rows):
                     break
                 run += weight
-            s["prefix"] = b
-            # Close enough: either edge of the bin is within a thousandth of the target.
-            near_low, near_high = s["target"] - run, run + weight - s["target"]
-            slack = s["total"] / 1000
-            if near_high <= slack or near_low <= slack or shift == 0:
-                s["prefix"] = (b + 1 << shift) - 1 if near_high <= near_low else (b << shift) - 1
-                open_nodes.discard(n)
-                s["done"] = True
-            s["target"] -= run
-    return {n: s["prefix"] if s.get("done") else -1 for n, s in state.items()}
+            below, above = target - run, run + weight - target
+            start = lo + b * width[n]
+            if width[n] == 1 or min(below, above) * _CLOSE <= cuts[n][1]:
+                out[n] = start + width[n] - 1 if above <= below else start - 1
+                del open_nodes[n]
+            else:
+                open_nodes[n] = [below, start, min(hi, start + width[n] - 1)]
+    return out
 
 
 def grow_tree(groups: DataFrame, shards: int) -> str:
-    """The expression that gives a group its shard."""
-    ends = groups.agg(*(f(F.col(d)).cast("double").alias(f"{g}_{d}") for d in _DIMENSIONS for g, f in (("lo", F.min), ("hi", F.max))),
-                      F.sum("weight").alias("weight")).first()
-    if ends["weight"] is None:
-        return "0"
-    whole = {d: (ends[f"lo_{d}"], ends[f"hi_{d}"]) for d in _DIMENSIONS}
+    """The expression over the key columns that gives a group its shard."""
     nodes = {1: (0, shards)}  # node -> (first shard, number of shards)
     split: dict[int, tuple[str, int]] = {}
 
     def expression(node: int, leaf) -> str:
         if node in split:
             key, cut = split[node]
-            return f"if(({key}) <= {cut}L, {expression(2 * node, leaf)}, {expression(2 * node + 1, leaf)})"
+            return f"if({key} <= {cut}L, {expression(2 * node, leaf)}, {expression(2 * node + 1, leaf)})"
         return str(leaf(node))
 
-    while any(n > 1 for node, (_, n) in nodes.items() if node not in split and 2 * node not in nodes):
-        to_cut = [v for v, (_, n) in nodes.items() if n > 1 and v not in split and 2 * v not in nodes]
-        place = expression(1, lambda v: v)
-        stats = {r["node"]: r for r in groups.selectExpr("*", f"{place} as node").where(F.col("node").isin(to_cut)).groupBy("node").agg(
-            *(f(F.col(d)).cast("double").alias(f"{g}_{d}") for d in _DIMENSIONS for g, f in (("lo", F.min), ("hi", F.max))),
+    whole: dict[str, int] = {}
+    to_cut = [1] if shards > 1 else []
+    while to_cut:
+        placed = groups.selectExpr("*", f"{expression(1, lambda v: v)} as node")
+        stats = {r["node"]: r for r in placed.where(F.col("node").isin(to_cut)).groupBy("node").agg(
+            *(f(F.col(f"key_{d}")).alias(f"{n}_{d}") for d in _DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))),
             F.sum("weight").alias("weight")).collect()}
-        cuts = {}
+        cuts, following = {}, []
         for v in to_cut:
             first, n = nodes[v]
             nodes[2 * v], nodes[2 * v + 1] = (first, n // 2), (first + n // 2, n - n // 2)
+            following += [c for c in (2 * v, 2 * v + 1) if nodes[c][1] > 1 and v in stats]
             if v not in stats:
-                split[v] = ("0L", 0)  # an empty node
-                continue
+                continue  # an empty node stays a leaf
             s = stats[v]
-            spread = {d: (s[f"hi_{d}"] - s[f"lo_{d}"]) / max(whole[d][1] - whole[d][0], 1e-300) for d in _DIMENSIONS}
-            widest = max(_DIMENSIONS, key=lambda d: spread[d])
-            cuts[v] = (_key(widest, s[f"lo_{widest}"], s[f"hi_{widest}"]), s["weight"] * (n // 2) / n)
-        for v, cut in _quantiles(groups, place, cuts).items():
+            # Whole places only, so that dimensions without spread never win by their ties.
+            spread = {d: (s[f"hi_{d}"] >> 32) - (s[f"lo_{d}"] >> 32) for d in _DIMENSIONS}
+            whole = whole or spread
+            widest = max(_DIMENSIONS, key=lambda d: spread[d] / max(1, whole[d]))
+            cuts[v] = (f"key_{widest}", s["weight"] * (n // 2) / n, s[f"lo_{widest}"], s[f"hi_{widest}"])
+        for v, cut in _quantiles(placed, cuts).items():
             split[v] = (cuts[v][0], cut)
+        to_cut = following
     return expression(1, lambda v: nodes[v][0])
 
 
@@ -121,9 +119,9 @@ def assign_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), *text_key(text), F.octet_length(text).cast("long").alias("bytes"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = stage(rows, "sizes")
-    groups = stage(rows.groupBy("t1", "t2").agg(
+    groups = stage(_with_keys(rows.groupBy("t1", "t2").agg(
         F.first("bytes").alias("bytes"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("first_id"), F.count(F.lit(1)).alias("copies"),
-        F.sum(F.col("bytes") + ROW_BYTES).alias("weight")), "groups")
+        F.sum(F.col("bytes") + ROW_BYTES).alias("weight"))), "groups")
     placed = groups.selectExpr("t1", "t2", f"cast({grow_tree(groups, shards)} as int) as shard")
     located = rows.join(placed, ["t1", "t2"])
     numbered = number_rows(located, ["shard"], [F.col("doc_id"), F.col("t1"), F.col("t2")], "slot")
