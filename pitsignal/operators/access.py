@@ -42,7 +42,7 @@ class FeatureStore:
 
     def get_features(
         self, entity_keys: Iterable[str] | DataFrame, forecast_cutoff: str, feature_set_version: str | None = None,
-        *, lineage: str = "array", generated_at: str | None = None,
+        *, lineage: str = "none", generated_at: str | None = None,
     ) -> DataFrame:
         """Features of each requested entity at one cutoff; unknown entities get zero rows.
 
@@ -62,7 +62,7 @@ class FeatureStore:
         return self._build(signals, pairs, feature_set_version, lineage=lineage, generated_at=generated_at, cutoffs=cutoff)
 
     def get_historical_features(
-        self, pairs: DataFrame, feature_set_version: str | None = None, *, lineage: str = "array",
+        self, pairs: DataFrame, feature_set_version: str | None = None, *, lineage: str = "none",
         generated_at: str | None = None, cutoffs: DataFrame | None = None, unique: bool = False,
     ) -> DataFrame:
         """The features as they stood at each (entity_key, forecast_cutoff) of ``pairs``.
@@ -97,19 +97,25 @@ def contract_failures(features: DataFrame) -> DataFrame:
         "count(*) as feature_rows", "count_if(bad) as schema_failures")
 
 
+def lineage_path(path: str) -> str:
+    """Where the lineage of the feature table at ``path`` is stored."""
+    return f"{path.rstrip('/')}-lineage"
+
+
 def build_feature_table(
     store: FeatureStore, demand: DataFrame, entities: DataFrame, path: str, *,
     feature_set_version: str | None = None, generated_at: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Features of every entity at every demand period, written as a table.
 
-    Returns the stored table and its contract metrics, taken from the stored rows.
-    Lineage is available as ``store.lineage(grid)`` and not repeated in every row.
+    Returns the stored table and its contract metrics, taken from the stored rows.  The
+    contributing signals are a flat table beside it (:func:`lineage_path`).
     """
     grid = period_grid(entities, demand)
     periods = demand.select(F.col("period_start").cast("timestamp").alias("forecast_cutoff")).distinct()
     features = store.get_historical_features(
         grid, feature_set_version, lineage="none", generated_at=generated_at, cutoffs=periods, unique=True)
     write_features(features, path)
+    write_features(store.lineage(grid), lineage_path(path))
     stored = features.sparkSession.read.parquet(path)
     return stored, contract_failures(stored)

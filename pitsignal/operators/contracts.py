@@ -15,23 +15,23 @@ Rule = tuple[str, str]
 
 
 def _required(fields) -> list[Rule]:
-    return [(f"{f} is a required property", f"{f} is null") for f in fields]
+    return [(f"missing: {f}", f"{f} is null") for f in fields]
 
 
 def _one_of(field: str, values) -> Rule:
     listed = ", ".join(f"'{v}'" for v in values)
-    return f"{field} is not one of the allowed values", f"{field} not in ({listed})"
+    return f"not in its value list: {field}", f"{field} not in ({listed})"
 
 
 def _at_least_zero(field: str) -> Rule:
-    return f"{field} is less than the minimum of 0", f"{field} < 0"
+    return f"below 0: {field}", f"{field} < 0"
 
 
 def _finite(field: str) -> Rule:
-    return f"{field} is not a finite number", f"isnan({field}) or abs({field}) = double('Infinity')"
+    return f"not finite: {field}", f"isnan({field}) or abs({field}) = double('Infinity')"
 
 
-_VERSION: Rule = (f"schema_version must be {V.SCHEMA_VERSION}", f"schema_version <> '{V.SCHEMA_VERSION}'")
+_VERSION: Rule = ("other version: schema_version", f"schema_version <> '{V.SCHEMA_VERSION}'")
 
 EVIDENCE_SCHEMA_RULES: list[Rule] = [
     *_required(("source_id", "source_type", "source_record_id", "source_revision", "authored_at",
@@ -39,7 +39,7 @@ EVIDENCE_SCHEMA_RULES: list[Rule] = [
     _one_of("source_type", V.SOURCE_TYPES), _VERSION,
 ]
 EVIDENCE_MODEL_RULES: list[Rule] = [
-    ("available_at must not be earlier than authored_at", "available_at < authored_at"),
+    ("range reversed: authored_at, available_at", "available_at < authored_at"),
 ]
 
 SIGNAL_SCHEMA_RULES: list[Rule] = [
@@ -54,18 +54,18 @@ SIGNAL_SCHEMA_RULES: list[Rule] = [
     _one_of("record_status", V.RECORD_STATUSES), _one_of("magnitude_basis", V.MAGNITUDE_BASES),
     _one_of("time_granularity", V.TIME_GRANULARITIES), _VERSION,
     _at_least_zero("evidence_ref.char_start"), _at_least_zero("evidence_ref.char_end"),
-    ("extraction_confidence is outside [0, 1]", "extraction_confidence < 0 or extraction_confidence > 1"),
-    ("NO_SIGNAL requires direction=NA", "signal_type = 'NO_SIGNAL' and direction <> 'NA'"),
+    ("out of range: extraction_confidence", "extraction_confidence < 0 or extraction_confidence > 1"),
+    ("direction given without a signal", "signal_type = 'NO_SIGNAL' and direction <> 'NA'"),
 ]
 SIGNAL_MODEL_RULES: list[Rule] = [
-    ("NO_SIGNAL requires direction=NA", "signal_type = 'NO_SIGNAL' and direction <> 'NA'"),
-    ("magnitude_unit is missing",
+    ("direction given without a signal", "signal_type = 'NO_SIGNAL' and direction <> 'NA'"),
+    ("magnitude without unit",
      "coalesce(magnitude_value, magnitude_low, magnitude_high) is not null and coalesce(magnitude_unit, '') = ''"),
-    ("magnitude_high must not precede magnitude_low", "magnitude_low > magnitude_high"),
-    ("effective_end must not precede effective_start", "effective_end < effective_start"),
-    ("evidence_ref must reference the signal's source_id", "evidence_ref.source_id <> source_id"),
-    ("char_end must be >= char_start", "evidence_ref.char_end < evidence_ref.char_start"),
-    ("a signal cannot supersede itself", "supersedes_signal_id = signal_id"),
+    ("range reversed: magnitude_low, magnitude_high", "magnitude_low > magnitude_high"),
+    ("range reversed: effective_start, effective_end", "effective_end < effective_start"),
+    ("cites another source", "evidence_ref.source_id <> source_id"),
+    ("range reversed: char_start, char_end", "evidence_ref.char_end < evidence_ref.char_start"),
+    ("supersedes itself", "supersedes_signal_id = signal_id"),
     *(_finite(f) for f in ("magnitude_value", "magnitude_low", "magnitude_high", "extraction_confidence")),
 ]
 

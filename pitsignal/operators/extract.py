@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,6 @@ from pyspark.sql import functions as F
 from pitsignal import vocabulary as V
 from pitsignal.functions import cues, ids
 from pitsignal.sources.schemas import SIGNAL
-from pitsignal.staging import spread
-
-# A master given as a Python collection is inlined into the expression.
-MAX_INLINE_ENTITIES = 1000
 
 
 def detect_cues(notes: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
@@ -22,7 +19,7 @@ def detect_cues(notes: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     ``direction`` and ``signal_type`` are null where the text has no cue.
     """
     keep = list(keep)
-    flags = spread(notes).selectExpr(
+    flags = notes.selectExpr(
         "* except (raw_text)", "coalesce(raw_text, '') as raw_text", "lower(coalesce(raw_text, '')) as low",
     ).selectExpr(
         "*", f"{cues.negated()} as negated", f"{cues.rising()} as rising", f"{cues.falling()} as falling",
@@ -72,10 +69,7 @@ def _with_resolution(rows: DataFrame, notes: DataFrame, known_entities) -> DataF
         resolved = resolve_entities(notes, known_entities)
         return rows.join(resolved, "source_id", "left").withColumn(
             "resolved_entities", F.expr("coalesce(resolved_entities, cast(array() as array<string>))"))
-    keys = sorted(set(known_entities))
-    if len(keys) > MAX_INLINE_ENTITIES:
-        raise ValueError(f"pass a master of more than {MAX_INLINE_ENTITIES} entities as a DataFrame")
-    known = F.array(*(F.lit(k) for k in keys)).cast("array<string>")
+    known = F.from_json(F.lit(json.dumps(sorted(set(known_entities)))), "array<string>")
     rows = rows.withColumn("resolved_entities", F.array_intersect(F.array_distinct("entity_mentions_raw"), known))
     return rows.withColumn("forecast_key", F.expr(_forecast_key("resolved_entities")))
 

@@ -14,18 +14,20 @@ from pitsignal.vocabulary import (
     STALENESS_THRESHOLD_DAYS,
 )
 
-# Above this many contributing signals for one pair the array form of the lineage is
-# refused; ``contributing_signals`` returns the same lineage as a flat table.
-MAX_LINEAGE_ARRAY = 100_000
-
-
 # Active rows that passed or await review and carry a signal.
 ACTIONABLE = "record_status = 'ACTIVE' and validation_status in ('PASS', 'REVIEW') and signal_type <> 'NO_SIGNAL'"
 
 
 def with_availability(signals: DataFrame, sources: DataFrame) -> DataFrame:
-    """Attach ``available_at`` by source; signals without a source drop out."""
-    return signals.join(sources.select("source_id", "available_at"), "source_id")
+    """Attach ``available_at`` by source; signals without a source drop out.
+
+    Repeated rows of a source count once; two different availabilities of one source fail.
+    """
+    clash = "raise_error(concat('two availabilities for source ', source_id))"
+    known = sources.where("source_id is not null").groupBy("source_id").agg(
+        F.min("available_at").alias("low"), F.max("available_at").alias("high"))
+    return signals.join(known, "source_id").selectExpr(
+        *signals.columns, f"if(low <=> high, low, cast({clash} as timestamp)) as available_at")
 
 
 def claims_from_signals(signals: DataFrame, *, supersession: str = "raw") -> DataFrame:
@@ -124,16 +126,12 @@ def build_features(
 def _attach_lineage(
     raw: DataFrame, claims: DataFrame, request: DataFrame, cutoffs: DataFrame | None, days: dict,
 ) -> DataFrame:
-    """Collect the ids of each pair, refusing pairs whose known count is over the bound."""
+    """Collect the ids of each pair; a request that wants whole arrays in rows gets them at any size."""
     key = ["entity_key", "cutoff_us"]
     rest = [c for c in raw.columns if c not in key]
-    # The count is known from the sweep, so an oversized pair fails before it is grouped.
-    message = f"a pair has more than {MAX_LINEAGE_ARRAY} contributing signals: use contributing_signals()"
-    checked = raw.selectExpr(
-        *key, f"struct({', '.join(rest)}) as row",
-        f"if(n_eligible <= {MAX_LINEAGE_ARRAY}, n_eligible, raise_error('{message}')) as n_links")
+    packed = raw.selectExpr(*key, f"struct({', '.join(rest)}) as row")
     links = memberships(claims, request.distinct(), cutoffs=cutoffs, keep=("available_us", "source_id", "signal_id"), **days)
-    joined = checked.join(links, key, "left").where("n_links >= 0")
+    joined = packed.join(links, key, "left")
     ordered = F.expr("transform(array_sort(links), x -> x.signal_id) as contributing_signal_ids")
     return joined.groupBy(*key).agg(
         F.first("row").alias("row"),

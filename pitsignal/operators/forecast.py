@@ -119,6 +119,8 @@ def _rolling_ridge(series: pd.DataFrame, config: ForecastConfig, columns: list[s
     """
     series = series.sort_values("t")
     t, y = series["t"].to_numpy(), series["demand"].to_numpy(float)
+    # Columns that an arm leaves out are zero throughout and have no part in its equations.
+    columns = [c for c in columns if series[c].any()]
     x = series[columns].to_numpy(float)
     n = int(series["n"].iloc[0])
     arm, entity = series["arm"].iloc[0], series["entity_key"].iloc[0]

@@ -98,8 +98,11 @@ def alerts(checks: DataFrame, *, min_effect: float) -> DataFrame:
     fired = checks.selectExpr(
         "feature", "part", f"significant and effect >= {min_effect}D as fired", f"coalesce({immediate}, false) as immediate")
     return fired.selectExpr(
-        "feature", "part", "fired", "immediate or fired and coalesce(lag(fired) over "
-        "(partition by feature order by part), false) as alert", "immediate as critical")
+        "feature", "part", "fired", "lag(fired) over (partition by feature order by part) as before",
+        "lag(part) over (partition by feature order by part) as part_before", "immediate",
+    ).selectExpr(
+        "feature", "part", "fired",
+        "immediate or fired and coalesce(before and part - part_before = 1, false) as alert", "immediate as critical")
 
 
 def lead_time(alert_rows: DataFrame, degraded: DataFrame) -> DataFrame:

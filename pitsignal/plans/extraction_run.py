@@ -52,9 +52,9 @@ def with_evidence_errors(notes: DataFrame) -> DataFrame:
 
 
 def require_unique_sources(notes: DataFrame) -> None:
-    duplicate = notes.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    duplicate = notes.where("source_id is not null").groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
     if duplicate:
-        raise ValueError(f"Source IDs must be unique within an extraction snapshot: {duplicate[0]['source_id']}")
+        raise ValueError(f"the snapshot repeats source_id {duplicate[0]['source_id']}")
 
 
 def run_extraction(
@@ -72,8 +72,12 @@ def run_extraction(
     signals = stage(extract_signals(
         valid, known_entities, extraction_run_id=extraction_run_id,
         keep=("authored_at", "available_at", *scope), **versions))
-    linked = reconcile(signals, scope=("extraction_run_id", *scope))
-    return ExtractionRun(extraction_run_id, classify(linked, "signal_record"), notes)
+    # Only records that pass the contracts are linked, so no link names a quarantined one.
+    checked = classify(signals, "signal_record")
+    linked = reconcile(checked.where("stage is null").drop("stage", "error"), scope=("extraction_run_id", *scope))
+    columns = [*SIGNAL.names, "stage", "error"]
+    classified = classify(linked, "signal_record").select(*columns).unionByName(checked.where("stage is not null").select(*columns))
+    return ExtractionRun(extraction_run_id, classified, notes)
 
 
 def run_and_persist(notes: DataFrame, known_entities, ledger_path: str, quarantine_path: str, **kwargs) -> tuple[ExtractionRun, int]:

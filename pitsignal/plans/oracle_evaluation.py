@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pitsignal.operators.integrity import FOLDED
 from pitsignal.plans.oracle_extraction import SIGNAL_CTE, TRUTH
 
 _CHANNEL = """CASE WHEN {t} = 'SUPPLY_FULFILLMENT' THEN 'FULFILLMENT' WHEN {t} IN ({none}) THEN 'UNKNOWN' ELSE 'DEMAND' END"""
@@ -138,17 +139,22 @@ SELECT sample, label_status, metric, round(CASE WHEN counted THEN num ELSE num /
   UNION ALL SELECT sample, label_status, 'unsupported_inference_rate', uns, ga, false FROM r)"""
 
 _CASE_RULES = (
-    ("Annotator IDs must be distinct", "k % 17 = 0"),
-    ("Assistant draft labels cannot claim human adjudication", "c % 4 = 0 AND k % 19 = 0"),
-    ("Double annotation requires two distinct annotators",
+    ("repeated: annotator_ids", "k % 17 = 0"),
+    ("draft of a machine marked as reviewed", "c % 4 = 0 AND k % 19 = 0"),
+    ("reviewed twice by fewer than two people",
      "k % 17 <> 0 AND k % 5 = 0 AND (c % 4 = 1 OR c % 4 = 3 OR (c % 4 = 0 AND k % 19 = 0))"),
-    ("Resolved disagreements require an adjudicator", "c % 4 = 3 AND k % 3 = 0"),
-    ("NO_SIGNAL decision and type must agree", "(decision = 'NO_SIGNAL') <> (g_signal_type = 'NO_SIGNAL')"),
-    ("Annotated interval must have positive duration", "g_effective_end <= g_effective_start"),
-    ("Annotated assertion effective_end needs evidence spans", "full_scope AND g_effective_end IS NOT NULL"),
-    ("Annotation span must reference nonempty text in its own source", "k % 13 = 0"),
+    ("resolved by nobody", "c % 4 = 3 AND k % 3 = 0"),
+    ("decision and type disagree on whether there is a signal", "(decision = 'NO_SIGNAL') <> (g_signal_type = 'NO_SIGNAL')"),
+    ("empty interval: effective_start, effective_end", "g_effective_end <= g_effective_start"),
+    ("asserted without a span: effective_end", "full_scope AND g_effective_end IS NOT NULL"),
+    ("span outside its own text", "k % 13 = 0"),
 )
 
+_FOLD = "lower(text)"
+for _letter, _spelled in FOLDED:
+    _FOLD = f"replace({_FOLD}, '{_letter}', '{_spelled}')"
+
+
 ORACLE = {
     "classification_report": f"""WITH {_classes('sample, label_status,')}
 SELECT sample, label_status, metric, label, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
@@ -202,14 +208,17 @@ SELECT sample, label_status, abstention_reason, CAST(count(*) FILTER (predicted
 SELECT 'template' AS kind, grp AS "group" FROM g GROUP BY grp HAVING count(DISTINCT part) > 1""",
     "supersession_integrity": f"""WITH {_BASE}, l AS (SELECT n2.*, s.authored_at FROM n2 JOIN signal s USING (source_id) WHERE g_supersedes_source_id IS NOT NULL)
 SELECT l.source_id, g_supersedes_source_id AS target_id, CASE WHEN t.source_id IS NULL OR t.c <> l.c
-    THEN 'Supersession must reference a different source in the same scenario'
-    ELSE 'Supersession label references unavailable future evidence' END AS error
+    THEN 'supersedes nothing in its scenario'
+    ELSE 'supersedes what was not yet known' END AS error
 FROM l LEFT JOIN (SELECT n2.source_id, n2.c, s.available_at FROM n2 JOIN signal s USING (source_id)) t ON t.source_id = g_supersedes_source_id
 WHERE t.source_id IS NULL OR t.c <> l.c OR t.available_at > l.authored_at""",
-    "unknown_keys": """SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS source_id, 'CUST-' || CAST(o_custkey AS VARCHAR) AS entity_key
-FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
-    "duplicate_text_leakage": r"""WITH t AS (SELECT text, source AS split FROM documents UNION ALL SELECT text, 'benchmark' FROM benchmark),
-d AS (SELECT sha256(trim(regexp_replace(lower(text), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS text_digest, split FROM t)
+    "unknown_keys": """SELECT DISTINCT source_id, entity_key FROM (
+  SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS source_id, unnest([
+    CASE WHEN o_orderkey % 23 = 0 THEN 'Acme Holding' ELSE 'CUST-' || CAST(o_custkey AS VARCHAR) END,
+    CASE WHEN o_orderkey % 29 = 0 THEN 'CUST-' || CAST(o_custkey + 1 AS VARCHAR) END]) AS entity_key FROM orders)
+WHERE entity_key IS NOT NULL AND entity_key NOT IN (SELECT 'CUST-' || CAST(c_custkey AS VARCHAR) FROM customer)""",
+    "duplicate_text_leakage": rf"""WITH t AS (SELECT text, source AS split FROM documents UNION ALL SELECT text, 'benchmark' FROM benchmark),
+d AS (SELECT sha256(trim(regexp_replace({_FOLD}, '[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))) AS text_digest, split FROM t)
 SELECT text_digest, min(split) AS first_split, max(split) AS last_split, CAST(count(*) AS BIGINT) AS copies FROM d GROUP BY text_digest HAVING min(split) <> max(split)""",
     "duplicate_sources": """SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS source_id, CAST(2 AS BIGINT) AS n FROM orders WHERE o_custkey % 3 = 0""",
 }

@@ -139,21 +139,21 @@ loose AS (SELECT * EXCLUDE (supersedes_signal_id, effective_start, effective_end
   CASE WHEN k % 67 = 0 THEN signal_id END AS supersedes_signal_id FROM s)"""
 
 _CHECKS = (
-    ("construct", "NO_SIGNAL requires direction=NA", "signal_type = 'NO_SIGNAL' AND direction <> 'NA'"),
-    ("construct", "magnitude_unit is missing",
+    ("construct", "direction given without a signal", "signal_type = 'NO_SIGNAL' AND direction <> 'NA'"),
+    ("construct", "magnitude without unit",
      "magnitude_unit IS NULL AND (magnitude_value IS NOT NULL OR magnitude_low IS NOT NULL OR magnitude_high IS NOT NULL)"),
-    ("construct", "magnitude_high must not precede magnitude_low", "magnitude_low > magnitude_high"),
-    ("construct", "effective_end must not precede effective_start", "effective_end < effective_start"),
-    ("construct", "evidence_ref must reference the signal''s source_id", "ref_source <> source_id"),
-    ("construct", "char_end must be >= char_start", "char_end < char_start"),
-    ("construct", "a signal cannot supersede itself", "supersedes_signal_id = signal_id"),
-    ("contract", "source_revision is a required property", "source_revision IS NULL"),
-    ("contract", "direction is not one of the allowed values", "direction = 'SIDEWAYS'"),
-    ("contract", "conditionality is not one of the allowed values", "conditionality = 'MAYBE'"),
-    ("contract", "schema_version must be 0.1.0", "schema_version <> '0.1.0'"),
-    ("contract", "evidence_ref.char_start is less than the minimum of 0", "char_start < 0"),
-    ("contract", "extraction_confidence is outside [0, 1]", "extraction_confidence > 1"),
-    ("contract", "NO_SIGNAL requires direction=NA", "signal_type = 'NO_SIGNAL' AND direction <> 'NA'"),
+    ("construct", "range reversed: magnitude_low, magnitude_high", "magnitude_low > magnitude_high"),
+    ("construct", "range reversed: effective_start, effective_end", "effective_end < effective_start"),
+    ("construct", "cites another source", "ref_source <> source_id"),
+    ("construct", "range reversed: char_start, char_end", "char_end < char_start"),
+    ("construct", "supersedes itself", "supersedes_signal_id = signal_id"),
+    ("contract", "missing: source_revision", "source_revision IS NULL"),
+    ("contract", "not in its value list: direction", "direction = 'SIDEWAYS'"),
+    ("contract", "not in its value list: conditionality", "conditionality = 'MAYBE'"),
+    ("contract", "other version: schema_version", "schema_version <> '0.1.0'"),
+    ("contract", "below 0: evidence_ref.char_start", "char_start < 0"),
+    ("contract", "out of range: extraction_confidence", "extraction_confidence > 1"),
+    ("contract", "direction given without a signal", "signal_type = 'NO_SIGNAL' AND direction <> 'NA'"),
 )
 _VIOLATIONS = " UNION ALL ".join(
     f"SELECT signal_id, '{stage}' AS stage, '{message}' AS error, {i} AS place FROM loose WHERE {condition}"

@@ -49,7 +49,7 @@ _NATION_SIGNALS = """SELECT s.* REPLACE (n.n_name AS forecast_key), 'ACTIVE' AS
   JOIN nation n ON n.n_nationkey = c.c_nationkey"""
 
 WEEKS = """SELECT CAST(unnest(generate_series(
-    date_trunc('week', (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 7 DAY - INTERVAL 721 DAY,
+    date_trunc('week', CAST((SELECT min(l_shipdate) FROM lineitem) AS DATE) + INTERVAL 6 DAY),
     date_trunc('week', (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 7 DAY, INTERVAL 7 DAY)) AS TIMESTAMP) AS forecast_cutoff"""
 NATIONS = "SELECT DISTINCT n_name AS entity_key FROM customer JOIN nation ON n_nationkey = c_nationkey"
 _GRID = f"SELECT e.entity_key, w.forecast_cutoff FROM ({NATIONS}) e, ({WEEKS}) w"

@@ -102,10 +102,8 @@ def supersession_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels naming entities that are not customers with a positive balance."""
-    master = table(spark, sf_dir, "customer").where("c_acctbal > 0").selectExpr(
-        "concat('CUST-', cast(c_custkey as string)) as entity_key")
-    return integrity.unknown_keys(cases_from_orders(spark, sf_dir), master)
+    """Keys of labels and mentions that no customer has."""
+    return integrity.unknown_keys(cases_from_orders(spark, sf_dir), customer_master(spark, sf_dir), mentions=True)
 
 
 def duplicate_text_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:

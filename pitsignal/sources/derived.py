@@ -200,8 +200,8 @@ def customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("CUST-"), F.col("c_custkey").cast("string")).alias("entity_key"))
 
 
-def weekly_demand(spark: SparkSession, sf_dir: str, weeks: int = 104) -> DataFrame:
-    """Shipped quantity per nation and Monday week, last full ``weeks``, gaps filled with 0.
+def weekly_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped quantity per nation and Monday week, first to last full week, gaps filled with 0.
 
     Lines are summed per (nation, week) map-side; the dense grid is generated from the
     calendar bounds, not from a product of tables.
@@ -221,8 +221,9 @@ def weekly_demand(spark: SparkSession, sf_dir: str, weeks: int = 104) -> DataFra
         .join(nations, F.col("c_nationkey") == nations.n_nationkey)
         .select(F.col("n_name").alias("entity_key"), "period_start", "demand")
     )
-    last = F.date_sub(week(F.max("l_shipdate")), 7)
-    bounds = lines.agg(F.date_sub(last, 7 * (weeks - 1)).alias("first"), last.alias("last"))
+    # A week counts when its Monday and the Monday after lie within the table's days.
+    bounds = lines.agg(week(F.date_add(F.min(F.col("l_shipdate").cast("date")), 6)).alias("first"),
+                       F.date_sub(week(F.max("l_shipdate")), 7).alias("last"))
     entities = customers.join(nations, customers.c_nationkey == nations.n_nationkey).select(
         F.col("n_name").alias("entity_key")).distinct()
     grid = periodic_grid(entities, bounds, step_days=7).select(

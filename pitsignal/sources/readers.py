@@ -11,14 +11,26 @@ from pitsignal.sources import schemas as S
 
 
 def read_notes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Evidence rows.  Time stamps without a zone mean UTC; blank lines are skipped."""
-    notes = spark.read.schema(S.EVIDENCE).format(fmt).load(path)
+    """Sound evidence rows.  Time stamps without a zone mean UTC; blank lines are skipped.
+
+    JSON lines that are not sound are left to :func:`rejected_notes`, never turned into
+    rows of nulls.
+    """
+    if fmt == "json":
+        notes = check_raw_notes(spark.read.text(path)).where("size(errors) = 0").select(*S.EVIDENCE.names)
+    else:
+        notes = spark.read.schema(S.EVIDENCE).format(fmt).load(path)
     return notes.withColumns({
         "raw_text": F.coalesce("raw_text", F.lit("")),
         "entity_mentions_raw": F.coalesce("entity_mentions_raw", F.array().cast("array<string>")),
     })
 
 
+def rejected_notes(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON lines that :func:`read_notes` leaves out: text, source id where readable, messages."""
+    return check_raw_notes(spark.read.text(path)).where("size(errors) > 0").select("source_id", "raw_record", "errors")
+
+
 def check_raw_notes(lines: DataFrame, value: str = "value") -> DataFrame:
     """Parse JSON lines against the evidence contract without losing any.
 

@@ -12,6 +12,15 @@ from pitsignal.sources.readers import read_ledger
 from pitsignal.sources.schemas import SIGNAL
 
 
+# JSON keeps whole microseconds; the writer's default would cut them to milliseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _as_json(columns: list[str]) -> str:
+    options = ", ".join(f'"{k}", "{v}"' for k, v in JSON_TIMES.items())
+    return f"to_json(struct({', '.join(columns)}), map({options}))"
+
+
 class ConflictingContent(ValueError):
     """An identifier is reused for different content."""
 
@@ -25,7 +34,7 @@ def require_valid(df: DataFrame, contract: str) -> None:
 
 
 def _fingerprint(df: DataFrame) -> str:
-    return f"sha2(to_json(struct({', '.join(df.columns)})), 256)"
+    return f"sha2({_as_json(df.columns)}, 256)"
 
 
 def append_actions(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -58,10 +67,10 @@ def append_to_ledger(records: DataFrame, path: str) -> int:
     The whole batch is checked first: a contract violation or a conflict raises before
     anything is written.  Rows stored already are skipped, so a retry writes nothing.
     """
-    batch = records.select(*SIGNAL.names).persist(StorageLevel.MEMORY_AND_DISK)
+    batch, actions = records.select(*SIGNAL.names).persist(StorageLevel.MEMORY_AND_DISK), None
     try:
         require_valid(batch, "signal_record")
-        actions = append_actions(batch, read_ledger(batch.sparkSession, path))
+        actions = append_actions(batch, read_ledger(batch.sparkSession, path)).persist(StorageLevel.MEMORY_AND_DISK)
         clash = actions.where("action = 'conflict'").take(1)
         if clash:
             raise ConflictingContent(f"Conflicting content for signal_id {clash[0]['signal_id']}")
@@ -72,6 +81,8 @@ def append_to_ledger(records: DataFrame, path: str) -> int:
         return written.get["rows"]
     finally:
         batch.unpersist()
+        if actions is not None:
+            actions.unpersist()
 
 
 def append_quarantine(rejected: DataFrame, path: str) -> None:
@@ -86,13 +97,13 @@ def write_dataset(demand: DataFrame, notes: DataFrame, truth: DataFrame, directo
     """Write a corpus; nothing is written when any note breaks the evidence contract."""
     require_valid(notes, "source_evidence")
     demand.write.mode("overwrite").parquet(f"{directory}/demand")
-    notes.write.mode("overwrite").json(f"{directory}/notes")
-    truth.write.mode("overwrite").json(f"{directory}/ground_truth")
+    notes.write.mode("overwrite").options(**JSON_TIMES).json(f"{directory}/notes")
+    truth.write.mode("overwrite").options(**JSON_TIMES).json(f"{directory}/ground_truth")
 
 
 def content_fingerprint(df: DataFrame) -> tuple:
     """Order-insensitive fingerprint of a table: row count and two combinations of row hashes."""
-    row = df.selectExpr(f"to_json(struct({', '.join(sorted(df.columns))})) as r").selectExpr(
+    row = df.selectExpr(f"{_as_json(sorted(df.columns))} as r").selectExpr(
         "count(*) as n", "coalesce(bit_xor(xxhash64(r)), 0L) as x",
         "coalesce(sum(cast(xxhash64(r, 1) as decimal(38, 0))), 0) as s").first()
     return row["n"], row["x"], int(row["s"])
@@ -116,7 +127,7 @@ def write_bundle(artifacts: dict[str, DataFrame], directory: str, run_id: str) -
             missing.append((name, df))
             continue
         if content_fingerprint(saved) != content_fingerprint(df):
-            raise FileExistsError(f"Conflicting existing evaluation artifact: {target}")
+            raise FileExistsError(f"saved before with other content: {target}")
     for name, df in missing:
-        df.write.mode("errorifexists").json(f"{destination}/{name}")
+        df.write.mode("errorifexists").options(**JSON_TIMES).json(f"{destination}/{name}")
     return destination

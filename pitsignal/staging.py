@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
-def _scratch() -> str:
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _scratch()
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks run in the driver's process, may leave it unset.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -29,15 +37,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{staging_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work when the scan has fewer splits than cores.
-
-    Large inputs have more splits than cores and are returned unchanged, without a
-    shuffle; so are streams.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -56,3 +56,12 @@ ERROR_TYPES = (
     "wrong_magnitude", "wrong_timing", "negation_error", "conditionality_error",
     "duplicate", "missed_supersession_stale_signal", "unsupported_inference",
 )
+
+# The error type that a wrong value of a field counts as.
+ERROR_OF_FIELD = {
+    "signal_type": "wrong_type", "forecast_key": "wrong_entity", "direction": "wrong_direction",
+    "magnitude_value": "wrong_magnitude", "magnitude_unit": "wrong_magnitude",
+    "effective_start": "wrong_timing", "effective_end": "wrong_timing", "negated": "negation_error",
+    "conditionality": "conditionality_error", "condition_text": "conditionality_error",
+    "supersedes_source_id": "missed_supersession_stale_signal",
+}

@@ -158,10 +158,19 @@ def test_lineage_never_uses_later_evidence(spark):
     assert links.count() and links.where("available_at > forecast_cutoff").count() == 0
 
 
-def test_oversized_lineage_is_refused_not_cut(spark, monkeypatch):
-    from pitsignal.operators import features
-
-    monkeypatch.setattr(features, "MAX_LINEAGE_ARRAY", 2)
-    rows = [signal(f"s{i}", f"n{i}") for i in range(3)]
-    with pytest.raises(Exception, match="use contributing_signals"):
-        build_features(ledger_frame(spark, rows), pair_frame(spark, [("CUST-0001", CUTOFF)]), lineage="array").collect()
+def test_lineage_arrays_hold_every_signal(spark):
+    rows = [signal(f"s{i:04d}", f"n{i}") for i in range(1500)]
+    got = build_features(ledger_frame(spark, rows), pair_frame(spark, [("CUST-0001", CUTOFF)]), lineage="array").first()
+    assert sorted(got["contributing_signal_ids"]) == [r["signal_id"] for r in rows]
+
+
+def test_repeated_sources_count_once_and_two_availabilities_fail(spark):
+    from pitsignal.operators.features import with_availability
+
+    signals = ledger_frame(spark, [signal("a", "n1")]).drop("available_at")
+    once = spark.createDataFrame([("n1", "2026-02-01"), ("n1", "2026-02-01")], "source_id string, d string").selectExpr(
+        "source_id", "cast(d as timestamp) as available_at")
+    assert with_availability(signals, once).count() == 1
+    twice = once.unionByName(once.selectExpr("source_id", "available_at + interval 1 microsecond as available_at"))
+    with pytest.raises(Exception, match="two availabilities"):
+        with_availability(signals, twice).collect()

@@ -75,9 +75,9 @@ def test_contract_violations(spark):
     frame = ledger(spark, *rows)
     found = {r["signal_id"]: (r["stage"], r["error"]) for r in violations(frame, "signal_record", "signal_id").collect()}
     assert set(found) == set(bad)
-    assert found["unit"] == ("construct", "magnitude_unit is missing")
-    assert found["enum"] == ("contract", "direction is not one of the allowed values")
-    assert found["none"] == ("contract", "source_revision is a required property")
+    assert found["unit"] == ("construct", "magnitude without unit")
+    assert found["enum"] == ("contract", "not in its value list: direction")
+    assert found["none"] == ("contract", "missing: source_revision")
     rate = conformance(classify(frame, "signal_record")).first()
     assert (rate["accepted"], rate["quarantined"]) == (1, len(bad))
     assert conformance(classify(frame.limit(0), "signal_record")).first()["schema_conformance_rate"] == 1.0
@@ -93,9 +93,9 @@ def test_raw_notes_keep_every_line_with_its_errors(spark):
              ok.replace("2026-01-05T09:00:00", "not-a-time"), ok.replace("T09:00:00", "T23:00:00"), "not json",
              ok.replace("account_note", "memo")]
     got = [r["errors"] for r in check_raw_notes(spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1)).collect()]
-    assert got == [[], ["content_hash is a required property"], ["unknown field not_a_field"],
-                   ["authored_at is a required property"], ["available_at must not be earlier than authored_at"],
-                   ["not a JSON record"], ["source_type is not one of the allowed values"]]
+    assert got == [[], ["missing: content_hash"], ["unknown field not_a_field"],
+                   ["missing: authored_at"], ["range reversed: authored_at, available_at"],
+                   ["not a JSON record"], ["not in its value list: source_type"]]
 
 
 def test_run_and_persist_quarantines_invalid_evidence(spark, tmp_path):
@@ -125,7 +125,7 @@ def test_feature_access(spark):
     store = FeatureStore.of(ledger(
         spark, signal("a", "n1"), signal("late", "n2"), signal("b", "n1", forecast_key="CUST-0002"),
         signal("lost", "nowhere")), sources, feature_definition_version="fdv-x")
-    got = {r["entity_key"]: r for r in store.get_features(["CUST-0001", "CUST-0002", "CUST-9"], CUTOFF).collect()}
+    got = {r["entity_key"]: r for r in store.get_features(["CUST-0001", "CUST-0002", "CUST-9"], CUTOFF, lineage="array").collect()}
     assert got["CUST-0001"]["contributing_signal_ids"] == ["a"]
     assert got["CUST-9"]["has_active_signal_30d"] is False and got["CUST-9"]["contributing_signal_ids"] == []
     assert got["CUST-9"]["feature_definition_version"] == "fdv-x" and got["CUST-9"]["feature_available_at"] is not None
