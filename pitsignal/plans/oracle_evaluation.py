@@ -212,6 +212,16 @@ SELECT l.source_id, g_supersedes_source_id AS target_id, CASE WHEN t.source_id I
     ELSE 'supersedes what was not yet known' END AS error
 FROM l LEFT JOIN (SELECT n2.source_id, n2.c, s.available_at FROM n2 JOIN signal s USING (source_id)) t ON t.source_id = g_supersedes_source_id
 WHERE t.source_id IS NULL OR t.c <> l.c OR t.available_at > l.authored_at""",
+    "label_scoring": """WITH r AS (SELECT text, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents JOIN labels USING (doc_id)),
+p AS (SELECT 'quality' AS metric, quality AS gold, CASE WHEN length(text) < 40 OR contains(text, '!!') OR contains(text, ' | ')
+    OR contains(text, '$$$') OR contains(text, '%%%') THEN '0' ELSE '1' END AS pred FROM r
+  UNION ALL SELECT 'toxic', toxic, CASE WHEN contains(text, 'http') THEN '1' ELSE '0' END FROM r),
+l AS (SELECT DISTINCT metric, unnest([gold, pred]) AS label FROM p),
+c AS (SELECT l.metric, label, CAST(count(*) FILTER (gold = label AND pred = label) AS BIGINT) AS tp,
+  CAST(count(*) FILTER (gold <> label AND pred = label) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (gold = label AND pred <> label) AS BIGINT) AS fn FROM l JOIN p USING (metric) GROUP BY ALL)
+SELECT metric, label, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
+  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""",
     "unknown_keys": """SELECT DISTINCT source_id, entity_key FROM (
   SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS source_id, unnest([
     CASE WHEN o_orderkey % 23 = 0 THEN 'Acme Holding' ELSE 'CUST-' || CAST(o_custkey AS VARCHAR) END,

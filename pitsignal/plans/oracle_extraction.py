@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitsignal.sources.derived import EVENT_SIGNALS_SQL, ORDER_NOTES_SQL, ORDER_TRUTH_SQL
+from pitsignal.sources.derived import EVENT_SIGNALS_SQL, ORDER_NOTES_SQL, ORDER_TRUTH_SQL, RAW_NOTES_SQL
 
 NOTES = ORDER_NOTES_SQL.replace("@ts", "TIMESTAMP").format(orders="orders")
 TRUTH = ORDER_TRUTH_SQL.replace("@ts", "TIMESTAMP").format(orders="orders")
@@ -159,6 +159,8 @@ _VIOLATIONS = " UNION ALL ".join(
     f"SELECT signal_id, '{stage}' AS stage, '{message}' AS error, {i} AS place FROM loose WHERE {condition}"
     for i, (stage, message, condition) in enumerate(_CHECKS))
 
+RAW_LINES = RAW_NOTES_SQL.replace("{orders}", "orders").replace("SELECT CASE", "SELECT o_orderkey AS k, CASE", 1).replace("AS STRING", "AS VARCHAR")
+
 ORACLE = {
     "extract_cues": f"""WITH notes AS ({NOTES}), {cues_cte('notes')}
 SELECT source_id, direction, negated, conflict, business_certainty, conditionality, condition_text, magnitude_value,
@@ -189,7 +191,22 @@ FROM loose l LEFT JOIN v USING (signal_id)""",
     "feature_contract": """SELECT CAST(count(DISTINCT user_id) * (SELECT count(*) FROM (
     SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY))))
   AS BIGINT) AS feature_rows, CAST(0 AS BIGINT) AS schema_failures FROM events""",
-    "corpus_summary": f"""SELECT CAST(count(*) AS BIGINT) AS n_notes, CAST(count(*) FILTER (NOT is_irrelevant) AS BIGINT) AS n_signal_notes,
+    "corpus_summary": f"""WITH week AS (SELECT date_trunc('week', CAST(min(l_shipdate) AS DATE) + INTERVAL 6 DAY) AS first,
+    date_trunc('week', max(l_shipdate)) - INTERVAL 7 DAY AS last FROM lineitem),
+size AS (SELECT count(DISTINCT n_name) AS n_entities FROM customer JOIN nation ON n_nationkey = c_nationkey),
+span AS (SELECT CAST(date_diff('day', first, last) / 7 + 1 AS BIGINT) AS n_weeks FROM week)
+SELECT n_entities, n_weeks, CAST(n_entities * n_weeks AS BIGINT) AS n_demand_rows, t.* FROM size, span, (
+  SELECT CAST(count(*) AS BIGINT) AS n_notes, CAST(count(*) FILTER (NOT is_irrelevant) AS BIGINT) AS n_signal_notes,
   CAST(count(*) FILTER (is_irrelevant) AS BIGINT) AS n_irrelevant_notes, CAST(count(*) FILTER (is_reversal) AS BIGINT) AS n_reversal_notes,
-  round(coalesce(avg(CASE WHEN is_irrelevant THEN 1.0 ELSE 0.0 END), 0), 6) AS irrelevant_fraction FROM ({TRUTH})""",
+  round(coalesce(avg(CASE WHEN is_irrelevant THEN 1.0 ELSE 0.0 END), 0), 6) AS irrelevant_fraction FROM ({TRUTH})) t""",
+    "conversation_cues": f"""WITH turns AS (SELECT conv_id, turn, role, text AS raw_text, TIMESTAMP '2024-01-01' AS authored_at FROM conversations),
+{cues_cte('turns')}
+SELECT conv_id, turn, role, direction, negated, conflict, business_certainty, conditionality, signal_type, is_reversal,
+  time_granularity, CAST(length(raw_text) AS BIGINT) AS text_length FROM cued""",
+    "raw_note_errors": f"""WITH line AS ({RAW_LINES}),
+found AS (SELECT value AS raw_record, CASE WHEN k % 19 = 0 THEN ['not a JSON record'] ELSE list_filter([
+    CASE WHEN k % 17 = 0 THEN 'unknown field mood' END, CASE WHEN k % 13 = 0 THEN 'missing: content_hash' END,
+    CASE WHEN k % 11 = 0 THEN 'not in its value list: source_type' END,
+    CASE WHEN k % 23 = 0 THEN 'range reversed: authored_at, available_at' END], lambda x: x IS NOT NULL) END AS errors FROM line)
+SELECT raw_record, array_to_string(errors, '; ') AS errors FROM found WHERE len(errors) > 0""",
 }

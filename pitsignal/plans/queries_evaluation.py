@@ -85,7 +85,7 @@ def abstention_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole evaluation: extraction per scenario, linking, scoring, cohort summary."""
-    result = run_evaluation(cases_from_orders(spark, sf_dir), customer_master(spark, sf_dir), split="test")
+    result = run_evaluation(cases_from_orders(spark, sf_dir), customer_master(spark, sf_dir), split="test", validate=False)
     return result.classification()
 
 
@@ -113,6 +113,18 @@ def duplicate_text_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.duplicate_text_leakage(documents.union(benchmark))
 
 
+def label_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two plain text rules scored per class against the quality and toxicity labels of documents."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    marks = " or ".join(f"contains(text, '{m}')" for m in ("!!", " | ", "$$$", "%%%"))
+    pairs = rows.selectExpr(
+        f"inline(array(named_struct('metric', 'quality', 'gold', cast(quality as string), 'pred', if(length(text) < 40 or {marks}, '0', '1')), "
+        "named_struct('metric', 'toxic', 'gold', cast(toxic as string), 'pred', if(contains(text, 'http'), '1', '0'))))")
+    confusion = pairs.groupBy("metric", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.per_class(confusion).selectExpr(
+        "metric", "label", "tp", "fp", "fn", "round(precision, 6) as precision", "round(recall, 6) as recall", "round(f1, 6) as f1")
+
+
 def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes labelled more than once when two annotation batches are combined."""
     cases = cases_from_orders(spark, sf_dir)
@@ -135,4 +147,5 @@ QUERIES = {
     "unknown_keys": unknown_keys,
     "duplicate_text_leakage": duplicate_text_leakage,
     "duplicate_sources": duplicate_sources,
+    "label_scoring": label_scoring,
 }

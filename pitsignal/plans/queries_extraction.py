@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pitsignal.functions import ids
+from pitsignal.operators import quality
 from pitsignal.operators.contracts import classify, conformance, violations
 from pitsignal.operators.extract import detect_cues, extract_signals, resolve_entities
-from pitsignal.sources.derived import customer_master, notes_from_orders, signals_from_events, truth_from_orders
+from pitsignal.sources.derived import (
+    RAW_NOTES_SQL, customer_master, notes_from_orders, signals_from_events, truth_from_orders, weekly_demand,
+)
+from pitsignal.sources.readers import check_raw_notes
 from pitsignal.sources.tables import table
 
 RUN = "run-1"
@@ -40,6 +44,21 @@ def document_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
         "signal_type", "is_reversal", "time_granularity", "cast(text_length as bigint) as text_length")
 
 
+def conversation_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues and reversals in the turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", "role", "text as raw_text", "timestamp '2024-01-01 00:00:00' as authored_at")
+    return detect_cues(turns, ["conv_id", "turn", "role"]).selectExpr(
+        "conv_id", "turn", "role", "direction", "negated", "conflict", "business_certainty", "conditionality",
+        "signal_type", "is_reversal", "time_granularity", "cast(text_length as bigint) as text_length")
+
+
+def raw_note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw note lines with what the reader finds wrong with them."""
+    lines = spark.sql(RAW_NOTES_SQL, orders=table(spark, sf_dir, "orders"))
+    return check_raw_notes(lines).where("size(errors) > 0").selectExpr("raw_record", "array_join(errors, '; ') as errors")
+
+
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_entities(notes_from_orders(spark, sf_dir), customer_master(spark, sf_dir)).selectExpr(
         "source_id", "array_join(resolved_entities, ',') as resolved_entities", "forecast_key")
@@ -114,16 +133,17 @@ def feature_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = truth_from_orders(spark, sf_dir)
-    return truth.selectExpr(
-        "count(*) as n_notes", "count_if(not is_irrelevant) as n_signal_notes",
-        "count_if(is_irrelevant) as n_irrelevant_notes", "count_if(is_reversal) as n_reversal_notes",
-        "round(coalesce(avg(if(is_irrelevant, 1.0D, 0.0D)), 0.0D), 6) as irrelevant_fraction")
+    """Sizes of the notes, their truth and the demand history."""
+    found = quality.corpus_summary(
+        truth_from_orders(spark, sf_dir), notes_from_orders(spark, sf_dir), weekly_demand(spark, sf_dir))
+    return found.selectExpr("* except (irrelevant_fraction)", "round(irrelevant_fraction, 6) as irrelevant_fraction")
 
 
 QUERIES = {
     "extract_cues": extract_cues,
     "document_cues": document_cues,
+    "conversation_cues": conversation_cues,
+    "raw_note_errors": raw_note_errors,
     "entity_resolution": entity_resolution,
     "extract_signals": extracted_signals,
     "signal_ids": signal_ids,

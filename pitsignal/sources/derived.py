@@ -157,6 +157,21 @@ FROM {orders}
 """
 
 
+# One JSON line per order; the key decides what is wrong with it.
+RAW_NOTES_SQL = """
+SELECT CASE WHEN o_orderkey % 19 = 0 THEN chr(123) || '"source_id": "ORD-' || CAST(o_orderkey AS STRING) ELSE
+  chr(123) || '"source_id": "ORD-' || CAST(o_orderkey AS STRING) || '", "source_type": "' ||
+  CASE WHEN o_orderkey % 11 = 0 THEN 'rumour' ELSE 'account_note' END ||
+  '", "source_record_id": "R", "source_revision": "r1", "authored_at": "' || CAST(CAST(o_orderdate AS DATE) AS STRING) ||
+  'T12:00:00", "available_at": "' || CAST(CAST(o_orderdate AS DATE) AS STRING) ||
+  CASE WHEN o_orderkey % 23 = 0 THEN 'T11:59:59' ELSE 'T12:00:00' END || '", "raw_text": "x", ' ||
+  CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '"content_hash": "sha256:x", ' END ||
+  CASE WHEN o_orderkey % 17 = 0 THEN '"mood": "good", ' ELSE '' END ||
+  '"entity_mentions_raw": [], "schema_version": "0.1.0"' || chr(125) END AS value
+FROM {orders}
+"""
+
+
 def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     return spark.sql(text.replace("@ts", "TIMESTAMP_NTZ"), **frames)
 
