@@ -9,15 +9,14 @@ The plan keeps the shuffles to narrow, pre-aggregated rows:
 
 1. claims -> *cells* ``(entity, lo, end, ...)``; equal cells are summed map-side, so a
    hot entity leaves each map task with at most one row per cell, not per claim;
-2. cells are partitioned by entity and expanded to cutoffs locally, where they are
-   aggregated again without another exchange;
+2. a cell is repeated per *block* of calendar positions, at most about ``BLOCKS`` times,
+   and meets the cutoffs its own entity asked for in that block, where cells are summed
+   again; cutoffs of other entities make no rows, and a hot entity is spread by block;
 3. cells still open at the end of the calendar are not expanded to it: they enter once
    and are carried forward by a running window over the entity's cutoffs.
 
-Requested pairs travel as cells too, so no join is needed to keep entities without any
-claim (they come out as zero rows).  Step 2 holds at most
-``#cutoffs x #distinct interval shapes`` rows per entity, a calendar-sized number that
-does not grow with the number of claims.
+Requested pairs are also rows of their own in step 2, so entities without any claim come
+out as zero rows.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ from pyspark.sql import DataFrame
 
 from pitsignal.functions.clock import DAY_US, Calendar, calendar_slices
 
+BLOCKS = 64
+
 _KEY = ("entity_key", "lo", "end", "is_open", "end_30", "end_90", "end_near")
 
 # Cell measures: type and how equal cells combine.
@@ -47,7 +48,6 @@ _MEASURES = {
     "latest_us": ("bigint", "max"),
     "nearest_us": ("bigint", "min"),
     "n_sources": ("bigint", "sum"),
-    "cutoff_us": ("bigint", "max"),
 }
 
 
@@ -121,12 +121,28 @@ def _source_cells(spans: DataFrame) -> DataFrame:
         rows, {"is_open": "false", "end_30": "end", "end_90": "lo", "end_near": "lo"}, n_sources="1")
 
 
-def _pair_cells(pairs: DataFrame, calendar: Calendar) -> DataFrame:
+def _reads(pairs: DataFrame, calendar: Calendar) -> DataFrame:
+    """The requested pairs as calendar positions, each with the block of its position."""
     rows = calendar.attach(pairs).selectExpr(
-        "entity_key", "cutoff_us", f"{calendar.at_or_after('cutoff_us')} as lo")
-    return _as_cells(
-        rows, {"end": "lo + 1", "is_open": "false", "end_30": "lo", "end_90": "lo", "end_near": "lo"},
-        cutoff_us="cutoff_us")
+        "entity_key", "cutoff_us", f"cast({calendar.at_or_after('cutoff_us')} as int) as idx").distinct()
+    return rows.selectExpr("*", f"idx div {_block(calendar)} as block")
+
+
+def _block(calendar: Calendar) -> int:
+    """Calendar positions per block: an interval spans at most some ``BLOCKS`` of them."""
+    return max(16, -(-calendar.size // BLOCKS))
+
+
+def _meet(rows: DataFrame, reads: DataFrame, calendar: Calendar, end: str) -> DataFrame:
+    """Rows at the entity's own cutoffs inside ``[lo, end)``.
+
+    A row is repeated per block of its interval, not per cutoff of the calendar, and meets
+    the requested cutoffs of its entity in that block; so an entity with few cutoffs makes
+    few rows, and one with many is spread over its blocks.
+    """
+    size = _block(calendar)
+    dealt = rows.selectExpr("*", f"explode(sequence(lo div {size}, ({end} - 1) div {size})) as block")
+    return dealt.join(reads, ["entity_key", "block"]).where(f"idx >= lo and idx < {end}").drop("block")
 
 
 def sweep(
@@ -159,12 +175,13 @@ def sweep(
 
 def _sweep_slice(claims: DataFrame, pairs: DataFrame, calendar: Calendar, **days: int) -> DataFrame:
     spans = eligibility_intervals(claims, calendar, **days)
-    rows = _claim_cells(spans).union(_source_cells(spans)).union(_pair_cells(pairs, calendar))
+    rows = _claim_cells(spans).union(_source_cells(spans))
     cells = _aggregate(rows, _KEY, [f"{how}({m}) as {m}" for m, (_, how) in _MEASURES.items()])
-    # A fixed number of partitions: the rows multiply below, which adaptive coalescing of
-    # the small shuffled cells would not see.
-    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = cells.repartition(partitions, "entity_key").selectExpr("*", "explode(sequence(lo, end - 1)) as idx")
+    reads = _reads(pairs, calendar)
+    # Cells that are open at the end of the calendar also enter once, where they begin.
+    begun = cells.where("is_open").selectExpr("entity_key", "lo as idx", "cast(null as bigint) as cutoff_us", "n as n_begun", "latest_us as latest_begun")
+    asked = reads.selectExpr("entity_key", "idx", "cutoff_us", "cast(null as bigint) as n_begun", "cast(null as bigint) as latest_begun")
+    at = _meet(cells, reads, calendar, "`end`").unionByName(begun.union(asked), allowMissingColumns=True)
     in_30 = lambda m, how="sum": f"{how}(if(idx < end_30, {m}, null)) as {m}"
     counted = ("up", "down", "qty", "n_qty", "cancelled", "n_cancelled", "committed", "n_committed", "n_sources")
     per_cutoff = _aggregate(at, ("entity_key", "idx"), [
@@ -174,9 +191,9 @@ def _sweep_slice(claims: DataFrame, pairs: DataFrame, calendar: Calendar, **days
         "coalesce(sum(if(idx < end_90, n_delay, null)), 0) as n_delay",
         "min(if(idx < end_near, nearest_us, null)) as nearest_us",
         "coalesce(sum(if(is_open, null, n)), 0) as n_closed",
-        "coalesce(sum(if(is_open and idx = lo, n, null)), 0) as n_opened",
+        "coalesce(sum(n_begun), 0) as n_opened",
         "max(if(is_open, null, latest_us)) as latest_closed",
-        "max(if(is_open and idx = lo, latest_us, null)) as latest_opened",
+        "max(latest_begun) as latest_opened",
     ])
     so_far = "(partition by entity_key order by idx rows between unbounded preceding and current row)"
     return per_cutoff.selectExpr(
@@ -208,9 +225,7 @@ def memberships(
     days = dict(horizon_days=horizon_days, lookback_days=lookback_days, long_lookback_days=long_lookback_days)
     parts = []
     for calendar, mine in calendar_slices(pairs if cutoffs is None else cutoffs):
-        claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr(
-            "entity_key", "explode(sequence(lo, hi - 1)) as idx", *keep)
-        pair_rows = calendar.attach(pairs.where(mine)).selectExpr(
-            "entity_key", "cutoff_us", f"{calendar.at_or_after('cutoff_us')} as idx")
-        parts.append(claim_rows.join(pair_rows, ["entity_key", "idx"]).drop("idx"))
+        claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr("entity_key", "lo", "hi", *keep)
+        met = _meet(claim_rows, _reads(pairs.where(mine), calendar), calendar, "hi")
+        parts.append(met.select("entity_key", "cutoff_us", *keep))
     return reduce(DataFrame.unionByName, parts)
