@@ -4,10 +4,10 @@ Inside the aggregation plans time is a ``bigint`` of microseconds since the epoc
 (UTC).  Both Spark timestamp types convert to it, so a ledger stored with zoned
 timestamps and a table with plain ones can meet in one plan.
 
-The *calendar* is the sorted list of distinct cutoffs of a request.  It maps an instant
-to the position of the first cutoff at or after it; an eligibility interval in time
-thereby becomes an integer interval ``[lo, hi)`` over cutoffs, with no join between
-claims and cutoffs.
+A *calendar* places instants on an integer axis from the first to the last cutoff of a
+request, in steps of the request's spacing where that is regular and in microseconds
+otherwise.  An eligibility interval in time thereby becomes an integer interval
+``[lo, hi)``, by arithmetic alone: no list of cutoffs is collected or shipped.
 
 Functions in this package return SQL expression text for ``selectExpr``/``expr``: they
 compose as strings and reach the JVM once, as one parsed expression.
@@ -15,18 +15,12 @@ compose as strings and reach the JVM once, as one parsed expression.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
 
-# An irregular calendar travels to every task as one literal of 8 bytes per cutoff.  A
-# request with more distinct cutoffs than this is answered in slices of its cutoffs.
-MAX_CUTOFFS = 100_000
-
 
 def to_us(ts: str) -> str:
     """Microseconds since the epoch of a timestamp, timestamp_ntz or date expression."""
@@ -48,70 +42,32 @@ def floor_days(us: str) -> str:
 
 @dataclass(frozen=True)
 class Calendar:
-    """Sorted distinct cutoffs in microseconds."""
-
-    cuts: tuple[int, ...]
-
-    @property
-    def size(self) -> int:
-        return len(self.cuts)
-
-    @property
-    def step(self) -> int | None:
-        """The common distance of equally spaced cutoffs, else None."""
-        gaps = {b - a for a, b in zip(self.cuts, self.cuts[1:])}
-        return gaps.pop() if len(gaps) == 1 else None
-
-    def attach(self, df: DataFrame) -> DataFrame:
-        """Make the lookup arrays of an irregular calendar available to ``df``."""
-        if self.step or self.size < 2:
-            return df
-        day0, last = self.cuts[0] // DAY_US, self.cuts[-1] // DAY_US
-        before, i = [], 0
-        for day in range(day0, last + 2):
-            while i < self.size and self.cuts[i] < day * DAY_US:
-                i += 1
-            before.append(i)
-        literal = lambda values, dtype: F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
-        return df.withColumns({"_cuts": literal(self.cuts, "bigint"), "_before_day": literal(before, "int")})
+    """The axis of a request: first cutoff, step (both in microseconds) and number of positions."""
+
+    first: int
+    step: int
+    size: int
 
     def at_or_after(self, us: str) -> str:
-        """Position of the first cutoff ``>= us``; ``size`` when there is none, null for null."""
-        if not self.cuts:
-            return f"if({us} is null, null, 0)"
-        first, last = self.cuts[0], self.cuts[-1]
-        if self.size < 2:
-            inside = "0"
-        elif self.step:
-            # Rounded up to the next grid point.
-            inside = f"cast(({us} - {first}L + {self.step - 1}L) div {self.step}L as int)"
-        else:
-            # Look up the day, then count the earlier cutoffs of that day.
-            day = f"cast({floor_days(us)} - {first // DAY_US}L as int)"
-            inside = (
-                f"_before_day[{day}] + size(filter(slice(_cuts, _before_day[{day}] + 1, "
-                f"_before_day[{day} + 1] - _before_day[{day}]), c -> c < {us}))")
-        return (f"case when {us} <= {first}L then 0 when {us} > {last}L then {self.size} "
-                f"when {us} is not null then {inside} end")
+        """Position of the first step ``>= us``; ``size`` when there is none, null for null."""
+        last = self.first + (self.size - 1) * self.step
+        if not self.size:
+            return f"if({us} is null, null, 0L)"
+        return (f"case when {us} <= {self.first}L then 0L when {us} > {last}L then {self.size}L "
+                f"when {us} is not null then ({us} - {self.first}L + {self.step - 1}L) div {self.step}L end")
 
     def after(self, us: str) -> str:
-        """Position of the first cutoff ``> us``."""
+        """Position of the first step ``> us``."""
         return self.at_or_after(f"({us} + 1)")
 
 
-def calendar_slices(cutoffs: DataFrame) -> list[tuple[Calendar, str]]:
-    """Calendars covering all distinct ``cutoff_us``, each with the predicate of its part.
-
-    One calendar normally.  Only when there are more than ``MAX_CUTOFFS`` distinct
-    cutoffs are they split by hash into parts small enough to send to every task.
-    """
-    distinct = cutoffs.select("cutoff_us").where("cutoff_us is not null").distinct()
-    rows = distinct.limit(MAX_CUTOFFS + 1).collect()
-    if len(rows) <= MAX_CUTOFFS:
-        return [(Calendar(tuple(sorted(r[0] for r in rows))), "true")]
-    parts = 2 * (distinct.count() // MAX_CUTOFFS + 1)
-    slices = []
-    for part in range(parts):
-        mine = f"pmod(xxhash64(cutoff_us), {parts}) = {part}"
-        slices.append((Calendar(tuple(sorted(r[0] for r in distinct.where(mine).collect()))), mine))
-    return slices
+def calendar_of(cutoffs: DataFrame) -> Calendar:
+    """The calendar of the ``cutoff_us`` of a request, from its ends, their number and one check of the spacing."""
+    known = cutoffs.where("cutoff_us is not null")
+    ends = known.selectExpr("min(cutoff_us) as first", "max(cutoff_us) as last", "count(distinct cutoff_us) as n").first()
+    if not ends["n"]:
+        return Calendar(0, 1, 0)
+    first, length, gaps = ends["first"], ends["last"] - ends["first"], ends["n"] - 1
+    if gaps and length % gaps == 0 and not known.where(f"(cutoff_us - {first}L) % {length // gaps}L <> 0").take(1):
+        return Calendar(first, length // gaps, ends["n"])
+    return Calendar(first, 1, length + 1)

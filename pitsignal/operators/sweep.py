@@ -21,11 +21,9 @@ out as zero rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
-from pitsignal.functions.clock import DAY_US, Calendar, calendar_slices
+from pitsignal.functions.clock import DAY_US, Calendar, calendar_of
 
 BLOCKS = 64
 
@@ -63,7 +61,7 @@ def eligibility_intervals(
     """Attach the calendar interval of each claim and drop claims that are never eligible."""
     at = calendar.at_or_after
     bounded = lambda until: f"greatest(lo, least(hi, coalesce({until}, lo)))"
-    spans = calendar.attach(claims).selectExpr(
+    spans = claims.selectExpr(
         *claims.columns,
         f"greatest({at('available_us')}, {at(f'(window_start_us - {horizon_days * DAY_US}L + 1)')}) as lo",
         f"least({calendar.size}, {at('window_end_us')}, {at('closed_us')}) as hi",
@@ -104,27 +102,25 @@ def _claim_cells(spans: DataFrame) -> DataFrame:
 
 
 def _source_cells(spans: DataFrame) -> DataFrame:
-    """Cells that count each source once per cutoff.
+    """Cells that count each source once per cutoff: the overlapping spans of a source are merged.
 
-    The claims of one source share an availability, so the distinct spans of a source
-    lie within one lookback window; their number is bounded by the calendar and
-    ``collect_set`` deduplicates them map-side.  Sources with a single span (nearly all)
-    keep it; overlapping spans are broken into unit cells.
+    Equal spans are folded map-side; the rest stream in order through a window, so a source
+    of any size is sorted but never gathered.
     """
-    by_source = _aggregate(
-        spans.where("end_30 > lo"), ("entity_key", "source_id"),
-        ["collect_set(named_struct('lo', lo, 'end', end_30)) as spans"])
-    cutoffs = "array_distinct(flatten(transform(spans, s -> sequence(s.lo, s.end - 1))))"
-    units = f"transform({cutoffs}, i -> named_struct('lo', i, 'end', i + 1))"
-    rows = by_source.selectExpr("entity_key", f"inline(if(size(spans) = 1, spans, {units}))")
+    spans = _aggregate(spans.where("end_30 > lo"), ("entity_key", "source_id", "lo"), ["max(end_30) as `end`"])
+    by = "partition by entity_key, source_id order by lo"
+    runs = spans.selectExpr(
+        "*", f"max(`end`) over ({by} rows between unbounded preceding and 1 preceding) as reach",
+    ).selectExpr("*", f"sum(if(reach >= lo, 0, 1)) over ({by}) as run")
+    rows = _aggregate(runs, ("entity_key", "source_id", "run"), ["min(lo) as lo", "max(`end`) as `end`"])
     return _as_cells(
         rows, {"is_open": "false", "end_30": "end", "end_90": "lo", "end_near": "lo"}, n_sources="1")
 
 
 def _reads(pairs: DataFrame, calendar: Calendar) -> DataFrame:
     """The requested pairs as calendar positions, each with the block of its position."""
-    rows = calendar.attach(pairs).selectExpr(
-        "entity_key", "cutoff_us", f"cast({calendar.at_or_after('cutoff_us')} as int) as idx").distinct()
+    rows = pairs.selectExpr(
+        "entity_key", "cutoff_us", f"{calendar.at_or_after('cutoff_us')} as idx").distinct()
     return rows.selectExpr("*", f"idx div {_block(calendar)} as block")
 
 
@@ -165,15 +161,7 @@ def sweep(
     saves reading ``pairs`` for the calendar.
     """
     days = dict(horizon_days=horizon_days, lookback_days=lookback_days, long_lookback_days=long_lookback_days)
-    slices = calendar_slices(pairs if cutoffs is None else cutoffs)
-    parts = [
-        _sweep_slice(claims, pairs.where(mine) if len(slices) > 1 else pairs, calendar, **days)
-        for calendar, mine in slices
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _sweep_slice(claims: DataFrame, pairs: DataFrame, calendar: Calendar, **days: int) -> DataFrame:
+    calendar = calendar_of(pairs if cutoffs is None else cutoffs)
     spans = eligibility_intervals(claims, calendar, **days)
     rows = _claim_cells(spans).union(_source_cells(spans))
     cells = _aggregate(rows, _KEY, [f"{how}({m}) as {m}" for m, (_, how) in _MEASURES.items()])
@@ -223,9 +211,6 @@ def memberships(
     with many claims spreads over its cutoffs, and rows stay flat.
     """
     days = dict(horizon_days=horizon_days, lookback_days=lookback_days, long_lookback_days=long_lookback_days)
-    parts = []
-    for calendar, mine in calendar_slices(pairs if cutoffs is None else cutoffs):
-        claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr("entity_key", "lo", "hi", *keep)
-        met = _meet(claim_rows, _reads(pairs.where(mine), calendar), calendar, "hi")
-        parts.append(met.select("entity_key", "cutoff_us", *keep))
-    return reduce(DataFrame.unionByName, parts)
+    calendar = calendar_of(pairs if cutoffs is None else cutoffs)
+    claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr("entity_key", "lo", "hi", *keep)
+    return _meet(claim_rows, _reads(pairs, calendar), calendar, "hi").select("entity_key", "cutoff_us", *keep)

@@ -77,6 +77,9 @@ SUPERSEDED = """SELECT supersedes_signal_id AS target, min(available_at) AS supe
 
 ORACLE = {
     "pit_features_events": feature_sql(SIGNALS, PAIRS, "CAST(n_all AS BIGINT) AS contributing_signal_count"),
+    "pit_features_own_cutoffs": feature_sql(
+        SIGNALS, "SELECT DISTINCT 'USER-' || CAST(user_id AS VARCHAR) AS entity_key, ts AS forecast_cutoff FROM events",
+        "CAST(n_all AS BIGINT) AS contributing_signal_count"),
     "pit_features_as_of": feature_sql(SIGNALS, PAIRS, "coalesce(ids, '') AS contributing_signal_ids", SUPERSEDED),
     "contributing_signals": f"""
 WITH s AS (SELECT * FROM ({SIGNALS}) WHERE record_status = 'ACTIVE'

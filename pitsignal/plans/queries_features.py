@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pitsignal.operators.features import build_features, contributing_signals
 from pitsignal.sources.derived import event_days, signals_from_events
+from pitsignal.sources.tables import table
 
 CLOCK = "2024-02-01 00:00:00"
 
@@ -37,6 +38,12 @@ def pit_features_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr(*FEATURE_COLUMNS, "array_join(contributing_signal_ids, ',') as contributing_signal_ids")
 
 
+def pit_features_own_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every user at the instant of each of the user's own events."""
+    pairs = table(spark, sf_dir, "events").selectExpr("concat('USER-', cast(user_id as string)) as entity_key", "ts as forecast_cutoff")
+    return build_features(signals_from_events(spark, sf_dir), pairs, generated_at=CLOCK).selectExpr(*FEATURE_COLUMNS, "contributing_signal_count")
+
+
 def contributing_signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat lineage: every eligible signal of every pair."""
     return contributing_signals(
@@ -47,5 +54,6 @@ def contributing_signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pit_features_events": pit_features_events,
     "pit_features_as_of": pit_features_as_of,
+    "pit_features_own_cutoffs": pit_features_own_cutoffs,
     "contributing_signals": contributing_signal_rows,
 }

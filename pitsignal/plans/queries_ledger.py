@@ -98,7 +98,7 @@ def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every customer at one cutoff, with lineage."""
     store = FeatureStore(stored_signals(spark, sf_dir))
     return store.get_features(
-        customer_master(spark, sf_dir), LATEST_CUTOFF, "fdv-test", generated_at=CLOCK,
+        customer_master(spark, sf_dir), LATEST_CUTOFF, "fdv-test", generated_at=CLOCK, lineage="array",
     ).selectExpr(
         *FEATURE_COLUMNS, "feature_definition_version", "array_join(contributing_signal_ids, ',') as contributing_signal_ids")
 

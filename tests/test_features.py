@@ -6,7 +6,6 @@ from datetime import timedelta
 import pytest
 
 from helpers import ledger_frame, pair_frame, signal, utc
-from pitsignal.functions import clock
 from pitsignal.operators.features import build_features, contributing_signals, eligible_signals
 
 CUTOFF = "2026-02-03T00:00:00"
@@ -101,10 +100,22 @@ def test_features_equal_the_direct_reading(spark, calendar):
     check(spark, rows, [(f"E{e}", c) for e in range(5) for c in CALENDARS[calendar]])
 
 
-def test_requests_beyond_one_calendar_are_answered_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(clock, "MAX_CUTOFFS", 5)
-    rows = random_ledger(11, 120, 3)
-    check(spark, rows, [(f"E{e}", c) for e in range(4) for c in CALENDARS["weekly"]])
+def test_rows_grow_with_signals_and_pairs_not_with_other_cutoffs(spark):
+    from pitsignal.operators import sweep
+
+    claims = spark.range(2000).selectExpr(
+        "concat('E', id % 400) as entity_key", "concat('S', id) as source_id", "id * 3600000000 as available_us",
+        "cast(null as bigint) as window_start_us", "if(id % 2 = 0, null, (id + 500) * 3600000000) as window_end_us",
+        "cast(null as bigint) as closed_us", "cast(null as bigint) as near_us", "1 as vote", "1L as type_bit", "1.0D as qty",
+        "false as is_cancelled", "false as is_committed", "false as is_delay")
+    pairs = spark.range(400).selectExpr("concat('E', id) as entity_key", "id * 17000000000 + id % 7 as cutoff_us")
+    calendar = sweep.calendar_of(pairs)
+    days = dict(horizon_days=28, lookback_days=30, long_lookback_days=90)
+    spans = sweep.eligibility_intervals(claims, calendar, **days)
+    size = sweep._block(calendar)
+    dealt = spans.selectExpr(f"explode(sequence(lo div {size}, (hi - 1) div {size}))").count()
+    assert dealt <= (sweep.BLOCKS + 2) * 2400
+    assert sweep.sweep(claims, pairs, **days).count() == 400
 
 
 def test_row_order_and_partitioning_do_not_matter(spark):

@@ -32,7 +32,7 @@ def test_append_is_idempotent_and_refuses_conflicts(spark, tmp_path):
                 [signal("a", "n1", extraction_run_id="run-2")]):
         with pytest.raises(ConflictingContent):
             append_to_ledger(ledger(spark, *bad), path)
-    with pytest.raises(ValueError, match="NO_SIGNAL"):
+    with pytest.raises(ValueError, match="without a signal"):
         append_to_ledger(ledger(spark, signal("e", "n5"), signal("f", "n6", signal_type="NO_SIGNAL")), path)
     assert sorted(read_ledger(spark, path).collect()) == stored
     assert append_to_ledger(ledger(spark, signal("a2", "n1", extraction_run_id="run-2")), path) == 1
