@@ -66,7 +66,7 @@ def bootstrap_lift(paired: DataFrame, *, replicates: int = 500, seed: int = 7, l
     sums fold into ``replicates`` rows per arm map-side.
     """
     per_entity = paired.groupBy("arm", "entity_key").agg(F.sum("base_loss").alias("base"), F.sum("loss").alias("loss"))
-    uniform = f"pmod(xxhash64({seed}, b, entity_key), 1000000007L) / 1000000007D"
+    uniform = f"cast(conv(left(md5(concat_ws('|', '{seed}', b, entity_key)), 8), 16, 10) as double) / 4294967296D"
     # Cumulative Poisson(1) probabilities.
     weight = ("case when u < 0.36787944D then 0 when u < 0.73575888D then 1 when u < 0.91969860D then 2 "
               "when u < 0.98101184D then 3 when u < 0.99634015D then 4 when u < 0.99940582D then 5 else 6 end")

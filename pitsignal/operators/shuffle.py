@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Entities of one cutoff are ranked by a hash, bucket by bucket, so that no task sorts
-# all entities of a cutoff: 2**12 buckets of equal expected size.
-_BUCKET_SHIFT = 52
+from pitsignal.functions.clock import to_us
+
+# Entities of one cutoff are ranked by a digest, bucket by bucket, so that no task sorts
+# all entities of a cutoff: 16**4 buckets of equal expected size.
+_BUCKET_DIGITS = 4
 
 
 def _ranked(rows: DataFrame, seed: int, salt: str) -> DataFrame:
     """Add ``rank``: the position of the row in a seeded random order of its cutoff."""
-    hashed = rows.selectExpr("*", f"xxhash64({seed}, '{salt}', forecast_cutoff, entity_key) as h").selectExpr(
-        "*", f"shiftright(h, {_BUCKET_SHIFT}) as bucket")
+    hashed = rows.selectExpr("*", f"md5(concat_ws('|', '{seed}', '{salt}', {to_us('forecast_cutoff')}, entity_key)) as h").selectExpr(
+        "*", f"left(h, {_BUCKET_DIGITS}) as bucket")
     inside = hashed.selectExpr(
         "*", "row_number() over (partition by forecast_cutoff, bucket order by h, entity_key) as place")
     sizes = hashed.groupBy("forecast_cutoff", "bucket").count()

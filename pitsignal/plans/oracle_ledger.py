@@ -102,6 +102,12 @@ SELECT entity_key, forecast_cutoff, n30 > 0 AS has_active_signal_30d, CAST(n30 A
   CAST(CASE WHEN up > 0 AND down > 0 THEN 1 ELSE 0 END AS BIGINT) AS active_conflict_count,
   CASE WHEN latest IS NULL THEN 'UNKNOWN' WHEN epoch(forecast_cutoff) - epoch(latest) < 15 * 86400 THEN 'FRESH' ELSE 'STALE' END AS staleness_status,
   CAST(n_all AS BIGINT) AS contributing_signal_count FROM a""",
+    "shuffled_features": f"""WITH f AS ({feature_sql(SIGNALS, PAIRS, 'NULL AS x')}),
+r AS (SELECT * EXCLUDE (x), row_number() OVER (PARTITION BY forecast_cutoff ORDER BY
+    md5('99|row|' || CAST(epoch_us(forecast_cutoff) AS VARCHAR) || '|' || entity_key), entity_key) AS place FROM f),
+k AS (SELECT forecast_cutoff, entity_key AS new_entity, row_number() OVER (PARTITION BY forecast_cutoff ORDER BY
+    md5('99|key|' || CAST(epoch_us(forecast_cutoff) AS VARCHAR) || '|' || entity_key), entity_key) AS place FROM f)
+SELECT r.* EXCLUDE (place) REPLACE (k.new_entity AS entity_key) FROM r JOIN k ON k.forecast_cutoff = r.forecast_cutoff AND k.place = r.place""",
     "shuffle_invariants": f"""WITH f AS ({feature_sql(SIGNALS, PAIRS, 'NULL AS x')})
 SELECT forecast_cutoff AS cutoff, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT entity_key) AS BIGINT) AS n_entities,
   CAST(sum(signal_count_30d) AS BIGINT) AS signals, CAST(sum(delay_count_90d) AS BIGINT) AS delays, CAST(0 AS BIGINT) AS lineage

@@ -58,6 +58,15 @@ SELECT change, CAST(count(*) AS BIGINT) AS signals FROM d WHERE change IS NOT NU
     "horizon_breakdown": f"""WITH {_ARMS}, g AS (SELECT arm, h, avg(abs(actual - predicted)) AS mae, avg(predicted - actual) AS bias, count(*) AS n FROM res GROUP BY ALL)
 SELECT g.arm, CAST(g.h AS BIGINT) AS horizon, round(g.mae, 6) AS mae, round(g.bias, 6) AS bias, CAST(g.n AS BIGINT) AS n_origins,
   round((b.mae - g.mae) / b.mae, 6) AS lift FROM g JOIN g b ON b.arm = 'A' AND b.h = g.h""",
+    "bootstrap_lift": f"""WITH {_ARMS}, pair AS (SELECT x.arm, x.entity_key, sum(abs(b.actual - b.predicted)) AS base, sum(abs(x.actual - x.predicted)) AS loss
+  FROM res x JOIN res b ON b.arm = 'A' AND b.entity_key = x.entity_key AND b.origin = x.origin AND b.h = x.h WHERE x.arm <> 'A' GROUP BY ALL),
+drawn AS (SELECT arm, b, base, loss, CAST('0x' || substr(md5('7|' || CAST(b AS VARCHAR) || '|' || entity_key), 1, 8) AS BIGINT) / 4294967296 AS u
+  FROM pair, (SELECT unnest(range(1, 501)) AS b)),
+weighted AS (SELECT arm, b, base, loss, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2
+  WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 ELSE 6 END AS w FROM drawn),
+lift AS (SELECT arm, b, (sum(w * base) - sum(w * loss)) / sum(w * base) AS lift FROM weighted GROUP BY ALL HAVING sum(w * base) > 0)
+SELECT arm, round(quantile_cont(lift, 0.025), 6) AS lift_low, round(quantile_cont(lift, 0.5), 6) AS lift_mid,
+  round(quantile_cont(lift, 0.975), 6) AS lift_high, CAST(count(*) AS BIGINT) AS replicates FROM lift GROUP BY arm""",
     "paired_losses": f"""WITH {_ARMS} SELECT x.arm, round(avg(abs(b.actual - b.predicted) - abs(x.actual - x.predicted)), 6) AS mean_gain, CAST(count(*) AS BIGINT) AS pairs
 FROM res x JOIN res b ON b.arm = 'A' AND b.entity_key = x.entity_key AND b.origin = x.origin AND b.h = x.h WHERE x.arm <> 'A' GROUP BY x.arm""",
 }

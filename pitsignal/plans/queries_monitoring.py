@@ -92,7 +92,8 @@ def paired_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.bootstrap_lift(comparison.paired_losses(_simple_arms(spark, sf_dir)))
+    band = comparison.bootstrap_lift(comparison.paired_losses(_simple_arms(spark, sf_dir)))
+    return band.selectExpr("arm", *(f"round({c}, 6) as {c}" for c in ("lift_low", "lift_mid", "lift_high")), "replicates")
 
 
 def ablations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def test_run_links_only_known_claims_and_is_repeatable(spark):
     assert links(first, cancel)[0] == rows
     assert links(late, cancel)[1]["supersedes_signal_id"] is None
     assert links(first, other, cancel)[1]["validation_status"] == "REVIEW"
-    with pytest.raises(ValueError, match="unique"):
+    with pytest.raises(ValueError, match="repeats source_id"):
         run_extraction(note_rows(spark, [first, first]), KNOWN, extraction_run_id="r")
 
 
