@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import join_on, number_rows, stage, worker_store
+from pitsignal.llm.common import bit_test, discard, join_on, number_rows, stage, worker_store
 from pitsignal.shipping import ship_by_value
 
 GROWTH = 1.5  # upper end of a size band over its lower end
@@ -252,7 +252,12 @@ def _describe(width: int, percent: int):
 
 
 def _explode_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
     for batch in batches:
+        # Repeated rows of a set come one after the other and count once.
+        ids = batch.column(0).to_pylist()
+        batch = batch.take(pa.array([i for i, c in enumerate(ids) if c != (ids[i - 1] if i else last)], pa.int64()))
+        last = ids[-1] if ids else last
         for at in range(0, batch.num_rows, 500):
             ids, signs = batch.column(0)[at:at + 500].to_numpy(), [np.frombuffer(x, np.int64) for x in batch.column(1)[at:at + 500].to_pylist()]
             if signs:
@@ -315,13 +320,16 @@ def describe_sets(docs: DataFrame, *, width: int, percent: int, id_col: str = "d
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, roots): classes (k, cid, doc_id, t1, t2, n) numbered by smallest doc_id, and the linked ones' (node, root)."""
-    full = sets.where("n > 0").groupBy("k").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")).alias("r"), F.first("n").alias("n"),
-        F.first("signs").alias("signs"), F.first("profile").alias("profile")
-    ).select("k", "r.doc_id", "r.t1", "r.t2", "n", "signs", "profile")
-    classes = stage(number_rows(full, [], [F.col("doc_id").asc_nulls_last(), F.col("k")], "cid"), "classes")
-    rows = classes.select("cid", "signs").mapInArrow(_explode_signatures, "sig long, cid long")
+    """(classes, roots): classes (k, cid, doc_id, t1, t2, n) numbered by smallest doc_id, and the linked ones' (node, root).
+
+    ``sets`` is deleted once its signatures and the profiles of the sets that meet others are read.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2"))
+    slim = sets.where("n > 0").groupBy("k").agg(least.alias("r"), F.first("n").alias("n")).select("k", "r.doc_id", "r.t1", "r.t2", "n")
+    classes = stage(number_rows(slim, [], [F.col("doc_id").asc_nulls_last(), F.col("k")], "cid"), "classes")
+    key = ["k", "doc_id", "t1", "t2"]
+    rows = join_on(sets.select(*key, "signs"), classes.select(*key, "cid"), key).select("cid", "signs").mapInArrow(
+        _explode_signatures, "sig long, cid long")
     # The window reads (sig, cid) only and counts; what it keeps is the few rows that meet others.
     met = rows.withColumn("c", F.expr("count(*) over (partition by sig)")).where("c > 1")
     met = stage(met, "groups")
@@ -333,7 +341,9 @@ def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int,
     crossed = keys.select(F.col("sig").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"), "cid",
                           F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
     groups = stage(few.unionByName(crossed), "members")
-    known = classes.select("cid", "n", "profile")
+    wanted = classes.join(groups.select("cid").distinct(), "cid", "left_semi").select(*key, "cid")
+    known = stage(join_on(sets.select(*key, "n", "profile"), wanted, key).select("cid", "n", "profile").dropDuplicates(["cid"]), "profiles")
+    discard(sets)
 
     def candidates(component: DataFrame | None, spanning: bool) -> DataFrame:
         rows = groups.join(known, "cid")
@@ -346,10 +356,11 @@ def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int,
 
     def verified(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        named = classes.join(nodes, "cid", "left_semi").select("cid", "doc_id", "t1", "t2")
+        named = stage(classes.join(nodes, "cid", "left_semi").select("cid", "doc_id", "t1", "t2"), "named")
         text = F.coalesce(F.col(text_col), F.lit(""))
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-        packed = stage(join_on(texts, named, ["doc_id", "t1", "t2"]).select("cid", "text").mapInArrow(_pack, "cid long, packed binary")
+        some = texts.where(F.expr(bit_test(named.select("t1"), 8).format(h="t1")))
+        packed = stage(join_on(some, named, ["doc_id", "t1", "t2"]).select("cid", "text").mapInArrow(_pack, "cid long, packed binary")
                        .dropDuplicates(["cid"]), "texts")
         both = pairs.join(packed.selectExpr("cid as a", "packed as x"), "a").join(packed.selectExpr("cid as b", "packed as y"), "b")
         return stage(both.select("a", "b", "x", "y").mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "verified")
@@ -359,7 +370,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int,
     rest = stage(candidates(roots, False).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     second = verified(rest)
     links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
-    return classes.drop("signs", "profile"), components(links)
+    return classes, components(links)
 
 
 def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,11 +379,12 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_
     component_id is the smallest doc_id reachable over links, the document itself included.
     """
     sets = describe_sets(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
+    rows = stage(sets.select("doc_id", "t1", "t2", "n", "k"), "rows")
     classes, roots = link_classes(docs, sets, width=width, percent=percent, id_col=id_col, text_col=text_col)
     linked_to = classes.join(roots, classes["cid"] == roots["node"], "left").select("k", F.coalesce("root", "cid").alias("cid"))
     smallest = classes.select("cid", F.col("doc_id").alias("component_id"))
     of_class = stage(linked_to.join(smallest, "cid").select("k", "component_id"), "components")
-    return sets.select("doc_id", "t1", "t2", "n", "k").join(of_class, "k", "left").select(
+    return rows.join(of_class, "k", "left").select(
         "doc_id", "t1", "t2", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
