@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import tempfile
 import types
@@ -47,6 +48,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    from pyarrow import fs
+
+    for folder in {f.rpartition("/")[0] for f in staged.inputFiles()}:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,15 +91,45 @@ def number_rows(df: DataFrame, groups: list[str], order: list[Column], name: str
         *df.columns, (F.col("_before") + F.col("_inside") - 1).alias(name))
 
 
-def worker_store(name: str, build: Callable[[], object]) -> object:
+MAX_BITS = 1 << 23
+
+
+def _probes(h: str, bits: int) -> tuple[str, str]:
+    return f"({h} & {bits - 1}L)", f"(shiftrightunsigned({h}, 32) & {bits - 1}L)"
+
+
+def bit_test(hashes: DataFrame, bits_each: int = 32) -> str:
+    """A predicate, to be formatted with ``h``, that is true for every hash of the one column of ``hashes``.
+
+    It tests a bit set of ``bits_each`` bits a distinct hash and at most ``MAX_BITS`` in all,
+    so it is false for nearly all other hashes and lets more through beyond that size.
+    """
+    prints = hashes.toDF("h").distinct()
+    wanted = bits_each * max(1, prints.count())
+    bits = min(MAX_BITS, max(1 << 12, 1 << (wanted - 1).bit_length()))
+    slots = prints.select(F.explode(F.array(*(F.expr(x) for x in _probes("h", bits)))).alias("slot"))
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()  # bits / 64 rows at most
+    values = [0] * (bits // 64)
+    for row in rows:
+        values[row["word"]] = row["bits"]
+    held = f"from_json('{json.dumps(values)}', 'array<bigint>')"
+    return " and ".join(
+        f"getbit(get({held}, cast(shiftright({x}, 6) as int)), cast({x} & 63L as int)) = 1" for x in _probes("{h}", bits))
+
+
+def worker_store(name: str, build: Callable[[], object], version: object = None) -> object:
     """An object built once in a Python worker and kept for its later tasks.
 
-    Functions reach the workers by value, so a module global would be new in each task.
+    Functions reach the workers by value, so a module global would be new in each task.  A
+    worker keeps one such object: the next one of another name or version takes its place.
     """
     home = sys.modules.setdefault("_pitsignal_worker", types.ModuleType("_pitsignal_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, build())
-    return getattr(home, name)
+    kept = getattr(home, "kept", None)
+    if kept is None or kept[:2] != (name, version):
+        home.kept = None
+        home.kept = kept = (name, version, build())
+    return kept[2]
 
 
 def ascii_lower(text: Column) -> Column:

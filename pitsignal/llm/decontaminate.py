@@ -6,7 +6,7 @@ fingerprints, so joining document and benchmark fingerprints misses no shared wi
 join also compares the window's words, which extends a hit to the whole window exactly.
 An item of fewer than 10 words is one window of its own length, with fingerprints of its own.
 
-A bit set over the benchmark's fingerprints (sized by their number, at most ``MAX_BITS``)
+A bit set over the benchmark's fingerprints (sized by their number, up to a bound)
 is tested before a document window leaves its row; beyond that size it lets more windows
 through, never fewer.  Documents are read once and no text is shuffled.
 
@@ -16,15 +16,12 @@ A null text has no words; an item without words has no window.  Documents are to
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import ascii_lower, join_on, stage, text_key
+from pitsignal.llm.common import ascii_lower, bit_test, join_on, stage, text_key
 
 WINDOW, GRAM = 10, 5
-MAX_BITS = 1 << 23
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _DOC = ["doc_id", "t1", "t2"]
 
@@ -51,10 +48,10 @@ def fingerprints(frame: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(frame: DataFrame, length: int, keep: str, columns: list[str]) -> DataFrame:
-    """One row per window whose fingerprint ``p`` passes ``keep``: start, length, fingerprint, words."""
+    """One row per window whose fingerprint ``h`` passes ``keep``: start, length, fingerprint, words."""
     made = fingerprints(frame, length)
     found = F.expr(
-        f"transform(filter(transform(prints, (p, i) -> struct(i as start, p as print)), s -> {keep.format(p='s.print')}), "
+        f"transform(filter(transform(prints, (p, i) -> struct(i as start, p as print)), s -> {keep.format(h='s.print')}), "
         f"s -> struct(s.start as start, s.print as print, array_join(slice(words, s.start + 1, {length}), ' ') as span))")
     return made.select(*columns, F.explode(found).alias("w")).select(
         *columns, "w.start", F.lit(length).alias("length"), "w.print", "w.span")
@@ -72,26 +69,6 @@ def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col
     return stage(frame.select("length", "print", "span", "item_id").distinct(), "benchmark")
 
 
-def _probes(p: str, bits: int) -> tuple[str, str]:
-    return f"({p} & {bits - 1}L)", f"(shiftrightunsigned({p}, 32) & {bits - 1}L)"
-
-
-def _bit_test(spans: DataFrame, length: int) -> str:
-    """A predicate on a fingerprint: false only where no benchmark window of ``length`` has it."""
-    prints = spans.where(F.col("length") == length).select("print").distinct()
-    wanted = 32 * max(1, prints.count())
-    bits = min(MAX_BITS, max(1 << 12, 1 << (wanted - 1).bit_length()))
-    slots = prints.select(F.explode(F.array(*(F.expr(x) for x in _probes("print", bits)))).alias("slot"))
-    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()  # bits / 64 rows at most
-    values = [0] * (bits // 64)
-    for row in rows:
-        values[row["word"]] = row["bits"]
-    held = f"from_json('{json.dumps(values)}', 'array<bigint>')"
-    return " and ".join(
-        f"getbit(get({held}, cast(shiftright({x}, 6) as int)), cast({x} & 63L as int)) = 1" for x in _probes("{p}", bits))
-
-
 def shared_windows(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, t1, t2, start, length, span): every document window that the benchmark has, staged."""
     texts = docs.select(F.col(id_col).alias("doc_id"), *text_key(F.col(text_col)), words(F.col(text_col)).alias("words")
@@ -99,7 +76,7 @@ def shared_windows(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id",
     lengths = [r[0] for r in spans.select("length").distinct().collect()]  # ten values at most
     frame = None
     for n in sorted(lengths):
-        part = _windows(texts, n, _bit_test(spans, n), _DOC)
+        part = _windows(texts, n, bit_test(spans.where(F.col("length") == n).select("print")), _DOC)
         frame = part if frame is None else frame.unionByName(part)
     if frame is None:
         frame = texts.select(*_DOC, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("print"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import join_on, new_folder, stage
+from pitsignal.llm.common import bit_test, join_on, new_folder, stage
 from pitsignal.shipping import ship_by_value
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
@@ -83,22 +83,29 @@ def transaction(page: dict, date: str) -> Iterator[bytes]:
 def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, html, occurrence, revisit, kept_id, kept_url.
 
-    Roles come from digests alone; the html is shuffled once, by (digest, page_id), so a
-    payload that many pages share is spread.
+    Roles come from digests alone.  Pages whose digest a bit set over the repeated digests
+    rules out are responses where they stand; only the others' html is shuffled, by
+    (digest, page_id), so a payload that many pages share is spread.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("digest"),
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(html.cast("binary"))).alias("digest"),
                         F.octet_length(html).alias("bytes"))
-    slim = rows.drop("html").groupBy("digest", "page_id").agg(F.min(F.struct("url")).alias("u"), F.max("bytes").alias("bytes"))
-    kept = slim.groupBy("digest").agg(F.max(F.struct("page_id", "u")).alias("kept"))
-    roles = slim.join(kept, "digest").select(
-        "digest", "page_id", F.col("kept.page_id").alias("kept_id"), F.col("kept.u.url").alias("kept_url"),
-        (F.col("bytes") >= min_bytes).alias("shared"))
-    placed = join_on(rows, roles, ["digest", "page_id"])
+    shared = stage(rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", F.col("url").isNotNull().alias("named"), "url")).alias("kept")
+    ).where("n > 1").select("digest", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url")), "shared")
+    repeated = F.expr(bit_test(shared.select(F.xxhash64("digest"))).format(h="xxhash64(digest)")) & (F.col("bytes") >= min_bytes)
+    alone = rows.where(~repeated).select(
+        "page_id", "url", "html", F.lit(0).alias("occurrence"), F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("kept_id"),
+        F.lit(None).cast("string").alias("kept_url"))
+    some = rows.where(repeated)
+    roles = some.select("digest", "page_id").distinct().join(shared.withColumn("shared", F.lit(True)), "digest", "left").withColumn(
+        "shared", F.coalesce("shared", F.lit(False)))
+    placed = join_on(some, roles, ["digest", "page_id"])
     in_page = Window.partitionBy("digest", "page_id", "url").orderBy("bytes")
     numbered = placed.withColumn("occurrence", F.row_number().over(in_page) - 1)
     first = (F.col("occurrence") == 0) & F.col("page_id").eqNullSafe(F.col("kept_id")) & F.col("url").eqNullSafe(F.col("kept_url"))
-    return numbered.select("page_id", "url", "html", "occurrence", (F.col("shared") & ~first).alias("revisit"), "kept_id", "kept_url")
+    return alone.unionByName(numbered.select(
+        "page_id", "url", "html", "occurrence", (F.col("shared") & ~first).alias("revisit"), "kept_id", "kept_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -223,10 +230,9 @@ def assemble(records: DataFrame) -> DataFrame:
     main = records.where(F.col("kind").isin("response", "revisit"))
     other = records.where(F.col("kind").isin("request", "metadata"))
     whole: Column = F.struct(*(c for c in records.columns if c not in ("payload", "concurrent_to")))
-    ids = main.select(F.col("record_id").alias("main_id"))
     named = other.select(F.explode("concurrent_to").alias("main_id"), "kind", whole.alias("record"))
     backward = main.select(F.col("record_id").alias("main_id"), F.explode("concurrent_to").alias("other_id"))
-    links = named.join(ids, "main_id", "left_semi").unionByName(
+    links = named.unionByName(
         backward.join(other.select(F.col("record_id").alias("other_id"), "kind", whole.alias("record")), "other_id").drop("other_id"))
     least = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("record")), F.when(F.col("kind") == kind, F.col("record.record_id")))
     parts = links.groupBy("main_id").agg(least("request").alias("request"), least("metadata").alias("metadata"))
@@ -240,7 +246,8 @@ def captures(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     page_id, payload_bytes, payload_digest, record_type, refers_to (page_id of the response).
     """
     spark: SparkSession = pages.sparkSession
-    nested = assemble(read_records(write_archives(pages, new_folder(spark, "warc"), min_bytes=min_bytes)))
+    records = read_records(write_archives(pages, new_folder(spark, "warc"), min_bytes=min_bytes))
+    nested = assemble(records.select("kind", "record_id", "concurrent_to", "refers_to", "payload_digest", "fields"))
     flat = nested.select(
         "main_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
         F.col("metadata.fields")["payload-length"].cast("long").alias("payload_bytes"),
