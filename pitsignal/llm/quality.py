@@ -17,6 +17,7 @@ of label 1 (0.5 without any).
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pitsignal.llm.common import worker_store
 from pitsignal.shipping import ship_by_value
 
 SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
-VOCABULARY, MAX_TRAIN, MEMO = 20_000, 6_000, 120_000
+VOCABULARY, MAX_TRAIN, MEMO = 20_000, 6_000, 80_000
 MAX_WORD = 48  # characters of a word that spell its vector; a longer word is spelled by both its ends
 
 
@@ -241,10 +242,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _pool_function(words: list[str], learned: np.ndarray):
-    store = f"pooler:{hash((tuple(words), learned.tobytes()))}"
+    version = hashlib.sha256("\n".join(words).encode("utf-8", "surrogatepass") + learned.tobytes()).hexdigest()
 
     def pooler() -> Pooler:
-        return worker_store(store, lambda: Pooler(words, learned))
+        return worker_store("pooler", lambda: Pooler(words, learned), version)
 
     return pooler
 
