@@ -20,6 +20,7 @@ hash.  Columns other than the id and the text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from pitsignal.shipping import ship_by_value
 
 FRAME_BYTES = 1 << 20
 MEMO_WORDS = 300_000  # distinct pieces a worker remembers
+# Letters that are composed and lower-case one to one.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Fixed values of the public formats.
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A5A, 0x184D2A5E, 0x8F92EAB1
 _FOOTER, _SKIP = "<IBI", "<II"
@@ -50,30 +53,34 @@ class PieceMemo(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         described = self.tokenizer.to_str()
-        # Runs of letters are pieces of their own, and byte-level symbols of a-z are a-z.
+        # Runs of letters are pieces of their own, written in byte-level symbols: printable
+        # bytes stand for themselves, the others for the code points from 256 on, in order.
         self.runs = all(part in described for part in ('"Lowercase"', r"[\\p{L}]+", '"ByteLevel"'))
         self.model = self.tokenizer.model
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.symbols = {b: 256 + i for i, b in enumerate(hidden)}
         self.plain = {}
 
     def _encode(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _run(self, piece: str) -> bytes:
-        """Ids of one run of ASCII letters or punctuation."""
+        """Ids of one run of Latin letters or of one mark of punctuation."""
         piece = piece.lower()
         ids = self.plain.get(piece)
         if ids is None:
             if len(self.plain) >= MEMO_WORDS:
                 self.plain.clear()
-            ids = self.plain[piece] = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+            ids = self.plain[piece] = np.array([t.id for t in self.model.tokenize(
+                piece.encode().decode("latin-1").translate(self.symbols))], self.kind).tobytes()
         return ids
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > 64:
             return self._encode(piece)
-        if self.runs and piece.isascii() and piece.isalpha():
+        if self.runs and LETTERS.fullmatch(piece):
             ids = self._run(piece)
-        elif self.runs and piece[-1:] in (".", ",") and piece[:-1].isascii() and piece[:-1].isalpha():
+        elif self.runs and piece[-1:] in (".", ",") and LETTERS.fullmatch(piece, 0, len(piece) - 1):
             ids = self._run(piece[:-1]) + self._run(piece[-1])
         else:
             ids = self._encode(piece)
@@ -185,7 +192,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo = worker_store(f"memo:{tokenizer_file}", lambda: PieceMemo(tokenizer_file))
+        memo = worker_store("pieces", lambda: PieceMemo(tokenizer_file), tokenizer_file)
         width = int(memo.kind[2])
         end = b"" if end_id is None else np.array([end_id], memo.kind).tobytes()
         task = TaskContext.get()
