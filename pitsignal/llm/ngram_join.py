@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import bit_test, discard, join_on, number_rows, stage, worker_store
+from pitsignal.llm.common import bit_test, discard, join_on, number_rows, small_batches, stage, worker_store
 from pitsignal.shipping import ship_by_value
 
 GROWTH = 1.5  # upper end of a size band over its lower end
@@ -378,9 +378,11 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_
 
     component_id is the smallest doc_id reachable over links, the document itself included.
     """
-    sets = describe_sets(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
-    rows = stage(sets.select("doc_id", "t1", "t2", "n", "k"), "rows")
-    classes, roots = link_classes(docs, sets, width=width, percent=percent, id_col=id_col, text_col=text_col)
+    # Whole texts and profiles go to Python here, so batches are kept small.
+    with small_batches(docs.sparkSession):
+        sets = describe_sets(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
+        rows = stage(sets.select("doc_id", "t1", "t2", "n", "k"), "rows")
+        classes, roots = link_classes(docs, sets, width=width, percent=percent, id_col=id_col, text_col=text_col)
     linked_to = classes.join(roots, classes["cid"] == roots["node"], "left").select("k", F.coalesce("root", "cid").alias("cid"))
     smallest = classes.select("cid", F.col("doc_id").alias("component_id"))
     of_class = stage(linked_to.join(smallest, "cid").select("k", "component_id"), "components")
