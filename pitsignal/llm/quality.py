@@ -6,7 +6,8 @@ sparse ternary vectors), so every word has one.  The second is learned: the summ
 vectors of the words next to it in the training sample, for the sample's most frequent
 words.  A document is the mean and the spread of its words' vectors and the logarithm of
 their number; a two-layer numpy network scores it, and a temperature fitted on labelled
-rows kept out of training calibrates the score.
+rows kept out of training calibrates the score.  Text without blanks is cut into pieces of
+``MAX_WORD`` characters that count as words, so each of its characters reaches the score.
 
 Only the text enters a score.  The fit reads at most ``max_train`` labelled documents (those
 with the smallest hash of their id); scoring reads every whole text.  A null text is the
@@ -34,7 +35,7 @@ from pitsignal.shipping import ship_by_value
 
 SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
 VOCABULARY, MAX_TRAIN, MEMO = 20_000, 6_000, 80_000
-MAX_WORD = 48  # characters of a word that spell its vector; a longer word is spelled by both its ends
+MAX_WORD = 48  # characters; a longer word counts as several, see words_of
 
 
 def index_table(rows: int, size: int, seed: int) -> np.ndarray:
@@ -46,6 +47,18 @@ def index_table(rows: int, size: int, seed: int) -> np.ndarray:
     return table
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words between blanks; a word above ``MAX_WORD`` characters becomes the pieces it is cut into.
+
+    Neighbouring pieces share two characters, so every trigram of the word lies in exactly one piece.
+    """
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= MAX_WORD:
+        return words
+    return [p for w in words for p in (
+        [w] if len(w) <= MAX_WORD else [w[i:i + MAX_WORD] for i in range(0, len(w) - 2, MAX_WORD - 2)])]
+
+
 def _classes() -> np.ndarray:
     """Character classes of the code points below 0x250; all others are letters of their own class."""
     out = np.full(0x251, 5, np.int64)
@@ -65,8 +78,7 @@ class Speller:
     def vectors(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), SPELLED), np.float32)
         for at in range(0, len(words), 4_000):
-            part = [f"\x02{w}\x03" if len(w) <= MAX_WORD else f"\x02{w[:MAX_WORD // 2]}{w[-MAX_WORD // 2:]}\x03"
-                    for w in words[at:at + 4_000]]
+            part = [f"\x02{w}\x03" for w in words[at:at + 4_000]]
             points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
             ends = np.cumsum([len(p) for p in part])
             shape = self.classes[np.minimum(points, 0x250)]
@@ -126,7 +138,7 @@ class Pooler:
     def pool(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), 2 * (SPELLED + LEARNED) + 2), np.float32)
         for k, text in enumerate(texts):
-            counts = Counter((text or "").split())
+            counts = Counter(words_of(text))
             if not counts:
                 continue
             if len(self.rows) > MEMO:
@@ -196,7 +208,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums, counts = np.zeros((4_096, LEARNED)), np.zeros(4_096, np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            words = (text or "").split()
+            words = words_of(text)
             if not words:
                 continue
             for w in set(words):

@@ -95,3 +95,17 @@ def test_temperature_calibrates():
     z = draw.normal(size=4000) * 3
     y = (draw.random(4000) < quality.sigmoid(z)).astype(float)
     assert abs(quality.fit_temperature(4 * z, y) - 4) < 0.5
+
+
+def test_every_character_of_a_text_without_blanks_counts(spark):
+    word = "".join(chr(0x4E00 + i * i % 997) for i in range(5000))
+    pieces = quality.words_of(f"a {word} b")
+    assert pieces[0] == "a" and pieces[-1] == "b" and max(map(len, pieces)) <= quality.MAX_WORD
+    trigrams = [p[i:i + 3] for p in pieces[1:-1] for i in range(len(p) - 2)]
+    assert trigrams == [word[i:i + 3] for i in range(len(word) - 2)]
+    other = word[:2000] + "base64+/" * 120 + word[2960:]
+    docs = spark.createDataFrame([(i, f"plain words {i} here" if i % 2 else f"!! {i} || {i}") for i in range(60)] + [(100, word), (101, other)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).select("doc_id", "score").collect()}
+    assert len(word) == len(other) and scores[100] != scores[101]
