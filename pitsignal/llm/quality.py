@@ -3,14 +3,17 @@
 A word's vector has two halves.  The first sums the random index vectors of its contexts
 inside the word (character trigrams and trigrams of character classes, hashed to a table of
 sparse ternary vectors), so every word has one.  The second is learned: the summed index
-vectors of the words next to it in the training sample, for the sample's most frequent
-words.  A document is the mean and the spread of its words' vectors and the logarithm of
+vectors of the words next to it in all documents, for every word seen ``SEEN`` times.  A document is the mean and the spread of its words' vectors and the logarithm of
 their number; a two-layer numpy network scores it, and a temperature fitted on labelled
 rows kept out of training calibrates the score.  Text without blanks is cut into pieces of
 ``MAX_WORD`` characters that count as words, so each of its characters reaches the score.
 
-Only the text enters a score.  The fit reads at most ``max_train`` labelled documents (those
-with the smallest hash of their id); scoring reads every whole text.  A null text is the
+The learned halves are a table in the shared folder, files of fixed-width rows ordered by a
+64-bit hash of the word; a worker reads the blocks that hold the words of its documents and
+remembers a bounded number of words, so the vocabulary has no bound and is never collected.
+
+Only the text enters a score.  The network is fitted on at most ``max_train`` labelled documents
+(those with the smallest hash of their id); learning word vectors and scoring read every whole text.  A null text is the
 empty text; rows without a usable label are never trained on, and of several labels of one
 document the lowest counts.  With no usable label, or one class only, every score is the share
 of label 1 (0.5 without any).
@@ -30,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import worker_store
+from pitsignal.llm.common import discard, new_folder, stage, worker_store
 from pitsignal.shipping import ship_by_value
 
 SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
-VOCABULARY, MAX_TRAIN, MEMO = 20_000, 6_000, 80_000
+SEEN, MAX_TRAIN, MEMO = 5, 6_000, 80_000
+HELD, WINDOW, ROWS = 300_000, 50_000, 64  # words kept between flushes, words handled at once, rows of a block
+BITS = 1 << 25  # of the set that tells frequent words; with more words it lets more rare ones through
+ROW = np.dtype([("h", "<i8"), ("v", "<f2", (LEARNED,))])
 MAX_WORD = 48  # characters; a longer word counts as several, see words_of
 
 
@@ -99,8 +105,7 @@ class Model:
     """Everything a score needs."""
 
     share: float = 0.5
-    words: list[str] = field(default_factory=list)
-    learned: np.ndarray | None = None
+    vectors: list[tuple[str, int, bytes]] = field(default_factory=list)
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
     layers: tuple | None = None
@@ -113,12 +118,58 @@ class Model:
         return np.round(sigmoid(logits((x - self.centre) / self.scale, self.layers) / self.temperature), 9)
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes that stand for words."""
+    joined = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
+    return np.frombuffer(joined, "<i8")
+
+
+class Vectors:
+    """The learned halves of words, read from the files of ``learned_vectors``."""
+
+    def __init__(self, files: list[tuple[str, int, bytes]]) -> None:
+        self.files = sorted(((np.frombuffer(f, "<i8"), path, n) for path, n, f in files), key=lambda x: int(x[0][0]))
+        self.starts = np.array([f[0] for f, _, _ in self.files], np.int64)
+        self.open: dict[str, object] = {}
+
+    def _read(self, path: str, at: int, rows: int) -> np.ndarray:
+        if path not in self.open:
+            from pyarrow import fs
+
+            store, name = fs.FileSystem.from_uri(path)
+            self.open[path] = store.open_input_file(name)
+        return np.frombuffer(self.open[path].read_at(rows * ROW.itemsize, at * ROW.itemsize), ROW)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), LEARNED), np.float32)
+        if not self.files or not words:
+            return out
+        asked = hashes(words)
+        order = np.argsort(asked)
+        asked = asked[order]
+        ends = np.append(np.searchsorted(asked, self.starts[1:]), len(asked))
+        lo = int(np.searchsorted(asked, self.starts[0]))
+        for (firsts, path, n), hi in zip(self.files, ends.tolist()):
+            block = np.searchsorted(firsts, asked[lo:hi], side="right") - 1
+            runs = [0, *(np.flatnonzero(np.diff(block) > 1) + 1).tolist(), len(block)] if len(block) else []
+            for i, j in zip(runs, runs[1:]):
+                for k in range(i, j, 4_096):  # bounded memory for many adjacent blocks
+                    part = slice(k, min(k + 4_096, j))
+                    at, end = int(block[k]) * ROWS, min(n, (int(block[part.stop - 1]) + 1) * ROWS)
+                    rows = self._read(path, at, end - at)
+                    h = asked[lo:hi][part]
+                    place = np.minimum(np.searchsorted(rows["h"], h), len(rows) - 1)
+                    hit = rows["h"][place] == h
+                    out[order[lo:hi][part][hit]] = rows["v"][place[hit]]
+            lo = hi
+        return out
+
+
 class Pooler:
     """Documents to feature rows; remembers the vectors of ``MEMO`` words."""
 
-    def __init__(self, words: list[str], learned: np.ndarray | None) -> None:
-        self.speller, self.known = Speller(), {w: i for i, w in enumerate(words)}
-        self.learned = learned if learned is not None and len(words) else np.zeros((1, LEARNED), np.float32)
+    def __init__(self, files: list[tuple[str, int, bytes]]) -> None:
+        self.speller, self.vectors = Speller(), Vectors(files)
         self.clear()
 
     def clear(self) -> None:
@@ -130,22 +181,32 @@ class Pooler:
         while need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[at:need, :SPELLED] = self.speller.vectors(words)
-        at_known = [self.known.get(w, -1) for w in words]
-        got = np.array(at_known)
-        self.table[at:need, SPELLED:] = np.where(got[:, None] >= 0, self.learned[np.maximum(got, 0)], 0)
+        self.table[at:need, SPELLED:] = self.vectors.of(words)
         self.rows.update(zip(words, range(at, need)))
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), 2 * (SPELLED + LEARNED) + 2), np.float32)
+        waiting: dict[int, Counter] = {}
+        held = 0
         for k, text in enumerate(texts):
             counts = Counter(words_of(text))
-            if not counts:
-                continue
-            if len(self.rows) > MEMO:
-                self.clear()
-            fresh = [w for w in counts if w not in self.rows]
-            if fresh:
-                self._learn(fresh)
+            if counts:
+                waiting[k] = counts
+                held += len(counts)
+            if held > MEMO // 2:
+                self._pool(waiting, out)
+                waiting, held = {}, 0
+        self._pool(waiting, out)
+        return out
+
+    def _pool(self, documents: dict[int, Counter], out: np.ndarray) -> None:
+        """Rows of ``out`` for some documents, whose new words are looked up together."""
+        if len(self.rows) > MEMO:
+            self.clear()
+        fresh = list(dict.fromkeys(w for counts in documents.values() for w in counts if w not in self.rows))
+        if fresh:
+            self._learn(fresh)
+        for k, counts in documents.items():
             at = np.fromiter(map(self.rows.__getitem__, counts), np.int64, len(counts))
             weight = np.fromiter(counts.values(), np.float32, len(counts))
             n = float(weight.sum())
@@ -157,7 +218,6 @@ class Pooler:
             mean = total[0] / n
             spread = np.sqrt(np.maximum(total[1] / n - mean * mean, 0))
             out[k] = np.concatenate([mean, spread, [np.log1p(n), len(counts) / n]])
-        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -200,52 +260,158 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of neighbours' index vectors by word, of the texts of one task."""
-    table = index_table(SLOTS, LEARNED, 23)
-    places: dict[str, int] = {}
-    slots: list[int] = []
-    sums, counts = np.zeros((4_096, LEARNED)), np.zeros(4_096, np.int64)
+class Contexts:
+    """Sums of neighbours' index vectors by word; whole numbers, so their order does not matter.
+
+    Only words whose bits are set have sums; the others are neighbours.
+    """
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.table, self.bits = index_table(SLOTS, LEARNED, 23), bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.slots, self.owns, self.known = [], [], []
+        self.sums, self.counts = np.zeros((4_096, LEARNED), np.int64), np.zeros(4_096, np.int64)
+
+    def add(self, words: list[str], before: int, after: int) -> None:
+        """Count ``words`` but for the first ``before`` and the last ``after``, which are neighbours only."""
+        fresh = [w for w in set(words) if w not in self.places]
+        if fresh:
+            self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
+            self.slots += [zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in fresh]
+            h = hashes(fresh)
+            frequent = holds(self.bits, h)
+            at = np.cumsum(frequent) - 1 + len(self.known)
+            self.owns += np.where(frequent, at, -1).tolist()
+            self.known += h[frequent].tolist()
+        while len(self.known) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        near = self.table[np.fromiter(map(self.slots.__getitem__, at.tolist()), np.int64, len(at))]
+        around = np.zeros_like(near)
+        for d in (1, 2):
+            around[d:] += near[:-d]
+            around[:-d] += near[d:]
+        inner = slice(before, len(words) - after)
+        at = np.fromiter(map(self.owns.__getitem__, at[inner].tolist()), np.int64, len(words) - before - after)
+        at, around = at[at >= 0], around[inner][at >= 0]
+        if not len(at):
+            return
+        order = np.argsort(at, kind="stable")
+        own, first = np.unique(at[order], return_index=True)
+        self.sums[own] += np.add.reduceat(around[order], first, axis=0).astype(np.int64)
+        self.counts[own] += np.diff(first, append=len(at))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.known), 5_000):
+            part = slice(at, min(at + 5_000, len(self.known)))
+            n = part.stop - at
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * LEARNED, pa.int32()), pa.array(self.sums[part].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(self.known[part], pa.int64()), pa.array(self.counts[part]), sums], ["h", "n", "sums"])
+        self.clear()
+
+
+def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set."""
+    u = h.astype(np.uint64)
+    first, second = u & np.uint64(BITS - 1), (u >> np.uint64(32)) & np.uint64(BITS - 1)
+    return ((bits[first >> 6] >> (first & 63)) & (bits[second >> 6] >> (second & 63)) & 1).astype(bool)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts by word of the texts of one task; a word comes again after each ``HELD`` words."""
+    counts: Counter = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        words = list(counts)
+        for at in range(0, len(words), 10_000):
+            part = words[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(part)), pa.array([counts[w] for w in part], pa.int64())], ["h", "n"])
+        counts.clear()
+
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = words_of(text)
-            if not words:
-                continue
-            for w in set(words):
-                if w not in places:
-                    places[w] = len(places)
-                    slots.append(zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS)
-            while len(places) > len(sums):
-                sums, counts = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([counts, np.zeros_like(counts)])
-            at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-            near = table[np.fromiter((slots[i] for i in at.tolist()), np.int64, len(at))]
-            around = np.zeros_like(near)
-            for d in (1, 2):
-                around[d:] += near[:-d]
-                around[:-d] += near[d:]
-            order = np.argsort(at, kind="stable")
-            own, first = np.unique(at[order], return_index=True)
-            sums[own] += np.add.reduceat(around[order], first, axis=0)
-            counts[own] += np.diff(first, append=len(at))
-    items = list(places)
-    for at in range(0, len(items), 5_000):
-        part = slice(at, min(at + 5_000, len(items)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(items[part]), pa.array(counts[part], pa.int64()), pa.array(list(sums[part]), pa.list_(pa.float64()))],
-            ["word", "n", "sums"])
-
-
-def learned_vectors(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Unit context vectors of the ``VOCABULARY`` most frequent words (at least 5 times) of the sample's texts."""
-    parts = texts.mapInArrow(_context_sums, "word string, n long, sums array<double>")
+        for text in batch.column(0):
+            counts.update(words_of(text.as_py()))
+            if len(counts) > HELD:
+                yield from flush()
+    yield from flush()
+
+
+def frequent_words(texts: DataFrame) -> np.ndarray:
+    """The bit set of the words seen ``SEEN`` times; some rarer ones pass it."""
+    counts = texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    slots = counts.select(F.explode(F.expr(f"array(h & {BITS - 1}L, shiftrightunsigned(h, 32) & {BITS - 1}L)")).alias("slot"))
+    got = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()  # BITS / 64 rows at most
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def _context_sums(bits: np.ndarray):
+    """Partial sums by word of the texts of one task; a word comes again after each ``HELD`` words."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Contexts(bits)
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                for at in range(0, len(words), WINDOW):
+                    lo, hi = max(0, at - 2), min(len(words), at + WINDOW + 2)
+                    found.add(words[lo:hi], at - lo, hi - min(len(words), at + WINDOW))
+                    if len(found.places) > HELD:
+                        yield from found.flush()
+        yield from found.flush()
+
+    return sums
+
+
+def learned_vectors(texts: DataFrame) -> list[tuple[str, int, bytes]]:
+    """Unit context vectors of all words seen ``SEEN`` times in ``texts``, written to files.
+
+    Returns for each file its path, its rows and the first hash of every block of ``ROWS`` rows.
+    A file is written under its attempt's name and moved when complete.
+    """
+    parts = texts.mapInArrow(_context_sums(frequent_words(texts)), "h long, n long, sums array<long>")
     sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(LEARNED)]
-    top = parts.groupBy("word").agg(F.sum("n").alias("n"), *sums).where("n >= 5").orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    got = top.toPandas()
-    if got.empty:
-        return [], np.zeros((1, LEARNED), np.float32)
-    rows = got[[f"s{i}" for i in range(LEARNED)]].to_numpy(np.float64)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return got["word"].tolist(), (rows / np.where(norms > 0, norms, 1)).astype(np.float32)
+    known = stage(parts.groupBy("h").agg(F.sum("n").alias("n"), *sums).where(F.col("n") >= SEEN).drop("n"), "words")
+    folder = new_folder(texts.sparkSession, "vectors")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task, sink, rows, firsts = TaskContext.get(), None, 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if sink is None:
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(root, recursive=True)
+                name = f"vectors-{task.partitionId():06d}"
+                part = f"{root}/.{name}-{task.taskAttemptId()}"
+                sink = store.open_output_stream(part, compression=None)
+            out = np.zeros(batch.num_rows, ROW)
+            out["h"] = batch.column(0).to_numpy()
+            v = np.stack([batch.column(1 + i).to_numpy() for i in range(LEARNED)], axis=1).astype(np.float64)
+            norms = np.linalg.norm(v, axis=1, keepdims=True)
+            out["v"] = v / np.where(norms > 0, norms, 1)
+            sink.write(out.tobytes())
+            firsts.append(out["h"][-rows % ROWS::ROWS].tobytes())
+            rows += len(out)
+        if sink is not None:
+            sink.close()
+            store.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [rows], "firsts": [b"".join(firsts)]},
+                                             schema=pa.schema([("file", pa.string()), ("n", pa.int64()), ("firsts", pa.binary())]))
+
+    ordered = known.repartitionByRange("h").sortWithinPartitions("h")
+    got = ordered.mapInArrow(write, "file string, n long, firsts binary").collect()  # 8 bytes for 64 words
+    discard(known)
+    return [(r.file, r.n, bytes(r.firsts)) for r in got]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -253,22 +419,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _pool_function(words: list[str], learned: np.ndarray):
-    version = hashlib.sha256("\n".join(words).encode("utf-8", "surrogatepass") + learned.tobytes()).hexdigest()
+def _pool_function(files: list[tuple[str, int, bytes]]):
+    version = files[0][0] if files else ""
 
     def pooler() -> Pooler:
-        return worker_store("pooler", lambda: Pooler(words, learned), version)
+        return worker_store("pooler", lambda: Pooler(files), version)
 
     return pooler
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` labelled documents that are not held out."""
+    """Word vectors of all documents; the network is fitted on at most ``max_train`` labelled ones that are not held out."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.select("doc_id", "text").join(chosen, "doc_id")
-    words, learned = learned_vectors(sample.select("text"))
-    get = _pool_function(words, learned)
+    files = learned_vectors(docs.select("text"))
+    get = _pool_function(files)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,14 +447,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train
         pooled, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
-        return Model(share=float(y.mean()) if len(y) else 0.5, words=words, learned=learned)
+        return Model(share=float(y.mean()) if len(y) else 0.5, vectors=files)
     x = np.array(got["x"].tolist())
     apart = np.array([zlib.crc32(f"calibrate {i}".encode()) % 6 == 0 for i in got["doc_id"]])
     if len(set(y[~apart])) < 2 or not apart.any():
         apart[:] = False
     centre, scale = x[~apart].mean(0), x[~apart].std(0) + 1e-3
     layers = fit_network((x[~apart] - centre) / scale, y[~apart])
-    model = Model(float(y.mean()), words, learned, centre, scale, layers)
+    model = Model(float(y.mean()), files, centre, scale, layers)
     if apart.any():
         model.temperature = fit_temperature(logits((x[apart] - centre) / scale, layers), y[apart])
     return model
@@ -296,8 +462,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 of every whole text in ``column``."""
-    get = _pool_function(model.words, model.learned if model.learned is not None else np.zeros((1, LEARNED), np.float32))
-    slim = Model(model.share, [], None, model.centre, model.scale, model.layers, model.temperature)
+    get = _pool_function(model.vectors)
+    slim = Model(model.share, [], model.centre, model.scale, model.layers, model.temperature)
 
     @F.pandas_udf("double")
     def of_text(texts: pd.Series) -> pd.Series:

@@ -109,3 +109,25 @@ def test_every_character_of_a_text_without_blanks_counts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).select("doc_id", "score").collect()}
     assert len(word) == len(other) and scores[100] != scores[101]
+
+
+def test_word_vectors_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HELD", 50)
+    monkeypatch.setattr(quality, "WINDOW", 7)
+    texts = [f"left{i % 300} mid{i % 300} right{i % 7} end" for i in range(1800)] + [None, "", "rare rare", "one two three " * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
+    files = quality.fit(docs, labels).vectors
+    table, slot = quality.index_table(quality.SLOTS, quality.LEARNED, 23), lambda w: zlib.crc32(w.encode()) % quality.SLOTS
+    want, seen = {}, {}
+    for words in ((t or "").split() for t in texts):
+        for i, w in enumerate(words):
+            seen[w] = seen.get(w, 0) + 1
+            near = words[max(0, i - 2):i] + words[i + 1:i + 3]
+            want[w] = want.get(w, 0) + sum((table[slot(x)] for x in near), np.zeros(quality.LEARNED))
+    names = [*want, "unseen", "left300"]
+    got = quality.Vectors(files).of(names)
+    assert sum(n for _, n, _ in files) == sum(n >= 5 for n in seen.values()) > 600
+    for w, v in zip(names, got):
+        unit = want[w] / (np.linalg.norm(want[w]) or 1) if seen.get(w, 0) >= 5 else np.zeros(quality.LEARNED)
+        assert np.allclose(v, unit, atol=1e-3), w
