@@ -1,9 +1,11 @@
-"""Approximate nearest neighbours by an inverted multi-index.
+"""Nearest neighbours by an inverted multi-index.
 
 Each vector is cut into halves and each half is quantised by a codebook of its own, so a pair
 of centroids is a cell.  A query orders the centroids of either half by inner product and
-walks the pairs by their summed score with a heap (the multi-sequence walk) until the cells
-it has seen hold ``visit`` entries; those are reranked exactly, in double precision.
+walks the pairs by their summed score with a heap (the multi-sequence walk).  The radii of a
+cell bound the scores of its entries from both sides, so a query knows a score that ``k``
+entries reach; it visits the cells whose upper bound is not below that and stops where no
+further cell can be.  Their entries are reranked exactly, in double precision.
 
 The cells of one left centroid form a list, cut into blocks of about ``BLOCK`` / 2 entries by
 a hash of the vector id, so a vector that a third of the rows share makes many blocks of
@@ -75,8 +77,8 @@ def halves(x: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :cut], x[:, cut:] if x.shape[1] > cut else np.zeros((len(x), 1))
 
 
-def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, visit: int) -> list[int]:
-    """Cells in descending order of summed scores until they hold ``visit`` entries.
+def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, visit: int, least: float = -np.inf) -> list[int]:
+    """Cells in descending order of summed scores until they hold ``visit`` entries or score below ``least``.
 
     The heap holds a pair (i, j) of ranks only after its neighbours of smaller rank, so
     every pair enters once.
@@ -84,7 +86,9 @@ def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, visit: int) ->
     a, b = np.argsort(-left, kind="stable"), np.argsort(-right, kind="stable")
     heap, seen, cells, held = [(-(left[a[0]] + right[b[0]]), 0, 0)], {(0, 0)}, [], 0
     while heap and held < visit:
-        _, i, j = heapq.heappop(heap)
+        score, i, j = heapq.heappop(heap)
+        if -score < least:
+            break
         cell = int(a[i]) * len(right) + int(b[j])
         if sizes[cell]:
             cells.append(cell)
@@ -96,17 +100,34 @@ def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, visit: int) ->
     return cells
 
 
+def reachable(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, slack: np.ndarray, need: int) -> np.ndarray:
+    """Mask of the cells that may hold one of the ``need`` best entries of a query.
+
+    An entry's score differs from its cell's summed score by at most the cell's ``slack``.
+    """
+    scores = np.add.outer(left, right).ravel()
+    full = np.flatnonzero(sizes)
+    low = (scores - slack)[full]
+    order = np.argsort(-low)
+    at = int(np.searchsorted(np.cumsum(sizes[full][order]), need))
+    sure = low[order[at]] if at < len(full) else -np.inf
+    seen = np.array(walk(left, right, sizes, int(sizes.sum()), sure - slack[full].max()), np.int64)
+    out = np.zeros(len(sizes), bool)
+    out[seen[(scores + slack)[seen] >= sure]] = True
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def search(vectors: DataFrame, *, every: int = 20, k: int = 20, visit: float = 0.6, least_visit: int = 2_000,
+def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best entries found for the rows whose id ``every`` divides.
+    """query_id, rank, vec_id, score: the ``k`` best entries for the rows whose id ``every`` divides.
 
-    A query visits cells until they hold the share ``visit`` of all entries, and at least
-    ``least_visit``.  The default share suits vectors without structure, where no index is
-    selective; clustered vectors reach the same recall with far less.
+    The cells a query visits follow from the data alone, and no entry outside them can be
+    among its best.  On vectors without structure no index is selective and they are
+    nearly all; on clustered vectors they are few.
     """
     entries = usable(vectors, id_col=id_col, vector_col=vector_col)
     books = fit_codebooks(entries, min(CENTROIDS, max(8, round(2 * entries.count() ** 0.25))))
@@ -116,16 +137,20 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, visit: float = 0
         for batch in batches:
             if batch.num_rows:
                 a, b = halves(_matrix(batch.column(1)), cut)
-                cell = nearest(a, books[0]) * len(books[1]) + nearest(b, books[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["vec_id", "v", "cell"])
+                i, j = nearest(a, books[0]), nearest(b, books[1])
+                away = [pa.array(np.linalg.norm(x - c, axis=1)) for x, c in ((a, books[0][i]), (b, books[1][j]))]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(i * len(books[1]) + j, pa.int32()), *away], ["vec_id", "v", "cell", "left", "right"])
 
-    placed = stage(entries.mapInArrow(to_cells, "vec_id long, v array<double>, cell int"), "cells")
+    placed = stage(entries.mapInArrow(to_cells, "vec_id long, v array<double>, cell int, left double, right double"), "cells")
     wide = len(books[1])
-    sizes = np.zeros(cells, np.int64)
-    for r in placed.groupBy("cell").count().collect():  # CENTROIDS squared rows at most
-        sizes[r["cell"]] = r["count"]
+    sizes, radii = np.zeros(cells, np.int64), np.zeros((2, cells))
+    held = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
+    for r in held.collect():  # CENTROIDS squared rows at most
+        sizes[r["cell"]], radii[:, r["cell"]] = r["n"], (r["left"], r["right"])
     total = int(sizes.sum())
-    enough = max(least_visit, int(np.ceil(visit * total)))
+    # A query skips the entries with its own id.
+    own = entries.where(F.col("vec_id") % every == 0).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
     # A list is all cells of one left centroid, hashed into blocks of about half the bound.
     blocks = np.maximum(1, -(-sizes.reshape(-1, wide).sum(axis=1) // (BLOCK // 2)))
     batches_of = max(1, -(-total // (every * BATCH)))
@@ -135,12 +160,13 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, visit: float = 0
             if batch.num_rows:
                 a, b = halves(_matrix(batch.column(1)), cut)
                 left, right = a @ books[0].T, b @ books[1].T
+                norms = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
                 for at in range(0, batch.num_rows, 256):
                     rows, of, masks = [], [], []
                     for q in range(at, min(at + 256, batch.num_rows)):
-                        visits = np.zeros(cells, bool)
-                        visits[walk(left[q], right[q], sizes, enough)] = True
-                        visits = visits.reshape(-1, wide)
+                        slack = norms[0][q] * radii[0] + norms[1][q] * radii[1]
+                        slack += 1e-9 * (slack + np.abs(np.add.outer(left[q], right[q])).ravel() + norms[0][q] ** 2 + norms[1][q] ** 2)
+                        visits = reachable(left[q], right[q], sizes, slack, k + own).reshape(-1, wide)
                         for i in np.flatnonzero(visits.any(axis=1)).tolist():
                             bits = np.packbits(visits[i]).tobytes()
                             for s in range(int(blocks[i])):

@@ -131,3 +131,28 @@ def test_word_vectors_come_from_all_documents(spark, monkeypatch):
     for w, v in zip(names, got):
         unit = want[w] / (np.linalg.norm(want[w]) or 1) if seen.get(w, 0) >= 5 else np.zeros(quality.LEARNED)
         assert np.allclose(v, unit, atol=1e-3), w
+
+
+def test_recall_above_the_old_floor(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(5000, 32))
+    x *= np.exp(0.5 * draw.normal(size=(5000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, v.tolist()) for v in x[:30]]
+    want = brute(rows, 100, 20)
+    found = {}
+    for r in multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == set(want)
+    del want[100]  # repeats its id
+    assert sum(len({i for i, _ in want[q]} & found[q]) for q in want) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_clustered_vectors_leave_most_cells_unvisited():
+    draw = np.random.default_rng(6)
+    left, right = draw.normal(size=(2, 12)) * 10
+    sizes, slack = draw.integers(0, 9, 144), np.full(144, 0.5)
+    entries = np.repeat(np.arange(144), sizes)
+    scores = np.add.outer(left, right).ravel()[entries] + draw.uniform(-0.5, 0.5, len(entries))
+    cells = multi_index.reachable(left, right, sizes, slack, 20)
+    assert cells[entries[np.argsort(-scores)[:20]]].all() and cells.sum() < 30
+    assert multi_index.reachable(left, right, sizes, slack, 10_000).sum() == np.count_nonzero(sizes)
