@@ -45,3 +45,62 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLE["op2_winnowing"] = OP2
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[a-z\x{80}-\x{10FFFF}]+') AS words FROM documents),
+occ AS (SELECT doc, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM occ GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+grp AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+        LEFT JOIN cnt c USING (lang, source) GROUP BY g.lang, g.source),
+share AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS count,
+                 CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + l.v) AS BIGINT) AS p,
+                 CAST(1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v) AS BIGINT) AS q
+          FROM grp g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN cnt c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+         FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM share WHERE count > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+           FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE["op11_source_divergence"] = OP11
+
+# The check sum of the damage rule is built bit by bit from its polynomial.
+OP12 = r"""
+WITH RECURSIVE table_steps(i, x, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM table_steps WHERE k < 8),
+crc AS (SELECT list(x ORDER BY i) AS t FROM table_steps WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+             string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128
+             THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+             lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS h FROM counted, crc),
+damaged AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near FROM pairs GROUP BY word),
+first AS (SELECT word, near, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS r FROM pairs),
+formed AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN f.n >= 5 * w.n THEN f.near END AS form,
+           CASE WHEN f.n >= 5 * w.n THEN f.n END AS form_n
+           FROM words w LEFT JOIN best b USING (word) LEFT JOIN first f ON f.word = w.word AND f.r = 1),
+chain(word, stop) AS (SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.stop = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.stop AS root FROM chain c JOIN formed f ON c.stop = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+ORACLE["op12_spelling_variants"] = OP12

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import cube_mixing, decontaminate, kd_shards, line_dedup, multi_index, ngram_join, pii, quality, seekable_tokens, warc
+from pitsignal.llm import (
+    cube_mixing, decontaminate, divergence, kd_shards, line_dedup, multi_index, ngram_join, pii, pitman_yor, quality,
+    seekable_tokens, spelling, warc)
 from pitsignal.llm.common import table
 
 
@@ -64,6 +66,21 @@ def op10_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), min_docs=3, scale=1_000_000_000, top=200)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_chars=6, min_count=5, ratio=5, damage=199)
+
+
+def op13_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_held_out(table(spark, sf_dir, "documents"), burn=2, samples=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op6_multi_index_ann, op7_crf_pii, op8_ngram_join, op9_kd_sharding, op10_quality_network)
+    f.__name__: f for f in (
+        op1_seekable_tokens, op2_winnowing, op3_warc_transactions, op4_line_dedup, op5_cube_mixing, op6_multi_index_ann,
+        op7_crf_pii, op8_ngram_join, op9_kd_sharding, op10_quality_network, op11_source_divergence, op12_spelling_variants,
+        op13_pitman_yor)
 }
