@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import sys
 import tempfile
 import types
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +147,15 @@ def worker_store(name: str, build: Callable[[], object], version: object = None)
     return kept[2]
 
 
+def pack(*parts: object) -> bytes:
+    """Arrays and lists as one compressed value of a binary column, for the shuffles of numpy code."""
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+
+
+def unpack(data: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

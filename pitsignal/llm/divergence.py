@@ -10,7 +10,7 @@ chunk is closed before the next one of its run is needed, so a task holds one ch
 A pair of sources is compared over all kept terms without visiting the terms that neither
 has: the sum of a source's terms against the other's smoothed zero, both ways, and for terms
 that both have a correction, which is streamed over the merged frequencies and summed in
-tiles of at most ``TILE`` sources.
+tiles of about ``TILE`` meetings of two sources.
 
 Null text, language and source are the empty string.  Rows that repeat count as often as they
 occur; every row is a document.  An empty table gives an empty result.  Other columns are ignored.
@@ -22,19 +22,20 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import stage
+from pitsignal.llm.common import pack, stage, unpack
 from pitsignal.shipping import ship_by_value
 
-BLOCK, CHUNK, TILE = 600_000, 512, 512
+BLOCK, CHUNK, TILE = 600_000, 512, 1_000_000
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
-_RUN = ("shard int, lang string, first string, terms array<string>, docs array<long>, postings array<int>, "
-        "sources array<string>, counts array<long>")
+_RUN = "shard int, lang string, first binary, data binary"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -43,35 +44,40 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def _spill(block: dict[str, tuple[Counter, dict[str, Counter]]], shards: int) -> Iterator[pa.RecordBatch]:
-    """The run of a block: rows of at most ``CHUNK`` terms, sorted by language and term."""
+    """The run of a block: rows of at most ``CHUNK`` terms, sorted by language and term.
+
+    A row packs the terms, their documents, the length of their postings, and the postings as
+    source numbers and counts.
+    """
     for lang, (docs, by_source) in sorted(block.items()):
-        home = zlib.crc32(lang.encode())
-        postings: dict[bytes, list] = {term: [] for term in docs}
-        for source, counts in by_source.items():
-            for term, n in counts.items():
-                postings[term].append((source, n))
+        home, names = zlib.crc32(lang.encode()), list(by_source)
         parts: list[list[bytes]] = [[] for _ in range(shards)]
-        for term in sorted(docs):
+        for term in docs:
             parts[zlib.crc32(term, home) % shards].append(term)
-        rows: list[tuple] = []
-        for shard, terms in enumerate(parts):
-            for at in range(0, len(terms), CHUNK):
-                some = terms[at:at + CHUNK]
-                flat = [x for t in some for x in postings[t]]
-                rows.append((shard, lang, some[0].decode(), [t.decode() for t in some], [docs[t] for t in some],
-                             [len(postings[t]) for t in some], [s for s, _ in flat], [n for _, n in flat]))
-                if len(rows) == 64:
-                    yield _batch(rows)
-                    rows = []
-        if rows:
-            yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    text, long, int32 = pa.string(), pa.int64(), pa.int32()
-    kinds = (int32, text, text, pa.list_(text), pa.list_(long), pa.list_(int32), pa.list_(text), pa.list_(long))
-    names = [c.split()[0] for c in _RUN.split(", ")]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        placed = [term for part in parts for term in sorted(part)]
+        find = dict(zip(placed, range(len(placed)))).__getitem__
+        place = np.concatenate([np.fromiter(map(find, c), np.int64, len(c)) for c in by_source.values()])
+        counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()])
+        codes = np.repeat(np.arange(len(names)), [len(c) for c in by_source.values()])
+        order = np.argsort(place, kind="stable")
+        counts, codes = counts[order], codes[order]
+        lengths = np.bincount(place, minlength=len(placed))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        stops = np.cumsum([len(part) for part in parts]).tolist()
+        spans = [(shard, at, min(at + CHUNK, stop)) for shard, (part, stop) in enumerate(zip(parts, stops))
+                 for at in range(stop - len(part), stop, CHUNK)]
+        rows = []
+        for shard, a, b in spans:
+            of = slice(ends[a], ends[b])
+            some, code = np.unique(codes[of], return_inverse=True)
+            terms = placed[a:b]
+            rows.append((shard, lang, terms[0], pack(
+                b"\n".join(terms), np.fromiter(map(docs.__getitem__, terms), np.int64, b - a), lengths[a:b],
+                [names[i] for i in some], code.astype(np.int32), counts[of])))
+            if len(rows) == 64 or b == len(placed):
+                kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "lang", "first", "data"])
+                rows = []
 
 
 def _runs(shards: int):
@@ -81,12 +87,12 @@ def _runs(shards: int):
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, text in zip(langs, sources, batch.column("text").cast(pa.binary())):
-                counts = Counter(terms_of(text.as_py()))
+                words = terms_of(text.as_py())
                 docs, by_source = block.setdefault(lang, (Counter(), {}))
                 mine = by_source.setdefault(source, Counter())
                 held -= len(docs) + len(mine)
-                docs.update(counts.keys())
-                mine.update(counts)
+                docs.update(set(words))
+                mine.update(words)
                 held += len(docs) + len(mine)
                 if held >= BLOCK:
                     yield from _spill(block, shards)
@@ -95,74 +101,66 @@ def _runs(shards: int):
     return build
 
 
-def _chunk(row: dict) -> Iterator[tuple[tuple, int, list]]:
-    """The entries of a row: sort key, documents, postings."""
-    at = 0
-    for term, docs, n in zip(row["terms"], row["docs"], row["postings"]):
-        yield (row["shard"], row["lang"].encode(), term.encode()), docs, list(zip(row["sources"][at:at + n], row["counts"][at:at + n]))
-        at += n
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            yield from batch.slice(at, 64).to_pylist()
-
-
-def _merged(rows: Iterator[dict]) -> Iterator[tuple[tuple, int, list]]:
-    """All entries of rows that are sorted by their first entry, in the order of their keys."""
-    heap: list = []
-
-    def advance() -> tuple:
-        entry, _, rest = heap[0]
-        following = next(rest, None)
-        if following is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (following, heap[0][1], rest))
-        return entry
-
-    for number, row in enumerate(rows):
-        rest = _chunk(row)
-        entry = next(rest)
-        while heap and heap[0][0][0] < entry[0]:
-            yield advance()
-        heapq.heappush(heap, (entry, number, rest))
-    while heap:
-        yield advance()
+class _Chunk:
+    """A row of a run and the entry it has come to."""
+
+    __slots__ = ("terms", "docs", "ends", "names", "codes", "counts", "at")
+
+    def __init__(self, data: bytes):
+        terms, docs, lengths, self.names, codes, counts = unpack(data)
+        self.terms, self.docs, self.ends = terms.split(b"\n"), docs.tolist(), [0, *np.cumsum(lengths).tolist()]
+        self.codes, self.counts, self.at = codes.tolist(), counts.tolist(), 0
+
+
+def _merged(rows: Iterator[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, int, dict[str, int]]]:
+    """Terms in order with their documents and counts by source, from the rows (first term, chunk) in order of first terms."""
+    heap: list[tuple[bytes, int, _Chunk]] = []
+    row, number = next(rows, None), 0
+    while heap or row:
+        term = heap[0][0] if heap and (not row or heap[0][0] <= row[0]) else row[0]
+        while row and row[0] == term:
+            chunk = _Chunk(row[1])
+            heapq.heappush(heap, (term, number, chunk))
+            row, number = next(rows, None), number + 1
+        docs, sources = 0, {}
+        while heap and heap[0][0] == term:
+            _, n, chunk = heap[0]
+            at = chunk.at
+            docs += chunk.docs[at]
+            for k in range(chunk.ends[at], chunk.ends[at + 1]):
+                name = chunk.names[chunk.codes[k]]
+                sources[name] = sources.get(name, 0) + chunk.counts[k]
+            at = chunk.at = at + 1
+            if at < len(chunk.terms):
+                heapq.heapreplace(heap, (chunk.terms[at], n, chunk))
+            else:
+                heapq.heappop(heap)
+        yield term, docs, sources
 
 
 def _frequencies(min_docs: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, docs, sources = None, 0, Counter()
-
-        def close() -> None:
-            if key is not None and docs >= min_docs:
-                out.append((key[1].decode(), key[2].decode(), list(sources), list(sources.values())))
-
-        def flush() -> pa.RecordBatch:
-            langs, terms, names, counts = zip(*out)
-            return pa.record_batch([pa.array(langs, pa.string()), pa.array(terms, pa.string()),
-                                    pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                                   ["lang", "term", "sources", "counts"])
-
-        for entry_key, entry_docs, postings in _merged(_rows(batches)):
-            if entry_key != key:
-                close()
-                key, docs, sources = entry_key, 0, Counter()
-                if len(out) >= 4_000:
-                    yield flush()
-                    out = []
-            docs += entry_docs
-            for source, n in postings:
-                sources[source] += n
-        close()
-        if out:
-            yield flush()
+        rows = (tuple(c[at].as_py() for c in batch.columns) for batch in batches for at in range(batch.num_rows))
+        for (_, lang), group in groupby(rows, lambda r: r[:2]):
+            out: list[tuple[bytes, dict[str, int]]] = []
+            for term, docs, sources in _merged(r[2:] for r in group):
+                if docs >= min_docs:
+                    out.append((term, sources))
+                    if len(out) >= 4_000:
+                        yield _kept(lang, out)
+                        out = []
+            if out:
+                yield _kept(lang, out)
     return merge
 
 
+def _kept(lang: str, out: list[tuple[bytes, dict[str, int]]]) -> pa.RecordBatch:
+    return pa.record_batch([
+        pa.array([lang] * len(out), pa.string()), pa.array([t for t, _ in out], pa.binary()).cast(pa.string()),
+        pa.array([list(s) for _, s in out], pa.list_(pa.string())), pa.array([list(s.values()) for _, s in out], pa.list_(pa.int64()))],
+        ["lang", "term", "sources", "counts"])
+
+
 def term_frequencies(docs: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, sources, counts of the terms in at least ``min_docs`` documents of their language."""
     spark = docs.sparkSession
@@ -187,50 +185,60 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one after another."""
+    first = np.cumsum(lengths) - lengths
+    return np.repeat(starts - first, lengths) + np.arange(int(lengths.sum()))
+
+
 def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What terms of two sources add to the sums that take the other source's count as zero."""
-    codes: dict[tuple[str, str], int] = {}
-    sums = np.zeros((2 * TILE, 2 * TILE), np.int64)
-
-    def flush() -> pa.RecordBatch:
-        names = list(codes)
-        a, b = np.nonzero(sums[:len(names), :len(names)])
-        out = pa.record_batch([pa.array([names[i][0] for i in a], pa.string()), pa.array([names[i][1] for i in a], pa.string()),
-                               pa.array([names[i][1] for i in b], pa.string()), pa.array(sums[a, b])],
-                              ["lang", "source", "item", "value"])
-        sums[:] = 0
-        codes.clear()
-        return out
-
-    def one_term(lang: str, held: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
-        tiles = [held[at:at + TILE] for at in range(0, len(held), TILE)]
-        for left in tiles:
-            for right in tiles:
-                both = left if left is right else left + right
-                new = [s for s, _, _ in both if (lang, s) not in codes]
-                if len(codes) + len(new) > 2 * TILE:
-                    yield flush()
-                    new = [s for s, _, _ in both]
-                for s in new:
-                    codes[lang, s] = len(codes)
-                p, b = (np.array([x[k] for x in left], np.int64)[:, None] for k in (1, 2))
-                q, z = (np.array([x[k] for x in right], np.int64)[None, :] for k in (1, 2))
-                where = np.ix_([codes[lang, s] for s, _, _ in left], [codes[lang, s] for s, _, _ in right])
-                sums[where] += _gaps(p, q) - _gaps(p, z) - _gaps(b, q) + _gaps(b, z)
-
-    key, held = None, []
+    """What terms of two sources add to the sums that take the other source's count as zero.
+
+    Rows come in order of (lang, term).  A term's sources meet each other, at most about
+    ``TILE`` meetings at a time; the sums of a tile are all that is kept of them.
+    """
+    def tiles(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lang, term = rows.column("lang"), rows.column("term")
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        size = np.diff(np.append(starts, rows.num_rows))[of]
+        langs, sources = lang.dictionary_encode(), rows.column("source").dictionary_encode()
+        n = len(sources.dictionary)
+        codes = np.asarray(langs.indices).astype(np.int64) * n + np.asarray(sources.indices)
+        p, zero = np.asarray(rows.column("p")), np.asarray(rows.column("zero"))
+        ends = np.cumsum(size)
+        at = 0
+        while at < rows.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TILE, "right")))
+            left = np.repeat(np.arange(at, stop), size[at:stop])
+            right = _ragged(starts[of[at:stop]], size[at:stop])
+            some = left != right
+            left, right = left[some], right[some]
+            pair = codes[left] * n + codes[right] % n
+            value = _gaps(p[left], p[right]) - _gaps(p[left], zero[right]) - _gaps(zero[left], p[right]) + _gaps(zero[left], zero[right])
+            order = np.argsort(pair)
+            first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+            if len(first):
+                group, item = np.divmod(pair[order][first], n)
+                where, source = np.divmod(group, n)
+                yield pa.record_batch([langs.dictionary.take(pa.array(where)), sources.dictionary.take(pa.array(source)),
+                                       sources.dictionary.take(pa.array(item)), pa.array(np.add.reduceat(value[order], first))],
+                                      ["lang", "source", "item", "value"])
+            at = stop
+
+    rest = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("lang", "term", "source", "p", "zero")]
-        for lang, term, source, p, zero in zip(*columns):
-            if (lang, term) != key:
-                if len(held) > 1:
-                    yield from one_term(key[0], held)
-                key, held = (lang, term), []
-            held.append((source, p, zero))
-    if len(held) > 1:
-        yield from one_term(key[0], held)
-    if codes:
-        yield flush()
+        rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        last = pc.and_(pc.equal(rows.column("lang"), rows.column("lang")[-1]),
+                       pc.equal(rows.column("term"), rows.column("term")[-1])).to_numpy(zero_copy_only=False) if rows.num_rows else []
+        whole = int(np.argmax(last)) if len(last) else 0
+        if whole:
+            yield from tiles(rows.slice(0, whole))
+        rest = rows.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield from tiles(rest)
 
 
 def divergence(docs: DataFrame, min_docs: int = 3, scale: int = 1_000_000_000, top: int = 200) -> DataFrame:
