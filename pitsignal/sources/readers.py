@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsignal.operators.contracts import EVIDENCE_MODEL_RULES, EVIDENCE_SCHEMA_RULES, errors_of, unknown_json_fields
 from pitsignal.sources import schemas as S
+from pitsignal.sources.commits import CommitLog
 
 
 def read_notes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -17,9 +17,16 @@ def read_notes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     rows of nulls.
     """
     if fmt == "json":
-        notes = check_raw_notes(spark.read.text(path)).where("size(errors) = 0").select(*S.EVIDENCE.names)
-    else:
-        notes = spark.read.schema(S.EVIDENCE).format(fmt).load(path)
+        return sound_notes(check_raw_notes(spark.read.text(path)))
+    return _filled(spark.read.schema(S.EVIDENCE).format(fmt).load(path))
+
+
+def sound_notes(checked: DataFrame) -> DataFrame:
+    """The evidence of checked lines that have no errors."""
+    return _filled(checked.where("size(errors) = 0").select(*S.EVIDENCE.names))
+
+
+def _filled(notes: DataFrame) -> DataFrame:
     return notes.withColumns({
         "raw_text": F.coalesce("raw_text", F.lit("")),
         "entity_mentions_raw": F.coalesce("entity_mentions_raw", F.array().cast("array<string>")),
@@ -60,19 +67,51 @@ def read_demand(spark: SparkSession, path: str) -> DataFrame:
         F.col("week_index").cast("int").alias("week_index"), F.col("demand").cast("double").alias("demand"))
 
 
+def committed_ledger(log: CommitLog, entries: list[dict]) -> DataFrame:
+    """The rows of some commits of a ledger."""
+    folders = [log.full(e["folder"]) for e in entries if e["rows"]]
+    if not folders:
+        return log.spark.createDataFrame([], S.SIGNAL)
+    return log.reader().schema(S.SIGNAL).parquet(*folders).select(*S.SIGNAL.names)
+
+
 def read_ledger(spark: SparkSession, path: str, extraction_run_id: str | None = None) -> DataFrame:
-    """Ledger rows, empty when nothing was written yet.  One run reads one partition."""
-    try:
+    """Committed ledger rows, empty when nothing was written yet.  One run reads one partition.
+
+    A folder of Parquet files without a commit log is read as it is.
+    """
+    log = CommitLog(spark, path)
+    if log.is_plain():
         ledger = spark.read.schema(S.SIGNAL).parquet(path).select(*S.SIGNAL.names)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        ledger = spark.createDataFrame([], S.SIGNAL)
+    else:
+        ledger = committed_ledger(log, log.entries())
     if extraction_run_id is None:
         return ledger
     return ledger.where(F.col("extraction_run_id") == extraction_run_id)
 
 
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame | None:
+    """Committed rejected rows; None when there are none."""
+    log = CommitLog(spark, path)
+    folders = [log.full(e["folder"]) for e in log.entries()]
+    return log.reader().option("mergeSchema", True).parquet(*folders).drop("commit") if folders else None
+
+
+def dataset_path(spark: SparkSession, directory: str, table: str) -> str:
+    """Where a table (demand, notes, ground_truth) of the corpus committed last lies."""
+    log = CommitLog(spark, directory)
+    return f"{log.full(log.entries()[-1]['folder'])}/{table}"
+
+
+def read_bundle(spark: SparkSession, directory: str, run_id: str, name: str) -> DataFrame:
+    """An artefact of a saved evaluation run; a run that was never committed is an error."""
+    log = CommitLog(spark, f"{directory}/{run_id}")
+    entries = log.entries()
+    if not entries:
+        raise FileNotFoundError(f"no saved run: {log.path}")
+    return spark.read.json(f"{log.full(entries[0]['folder'])}/{name}")
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """One row per annotated case, with the dataset's id and master entities alongside."""
     dataset = spark.read.schema(S.ANNOTATIONS).option("multiLine", True).json(path)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pitsignal.operators.contracts import CONTRACTS, MODELS, errors_of
-from pitsignal.sources.readers import read_ledger
+from pitsignal.sources.commits import CommitLog
+from pitsignal.sources.readers import committed_ledger
 from pitsignal.sources.schemas import SIGNAL
 
 
@@ -61,32 +61,69 @@ def append_actions(batch: DataFrame, stored: DataFrame) -> DataFrame:
         "signal_id", f"{action} as action")
 
 
-def append_to_ledger(records: DataFrame, path: str) -> int:
+def append_to_ledger(records: DataFrame, path: str, key: str | None = None) -> int:
     """Append a batch; returns the number of rows written.
 
     The whole batch is checked first: a contract violation or a conflict raises before
-    anything is written.  Rows stored already are skipped, so a retry writes nothing.
+    anything is written.  Rows stored already are skipped, so a retry writes nothing; a
+    batch whose ``key`` is committed already is skipped without a look at its rows.
+
+    The rows become visible with one commit.  When another writer commits meanwhile, the
+    batch is held against its rows too before the next try.
     """
-    batch, actions = records.select(*SIGNAL.names).persist(StorageLevel.MEMORY_AND_DISK), None
+    log = CommitLog(records.sparkSession, path)
+    if log.is_plain():
+        raise ValueError(f"files without a commit log: {path}")
+    batch = records.select(*SIGNAL.names).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def prepare(entries: list[dict]) -> dict | None:
+        if key is not None and any(e.get("key") == key for e in entries):
+            return None
+        actions = append_actions(batch, committed_ledger(log, entries)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            clash = actions.where("action = 'conflict'").take(1)
+            if clash:
+                raise ConflictingContent(f"Conflicting content for signal_id {clash[0]['signal_id']}")
+            pending = batch.dropDuplicates(["signal_id"]).join(actions.where("action = 'write'"), "signal_id", "left_semi")
+            written, folder = Observation("ledger"), log.new_folder()
+            pending.select(*SIGNAL.names).observe(written, F.count(F.lit(1)).alias("rows")).write.partitionBy(
+                "extraction_run_id").parquet(log.full(folder))
+        finally:
+            actions.unpersist()
+        rows = written.get["rows"]
+        if not rows and key is None:
+            log.remove(folder)
+            return None
+        return {"folder": folder, "rows": rows} | ({"key": key} if key is not None else {})
+
     try:
         require_valid(batch, "signal_record")
-        actions = append_actions(batch, read_ledger(batch.sparkSession, path)).persist(StorageLevel.MEMORY_AND_DISK)
-        clash = actions.where("action = 'conflict'").take(1)
-        if clash:
-            raise ConflictingContent(f"Conflicting content for signal_id {clash[0]['signal_id']}")
-        pending = batch.dropDuplicates(["signal_id"]).join(actions.where("action = 'write'"), "signal_id", "left_semi")
-        written = Observation("ledger")
-        pending.select(*SIGNAL.names).observe(written, F.count(F.lit(1)).alias("rows")).write.mode(
-            "append").partitionBy("extraction_run_id").parquet(path)
-        return written.get["rows"]
+        entry = log.append(prepare)
+        return entry["rows"] if entry else 0
     finally:
         batch.unpersist()
-        if actions is not None:
-            actions.unpersist()
 
 
-def append_quarantine(rejected: DataFrame, path: str) -> None:
-    rejected.write.mode("append").partitionBy("extraction_run_id").parquet(path)
+def append_quarantine(rejected: DataFrame, path: str, key: str | None = None) -> None:
+    """Append rejected rows with one commit; a batch that is committed already writes nothing.
+
+    A batch is known by its ``key``, or else by its content.
+    """
+    log = CommitLog(rejected.sparkSession, path)
+    if key is None:
+        content = content_fingerprint(rejected)
+        if not content[0]:
+            return
+        key = ":".join(map(str, content))
+
+    def prepare(entries: list[dict]) -> dict | None:
+        if any(e["key"] == key for e in entries) or rejected.isEmpty():
+            return None
+        folder = log.new_folder()
+        rejected.write.partitionBy("extraction_run_id").parquet(log.full(folder))
+        return {"folder": folder, "key": key}
+
+    log.append(prepare)
 
 
 def write_features(features: DataFrame, path: str) -> None:
@@ -94,40 +131,69 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def write_dataset(demand: DataFrame, notes: DataFrame, truth: DataFrame, directory: str) -> None:
-    """Write a corpus; nothing is written when any note breaks the evidence contract."""
+    """Write a corpus; nothing is written when any note breaks the evidence contract.
+
+    The three tables take the place of the corpus before with one commit
+    (:func:`pitsignal.sources.readers.dataset_path`).
+    """
     require_valid(notes, "source_evidence")
-    demand.write.mode("overwrite").parquet(f"{directory}/demand")
-    notes.write.mode("overwrite").options(**JSON_TIMES).json(f"{directory}/notes")
-    truth.write.mode("overwrite").options(**JSON_TIMES).json(f"{directory}/ground_truth")
+    log = CommitLog(notes.sparkSession, directory)
+
+    def prepare(entries: list[dict]) -> dict:
+        folder = log.new_folder()
+        demand.write.parquet(f"{log.full(folder)}/demand")
+        notes.write.options(**JSON_TIMES).json(f"{log.full(folder)}/notes")
+        truth.write.options(**JSON_TIMES).json(f"{log.full(folder)}/ground_truth")
+        return {"folder": folder}
+
+    log.append(prepare)
+
+
+LANES = 8  # of 64 bits each
 
 
-def content_fingerprint(df: DataFrame) -> tuple:
-    """Order-insensitive fingerprint of a table: row count and two combinations of row hashes."""
-    row = df.selectExpr(f"{_as_json(sorted(df.columns))} as r").selectExpr(
-        "count(*) as n", "coalesce(bit_xor(xxhash64(r)), 0L) as x",
-        "coalesce(sum(cast(xxhash64(r, 1) as decimal(38, 0))), 0) as s").first()
-    return row["n"], row["x"], int(row["s"])
+def multiset_fingerprint(df: DataFrame, row: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group: ``n`` and ``fingerprint``, which any change of the multiset of ``row`` texts changes.
+
+    Two SHA-256 digests of a row are cut into ``LANES`` numbers that are added up lane by lane modulo
+    2^64.  Sums combine map-side and take rows in any order; a repeated row counts each time.
+    """
+    half = LANES // 2
+    digests = df.selectExpr(*by, f"sha2({row}, 256) as d0", f"sha2(concat('+', {row}), 256) as d1")
+    lane = lambda i: f"cast(conv(substr(d{i // half}, {16 * (i % half) + 1}, 16), 16, 10) as decimal(20, 0))"
+    sums = digests.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"sum({lane(i)}) as l{i}") for i in range(LANES)))
+    # A null row has no digest; it shows in the count only.
+    texts = ", ".join(f"cast(cast(coalesce(l{i}, 0) as decimal(38, 0)) % 18446744073709551616 as string)" for i in range(LANES))
+    return sums.selectExpr(*by, "n", f"sha2(concat_ws(':', cast(n as string), {texts}), 256) as fingerprint")
+
+
+def content_fingerprint(df: DataFrame) -> tuple[int, str]:
+    """Row count and fingerprint of a table's rows, whatever their order."""
+    row = multiset_fingerprint(df, _as_json(sorted(df.columns))).first()
+    return row["n"], row["fingerprint"]
 
 
 def write_bundle(artifacts: dict[str, DataFrame], directory: str, run_id: str) -> str:
-    """Save an evaluation run under its id.
+    """Save an evaluation run under its id, all of it with one commit.
 
     An identical rerun is accepted; different content never replaces a saved run, and is
-    found before anything is written.
+    found before anything is written.  A run whose write was cut short is not saved.
     """
-    destination = f"{directory}/{run_id}"
-    missing = []
-    for name, df in artifacts.items():
-        target = f"{destination}/{name}"
-        try:
-            saved = df.sparkSession.read.schema(df.schema).json(target)
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            missing.append((name, df))
-            continue
-        if content_fingerprint(saved) != content_fingerprint(df):
-            raise FileExistsError(f"saved before with other content: {target}")
-    for name, df in missing:
-        df.write.mode("errorifexists").options(**JSON_TIMES).json(f"{destination}/{name}")
-    return destination
+    spark: SparkSession = next(iter(artifacts.values())).sparkSession
+    log = CommitLog(spark, f"{directory}/{run_id}")
+    prints = {name: list(content_fingerprint(df)) for name, df in artifacts.items()}
+
+    def prepare(entries: list[dict]) -> dict | None:
+        if entries:
+            saved = entries[0]["prints"]
+            other = [name for name in prints if saved.get(name) != prints[name]]
+            if other:
+                raise FileExistsError(f"saved before with other content: {log.path}/{other[0]}")
+            return None
+        folder = log.new_folder()
+        for name, df in artifacts.items():
+            df.write.options(**JSON_TIMES).json(f"{log.full(folder)}/{name}")
+        return {"folder": folder, "prints": prints}
+
+    log.append(prepare)
+    return f"{directory}/{run_id}"

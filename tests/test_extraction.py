@@ -134,21 +134,3 @@ def test_run_links_only_known_claims_and_is_repeatable(spark):
     assert links(first, other, cancel)[1]["validation_status"] == "REVIEW"
     with pytest.raises(ValueError, match="repeats source_id"):
         run_extraction(note_rows(spark, [first, first]), KNOWN, extraction_run_id="r")
-
-
-def test_extraction_runs_on_a_stream(spark, tmp_path):
-    from pitsignal.streaming.notes import start_extraction, stream_notes
-
-    notes = note_rows(spark, [note(f"s{i}", text) for i, (text, _) in enumerate(CUES)])
-    notes.write.json(str(tmp_path / "notes"))
-    query = start_extraction(
-        stream_notes(spark, str(tmp_path / "notes")), KNOWN, str(tmp_path / "ledger"), str(tmp_path / "cp"),
-        extraction_run_id="r", extracted_at="2026-02-01 00:00:00")
-    query.awaitTermination(120)
-    streamed = spark.read.schema(SIGNAL).parquet(str(tmp_path / "ledger"))
-    batch = extract_signals(
-        spark.read.schema(EVIDENCE).json(str(tmp_path / "notes")), KNOWN, extraction_run_id="r",
-        extracted_at="2026-02-01 00:00:00")
-    assert sorted(r[0] for r in streamed.select("signal_id").collect()) == sorted(
-        r[0] for r in batch.select("signal_id").collect())
-    assert utc("2026-02-01T00:00:00") and streamed.count() == len(CUES)
