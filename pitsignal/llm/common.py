@@ -113,12 +113,8 @@ def _probes(h: str, bits: int) -> tuple[str, str]:
     return f"({h} & {bits - 1}L)", f"(shiftrightunsigned({h}, 32) & {bits - 1}L)"
 
 
-def bit_test(hashes: DataFrame, bits_each: int = 32) -> str:
-    """A predicate, to be formatted with ``h``, that is true for every hash of the one column of ``hashes``.
-
-    It tests a bit set of ``bits_each`` bits a distinct hash and at most ``MAX_BITS`` in all,
-    so it is false for nearly all other hashes and lets more through beyond that size.
-    """
+def _bit_words(hashes: DataFrame, bits_each: int) -> tuple[int, list[int]]:
+    """Number of bits and the words of the bit set of the one column of ``hashes``."""
     prints = hashes.toDF("h").distinct()
     wanted = bits_each * max(1, prints.count())
     bits = min(MAX_BITS, max(1 << 12, 1 << (wanted - 1).bit_length()))
@@ -128,11 +124,31 @@ def bit_test(hashes: DataFrame, bits_each: int = 32) -> str:
     values = [0] * (bits // 64)
     for row in rows:
         values[row["word"]] = row["bits"]
+    return bits, values
+
+
+def bit_test(hashes: DataFrame, bits_each: int = 32) -> str:
+    """A predicate, to be formatted with ``h``, that is true for every hash of the one column of ``hashes``.
+
+    It tests a bit set of ``bits_each`` bits a distinct hash and at most ``MAX_BITS`` in all,
+    so it is false for nearly all other hashes and lets more through beyond that size.  The set
+    is part of the predicate's text, so that it can be used inside lambda functions.
+    """
+    bits, values = _bit_words(hashes, bits_each)
     held = f"from_json('{json.dumps(values)}', 'array<bigint>')"
     return " and ".join(
         f"getbit(get({held}, cast(shiftright({x}, 6) as int)), cast({x} & 63L as int)) = 1" for x in _probes("{h}", bits))
 
 
+def among(column: Column, hashes: DataFrame, bits_each: int = 32) -> Column:
+    """:func:`bit_test` of a column; the set is a staged row that the plan reads, not part of the plan."""
+    bits, values = _bit_words(hashes, bits_each)
+    held = stage(hashes.sparkSession.createDataFrame([(values,)], "bits array<bigint>"), "bits").scalar()
+    tests = [F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in (
+        column.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(bits - 1)))]
+    return tests[0] & tests[1]
+
+
 def worker_store(name: str, build: Callable[[], object], version: object = None) -> object:
     """An object built once in a Python worker and kept for its later tasks.
 

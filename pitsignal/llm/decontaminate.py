@@ -8,10 +8,12 @@ An item of fewer than 10 words is one window of its own length, with fingerprint
 
 A bit set over the benchmark's fingerprints (sized by their number, up to a bound)
 is tested before a document window leaves its row; beyond that size it lets more windows
-through, never fewer.  Documents are read once and no text is shuffled.
+through, never fewer.  Documents are read once per window length that the
+benchmark has and once for their word counts; no text is shuffled.
 
 A null text has no words; an item without words has no window.  Documents are told apart by
-(doc_id, text), so repeated rows get one result each; null ids are values like any other.
+(doc_id, text), so repeated rows get one result each; null ids are values like any other.  The
+windows of an item without an id hit words, but the item has no name and is not counted.
 """
 
 from __future__ import annotations

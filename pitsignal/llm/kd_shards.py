@@ -12,8 +12,9 @@ applied as one expression.
 ranges for that, with offsets from the ranges' counts.
 
 A null text has no bytes and is the group of the empty text; a null doc_id sorts first; repeated
-rows get slots of their own.  A group larger than a shard's share cannot be cut and fills
-its shard alone.  Columns other than the id and the text are ignored, whatever their names.
+rows get slots of their own.  A group above an even share
+cannot be cut: it gets a shard of its own before the tree is grown over the other groups and
+shards (at most ``shards - 1`` groups can be so heavy).  Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,6 +114,21 @@ def grow_tree(groups: DataFrame, shards: int) -> str:
     return expression(1, lambda v: nodes[v][0])
 
 
+def _alone(groups: DataFrame, shards: int) -> tuple[list[tuple[int, int]], DataFrame, int]:
+    """Groups above an even share of what is left get a shard each: their keys, the other groups, the shards for those."""
+    rest = groups.agg(F.sum("weight")).first()[0] or 0
+    left, heavy = shards, []
+    for g in groups.orderBy(F.desc("weight"), "t1", "t2").limit(shards - 1).collect():
+        if g["weight"] * left <= rest:
+            break
+        heavy.append((g["t1"], g["t2"]))
+        rest, left = rest - g["weight"], left - 1
+    others = groups
+    for t1, t2 in heavy:
+        others = others.where((F.col("t1") != t1) | (F.col("t2") != t2))
+    return heavy, others, left
+
+
 def assign_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, t1, t2, size, text_crc32, shard, slot), one per input row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -122,7 +138,11 @@ def assign_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_
     groups = stage(_with_keys(rows.groupBy("t1", "t2").agg(
         F.first("bytes").alias("bytes"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("first_id"), F.count(F.lit(1)).alias("copies"),
         F.sum(F.col("bytes") + ROW_BYTES).alias("weight"))), "groups")
-    placed = groups.selectExpr("t1", "t2", f"cast({grow_tree(groups, shards)} as int) as shard")
+    heavy, others, left = _alone(groups, shards)
+    placed = others.selectExpr("t1", "t2", f"cast({grow_tree(others, left)} as int) as shard")
+    if heavy:
+        whens = " ".join(f"when t1 = {t1}L and t2 = {t2}L then {left + at}" for at, (t1, t2) in enumerate(heavy))
+        placed = placed.unionByName(groups.selectExpr("t1", "t2", f"case {whens} end as shard").where("shard is not null"))
     located = rows.join(placed, ["t1", "t2"])
     numbered = number_rows(located, ["shard"], [F.col("doc_id"), F.col("t1"), F.col("t2")], "slot")
     return numbered.select("doc_id", "t1", "t2", (F.col("bytes") + ROW_BYTES).alias("size"), "text_crc32", "shard", "slot")

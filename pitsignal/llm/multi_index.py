@@ -37,12 +37,13 @@ CENTROIDS, TRAIN, BLOCK, BATCH = 256, 20_000, 8_192, 256
 
 
 def usable(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v (array of double): the vectors that take part, staged."""
+    """row (a number of its own), vec_id, v (array of double): the vectors that take part, staged."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = rows.where("vec_id is not null and v is not null and size(v) > 0"
                        " and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     sizes = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return stage(sound.where(F.size("v") == (sizes["n"] if sizes else 0)), "vectors")
+    kept = sound.where(F.size("v") == (sizes["n"] if sizes else 0))
+    return stage(kept.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
 
 
 def kmeans(x: np.ndarray, k: int, *, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -64,7 +65,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def fit_codebooks(vectors: DataFrame, centroids: int, train: int = TRAIN) -> tuple[np.ndarray, np.ndarray]:
     """The codebooks of both halves, from a bounded sample."""
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("v").toPandas()
+    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(train).select("v").toPandas()
     if got.empty:
         return np.zeros((1, 1)), np.zeros((1, 1))
     x = np.array(got["v"].tolist(), np.float64)
@@ -118,12 +119,18 @@ def reachable(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, slack: np.
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """Vectors of equal length, none of them null, as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
 def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best entries for the rows whose id ``every`` divides.
+    """query_id, rank, vec_id, score: the ``k`` best entries for each row whose id ``every`` divides.
+
+    Every row but the query's own is a candidate, so rows that repeat an id find each other and
+    have an answer each.
 
     The cells a query visits follow from the data alone, and no entry outside them can be
     among its best.  On vectors without structure no index is selective and they are
@@ -136,21 +143,19 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = halves(_matrix(batch.column(1)), cut)
+                a, b = halves(_matrix(batch.column(2)), cut)
                 i, j = nearest(a, books[0]), nearest(b, books[1])
                 away = [pa.array(np.linalg.norm(x - c, axis=1)) for x, c in ((a, books[0][i]), (b, books[1][j]))]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(i * len(books[1]) + j, pa.int32()), *away], ["vec_id", "v", "cell", "left", "right"])
+                    [*batch.columns, pa.array(i * len(books[1]) + j, pa.int32()), *away], ["row", "vec_id", "v", "cell", "left", "right"])
 
-    placed = stage(entries.mapInArrow(to_cells, "vec_id long, v array<double>, cell int, left double, right double"), "cells")
+    placed = stage(entries.mapInArrow(to_cells, "row long, vec_id long, v array<double>, cell int, left double, right double"), "cells")
     wide = len(books[1])
     sizes, radii = np.zeros(cells, np.int64), np.zeros((2, cells))
     held = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
     for r in held.collect():  # CENTROIDS squared rows at most
         sizes[r["cell"]], radii[:, r["cell"]] = r["n"], (r["left"], r["right"])
     total = int(sizes.sum())
-    # A query skips the entries with its own id.
-    own = entries.where(F.col("vec_id") % every == 0).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
     # A list is all cells of one left centroid, hashed into blocks of about half the bound.
     blocks = np.maximum(1, -(-sizes.reshape(-1, wide).sum(axis=1) // (BLOCK // 2)))
     batches_of = max(1, -(-total // (every * BATCH)))
@@ -158,7 +163,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = halves(_matrix(batch.column(1)), cut)
+                a, b = halves(_matrix(batch.column(2)), cut)
                 left, right = a @ books[0].T, b @ books[1].T
                 norms = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
                 for at in range(0, batch.num_rows, 256):
@@ -166,7 +171,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
                     for q in range(at, min(at + 256, batch.num_rows)):
                         slack = norms[0][q] * radii[0] + norms[1][q] * radii[1]
                         slack += 1e-9 * (slack + np.abs(np.add.outer(left[q], right[q])).ravel() + norms[0][q] ** 2 + norms[1][q] ** 2)
-                        visits = reachable(left[q], right[q], sizes, slack, k + own).reshape(-1, wide)
+                        visits = reachable(left[q], right[q], sizes, slack, k + 1).reshape(-1, wide)
                         for i in np.flatnonzero(visits.any(axis=1)).tolist():
                             bits = np.packbits(visits[i]).tobytes()
                             for s in range(int(blocks[i])):
@@ -175,36 +180,35 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
                                 masks.append(bits)
                     part = batch.take(pa.array(rows, pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(masks, pa.binary()), pa.array(of, pa.int64())], ["vec_id", "v", "tag", "block"])
+                        [*part.columns, pa.array(masks, pa.binary()), pa.array(of, pa.int64())], ["row", "vec_id", "v", "tag", "block"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, e_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["e_ids"], "<i8")
+                q_ids, e_ids, q_rows, e_rows = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "e_ids", "q_rows", "e_rows"))
                 q, e = (np.frombuffer(row[c]).reshape(len(i), -1) for c, i in (("q_vectors", q_ids), ("e_vectors", e_ids)))
                 masks = np.unpackbits(np.frombuffer(row["q_tags"], np.uint8).reshape(len(q_ids), -1), axis=1).astype(bool)
                 cell = np.frombuffer(row["e_tags"], ">i4")
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for i in range(len(q_ids)):
-                    at = np.flatnonzero(masks[i][cell] & (e_ids != q_ids[i]))
+                    at = np.flatnonzero(masks[i][cell] & (e_rows != q_rows[i]))
                     rough = e[at] @ q[i]
                     if len(at) > k:
                         at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - 1e-9 * (1 + abs(rough).max())]
                     # Summed component by component: a pair's score does not depend on its block.
                     exact = (q[i] * e[at]).cumsum(axis=1)[:, -1]
                     best = np.lexsort((e_ids[at], -exact))[:k]
-                    out[0].append(np.full(len(best), q_ids[i]))
-                    out[1].append(e_ids[at][best])
-                    out[2].append(exact[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+                    for held, x in zip(out, (np.full(len(best), q_rows[i]), np.full(len(best), q_ids[i]), e_ids[at][best], exact[best])):
+                        held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query", "query_id", "vec_id", "score"])
 
     def pack(rows: DataFrame, side: str, groups: list[str]) -> DataFrame:
         """One row per group: ids, vectors and tags as bytes; groups are bounded."""
-        names = [f"{side}_{c}" for c in ("ids", "vectors", "tags")]
+        names = [f"{side}_{c}" for c in ("rows", "ids", "vectors", "tags")]
 
         def packed(part: pa.Table) -> pa.Table:
-            ids = part.column("vec_id").to_numpy().astype("<i8")
-            values = [ids.tobytes(), _matrix(part.column("v")).tobytes(), b"".join(part.column("tag").to_pylist())]
+            numbers = [part.column(c).to_numpy().astype("<i8").tobytes() for c in ("row", "vec_id")]
+            values = [*numbers, _matrix(part.column("v")).tobytes(), b"".join(part.column("tag").to_pylist())]
             return pa.Table.from_pydict(
                 {**{g: [part.column(g)[0].as_py()] for g in groups}, **{n: [x] for n, x in zip(names, values)}},
                 schema=pa.schema([*((g, pa.int64()) for g in groups), *((n, pa.binary()) for n in names)]))
@@ -214,13 +218,13 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20,
     left_of = F.expr(f"cell div {wide}")
     per_list = F.get(F.from_json(F.lit(json.dumps(blocks.tolist())), "array<bigint>"), left_of.cast("int"))
     blocked = placed.select(
-        "vec_id", "v", F.unhex(F.lpad(F.hex(F.col("cell") % wide), 8, "0")).alias("tag"),
-        (left_of * (1 << 32) + F.pmod(F.xxhash64("vec_id"), per_list)).alias("block"))
-    asked = entries.where(F.col("vec_id") % every == 0).mapInArrow(to_blocks, "vec_id long, v array<double>, tag binary, block long")
-    spread = asked.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches_of)))
+        "row", "vec_id", "v", F.unhex(F.lpad(F.hex(F.col("cell") % wide), 8, "0")).alias("tag"),
+        (left_of * (1 << 32) + F.pmod(F.xxhash64("row"), per_list)).alias("block"))
+    asked = entries.where(F.col("vec_id") % every == 0).mapInArrow(to_blocks, "row long, vec_id long, v array<double>, tag binary, block long")
+    spread = asked.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches_of)))
     pairs = pack(spread, "q", ["block", "batch"]).join(pack(blocked, "e", ["block"]), "block")
-    found = pairs.drop("block", "batch").mapInArrow(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.drop("block", "batch").mapInArrow(rerank, "query long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import bit_test, discard, join_on, number_rows, small_batches, stage, worker_store
+from pitsignal.llm.common import among, discard, join_on, number_rows, small_batches, stage, worker_store
 from pitsignal.shipping import ship_by_value
 
 GROWTH = 1.5  # upper end of a size band over its lower end
@@ -359,7 +359,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int,
         named = stage(classes.join(nodes, "cid", "left_semi").select("cid", "doc_id", "t1", "t2"), "named")
         text = F.coalesce(F.col(text_col), F.lit(""))
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-        some = texts.where(F.expr(bit_test(named.select("t1"), 8).format(h="t1")))
+        some = texts.where(among(F.col("t1"), named.select("t1"), 8))
         packed = stage(join_on(some, named, ["doc_id", "t1", "t2"]).select("cid", "text").mapInArrow(_pack, "cid long, packed binary")
                        .dropDuplicates(["cid"]), "texts")
         both = pairs.join(packed.selectExpr("cid as a", "packed as x"), "a").join(packed.selectExpr("cid as b", "packed as y"), "b")

@@ -31,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH, MAX_DOCS, MAX_WINDOWS = 3, 4_000, 1_000
 CELLS = 1 << 16  # words of one padded Viterbi batch
+WORDS = 40  # of a training sequence; a longer window becomes several
 
 # Hand-tagged lines: [kind|words].
 TAUGHT = (
@@ -52,8 +53,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@+]")
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Between words: blanks, and marks that JSON, markup, query strings and tables put between values.
+_BETWEEN = r"\x20\x09-\x0D\"'`{}\[\]<>|=&;"
+_SPACE = re.compile(f"[{_BETWEEN}]")
+_WORD = re.compile(f"[^{_BETWEEN}]+")
 _TRAIL = ".,;:!?\"')]}>"
 _LEAD = "\"'([{<"
 
@@ -96,8 +99,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> str:
     """Letters as X or x (runs once), digits as d with the length of their run, the rest as it is."""
-    if len(word) > 60:
-        return "long@" if "@" in word else "long"
     out: list[str] = []
     run = 0
     for c in word + "\0":
@@ -305,7 +306,7 @@ def taught() -> list[tuple[list[str], list[int]]]:
         words, tags = [], []
         for part in re.findall(r"\[[a-z]+\|[^\]]+\]|\S+", line):
             tagged = re.fullmatch(r"\[([a-z]+)\|([^\]]+)\]", part)
-            own = (tagged.group(2) if tagged else part).split()
+            own = _WORD.findall(tagged.group(2) if tagged else part)
             kind = KINDS.index(tagged.group(1)) if tagged else None
             words += own
             tags += [0 if kind is None else 1 + 2 * kind + (i > 0) for i in range(len(own))]
@@ -320,12 +321,12 @@ def labelled_table(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_windows: in
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                for words in windows(text or ""):
-                    words = words[:40]
+                sequences = [w[at:at + WORDS] for w in windows(text or "") for at in range(0, len(w), WORDS)]
+                for words in sequences:
                     lo, hi = words[0][0], words[-1][1]
                     near = [x for x in base_spans(text[lo:hi])]
                     tags = tags_of([(s - lo, e - lo) for s, e in words], near)
-                    own = [text[s:e][:80] for s, e in words]
+                    own = [text[s:e] for s, e in words]
                     rows.append((own, tags, hashlib.md5(" ".join(own).encode("utf-8", "replace")).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32())),

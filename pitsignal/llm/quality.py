@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import discard, new_folder, stage, worker_store
+from pitsignal.llm.common import new_folder, pack, unpack, worker_store
 from pitsignal.shipping import ship_by_value
 
 SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
@@ -305,15 +306,30 @@ class Contexts:
         self.sums[own] += np.add.reduceat(around[order], first, axis=0).astype(np.int64)
         self.counts[own] += np.diff(first, append=len(at))
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(self.known), 5_000):
-            part = slice(at, min(at + 5_000, len(self.known)))
-            n = part.stop - at
-            sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * LEARNED, pa.int32()), pa.array(self.sums[part].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(self.known[part], pa.int64()), pa.array(self.counts[part]), sums], ["h", "n", "sums"])
+    def flush(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """The sums so far, cut by ranges of the hash: a packed table of sorted words per range."""
+        h = np.array(self.known, np.int64)
+        order = np.argsort(h)
+        h, sums, counts = h[order], self.sums[order], self.counts[order]
+        cuts = np.searchsorted(range_of(h, shards), np.arange(shards + 1))
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[shard], cuts[shard + 1])
+            data = pack(h[part], counts[part], narrow(sums[part]))
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
         self.clear()
 
 
+def range_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """The number of the equal range that holds each signed hash."""
+    return (((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest signed type."""
+    top = int(np.abs(values).max()) if values.size else 0
+    return values.astype(np.int8 if top < 1 << 7 else np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
+
+
 def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether both bits of each hash are set."""
     u = h.astype(np.uint64)
@@ -351,7 +367,7 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
     return bits
 
 
-def _context_sums(bits: np.ndarray):
+def _context_sums(bits: np.ndarray, shards: int):
     """Partial sums by word of the texts of one task; a word comes again after each ``HELD`` words."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,8 +379,8 @@ def _context_sums(bits: np.ndarray):
                     lo, hi = max(0, at - 2), min(len(words), at + WINDOW + 2)
                     found.add(words[lo:hi], at - lo, hi - min(len(words), at + WINDOW))
                     if len(found.places) > HELD:
-                        yield from found.flush()
-        yield from found.flush()
+                        yield from found.flush(shards)
+        yield from found.flush(shards)
 
     return sums
 
@@ -375,42 +391,50 @@ def learned_vectors(texts: DataFrame) -> list[tuple[str, int, bytes]]:
     Returns for each file its path, its rows and the first hash of every block of ``ROWS`` rows.
     A file is written under its attempt's name and moved when complete.
     """
-    parts = texts.mapInArrow(_context_sums(frequent_words(texts)), "h long, n long, sums array<long>")
-    sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(LEARNED)]
-    known = stage(parts.groupBy("h").agg(F.sum("n").alias("n"), *sums).where(F.col("n") >= SEEN).drop("n"), "words")
-    folder = new_folder(texts.sparkSession, "vectors")
+    spark = texts.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = new_folder(spark, "vectors")
+
+    def summed(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, n, sums = (np.concatenate(x) for x in zip(*tables))
+        order = np.argsort(h, kind="stable")
+        h, first = np.unique(h[order], return_index=True)
+        return h, np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0, dtype=np.int64)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        task, sink, rows, firsts = TaskContext.get(), None, 0, []
-        for batch in batches:
-            if not batch.num_rows:
+        rows = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for batch in batches for i in range(batch.num_rows))
+        for shard, parts in groupby(rows, lambda r: r[0]):
+            tables, held = [], 0
+            for _, data in parts:
+                tables.append(unpack(data))
+                held += len(tables[-1][0])
+                if held > 2 * len(tables[0][0]) + HELD:  # so that partial tables do not pile up
+                    tables = [summed(tables)]
+                    held = len(tables[0][0])
+            h, n, sums = summed(tables)
+            h, v = h[n >= SEEN], sums[n >= SEEN].astype(np.float64)
+            if not len(h):
                 continue
-            if sink is None:
-                store, root = fs.FileSystem.from_uri(folder)
-                store.create_dir(root, recursive=True)
-                name = f"vectors-{task.partitionId():06d}"
-                part = f"{root}/.{name}-{task.taskAttemptId()}"
-                sink = store.open_output_stream(part, compression=None)
-            out = np.zeros(batch.num_rows, ROW)
-            out["h"] = batch.column(0).to_numpy()
-            v = np.stack([batch.column(1 + i).to_numpy() for i in range(LEARNED)], axis=1).astype(np.float64)
+            out = np.zeros(len(h), ROW)
+            out["h"] = h
             norms = np.linalg.norm(v, axis=1, keepdims=True)
             out["v"] = v / np.where(norms > 0, norms, 1)
-            sink.write(out.tobytes())
-            firsts.append(out["h"][-rows % ROWS::ROWS].tobytes())
-            rows += len(out)
-        if sink is not None:
-            sink.close()
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            name = f"vectors-{shard:06d}"
+            part = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(part, compression=None) as sink:
+                sink.write(out.tobytes())
             store.move(part, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [rows], "firsts": [b"".join(firsts)]},
+            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [len(h)], "firsts": [h[::ROWS].tobytes()]},
                                              schema=pa.schema([("file", pa.string()), ("n", pa.int64()), ("firsts", pa.binary())]))
 
-    ordered = known.repartitionByRange("h").sortWithinPartitions("h")
-    got = ordered.mapInArrow(write, "file string, n long, firsts binary").collect()  # 8 bytes for 64 words
-    discard(known)
+    sums = texts.mapInArrow(_context_sums(frequent_words(texts), shards), "shard int, data binary")
+    got = sums.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
+        write, "file string, n long, firsts binary").collect()  # 8 bytes for 64 words
     return [(r.file, r.n, bytes(r.firsts)) for r in got]
 
 

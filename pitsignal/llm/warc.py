@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import bit_test, join_on, new_folder, stage
+from pitsignal.llm.common import among, join_on, new_folder, stage
 from pitsignal.shipping import ship_by_value
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
@@ -93,7 +93,7 @@ def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     shared = stage(rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", F.col("url").isNotNull().alias("named"), "url")).alias("kept")
     ).where("n > 1").select("digest", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url")), "shared")
-    repeated = F.expr(bit_test(shared.select(F.xxhash64("digest"))).format(h="xxhash64(digest)")) & (F.col("bytes") >= min_bytes)
+    repeated = among(F.xxhash64("digest"), shared.select(F.xxhash64("digest"))) & (F.col("bytes") >= min_bytes)
     alone = rows.where(~repeated).select(
         "page_id", "url", "html", F.lit(0).alias("occurrence"), F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("kept_id"),
         F.lit(None).cast("string").alias("kept_url"))

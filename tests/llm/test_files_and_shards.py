@@ -289,6 +289,26 @@ def test_shards(spark):
     assert max(size.values()) <= mean + biggest + mean * 0.02 and min(size.values()) >= mean - biggest - mean * 0.02
 
 
+@pytest.mark.parametrize("hot", [(1 / 3,), (0.3, 0.2, 0.1, 0.06)])
+def test_hot_texts_get_shards_of_their_own(spark, hot):
+    n = 3000
+    rows, at = [], 0
+    for k, share in enumerate(hot):
+        rows += [(at + i, f"{k}" * 3000) for i in range(int(n * share))]
+        at = len(rows)
+    rows += [(i, f"{i} ".ljust(3000, "x")) for i in range(at, n)]
+    got = kd_shards.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    size, alone = Counter(), {}
+    for r in got:
+        size[r.shard] += r["size"]
+        if r.doc_id < at:
+            alone.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+    assert len(got) == n and set(size) == set(range(24)) and all(len(s) == 1 for s in alone.values())
+    heavy = {s for shards in alone.values() for s in shards}
+    others = [b for s, b in size.items() if s not in heavy]
+    assert len(heavy) == len(hot) and max(others) <= 1.1 * sum(others) / len(others) and min(others) >= 0.9 * sum(others) / len(others)
+
+
 def test_shards_of_odd_rows(spark):
     docs = documents(spark)
     got = kd_shards.assign_shards(docs, 5).collect()

@@ -56,6 +56,21 @@ def test_neighbours_of_odd_rows(spark):
     assert [r.vec_id for r in multi_index.search(line, every=50, k=3).orderBy("rank").collect()] == [49, 48, 47]
 
 
+def test_rows_that_repeat_a_query_have_an_answer_each(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=6).tolist()) for i in range(200)]
+    rows += [rows[20], (40, draw.normal(size=6).tolist()), *[(300, rows[7][1])] * 30]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in multi_index.search(frame, every=20, k=5).collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (x[q] * x).cumsum(axis=1)[:, -1]
+        order = [j for j in np.lexsort((ids, -s)) if j != q][:5]
+        want += [(int(ids[q]), rank, int(ids[j]), round(float(s[j]), 9)) for rank, j in enumerate(order, 1)]
+    assert got == sorted(want)
+
+
 def test_the_walk_orders_pairs_by_summed_score():
     draw = np.random.default_rng(1)
     left, right = draw.normal(size=7), draw.normal(size=5)

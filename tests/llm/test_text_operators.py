@@ -162,6 +162,15 @@ def test_the_field_learns_forms_beside_the_base():
     assert "(555) 201-3344" in added and not any(x in added for x in ("12", "40"))
 
 
+def test_the_field_sees_inside_texts_without_blanks():
+    field = pii.train(3 * pii.taught())
+    text = '{"name":"x","note":"' + "y" * 80 + '","contact":"zoë@mail.example.fr","size":12}' + "&ref=" + "q" * 90
+    added = [x for words in pii.windows(text) for tags in field.decode([pii.features([text[s:e] for s, e in words])])
+             for x in pii.added_spans(text, words, tags, pii.base_spans(text))]
+    assert "zoë@mail.example.fr" in {text[s:e] for s, _, e in added}
+    assert all(e - s < 60 for words in pii.windows(text.replace("y" * 80, "").replace("q" * 90, "")) for s, e in words)
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
