@@ -27,6 +27,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_id"), t1.alias("_t1"), t2.alias("_t2"), F.struct("*").alias("_row"))
 
 
+def _in_order() -> list:
+    """An order of rows that agree in their key; rows that are alike in it are alike in all columns."""
+    text = F.to_json("_row")
+    return [F.xxhash64(text), text]
+
+
 def _key_of(found: DataFrame, *more: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), *more)
 
@@ -49,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = some.groupBy("component_id", alone.alias("alone")).agg(F.min(rank).alias("r")).select("r._id", "r._t1", "r._t2")
     without = found.where("n_shingles = 0").select(*_KEY).distinct()
     kept = join_on(_keyed(docs), first.unionByName(without), _KEY, "left_semi")
-    again = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(1)))
+    again = F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_in_order()))
     return kept.withColumn("_again", again).where("_again = 1").select("_row.*")
 
 
@@ -68,7 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _keyed(docs).withColumn("_s", F.xxhash64(F.lit(1), F.col("_row.source")))
     same = ["_id", "_t1", "_s"]
     # Of rows that repeat (id, text, source) the first ones carry the drawn copies.
-    order = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
+    order = F.row_number().over(Window.partitionBy(*same).orderBy(*_in_order()))
     count = F.count(F.lit(1)).over(Window.partitionBy(*same))
     taken = join_on(rows, drawn, same).withColumn("_place", order).withColumn("_of", count)
     times = F.expr("cast(copies div _of + if(_place <= copies % _of, 1, 0) as int)")
