@@ -39,6 +39,20 @@ def breakdown(results: DataFrame, keys: tuple[str, ...], *, baseline: str = "A")
         "arm", *keys, "mae", "bias", "n_origins", f"{incremental_lift('base_mae', 'mae')} as lift")
 
 
+def breakdown_cube(results: DataFrame, keys: tuple[str, ...], *, baseline: str = "A") -> DataFrame:
+    """:func:`breakdown` for every subset of ``keys`` in one pass over the results.
+
+    ``level`` has a bit for each key that a row sums over, the first key's bit the highest; such
+    a key is null.
+    """
+    errors = results.sparkSession.sql(
+        f"select arm, {', '.join(keys)}, grouping_id() as level, avg(abs(actual - predicted)) as mae, "
+        f"avg(predicted - actual) as bias, count(*) as n_origins from {{results}} group by arm, cube({', '.join(keys)})", results=results)
+    base = f"max(if(arm = '{baseline}', mae, null)) over (partition by level, {', '.join(keys)})"
+    return errors.selectExpr("*", f"{base} as base_mae").selectExpr(
+        "arm", *keys, "level", "mae", "bias", "n_origins", f"{incremental_lift('base_mae', 'mae')} as lift")
+
+
 def with_exposure(results: DataFrame, demand: DataFrame, features: DataFrame) -> DataFrame:
     """Add ``exposed``: a signal was active for the entity at the origin's cutoff."""
     cutoffs = demand.selectExpr(

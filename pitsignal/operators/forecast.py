@@ -1,8 +1,8 @@
 """Rolling-origin forecast experiment over weekly demand.
 
 Features are window expressions over each entity's series.  Only the least-squares solve
-leaves Spark SQL: one grouped call per (arm, entity), whose input is one series of weekly
-rows, bounded by the calendar whatever the number of entities.
+leaves Spark SQL: one grouped call per (feature table, entity, block of weeks), for all arms
+that read the table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitsignal.operators.scan import lag_in_order
 from pitsignal.shipping import ship_by_value
+from pitsignal.staging import stage
 
 ship_by_value(__name__)
 
@@ -110,53 +112,71 @@ _RESULT = (
 )
 
 
-def _rolling_ridge(series: pd.DataFrame, config: ForecastConfig, columns: list[str]) -> pd.DataFrame:
-    """All origins of one series: expanding-window ridge from cumulative moments.
+BLOCK = 512  # weeks of a series that one task fits
 
-    Each origin's normal equations are prefix sums of the same products, so every week
-    is visited once.  Columns are centred on the series mean first; the prefix sums then
-    stay small against the values and lose no precision to cancellation.
+
+def _moments(rows: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Count, means and centred products of a block's training rows (the target last)."""
+    z = rows[[*columns, "demand"]].to_numpy(float)
+    centred = z - z.mean(axis=0)
+    return pd.DataFrame({"source": rows["source"][:1], "entity_key": rows["entity_key"][:1], "block": rows["block"][:1],
+                         "count": float(len(z)), "mean": [z.mean(axis=0)], "spread": [(centred.T @ centred).ravel()]})
+
+
+def _prefixes(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The merged moments of all earlier blocks, for each block of a series but the first."""
+    blocks = blocks.sort_values("block", ignore_index=True)
+    count, mean, spread, out = 0.0, 0.0, 0.0, []
+    for block, n, m, s in zip(blocks["block"], blocks["count"], blocks["mean"], blocks["spread"]):
+        apart = np.asarray(m) - mean
+        total = count + n
+        spread = spread + np.asarray(s) + np.outer(apart, apart).ravel() * (count * n / total)
+        mean, count = mean + apart * (n / total), total
+        out.append((block + 1, count, mean, spread))
+    return pd.DataFrame({"source": blocks["source"], "entity_key": blocks["entity_key"]}).join(
+        pd.DataFrame(out, columns=["block", "count", "mean", "spread"]))
+
+
+def _fit_block(rows: pd.DataFrame, before: pd.DataFrame, config: ForecastConfig, columns: list[str], arms: dict[str, list[str]]) -> pd.DataFrame:
+    """All origins of one block and all arms that read its columns: expanding-window ridge.
+
+    The normal equations of an origin are the moments of the earlier blocks and prefix sums
+    inside this one.  Products are taken about the mean of the earlier rows, so the sums stay
+    small against the values and lose no precision to cancellation.
     """
-    series = series.sort_values("t")
-    t, y = series["t"].to_numpy(), series["demand"].to_numpy(float)
-    # Columns that an arm leaves out are zero throughout and have no part in its equations.
-    columns = [c for c in columns if series[c].any()]
-    x = series[columns].to_numpy(float)
-    n = int(series["n"].iloc[0])
-    arm, entity = series["arm"].iloc[0], series["entity_key"].iloc[0]
-    empty = pd.DataFrame({
-        "arm": pd.Series(dtype=object), "entity_key": pd.Series(dtype=object),
-        "origin_week_index": pd.Series(dtype="int32"), "horizon_week_index": pd.Series(dtype="int32"),
-        "horizon": pd.Series(dtype="int32"), "actual": pd.Series(dtype=float), "predicted": pd.Series(dtype=float)})
-    last = n - config.horizon_weeks
-    if last - config.train_weeks < config.min_origins:
-        return empty
-    x_mid, y_mid = x.mean(axis=0), y.mean()
-    xc, yc = x - x_mid, y - y_mid
+    rows = rows.sort_values("t", ignore_index=True)
+    t, z = rows["t"].to_numpy(), rows[[*columns, "demand"]].to_numpy(float)
     used = (t >= config.first_training_week).astype(float)
-    before = lambda a: np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])[:-1]
-    count = before(used)
-    sx, sy = before(xc * used[:, None]), before(yc * used)
-    sxx = before(np.einsum("ti,tj->tij", xc * used[:, None], xc))
-    sxy = before(xc * (yc * used)[:, None])
-    at = np.flatnonzero((t >= config.train_weeks) & (t <= last) & (count >= 10))
-    if not len(at):
-        return empty
+    if len(before):
+        known, centre = float(before["count"].iloc[0]), np.asarray(before["mean"].iloc[0])
+        spread = np.asarray(before["spread"].iloc[0]).reshape(len(centre), -1)
+    else:
+        known, spread = 0.0, 0.0
+        centre = z[used > 0].mean(axis=0) if used.any() else z.mean(axis=0)
+    seen = (z != 0).any(axis=0)[:-1] | (np.zeros(len(columns), bool) if not len(before) else (centre[:-1] != 0) | (np.diag(spread)[:-1] > 0))
+    zc = z - centre
+    prefix = lambda a: np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])[:-1]
+    count, sums = known + prefix(used), prefix(zc * used[:, None])
+    n = rows["n"].to_numpy()
+    at = np.flatnonzero((t >= config.train_weeks) & (t <= n - config.horizon_weeks) & (count >= 10)
+                        & (n - config.horizon_weeks - config.train_weeks >= config.min_origins))
+    products = spread + prefix(np.einsum("ti,tj->tij", zc * used[:, None], zc))[at]
     m = count[at][:, None]
-    gram = sxx[at] - np.einsum("ti,tj->tij", sx[at], sx[at]) / m[:, :, None]
-    gram += config.ridge_alpha * np.eye(len(columns))
-    cross = sxy[at] - sx[at] * sy[at][:, None] / m
-    beta = np.linalg.solve(gram, cross[:, :, None])[:, :, 0]
-    level = y_mid + (sy[at][:, None] / m)[:, 0]
-    predicted = np.maximum(0.0, level + ((xc[at] - sx[at] / m) * beta).sum(axis=1))
-    week = dict(zip(t.tolist(), series["week_index"].tolist()))
-    actual = dict(zip(t.tolist(), y.tolist()))
-    rows = [
-        (arm, entity, week[o], week[o + h], h, actual[o + h], p)
-        for o, p in zip(t[at].tolist(), predicted.tolist())
-        for h in range(1, config.horizon_weeks + 1) if o + h < n
-    ]
-    return pd.DataFrame(rows, columns=list(empty.columns))
+    moments = products - np.einsum("ti,tj->tij", sums[at], sums[at]) / m[:, :, None]
+    level, away = centre[-1] + sums[at][:, -1] / m[:, 0], zc[at] - sums[at] / m
+    parts = []
+    for arm, names in arms.items():
+        # Columns that are zero throughout have no part in the equations.
+        k = np.array([i for i, c in enumerate(columns) if c in names and seen[i]], int)
+        gram = moments[:, k][:, :, k] + config.ridge_alpha * np.eye(len(k))
+        beta = np.linalg.solve(gram, moments[:, k, -1][:, :, None])[:, :, 0]
+        predicted = np.maximum(0.0, level + (away[:, k] * beta).sum(axis=1))
+        for h in range(1, config.horizon_weeks + 1):
+            parts.append(pd.DataFrame({
+                "arm": arm, "entity_key": rows["entity_key"].iloc[at], "origin_week_index": rows["week_index"].iloc[at],
+                "horizon_week_index": rows[f"week_{h}"].iloc[at], "horizon": h, "actual": rows[f"actual_{h}"].iloc[at],
+                "predicted": predicted}))
+    return pd.concat(parts, ignore_index=True).dropna(subset=["actual"]).astype({"horizon_week_index": "int32"})
 
 
 def run_arms(
@@ -166,21 +186,32 @@ def run_arms(
     """Rolling-origin results of several arms in one job.
 
     ``arms`` maps a label to its feature table (None: history only).  ``columns`` may
-    restrict the model columns of an arm; columns it leaves out are zero there, which the
-    ridge penalty turns into a zero coefficient, so all arms share one layout.
+    restrict the model columns of an arm.  The history is windowed once, each feature table is
+    joined once, and all arms that read it are solved on the same moments.  A series is cut
+    into blocks of ``BLOCK`` weeks that are fitted apart: an associative scan over the blocks'
+    moments gives each the sums of the weeks before it.
     """
-    tabular = tabular_features(demand, config)
+    series = stage(tabular_features(demand, config).selectExpr(
+        "*", f"cast(t div {BLOCK} as int) as block",
+        *(f"lead(demand, {h}) over {_SERIES}) as actual_{h}" for h in range(1, config.horizon_weeks + 1)),
+        *(f"lead(week_index, {h}) over {_SERIES}) as week_{h}" for h in range(1, config.horizon_weeks + 1))))
     every = [*config.tabular_columns, *SIGNAL_COLUMNS, *DIRECTION_FLAGS]
-    parts = []
+    tables: list[tuple[DataFrame | None, dict[str, list[str]]]] = []
     for arm, features in arms.items():
-        rows = merge_signals(tabular, features)
-        wanted = set((columns or {}).get(arm, every))
-        parts.append(rows.selectExpr(
-            f"'{arm}' as arm", "entity_key", "t", "n", "week_index", "demand",
-            *(c if c in wanted else f"0.0D as {c}" for c in every)))
-    stacked = reduce(DataFrame.unionByName, parts)
-    fit = lambda pdf: _rolling_ridge(pdf, config, every)
-    return stacked.groupBy("arm", "entity_key").applyInPandas(fit, _RESULT)
+        own = next((held for table, held in tables if table is features), None)
+        if own is None:
+            own = {}
+            tables.append((features, own))
+        own[arm] = list((columns or {}).get(arm, every))
+    stacked = stage(reduce(DataFrame.unionByName, (
+        merge_signals(series, features).withColumn("source", F.lit(k)) for k, (features, _) in enumerate(tables))))
+    group = ["source", "entity_key", "block"]
+    earlier = stacked.where(f"t >= {config.first_training_week} and block < (n - 1) div {BLOCK}").select(*group, *every, "demand")
+    state = "source int, entity_key string, block int, count double, mean array<double>, spread array<double>"
+    prefixes = earlier.groupBy(*group).applyInPandas(lambda pdf: _moments(pdf, every), state).groupBy(*group[:2]).applyInPandas(_prefixes, state)
+    by_source = [held for _, held in tables]
+    fit = lambda key, rows, before: _fit_block(rows, before, config, every, by_source[key[0]])
+    return stacked.groupBy(*group).cogroup(prefixes.groupBy(*group)).applyInPandas(fit, _RESULT)
 
 
 def run_arm(demand: DataFrame, arm: str, features: DataFrame | None = None, config: ForecastConfig = ForecastConfig()) -> DataFrame:
@@ -210,25 +241,11 @@ def incremental_lift(baseline: str, enhanced: str) -> str:
     return f"if({baseline} = 0, 0.0D, ({baseline} - {enhanced}) / {baseline})"
 
 
-def _naive_scale_pooled(results: DataFrame, by: str) -> DataFrame:
-    """Mean absolute one-step difference over the pooled order (entity, origin, horizon).
-
-    The order runs across entities, so it is cut into ranges of neighbouring rows: each
-    range is differenced on its own, and the few range ends are joined up afterwards.
-    """
-    ranged = results.repartitionByRange(by, "entity_key", "origin_week_index", "horizon_week_index").selectExpr(
-        by, "entity_key", "origin_week_index", "horizon_week_index", "actual", "spark_partition_id() as part")
-    order = "order by entity_key, origin_week_index, horizon_week_index"
-    steps = ranged.selectExpr(
-        by, "part", "actual", "struct(entity_key, origin_week_index, horizon_week_index) as place",
-        f"abs(actual - lag(actual) over (partition by {by}, part {order})) as step")
-    parts = steps.groupBy(by, "part").agg(
-        F.sum("step").alias("steps"), F.count("step").alias("n_steps"),
-        F.min_by("actual", "place").alias("first"), F.max_by("actual", "place").alias("last"))
-    joined = parts.selectExpr(
-        by, "steps", "n_steps", f"abs(first - lag(last) over (partition by {by} order by part)) as seam")
-    return joined.groupBy(by).agg(F.expr(
-        "(coalesce(sum(steps), 0) + coalesce(sum(seam), 0)) / nullif(sum(n_steps) + count(seam), 0) as scale"))
+def _naive_scale_pooled(results: DataFrame, by: str, period: int) -> DataFrame:
+    """Mean absolute ``period``-step difference over the pooled order (entity, origin, horizon), across entities."""
+    place = ("entity_key", "origin_week_index", "horizon_week_index")
+    lagged = lag_in_order(results.select(by, *place, "actual"), (by,), place, "actual", period)
+    return lagged.groupBy(by).agg(F.expr("avg(abs(actual - before)) as scale"))
 
 
 def _naive_scale_per_entity(results: DataFrame, by: str, period: int) -> DataFrame:
@@ -245,7 +262,7 @@ def arm_metrics(
     """Per arm: MASE, MAE, signed bias, number of results, lift over the baseline arm.
 
     ``scale="pooled"`` differences all actuals of an arm in (entity, origin, horizon)
-    order; ``"per_entity"`` does not cross entities.  MASE is null where undefined, and
+    order, ``seasonal_period`` places apart; ``"per_entity"`` does not cross entities.  MASE is null where undefined, and
     the lift is null without a baseline or with a perfect one.
     """
     errors = results.groupBy(by).agg(
@@ -253,10 +270,10 @@ def arm_metrics(
         F.count(F.lit(1)).alias("n_origins"))
     if scale == "per_entity":
         scales = _naive_scale_per_entity(results, by, seasonal_period)
-    elif scale == "pooled" and seasonal_period == 1:
-        scales = _naive_scale_pooled(results, by)
+    elif scale == "pooled":
+        scales = _naive_scale_pooled(results, by, seasonal_period)
     else:
-        raise ValueError("scale must be 'pooled' (one-step) or 'per_entity'")
+        raise ValueError("scale must be 'pooled' or 'per_entity'")
     joined = errors.join(scales, by)
     base = f"max(if({by} = '{baseline}', mae, null)) over ()" if baseline else "cast(null as double)"
     return joined.selectExpr("*", f"{base} as base_mae").selectExpr(

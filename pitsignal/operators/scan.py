@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pitsignal.staging import stage
 
 HOUR_US = 3_600_000_000
 
@@ -33,3 +36,31 @@ def running_before(
         f"coalesce(in_{c}, 0L) {'+' if how == 'sum' else '^'} coalesce(off_{c}, 0L) as before_{c}")
     return inside.join(offsets, [*keys, "block"]).selectExpr(
         *columns, *(combine(c, how) for c, how in measures))
+
+
+def lag_in_order(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, steps: int) -> DataFrame:
+    """Add ``before``: the ``value`` of the row ``steps`` places earlier in the group's order; null where there is none.
+
+    The rows are cut into ranges of the order.  Places run through all ranges of a group, and a
+    range gets, besides its own rows, copies of the rows ``steps`` places before them that lie in
+    other ranges: at most ``steps`` a range, so a group of any size is looked up range by range.
+    Names that begin with an underscore are used on the way.
+    """
+    by, along = ", ".join(keys), ", ".join(order)
+    ranged = stage(rows.repartitionByRange(*keys, *order).selectExpr("*", "spark_partition_id() as _part"))
+    counts = ranged.groupBy(*keys, "_part").count().selectExpr(
+        *keys, "_part", f"sum(count) over (partition by {by} order by _part) as _stop", "count")
+    starts = counts.selectExpr(*keys, "_part", "_stop - count as _offset", "_stop")
+    placed = ranged.selectExpr("*", f"row_number() over (partition by {by}, _part order by {along}) as _inside").join(
+        starts, [*keys, "_part"]).selectExpr(*keys, "_part", *(c for c in rows.columns if c not in keys), "_offset + _inside as _place", "_stop")
+    # A copy goes to the last range that starts before the place it is looked up from.
+    looked_up = placed.where(f"_place + {steps} > _stop").selectExpr(*keys, f"_place + {steps} as _at", "cast(null as int) as _part", "_place", value)
+    borders = starts.selectExpr(*keys, "_offset + 1 as _at", "_part", "cast(null as bigint) as _place", f"cast(null as {dict(rows.dtypes)[value]}) as {value}")
+    copies = borders.unionByName(looked_up).selectExpr(
+        *keys, "_place", value, f"max(_part) over (partition by {by} order by _at range between unbounded preceding and current row) as _part",
+    ).where("_place is not null")
+    own = placed.drop("_stop").withColumn("_own", F.lit(True))
+    every = own.unionByName(copies.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    found = every.selectExpr(
+        *rows.columns, "_own", f"max({value}) over (partition by {by}, _part order by _place range between {steps} preceding and {steps} preceding) as before")
+    return found.where("_own").drop("_own")

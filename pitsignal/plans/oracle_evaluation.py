@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pitsignal.operators.integrity import FOLDED
 from pitsignal.plans.oracle_extraction import SIGNAL_CTE, TRUTH
 
 _CHANNEL = """CASE WHEN {t} = 'SUPPLY_FULFILLMENT' THEN 'FULFILLMENT' WHEN {t} IN ({none}) THEN 'UNKNOWN' ELSE 'DEMAND' END"""
@@ -150,9 +149,8 @@ _CASE_RULES = (
     ("span outside its own text", "k % 13 = 0"),
 )
 
-_FOLD = "lower(text)"
-for _letter, _spelled in FOLDED:
-    _FOLD = f"replace({_FOLD}, '{_letter}', '{_spelled}')"
+# The one letter of the tables that folds otherwise than it lower-cases.
+_FOLD = "replace(lower(text), 'ß', 'ss')"
 
 
 ORACLE = {

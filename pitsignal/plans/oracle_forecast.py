@@ -74,6 +74,20 @@ SELECT m.entity_key, m.origin, CAST(h.h AS BIGINT) AS horizon, d.demand AS actua
   round(greatest(0, my + sxy / (sxx + 1) * (x.lag_1 - mx)), 4) AS predicted
 FROM m JOIN tab x ON x.entity_key = m.entity_key AND x.t = m.origin CROSS JOIN (VALUES (1), (2), (3), (4)) h(h)
 JOIN demand d ON d.entity_key = m.entity_key AND d.week_index = m.origin + h.h""",
+    "ridge_two_features": f"""WITH {_TABULAR},
+mo AS (SELECT f.entity_key, f.origin, avg(b.lag_1) AS mx, avg(b.rolling_mean_4) AS mz, avg(b.demand) AS my, count(*) AS m,
+    var_pop(b.lag_1) AS xx, var_pop(b.rolling_mean_4) AS zz, covar_pop(b.lag_1, b.rolling_mean_4) AS xz,
+    covar_pop(b.demand, b.lag_1) AS xy, covar_pop(b.demand, b.rolling_mean_4) AS zy
+  FROM fit f JOIN tab b ON b.entity_key = f.entity_key AND b.t >= 30 AND b.t < f.origin GROUP BY ALL),
+s AS (SELECT *, (m * xx + 1) * (m * zz + 1) - m * xz * m * xz AS det FROM mo)
+SELECT s.entity_key, s.origin, CAST(h.h AS BIGINT) AS horizon, d.demand AS actual, round(greatest(0, my
+    + (s.m * xy * (s.m * zz + 1) - s.m * zy * s.m * xz) / det * (x.lag_1 - mx)
+    + ((s.m * xx + 1) * s.m * zy - s.m * xz * s.m * xy) / det * (x.rolling_mean_4 - mz)), 4) AS predicted
+FROM s JOIN tab x ON x.entity_key = s.entity_key AND x.t = s.origin CROSS JOIN (VALUES (1), (2), (3), (4)) h(h)
+JOIN demand d ON d.entity_key = s.entity_key AND d.week_index = s.origin + h.h""",
+    "arm_metrics_pooled_4": f"""WITH {_ARMS}, s4 AS (SELECT arm, avg(step) AS scale FROM (
+  SELECT arm, abs(actual - lag(actual, 4) OVER (PARTITION BY arm ORDER BY entity_key, origin, h)) AS step FROM res) GROUP BY arm)
+SELECT arm, round(mae / scale, 6) AS mase, CAST(n_origins AS BIGINT) AS n_origins FROM err JOIN s4 USING (arm)""",
     "arm_metrics": f"""WITH {_ARMS} SELECT arm, round(mase, 6) AS mase, round(mae, 6) AS mae, round(bias, 6) AS bias,
   CAST(n_origins AS BIGINT) AS n_origins, round((base - mae) / base, 6) AS incremental_lift_vs_a FROM met""",
     "arm_metrics_per_entity": f"""WITH {_ARMS}, s4 AS (SELECT arm, avg(step) AS scale FROM (

@@ -58,6 +58,15 @@ SELECT change, CAST(count(*) AS BIGINT) AS signals FROM d WHERE change IS NOT NU
     "horizon_breakdown": f"""WITH {_ARMS}, g AS (SELECT arm, h, avg(abs(actual - predicted)) AS mae, avg(predicted - actual) AS bias, count(*) AS n FROM res GROUP BY ALL)
 SELECT g.arm, CAST(g.h AS BIGINT) AS horizon, round(g.mae, 6) AS mae, round(g.bias, 6) AS bias, CAST(g.n AS BIGINT) AS n_origins,
   round((b.mae - g.mae) / b.mae, 6) AS lift FROM g JOIN g b ON b.arm = 'A' AND b.h = g.h""",
+    "breakdown_cube": f"""WITH {_ARMS}, r AS (SELECT arm, CAST(h AS BIGINT) AS horizon, r_name AS segment, actual, predicted
+  FROM res JOIN nation ON n_name = res.entity_key JOIN region ON r_regionkey = n_regionkey),
+g AS (SELECT arm, horizon, segment, 0 AS level, * EXCLUDE (arm, horizon, segment) FROM r
+  UNION ALL SELECT arm, horizon, NULL, 1, actual, predicted FROM r UNION ALL SELECT arm, NULL, segment, 2, actual, predicted FROM r
+  UNION ALL SELECT arm, NULL, NULL, 3, actual, predicted FROM r),
+e AS (SELECT arm, horizon, segment, level, avg(abs(actual - predicted)) AS mae, avg(predicted - actual) AS bias, count(*) AS n FROM g GROUP BY ALL)
+SELECT e.arm, e.horizon, e.segment, CAST(e.level AS BIGINT) AS level, round(e.mae, 6) AS mae, round(e.bias, 6) AS bias,
+  CAST(e.n AS BIGINT) AS n_origins, round((b.mae - e.mae) / b.mae, 6) AS lift
+FROM e JOIN e b ON b.arm = 'A' AND b.level = e.level AND b.horizon IS NOT DISTINCT FROM e.horizon AND b.segment IS NOT DISTINCT FROM e.segment""",
     "bootstrap_lift": f"""WITH {_ARMS}, pair AS (SELECT x.arm, x.entity_key, sum(abs(b.actual - b.predicted)) AS base, sum(abs(x.actual - x.predicted)) AS loss
   FROM res x JOIN res b ON b.arm = 'A' AND b.entity_key = x.entity_key AND b.origin = x.origin AND b.h = x.h WHERE x.arm <> 'A' GROUP BY ALL),
 drawn AS (SELECT arm, b, base, loss, CAST('0x' || substr(md5('7|' || CAST(b AS VARCHAR) || '|' || entity_key), 1, 8) AS BIGINT) / 4294967296 AS u

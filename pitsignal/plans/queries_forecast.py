@@ -82,6 +82,18 @@ def simple_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "round(incremental_lift_vs_a, 6) as incremental_lift_vs_a")
 
 
+def ridge_two_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling ridge with two columns, solved by Cramer's rule in its check."""
+    return run_arms(weekly_demand(spark, sf_dir), {"A": None}, columns={"A": ["lag_1", "rolling_mean_4"]}).selectExpr(
+        "entity_key", "cast(origin_week_index as bigint) as origin", "cast(horizon as bigint) as horizon", "actual",
+        "round(predicted, 4) as predicted")
+
+
+def simple_metrics_pooled_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arm_metrics(_simple_arms(spark, sf_dir), seasonal_period=4).selectExpr(
+        "arm", "round(mase, 6) as mase", "n_origins")
+
+
 def simple_metrics_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arm_metrics(_simple_arms(spark, sf_dir), scale="per_entity", seasonal_period=4).selectExpr(
         "arm", "round(mase, 6) as mase", "n_origins")
@@ -127,7 +139,9 @@ QUERIES = {
     "merged_features": merged,
     "origin_schedule": schedule,
     "ridge_one_feature": ridge_one_feature,
+    "ridge_two_features": ridge_two_features,
     "arm_metrics": simple_metrics,
+    "arm_metrics_pooled_4": simple_metrics_pooled_4,
     "arm_metrics_per_entity": simple_metrics_per_entity,
     "decision_branch": simple_decision,
     "forecast_arms": forecast_arms,

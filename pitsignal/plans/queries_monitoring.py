@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitsignal.operators import comparison, monitor
 from pitsignal.plans.queries_extraction import CLOCK, order_signals
@@ -86,6 +87,16 @@ def horizon_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         "round(lift, 6) as lift")
 
 
+def breakdown_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by horizon, by the region of the nation, by both and overall."""
+    regions = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("n_name as entity_key", "r_name as segment")
+    results = _simple_arms(spark, sf_dir).join(regions, "entity_key").withColumn("horizon", F.col("horizon").cast("bigint"))
+    return comparison.breakdown_cube(results, ("horizon", "segment")).selectExpr(
+        "arm", "horizon", "segment", "cast(level as bigint) as level", "round(mae, 6) as mae", "round(bias, 6) as bias", "n_origins",
+        "round(lift, 6) as lift")
+
+
 def paired_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.paired_losses(_simple_arms(spark, sf_dir)).groupBy("arm").agg({"gain": "avg", "*": "count"}).selectExpr(
         "arm", "round(`avg(gain)`, 6) as mean_gain", "`count(1)` as pairs")
@@ -118,6 +129,7 @@ QUERIES = {
     "rolling_correlation": signal_correlation,
     "reprocessing_diff": reprocessing_diff,
     "horizon_breakdown": horizon_breakdown,
+    "breakdown_cube": breakdown_cube,
     "paired_losses": paired_losses,
     "bootstrap_lift": bootstrap_lift,
     "ablations": ablations,

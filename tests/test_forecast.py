@@ -2,10 +2,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pitsignal.operators.comparison import bootstrap_lift, breakdown, paired_losses
+from pitsignal.operators import forecast
+from pitsignal.operators.comparison import bootstrap_lift, breakdown, breakdown_cube, paired_losses
 from pitsignal.operators.forecast import (
     SIGNAL_COLUMNS, ForecastConfig, arm_metrics, decision, merge_signals, run_arms, tabular_features,
 )
+from pitsignal.operators.scan import lag_in_order
 
 CONFIG = ForecastConfig(train_weeks=40, horizon_weeks=2, min_origins=5)
 
@@ -161,3 +163,42 @@ def test_comparisons(spark):
     assert paired.count() == 80 and {r[0] for r in paired.select("gain").collect()} == {1.0}
     band = bootstrap_lift(paired, replicates=50).first()
     assert (band["lift_low"], band["lift_mid"], band["lift_high"]) == (0.5, 0.5, 0.5)
+
+
+@pytest.mark.parametrize("block", [7, 16, 30])
+def test_blocks_of_a_series_equal_refitting(spark, monkeypatch, block):
+    monkeypatch.setattr(forecast, "BLOCK", block)
+    pdf = demand_pandas(entities=2, level=1e5, seed=5)
+    signals, frame = feature_frame(spark, pdf)
+    columns = {"B": ("lag_1", "rolling_mean_4", "signal_count_30d")}
+    got = run_arms(demand_frame(spark, pdf), {"A": None, "B": frame, "C": frame}, CONFIG, columns=columns).toPandas()
+    for arm, extra in (("A", None), ("C", signals)):
+        want = direct_ridge(pdf, CONFIG, extra)
+        mine = {(r.entity_key, r.origin_week_index, r.horizon_week_index): (r.actual, r.predicted) for r in got[got.arm == arm].itertuples()}
+        assert mine.keys() == want.keys()
+        assert all(mine[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    alone = run_arms(demand_frame(spark, pdf), {"B": frame}, CONFIG, columns=columns).toPandas()
+    key = ["entity_key", "origin_week_index", "horizon"]
+    b = got[got.arm == "B"].sort_values(key)["predicted"].to_numpy()
+    assert len(b) and b == pytest.approx(alone.sort_values(key)["predicted"].to_numpy(), rel=1e-9)
+
+
+@pytest.mark.parametrize("steps", [1, 3, 40])
+def test_pooled_lag_over_ranges(spark, steps):
+    rng = np.random.default_rng(steps)
+    pdf = pd.DataFrame({"arm": rng.choice(["A", "B"], 300, p=[0.9, 0.1]), "place": rng.permutation(300), "v": rng.normal(size=300)})
+    got = lag_in_order(spark.createDataFrame(pdf).repartition(4), ("arm",), ("place",), "v", steps).toPandas()
+    want = pdf.sort_values("place").assign(before=lambda d: d.groupby("arm")["v"].shift(steps))
+    a, b = (d.sort_values("place")[["place", "v", "before"]].to_numpy() for d in (got, want))
+    assert np.array_equal(a, b, equal_nan=True)
+
+
+def test_breakdown_cube_holds_every_breakdown(spark):
+    rows = [(a, h, s, float(i % 7), float(i % 5)) for i, (a, h, s) in enumerate((a, h, s) for a in "AB" for h in (1, 2) for s in "xyx" for _ in range(3))]
+    results = spark.createDataFrame(rows, "arm string, horizon int, segment string, actual double, predicted double")
+    cube = breakdown_cube(results, ("horizon", "segment"))
+    for level, keys in ((0, ("horizon", "segment")), (1, ("horizon",)), (2, ("segment",))):
+        one = breakdown(results, keys)
+        assert cube.where(f"level = {level}").select(one.columns).exceptAll(one).count() == 0
+        assert cube.where(f"level = {level}").count() == one.count()
+    assert cube.where("level = 3").count() == 2

@@ -1,6 +1,7 @@
 """Cases that once gave wrong answers."""
 
 import json
+import sys
 
 import pytest
 
@@ -69,3 +70,10 @@ def test_alerts_need_neighbouring_windows(spark):
 def test_texts_are_case_folded(spark, text):
     got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{integrity.normalized_text('t')} as n").first()["n"]
     assert got == " ".join(text.casefold().split())
+
+
+def test_case_folding_of_every_code_point(spark):
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(letters[at:at + 1000]) for at in range(0, len(letters), 1000)] + [c for c in letters if len(c.casefold()) > 1] + ["ΑΣ ΟΔΟΣ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{integrity.case_folded('t')} as f").collect()
+    assert all(r["f"] == r["t"].casefold() for r in got) and len(got) == len(texts)
