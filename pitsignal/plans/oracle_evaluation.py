@@ -153,7 +153,14 @@ _CASE_RULES = (
 _FOLD = "replace(lower(text), 'ß', 'ss')"
 
 
+_LANES = ", ".join(f"CAST(CAST('0x' || substr(d{i // 4}, {16 * (i % 4) + 1}, 16) AS UBIGINT) AS HUGEINT) AS l{i}" for i in range(8))
+_LANE_SUMS = " || ':' || ".join(f"CAST(sum(l{i}) % 18446744073709551616 AS VARCHAR)" for i in range(8))
+
 ORACLE = {
+    "dataset_fingerprint": f"""WITH r AS (SELECT coalesce(lang, '') AS lang,
+  concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(lang, ''), source, CAST(n_chars AS VARCHAR), text) AS row FROM documents),
+d AS (SELECT lang, sha256(row) AS d0, sha256('+' || row) AS d1 FROM r), l AS (SELECT lang, {_LANES} FROM d)
+SELECT lang, CAST(count(*) AS BIGINT) AS n, sha256(CAST(count(*) AS VARCHAR) || ':' || {_LANE_SUMS}) AS fingerprint FROM l GROUP BY lang""",
     "classification_report": f"""WITH {_classes('sample, label_status,')}
 SELECT sample, label_status, metric, label, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
   round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM pc""",

@@ -9,6 +9,7 @@ from pitsignal.operators import integrity, scoring
 from pitsignal.plans.evaluation import COHORT, run_evaluation
 from pitsignal.plans.queries_extraction import order_signals
 from pitsignal.sources.derived import cases_from_orders, customer_master
+from pitsignal.sources.sinks import multiset_fingerprint
 from pitsignal.sources.tables import table
 from pitsignal.staging import stage
 
@@ -32,6 +33,13 @@ def noisy_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.union(again).drop("k")
 
 
+def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of the documents of each language, whatever the order and the files of their rows."""
+    rows = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
+    row = "concat_ws('|', cast(doc_id as string), lang, source, cast(n_chars as string), text)"
+    return multiset_fingerprint(rows, row, ("lang",))
+
+
 def scored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(scoring.score_cases(
         labelled(spark, sf_dir), stage(noisy_predictions(spark, sf_dir)), cohort=COHORT))
@@ -132,6 +140,7 @@ def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "dataset_fingerprint": dataset_fingerprint,
     "classification_report": classification_report,
     "classification_summary": classification_summary,
     "field_metrics": field_metrics,

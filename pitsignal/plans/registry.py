@@ -12,7 +12,9 @@ def _collect(prefix: str, attribute: str) -> dict:
     for family in _FAMILIES:
         try:
             module = import_module(f"pitsignal.plans.{prefix}_{family}")
-        except ModuleNotFoundError:
+        except ModuleNotFoundError as missing:
+            if missing.name != f"pitsignal.plans.{prefix}_{family}":
+                raise
             continue
         found.update(getattr(module, attribute))
     return found
