@@ -24,7 +24,7 @@ def test_names_and_entry():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "mixing_sources", "sharding"]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_one_document_of_each_component_stays(spark):
