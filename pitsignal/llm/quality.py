@@ -21,7 +21,6 @@ of label 1 (0.5 without any).
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,13 +32,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from pitsignal.llm.common import new_folder, pack, unpack, worker_store
 from pitsignal.shipping import ship_by_value
 
 SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
 SEEN, MAX_TRAIN, MEMO = 5, 6_000, 80_000
-HELD, WINDOW, ROWS = 300_000, 50_000, 64  # words kept between flushes, words handled at once, rows of a block
+HELD, WINDOW, ROWS = 300_000, 150_000, 64  # words kept between flushes, words handled at once, rows of a block
 BITS = 1 << 25  # of the set that tells frequent words; with more words it lets more rare ones through
 ROW = np.dtype([("h", "<i8"), ("v", "<f2", (LEARNED,))])
 MAX_WORD = 48  # characters; a longer word counts as several, see words_of
@@ -79,7 +79,7 @@ class Speller:
     """Vectors of words from their own characters, many words at a time."""
 
     def __init__(self) -> None:
-        self.table = index_table(SLOTS, SPELLED, 11)
+        self.table = index_table(SLOTS, SPELLED, 11).astype(np.int16)
         self.classes = _classes()
 
     def vectors(self, words: list[str]) -> np.ndarray:
@@ -87,17 +87,18 @@ class Speller:
         for at in range(0, len(words), 4_000):
             part = [f"\x02{w}\x03" for w in words[at:at + 4_000]]
             points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-            ends = np.cumsum([len(p) for p in part])
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
             shape = self.classes[np.minimum(points, 0x250)]
-            n = np.diff(ends, prepend=0) - 2
-            first = np.concatenate([[0], ends[:-1]])
-            within = np.ones(len(points), bool)
-            within[ends - 1] = within[ends - 2] = False
-            places = np.flatnonzero(within)
-            slot = lambda x, mul: (((x[places] * mul + x[places + 1]) * mul + x[places + 2]) * 0x9E3779B1 >> 7) % SLOTS
-            each = self.table[slot(points, 8191)] + self.table[(slot(shape, 131) + 17) % SLOTS]
-            starts = np.searchsorted(places, first)
-            out[at:at + 4_000] = np.add.reduceat(each, starts, axis=0) / np.sqrt(n)[:, None]
+            slot = lambda x, mul: (((x[:-2] * mul + x[1:-1]) * mul + x[2:]) * 0x9E3779B1 >> 7) % SLOTS
+            spelled, shaped = slot(points, 8191), (slot(shape, 131) + 17) % SLOTS
+            order = np.argsort(-sizes, kind="stable")
+            first, n = (np.cumsum(sizes) - sizes)[order], sizes[order] - 2
+            total = np.zeros((len(part), SPELLED), np.int16)
+            longer = np.searchsorted(-n, -np.arange(int(n[0])))  # words with a trigram at each place
+            for k, m in enumerate(longer.tolist()):
+                total[:m] += self.table[spelled[first[:m] + k]]
+                total[:m] += self.table[shaped[first[:m] + k]]
+            out[at + order] = total / np.sqrt(n, dtype=np.float32)[:, None]
         return out
 
 
@@ -119,10 +120,13 @@ class Model:
         return np.round(sigmoid(logits((x - self.centre) / self.scale, self.layers) / self.temperature), 9)
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes that stand for words."""
-    joined = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
-    return np.frombuffer(joined, "<i8")
+def coded(words: list[str]) -> list[bytes]:
+    return [w.encode("utf-8", "surrogatepass") for w in words]
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes that stand for words, given in UTF-8."""
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 class Vectors:
@@ -145,7 +149,7 @@ class Vectors:
         out = np.zeros((len(words), LEARNED), np.float32)
         if not self.files or not words:
             return out
-        asked = hashes(words)
+        asked = hashes(coded(words))
         order = np.argsort(asked)
         asked = asked[order]
         ends = np.append(np.searchsorted(asked, self.starts[1:]), len(asked))
@@ -204,7 +208,7 @@ class Pooler:
         """Rows of ``out`` for some documents, whose new words are looked up together."""
         if len(self.rows) > MEMO:
             self.clear()
-        fresh = list(dict.fromkeys(w for counts in documents.values() for w in counts if w not in self.rows))
+        fresh = list(set().union(*documents.values()).difference(self.rows))
         if fresh:
             self._learn(fresh)
         for k, counts in documents.items():
@@ -268,47 +272,76 @@ class Contexts:
     """
 
     def __init__(self, bits: np.ndarray) -> None:
-        self.table, self.bits = index_table(SLOTS, LEARNED, 23), bits
+        # A row of zeros at the end stands between texts.
+        self.table = np.vstack([index_table(SLOTS, LEARNED, 23), np.zeros((1, LEARNED))]).astype(np.int8)
+        self.bits = bits
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.slots, self.owns, self.known = [], [], []
+        self.places: dict[str, int] = {"": 0}  # no word is empty: the gap between texts
+        self.slots, self.owns = np.full(4_096, SLOTS, np.int32), np.full(4_096, -1, np.int32)
+        self.known: list[np.ndarray] = []
+        self.n_known = 0
         self.sums, self.counts = np.zeros((4_096, LEARNED), np.int64), np.zeros(4_096, np.int64)
 
-    def add(self, words: list[str], before: int, after: int) -> None:
-        """Count ``words`` but for the first ``before`` and the last ``after``, which are neighbours only."""
-        fresh = [w for w in set(words) if w not in self.places]
-        if fresh:
-            self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
-            self.slots += [zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in fresh]
-            h = hashes(fresh)
-            frequent = holds(self.bits, h)
-            at = np.cumsum(frequent) - 1 + len(self.known)
-            self.owns += np.where(frequent, at, -1).tolist()
-            self.known += h[frequent].tolist()
-        while len(self.known) > len(self.sums):
+    def _meet(self, fresh: list[str]) -> None:
+        at, need = len(self.places), len(self.places) + len(fresh)
+        while need > len(self.slots):
+            self.slots, self.owns = np.concatenate([self.slots, self.slots]), np.concatenate([self.owns, self.owns])
+        self.places.update(zip(fresh, range(at, need)))
+        words = coded(fresh)
+        self.slots[at:need] = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % SLOTS
+        h = hashes(words)
+        frequent = holds(self.bits, h)
+        self.owns[at:need] = np.where(frequent, np.cumsum(frequent) - 1 + self.n_known, -1)
+        self.known.append(h[frequent])
+        self.n_known += len(self.known[-1])
+        while self.n_known > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+
+    def add(self, parts: list[tuple[list[str], int, int]]) -> None:
+        """Count the words of each part but for its first ``before`` and last ``after``, which are neighbours only."""
+        words: list[str] = []
+        neighbours: list[int] = []
+        for part, before, after in parts:
+            neighbours += range(len(words), len(words) + before)
+            words += part
+            neighbours += range(len(words) - after, len(words))
+            words += ("", "")
+        fresh = [w for w in set(words) if w not in self.places]
+        if fresh:
+            self._meet(fresh)
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        near = self.table[np.fromiter(map(self.slots.__getitem__, at.tolist()), np.int64, len(at))]
-        around = np.zeros_like(near)
+        near = self.table[self.slots[at]]
+        around = np.zeros_like(near)  # at most 16 each way: four neighbours of at most 4
         for d in (1, 2):
             around[d:] += near[:-d]
             around[:-d] += near[d:]
-        inner = slice(before, len(words) - after)
-        at = np.fromiter(map(self.owns.__getitem__, at[inner].tolist()), np.int64, len(words) - before - after)
-        at, around = at[at >= 0], around[inner][at >= 0]
-        if not len(at):
+        own = self.owns[at]
+        own[neighbours] = -1
+        order = np.argsort(own, kind="stable")
+        order = order[np.searchsorted(own, 0, sorter=order):]
+        if not len(order):
             return
-        order = np.argsort(at, kind="stable")
-        own, first = np.unique(at[order], return_index=True)
-        self.sums[own] += np.add.reduceat(around[order], first, axis=0).astype(np.int64)
-        self.counts[own] += np.diff(first, append=len(at))
+        own = own[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        own, n = own[first], np.diff(first, append=len(order))
+        by_n = np.argsort(-n, kind="stable")
+        own, first, n = own[by_n], first[by_n], n[by_n]
+        around = around[order]
+        total = np.zeros((len(own), LEARNED), np.int32)
+        for k in range(int(min(n[0], 8))):  # the first occurrences of all words together, the rest by word
+            m = np.searchsorted(-n, -k)
+            total[:m] += around[first[:m] + k]
+        for j in range(int(np.searchsorted(-n, -8))):
+            total[j] += around[first[j] + 8:first[j] + n[j]].sum(axis=0, dtype=np.int32)
+        self.sums[own] += total
+        self.counts[own] += n
 
     def flush(self, shards: int) -> Iterator[pa.RecordBatch]:
         """The sums so far, cut by ranges of the hash: a packed table of sorted words per range."""
-        h = np.array(self.known, np.int64)
+        h = np.concatenate([np.zeros(0, np.int64), *self.known])
         order = np.argsort(h)
         h, sums, counts = h[order], self.sums[order], self.counts[order]
         cuts = np.searchsorted(range_of(h, shards), np.arange(shards + 1))
@@ -345,7 +378,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(counts)
         for at in range(0, len(words), 10_000):
             part = words[at:at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(part)), pa.array([counts[w] for w in part], pa.int64())], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(coded(part))), pa.array([counts[w] for w in part], pa.int64())], ["h", "n"])
         counts.clear()
 
     for batch in batches:
@@ -372,14 +405,23 @@ def _context_sums(bits: np.ndarray, shards: int):
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Contexts(bits)
+        parts: list[tuple[list[str], int, int]] = []
+        held = 0
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 for at in range(0, len(words), WINDOW):
-                    lo, hi = max(0, at - 2), min(len(words), at + WINDOW + 2)
-                    found.add(words[lo:hi], at - lo, hi - min(len(words), at + WINDOW))
-                    if len(found.places) > HELD:
-                        yield from found.flush(shards)
+                    lo, end = max(0, at - 2), min(len(words), at + WINDOW)
+                    hi = min(len(words), end + 2)
+                    parts.append((words[lo:hi], at - lo, hi - end))
+                    held += hi - lo
+                    if held >= WINDOW:
+                        found.add(parts)
+                        parts, held = [], 0
+                        if len(found.places) > HELD:
+                            yield from found.flush(shards)
+        if parts:
+            found.add(parts)
         yield from found.flush(shards)
 
     return sums
