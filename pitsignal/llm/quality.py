@@ -136,6 +136,11 @@ class Vectors:
         self.files = sorted(((np.frombuffer(f, "<i8"), path, n) for path, n, f in files), key=lambda x: int(x[0][0]))
         self.starts = np.array([f[0] for f, _, _ in self.files], np.int64)
         self.open: dict[str, object] = {}
+        self.bits = read_bits(files[0][0].rpartition("/")[0]) if files else None
+
+    def frequent(self, h: np.ndarray) -> np.ndarray:
+        """Whether the words of these hashes may have a learned half; nearly all others are told apart."""
+        return holds(self.bits, h) if self.files else np.zeros(len(h), bool)
 
     def _read(self, path: str, at: int, rows: int) -> np.ndarray:
         if path not in self.open:
@@ -146,10 +151,12 @@ class Vectors:
         return np.frombuffer(self.open[path].read_at(rows * ROW.itemsize, at * ROW.itemsize), ROW)
 
     def of(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), LEARNED), np.float32)
-        if not self.files or not words:
+        return self.of_hashes(hashes(coded(words)))
+
+    def of_hashes(self, asked: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(asked), LEARNED), np.float32)
+        if not self.files or not len(asked):
             return out
-        asked = hashes(coded(words))
         order = np.argsort(asked)
         asked = asked[order]
         ends = np.append(np.searchsorted(asked, self.starts[1:]), len(asked))
@@ -171,7 +178,7 @@ class Vectors:
 
 
 class Pooler:
-    """Documents to feature rows; remembers the vectors of ``MEMO`` words."""
+    """Documents to feature rows; remembers the vectors of ``MEMO`` frequent words, others while they are used."""
 
     def __init__(self, files: list[tuple[str, int, bytes]]) -> None:
         self.speller, self.vectors = Speller(), Vectors(files)
@@ -181,12 +188,17 @@ class Pooler:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((4_096, SPELLED + LEARNED), np.float32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, fresh: list[str], h: np.ndarray, often: np.ndarray) -> None:
+        """Rows for new words, the frequent ones first."""
+        order = np.argsort(~often, kind="stable")
+        words = [fresh[i] for i in order.tolist()]
         at, need = len(self.rows), len(self.rows) + len(words)
         while need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        n = int(often.sum())
         self.table[at:need, :SPELLED] = self.speller.vectors(words)
-        self.table[at:need, SPELLED:] = self.vectors.of(words)
+        self.table[at:at + n, SPELLED:] = self.vectors.of_hashes(h[order[:n]])
+        self.table[at + n:need, SPELLED:] = 0
         self.rows.update(zip(words, range(at, need)))
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
@@ -209,8 +221,9 @@ class Pooler:
         if len(self.rows) > MEMO:
             self.clear()
         fresh = list(set().union(*documents.values()).difference(self.rows))
-        if fresh:
-            self._learn(fresh)
+        h = hashes(coded(fresh))
+        often = self.vectors.frequent(h)
+        self._learn(fresh, h, often)
         for k, counts in documents.items():
             at = np.fromiter(map(self.rows.__getitem__, counts), np.int64, len(counts))
             weight = np.fromiter(counts.values(), np.float32, len(counts))
@@ -223,6 +236,8 @@ class Pooler:
             mean = total[0] / n
             spread = np.sqrt(np.maximum(total[1] / n - mean * mean, 0))
             out[k] = np.concatenate([mean, spread, [np.log1p(n), len(counts) / n]])
+        for i in np.flatnonzero(~often).tolist():
+            del self.rows[fresh[i]]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -370,6 +385,24 @@ def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[first >> 6] >> (first & 63)) & (bits[second >> 6] >> (second & 63)) & 1).astype(bool)
 
 
+def write_bits(folder: str, bits: np.ndarray) -> None:
+    """Keep the bit set beside the vectors, where every worker reads it once."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/words.bits", compression=None) as sink:
+        sink.write(pack(bits))
+
+
+def read_bits(folder: str) -> np.ndarray:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/words.bits", compression=None) as source:
+        return unpack(source.read())[0]
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts by word of the texts of one task; a word comes again after each ``HELD`` words."""
     counts: Counter = Counter()
@@ -474,7 +507,9 @@ def learned_vectors(texts: DataFrame) -> list[tuple[str, int, bytes]]:
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [len(h)], "firsts": [h[::ROWS].tobytes()]},
                                              schema=pa.schema([("file", pa.string()), ("n", pa.int64()), ("firsts", pa.binary())]))
 
-    sums = texts.mapInArrow(_context_sums(frequent_words(texts), shards), "shard int, data binary")
+    bits = frequent_words(texts)
+    write_bits(folder, bits)
+    sums = texts.mapInArrow(_context_sums(bits, shards), "shard int, data binary")
     got = sums.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
         write, "file string, n long, firsts binary").collect()  # 8 bytes for 64 words
     return [(r.file, r.n, bytes(r.firsts)) for r in got]
