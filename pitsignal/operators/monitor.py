@@ -105,17 +105,85 @@ def alerts(checks: DataFrame, *, min_effect: float) -> DataFrame:
         "immediate or fired and coalesce(before and part - part_before = 1, false) as alert", "immediate as critical")
 
 
+def degradation(losses: DataFrame, *, slack: float, threshold: float, persist: int = 2) -> DataFrame:
+    """feature, part: the window in which a lasting rise of the loss is confirmed; no row without one.
+
+    ``losses``: feature, part, loss, where 0 is the reference level.  The statistic is the
+    cumulative sum of (loss - slack) that starts again from 0 whenever it would fall below:
+    the running sum less its own running minimum, so a window expression instead of a loop.
+    Confirmed is the ``persist``-th consecutive window (of consecutive parts) above ``threshold``.
+    """
+    so_far = "over (partition by feature order by part rows unbounded preceding)"
+    sums = losses.where("loss is not null and not isnan(loss)").selectExpr(
+        "feature", "part", f"sum(loss - {slack}D) {so_far} as running")
+    above = sums.selectExpr("feature", "part", f"running - least(0D, min(running) {so_far}) as statistic").where(
+        f"statistic > {threshold}D")
+    islands = above.selectExpr("feature", "part", "part - row_number() over (partition by feature order by part) as island")
+    runs = islands.selectExpr("feature", "part", "row_number() over (partition by feature, island order by part) as run")
+    return runs.where(f"run = {persist}").groupBy("feature").agg(F.min("part").alias("part"))
+
+
 def lead_time(alert_rows: DataFrame, degraded: DataFrame) -> DataFrame:
-    """Windows between the first alert of each feature and the confirmed degradation.
+    """Windows between the first alert of each feature and its confirmed degradation.
 
-    ``degraded``: one row with ``part``, the window in which it was confirmed.
+    ``degraded``: feature, part.  A feature with only one of the two has no lead; a negative
+    lead is an alert that came after the degradation.
     """
     first = alert_rows.where("alert").groupBy("feature").agg(F.min("part").alias("first_alert"))
-    confirmed = degraded.selectExpr("min(part)").scalar()
-    return first.withColumn("confirmed", confirmed).selectExpr(
+    return first.join(degraded.withColumnRenamed("part", "confirmed"), "feature", "full_outer").selectExpr(
         "feature", "first_alert", "confirmed", "confirmed - first_alert as lead")
 
 
+def length_cell(n: str) -> str:
+    """The smallest length of the cell of ``n``: exact below 64, cells of at most 1/32 of their value above."""
+    step = f"shiftleft(1L, greatest(length(bin({n})) - 6, 0))"
+    return f"{n} - {n} % {step}"
+
+
+def text_profile(texts: DataFrame) -> DataFrame:
+    """Mergeable profile of the texts of each window: feature, part, cell, count.
+
+    ``texts``: part, text.  ``length`` counts texts by the cell of their length in code points
+    (relative error 1/32 at most); ``vocabulary`` counts words between blanks by a slot
+    of 4,096, the first three digits of their MD5, so a distance of slots never exceeds that of the words.
+    A profile has a bounded number of rows; profiles add up, so stored windows are never read again.
+    A null text counts as empty.
+    """
+    size = "char_length(coalesce(text, ''))"
+    lengths = texts.selectExpr("part", f"cast({size} as bigint) as n").selectExpr(
+        "'length' as feature", "part", f"{length_cell('n')} as cell")
+    words = texts.selectExpr("part", "explode(split(text, '[\\\\x20\\\\x09-\\\\x0D]+')) as word").where("word <> ''").groupBy("part", "word").count()
+    slots = words.selectExpr(
+        "'vocabulary' as feature", "part", "cast(conv(substr(md5(cast(word as binary)), 1, 3), 16, 10) as bigint) as cell", "count")
+    return lengths.groupBy("feature", "part", "cell").count().union(
+        slots.groupBy("feature", "part", "cell").agg(F.sum("count").alias("count")))
+
+
+def merged(profiles: DataFrame) -> DataFrame:
+    """The profile of all windows together: feature, cell, count."""
+    return profiles.groupBy("feature", "cell").agg(F.sum("count").alias("count"))
+
+
+def profile_shift(profiles: DataFrame, reference: DataFrame) -> DataFrame:
+    """Distances of each window's profile from a reference profile.
+
+    ``steps`` is the largest gap of the running shares in the order of cells (Kolmogorov-Smirnov
+    on cells), ``variation`` half the summed gaps of the shares (total variation).
+    """
+    parts = profiles.select("feature", "part").distinct()
+    sides = profiles.selectExpr("feature", "part", "cell", "count as mon", "0L as ref").union(
+        reference.join(parts, "feature").selectExpr("feature", "part", "cell", "0L", "count"))
+    cells = sides.groupBy("feature", "part", "cell").agg(F.sum("mon").alias("mon"), F.sum("ref").alias("ref"))
+    whole = "over (partition by feature, part)"
+    so_far = "over (partition by feature, part order by cell rows unbounded preceding)"
+    shares = cells.selectExpr(
+        "feature", "part", f"sum(mon) {whole} as n_mon", f"sum(ref) {whole} as n_ref", "mon", "ref",
+        f"sum(mon) {so_far} as c_mon", f"sum(ref) {so_far} as c_ref")
+    return shares.groupBy("feature", "part", "n_mon", "n_ref").agg(
+        F.expr("max(abs(c_mon / n_mon - c_ref / n_ref)) as steps"),
+        F.expr("sum(abs(mon / n_mon - ref / n_ref)) / 2 as variation"))
+
+
 def rolling_correlation(rows: DataFrame, feature: str, target: str, *, periods: int = 12) -> DataFrame:
     """Correlation of a feature with a target over the last ``periods`` periods, all entities pooled.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitsignal.plans.oracle_extraction import NOTES, SIGNAL_CTE
+from pitsignal.plans.oracle_extraction import NOTES, ORACLE as _EXTRACTION, SIGNAL_CTE
 from pitsignal.plans.oracle_features import ELIGIBLE, PAIRS, SIGNALS
 from pitsignal.plans.oracle_forecast import _ARMS, _TABULAR
 
@@ -28,6 +28,36 @@ t AS (SELECT part, sum(r) AS nr, sum(m) AS nm, count(*) AS k FROM k GROUP BY par
 chi AS (SELECT part, nr, nm, t.k AS k, sum(pow(r - (r + m) * nr / (nr + nm), 2) / ((r + m) * nr / (nr + nm))
     + pow(m - (r + m) * nm / (nr + nm), 2) / ((r + m) * nm / (nr + nm))) AS x2 FROM k JOIN t USING (part) GROUP BY part, nr, nm, t.k)"""
 
+_DAILY = _KS.replace("CASE WHEN d >= 10 THEN CAST(d // 5 AS BIGINT) END", "CASE WHEN d >= 10 THEN CAST(d AS BIGINT) END")
+_LEAD = f"""WITH RECURSIVE {_DAILY},
+f AS (SELECT feature, part, distance > critical AND distance >= 0.01 AS fired FROM ks),
+al AS (SELECT feature, min(part) AS first_alert FROM (SELECT *, lag(fired) OVER p AS before, lag(part) OVER p AS last FROM f
+  WINDOW p AS (PARTITION BY feature ORDER BY part)) WHERE fired AND before AND last = part - 1 GROUP BY feature),
+lv AS (SELECT event_type, avg(value) AS mean, var_pop(value) AS spread FROM v WHERE part IS NULL GROUP BY event_type),
+lo AS (SELECT event_type AS feature, part, avg((value - mean) * (value - mean)) / any_value(spread) - 1 AS loss,
+  row_number() OVER (PARTITION BY event_type ORDER BY part) AS k FROM v JOIN lv USING (event_type) WHERE part IS NOT NULL GROUP BY event_type, part),
+cu AS (SELECT feature, part, k, greatest(0, loss) AS s FROM lo WHERE k = 1
+  UNION ALL SELECT lo.feature, lo.part, lo.k, greatest(0, cu.s + lo.loss) FROM cu JOIN lo ON lo.feature = cu.feature AND lo.k = cu.k + 1),
+co AS (SELECT a.feature, min(a.part) AS confirmed FROM cu a JOIN cu b ON b.feature = a.feature AND b.part = a.part - 1 WHERE a.s > 0.1 AND b.s > 0.1 GROUP BY a.feature)
+SELECT feature, first_alert, confirmed, confirmed - first_alert AS lead FROM al FULL JOIN co USING (feature)"""
+
+
+def _shift(source: str) -> str:
+    """Profiles straight from the texts: shares of every cell in each window and overall."""
+    return f"""WITH d AS (SELECT {source}), n AS (SELECT part, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM d),
+w AS (SELECT part, unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) AS word FROM d),
+c AS (SELECT 'length' AS feature, part, CASE WHEN n < 64 THEN n ELSE n - n % CAST(pow(2, length(bin(n)) - 6) AS BIGINT) END AS cell FROM n
+  UNION ALL SELECT 'vocabulary', part, CAST('0x' || substr(md5(word), 1, 3) AS BIGINT) FROM w WHERE word <> ''),
+g AS (SELECT feature, part, cell, count(*) AS m FROM c GROUP BY ALL), r AS (SELECT feature, cell, sum(m) AS r FROM g GROUP BY ALL),
+p AS (SELECT DISTINCT feature, part FROM g),
+j AS (SELECT p.feature, p.part, r.cell, coalesce(g.m, 0) AS m, r.r AS r FROM p JOIN r ON r.feature = p.feature
+  LEFT JOIN g ON g.feature = p.feature AND g.part = p.part AND g.cell = r.cell),
+s AS (SELECT *, sum(m) OVER o AS cm, sum(r) OVER o AS cr, sum(m) OVER a AS nm, sum(r) OVER a AS nr FROM j
+  WINDOW o AS (PARTITION BY feature, part ORDER BY cell), a AS (PARTITION BY feature, part))
+SELECT feature, part, CAST(nm AS BIGINT) AS n_mon, CAST(nr AS BIGINT) AS n_ref, round(max(abs(cm / nm - cr / nr)), 6) AS steps,
+  round(sum(abs(m / nm - r / nr)) / 2, 6) AS variation FROM s GROUP BY feature, part, nm, nr"""
+
+
 _FIELDS = ("signal_type", "direction", "business_certainty", "conditionality", "condition_text", "negated", "magnitude_value",
            "magnitude_unit", "effective_start", "effective_end", "forecast_key", "validation_status")
 _CHANNEL = """CASE WHEN {p}.signal_type = 'SUPPLY_FULFILLMENT' THEN 'FULFILLMENT'
@@ -48,6 +78,21 @@ ORACLE = {
 f AS (SELECT feature, part, distance > critical AND distance >= 0.01 AS fired FROM ks UNION ALL
   SELECT 'event_type', part, (cbrt(x2 / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) > 1.645 AND sqrt(x2 / (nr + nm)) >= 0.01 FROM chi)
 SELECT feature, part, fired, fired AND coalesce(lag(fired) OVER (PARTITION BY feature ORDER BY part), false) AS alert, false AS critical FROM f""",
+    "alert_lead_time": _LEAD,
+    "text_drift": _shift("coalesce(source, '') AS part, text FROM documents"),
+    "turn_drift": _shift("coalesce(role, '') AS part, text FROM conversations"),
+    "extraction_mix": f"""WITH q AS ({_EXTRACTION['conversation_cues']}),
+v AS (SELECT CASE WHEN turn >= 2 THEN CAST(turn AS BIGINT) END AS part, feature, category FROM (
+  SELECT turn, 'signal_type' AS feature, signal_type AS category FROM q UNION ALL SELECT turn, 'direction', direction FROM q
+  UNION ALL SELECT turn, 'business_certainty', business_certainty FROM q)),
+w AS (SELECT DISTINCT feature, part FROM v WHERE part IS NOT NULL),
+k AS (SELECT w.feature, w.part, category, count(*) FILTER (v.part IS NULL) AS r, count(*) FILTER (v.part IS NOT NULL) AS m
+  FROM w JOIN v ON v.feature = w.feature AND (v.part IS NULL OR v.part = w.part) GROUP BY ALL),
+t AS (SELECT *, sum(r) OVER p AS nr, sum(m) OVER p AS nm, count(*) OVER p AS k FROM k WINDOW p AS (PARTITION BY feature, part))
+SELECT feature, part, CAST(nr AS BIGINT) AS n_ref, CAST(nm AS BIGINT) AS n_mon, CAST(k - 1 AS BIGINT) AS degrees,
+  round(sum(pow(r - (r + m) * nr / (nr + nm), 2) / ((r + m) * nr / (nr + nm)) + pow(m - (r + m) * nm / (nr + nm), 2) / ((r + m) * nm / (nr + nm))), 6) AS chi_square,
+  round(sqrt(sum(pow(r - (r + m) * nr / (nr + nm), 2) / ((r + m) * nr / (nr + nm)) + pow(m - (r + m) * nm / (nr + nm), 2) / ((r + m) * nm / (nr + nm))) / (nr + nm)), 6) AS effect
+FROM t GROUP BY feature, part, nr, nm, k""",
     "rolling_correlation": f"""WITH {_TABULAR}, p AS (SELECT DISTINCT t AS period FROM tab)
 SELECT p.period, CAST(count(*) AS BIGINT) AS n, round(corr(tab.lag_1, tab.demand), 6) AS correlation
 FROM p JOIN tab ON tab.t BETWEEN p.period - 11 AND p.period GROUP BY p.period""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsignal.operators import comparison, monitor
-from pitsignal.plans.queries_extraction import CLOCK, order_signals
+from pitsignal.plans.queries_extraction import CLOCK, conversation_cues, order_signals
 from pitsignal.plans.queries_forecast import _simple_arms
 from pitsignal.plans.queries_features import event_features
 from pitsignal.operators.extract import extract_signals
@@ -64,6 +64,53 @@ def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.alerts(checks, min_effect=0.01)
 
 
+def _daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values by type; the first ten days are the reference, then every day is a window."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_type as feature", "value", "cast(datediff(cast(ts as date), date '2024-01-01') as bigint) as day").selectExpr(
+        "feature", "value", "if(day < 10, null, day) as part")
+
+
+def alert_lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from the first lasting alert on an event type's values to the degradation of its forecast.
+
+    The forecast is the mean of the reference; a day's loss is its mean squared error over that of the reference, less 1.
+    """
+    values = stage(_daily_values(spark, sf_dir))
+    level = values.where("part is null").groupBy("feature").agg(
+        F.avg("value").alias("mean"), F.var_pop("value").alias("spread"))
+    losses = values.where("part is not null").join(level, "feature").groupBy("feature", "part").agg(
+        F.expr("avg((value - mean) * (value - mean)) / nullif(any_value(spread), 0) - 1 as loss"))
+    checks = monitor.ks_distance(values).selectExpr("feature", "part", "distance > critical as significant", "distance as effect")
+    return monitor.lead_time(
+        monitor.alerts(checks, min_effect=0.01), monitor.degradation(losses, slack=0.0, threshold=0.1))
+
+
+def _text_shift(texts: DataFrame) -> DataFrame:
+    profiles = stage(monitor.text_profile(texts))
+    return monitor.profile_shift(profiles, monitor.merged(profiles)).selectExpr(
+        "feature", "part", "n_mon", "n_ref", "round(steps, 6) as steps", "round(variation, 6) as variation")
+
+
+def text_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and vocabulary of each source's documents against those of all documents."""
+    return _text_shift(table(spark, sf_dir, "documents").selectExpr("coalesce(source, '') as part", "text"))
+
+
+def turn_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and vocabulary of each role's turns against those of all turns."""
+    return _text_shift(table(spark, sf_dir, "conversations").selectExpr("coalesce(role, '') as part", "text"))
+
+
+def extraction_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cues of each later turn say, against the first two turns of all conversations."""
+    cues = conversation_cues(spark, sf_dir).selectExpr(
+        "if(turn < 2, null, cast(turn as bigint)) as part", "stack(3, 'signal_type', signal_type, 'direction', direction, "
+        "'business_certainty', business_certainty) as (feature, category)")
+    return monitor.category_shift(cues).selectExpr(
+        "feature", "part", "n_ref", "n_mon", "degrees", "round(chi_square, 6) as chi_square", "round(effect, 6) as effect")
+
+
 def signal_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of last week's demand with this week's, over the last twelve weeks."""
     rows = tabular_features(weekly_demand(spark, sf_dir)).selectExpr("cast(t as bigint) as period", "lag_1", "demand")
@@ -126,6 +173,10 @@ QUERIES = {
     "value_drift": value_drift,
     "mix_drift": mix_drift,
     "drift_alerts": drift_alerts,
+    "alert_lead_time": alert_lead_time,
+    "text_drift": text_drift,
+    "turn_drift": turn_drift,
+    "extraction_mix": extraction_mix,
     "rolling_correlation": signal_correlation,
     "reprocessing_diff": reprocessing_diff,
     "horizon_breakdown": horizon_breakdown,
