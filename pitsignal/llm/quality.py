@@ -41,6 +41,8 @@ SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
 SEEN, MAX_TRAIN, MEMO = 5, 6_000, 80_000
 HELD, WINDOW, ROWS = 300_000, 150_000, 64  # words kept between flushes, words handled at once, rows of a block
 BITS = 1 << 25  # of the set that tells frequent words; with more words it lets more rare ones through
+PIECES = 16  # files of that set
+CELLS = BITS // 64 // PIECES  # 64-bit cells of a file
 ROW = np.dtype([("h", "<i8"), ("v", "<f2", (LEARNED,))])
 MAX_WORD = 48  # characters; a longer word counts as several, see words_of
 
@@ -385,22 +387,50 @@ def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[first >> 6] >> (first & 63)) & (bits[second >> 6] >> (second & 63)) & 1).astype(bool)
 
 
-def write_bits(folder: str, bits: np.ndarray) -> None:
-    """Keep the bit set beside the vectors, where every worker reads it once."""
+def bits_file(folder: str, piece: int) -> tuple:
+    """The store and the name of one of the ``PIECES`` files of the bit set, kept beside the vectors."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/words.bits", compression=None) as sink:
-        sink.write(pack(bits))
+    return store, f"{root}/bits-{piece:06d}"
+
+
+def write_bits(folder: str):
+    """A task's cells of the bit set, whole pieces, written under the attempt's name and moved when complete."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pieces: dict[int, np.ndarray] = {}  # BITS / 8 bytes at most
+        for batch in batches:
+            at, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for piece in np.unique(at // CELLS).tolist():
+                mine = at // CELLS == piece
+                pieces.setdefault(piece, np.zeros(CELLS, np.uint64))[at[mine] % CELLS] = bits[mine]
+        for piece, cells in pieces.items():
+            store, name = bits_file(folder, piece)
+            root, _, last = name.rpartition("/")
+            store.create_dir(root, recursive=True)
+            part = f"{root}/.{last}-{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(part, compression=None) as sink:
+                sink.write(pack(cells))
+            store.move(part, name)
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32())], ["piece"])
+
+    return write
 
 
 def read_bits(folder: str) -> np.ndarray:
+    """The whole bit set; a piece without a file has no bit set."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder)
-    with store.open_input_stream(f"{root}/words.bits", compression=None) as source:
-        return unpack(source.read())[0]
+    bits = np.zeros((PIECES, CELLS), np.uint64)
+    for piece in range(PIECES):
+        store, name = bits_file(folder, piece)
+        if store.get_file_info(name).type == fs.FileType.File:
+            with store.open_input_stream(name, compression=None) as source:
+                bits[piece] = unpack(source.read())[0]
+    return bits.ravel()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,22 +452,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def frequent_words(texts: DataFrame) -> np.ndarray:
-    """The bit set of the words seen ``SEEN`` times; some rarer ones pass it."""
+def frequent_words(texts: DataFrame, folder: str) -> None:
+    """Write the bit set of the words seen ``SEEN`` times to ``folder``; some rarer words pass it."""
     counts = texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     slots = counts.select(F.explode(F.expr(f"array(h & {BITS - 1}L, shiftrightunsigned(h, 32) & {BITS - 1}L)")).alias("slot"))
-    got = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()  # BITS / 64 rows at most
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
+    cells = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    cells.repartition(PIECES, F.expr(f"at div {CELLS}")).mapInArrow(write_bits(folder), "piece int").collect()  # PIECES rows at most
 
 
-def _context_sums(bits: np.ndarray, shards: int):
+def _context_sums(folder: str, shards: int):
     """Partial sums by word of the texts of one task; a word comes again after each ``HELD`` words."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Contexts(bits)
+        found = Contexts(read_bits(folder))
         parts: list[tuple[list[str], int, int]] = []
         held = 0
         for batch in batches:
@@ -507,9 +535,8 @@ def learned_vectors(texts: DataFrame) -> list[tuple[str, int, bytes]]:
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [len(h)], "firsts": [h[::ROWS].tobytes()]},
                                              schema=pa.schema([("file", pa.string()), ("n", pa.int64()), ("firsts", pa.binary())]))
 
-    bits = frequent_words(texts)
-    write_bits(folder, bits)
-    sums = texts.mapInArrow(_context_sums(bits, shards), "shard int, data binary")
+    frequent_words(texts, folder)
+    sums = texts.mapInArrow(_context_sums(folder, shards), "shard int, data binary")
     got = sums.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
         write, "file string, n long, firsts binary").collect()  # 8 bytes for 64 words
     return [(r.file, r.n, bytes(r.firsts)) for r in got]
@@ -542,14 +569,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train
             if batch.num_rows:
                 x = get().pool(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+                    [batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
     got = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(
-        pooled, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+        pooled, "doc_id long, y int, x binary").toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return Model(share=float(y.mean()) if len(y) else 0.5, vectors=files)
-    x = np.array(got["x"].tolist())
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     apart = np.array([zlib.crc32(f"calibrate {i}".encode()) % 6 == 0 for i in got["doc_id"]])
     if len(set(y[~apart])) < 2 or not apart.any():
         apart[:] = False
