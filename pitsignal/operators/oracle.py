@@ -23,7 +23,8 @@ def claims_from_truth(truth: DataFrame, notes: DataFrame) -> DataFrame:
         "source_id", "available_at", "try_element_at(entity_mentions_raw, 1) as entity_key",
     ).where("available_at is not null and entity_key is not null")
     both = "effective_start is not null and effective_end is not null"
-    return truth.where("not coalesce(is_irrelevant, false)").join(known, "source_id").selectExpr(
+    # Both sides are as long as the notes, however small their files are: no broadcast.
+    return truth.where("not coalesce(is_irrelevant, false)").join(known.hint("merge"), "source_id").selectExpr(
         "entity_key", "source_id", "source_id as signal_id",
         f"{to_us('available_at')} as available_us",
         f"if({both}, {to_us('effective_start')}, null) as window_start_us",

@@ -134,11 +134,12 @@ def _meet(rows: DataFrame, reads: DataFrame, calendar: Calendar, end: str) -> Da
 
     A row is repeated per block of its interval, not per cutoff of the calendar, and meets
     the requested cutoffs of its entity in that block; so an entity with few cutoffs makes
-    few rows, and one with many is spread over its blocks.
+    few rows, and one with many is spread over its blocks.  The cutoffs come out of an array,
+    which Spark's size estimate does not see, so the join must not be planned as a broadcast.
     """
     size = _block(calendar)
     dealt = rows.selectExpr("*", f"explode(sequence(lo div {size}, ({end} - 1) div {size})) as block")
-    return dealt.join(reads, ["entity_key", "block"]).where(f"idx >= lo and idx < {end}").drop("block")
+    return dealt.join(reads.hint("merge"), ["entity_key", "block"]).where(f"idx >= lo and idx < {end}").drop("block")
 
 
 def sweep(
