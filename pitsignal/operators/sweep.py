@@ -9,23 +9,26 @@ The plan keeps the shuffles to narrow, pre-aggregated rows:
 
 1. claims -> *cells* ``(entity, lo, end, ...)``; equal cells are summed map-side, so a
    hot entity leaves each map task with at most one row per cell, not per claim;
-2. a cell is repeated per *block* of calendar positions, at most about ``BLOCKS`` times,
-   and meets the cutoffs its own entity asked for in that block, where cells are summed
-   again; cutoffs of other entities make no rows, and a hot entity is spread by block;
+2. a cell of an entity with many claims or cutoffs is repeated per *block* of calendar
+   positions, at most about ``BLOCKS`` times, and meets the cutoffs its own entity asked for
+   in that block, where cells are summed again; cutoffs of other entities make no rows, a hot
+   entity is spread by block, and the cells of a small one go out once;
 3. cells still open at the end of the calendar are not expanded to it: they enter once
    and are carried forward by a running window over the entity's cutoffs.
 
-Requested pairs are also rows of their own in step 2, so entities without any claim come
-out as zero rows.
+Requested pairs stay in step 2 without any cell, so entities without any claim come out as
+zero rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pitsignal.functions.clock import DAY_US, Calendar, calendar_of
 
 BLOCKS = 64
+WHOLE = 4096  # an entity of so many claims and cutoffs together is one block
 
 _KEY = ("entity_key", "lo", "end", "is_open", "end_30", "end_90", "end_near")
 
@@ -118,10 +121,8 @@ def _source_cells(spans: DataFrame) -> DataFrame:
 
 
 def _reads(pairs: DataFrame, calendar: Calendar) -> DataFrame:
-    """The requested pairs as calendar positions, each with the block of its position."""
-    rows = pairs.selectExpr(
-        "entity_key", "cutoff_us", f"{calendar.at_or_after('cutoff_us')} as idx").distinct()
-    return rows.selectExpr("*", f"idx div {_block(calendar)} as block")
+    """The requested pairs as calendar positions."""
+    return pairs.selectExpr("entity_key", "cutoff_us", f"{calendar.at_or_after('cutoff_us')} as idx").distinct()
 
 
 def _block(calendar: Calendar) -> int:
@@ -129,17 +130,31 @@ def _block(calendar: Calendar) -> int:
     return max(16, -(-calendar.size // BLOCKS))
 
 
-def _meet(rows: DataFrame, reads: DataFrame, calendar: Calendar, end: str) -> DataFrame:
-    """Rows at the entity's own cutoffs inside ``[lo, end)``.
+def _spread(claims: DataFrame, reads: DataFrame, calendar: Calendar) -> DataFrame:
+    """``(entity_key, size)``: calendar positions per block of the entities that are cut into blocks.
 
-    A row is repeated per block of its interval, not per cutoff of the calendar, and meets
-    the requested cutoffs of its entity in that block; so an entity with few cutoffs makes
-    few rows, and one with many is spread over its blocks.  The cutoffs come out of an array,
-    which Spark's size estimate does not see, so the join must not be planned as a broadcast.
+    An entity of up to ``WHOLE`` claims and cutoffs is met whole, as one block.
     """
-    size = _block(calendar)
-    dealt = rows.selectExpr("*", f"explode(sequence(lo div {size}, ({end} - 1) div {size})) as block")
-    return dealt.join(reads.hint("merge"), ["entity_key", "block"]).where(f"idx >= lo and idx < {end}").drop("block")
+    sizes = claims.selectExpr("entity_key", "1L as n").union(reads.selectExpr("entity_key", "1L as n"))
+    return _aggregate(sizes, ("entity_key",), ["sum(n) as n"]).where(f"n > {WHOLE}").selectExpr(
+        "entity_key", f"{_block(calendar)}L as size")
+
+
+def _meet(rows: DataFrame, reads: DataFrame, large: DataFrame, calendar: Calendar, end: str, how: str = "inner") -> DataFrame:
+    """The entity's own cutoffs with the rows whose ``[lo, end)`` they lie in; "left" keeps the others.
+
+    A row of a large entity is repeated per block of its interval, not per cutoff of the
+    calendar, and meets the requested cutoffs of its entity in that block, so such an entity
+    is spread over its blocks; a row of a small one goes out once.  The cutoffs come out of an
+    array, which Spark's size estimate does not see, so no join may be planned as a broadcast.
+    """
+    whole = f"coalesce(size, {max(1, calendar.size)}L)"
+    dealt = rows.join(large.hint("merge"), "entity_key", "left").selectExpr(
+        *rows.columns, f"explode(sequence(lo div {whole}, ({end} - 1) div {whole})) as block")
+    placed = reads.join(large.hint("merge"), "entity_key", "left").selectExpr(*reads.columns, f"idx div {whole} as block")
+    same = f"r.entity_key = c.entity_key and r.block = c.block and r.idx >= c.lo and r.idx < c.{end}"
+    return placed.alias("r").join(dealt.alias("c").hint("merge"), F.expr(same), how).selectExpr(
+        *(f"r.{c}" for c in reads.columns), *(f"c.`{c}`" for c in rows.columns if c not in reads.columns))
 
 
 def sweep(
@@ -169,8 +184,7 @@ def sweep(
     reads = _reads(pairs, calendar)
     # Cells that are open at the end of the calendar also enter once, where they begin.
     begun = cells.where("is_open").selectExpr("entity_key", "lo as idx", "cast(null as bigint) as cutoff_us", "n as n_begun", "latest_us as latest_begun")
-    asked = reads.selectExpr("entity_key", "idx", "cutoff_us", "cast(null as bigint) as n_begun", "cast(null as bigint) as latest_begun")
-    at = _meet(cells, reads, calendar, "`end`").unionByName(begun.union(asked), allowMissingColumns=True)
+    at = _meet(cells, reads, _spread(claims, reads, calendar), calendar, "`end`", "left").unionByName(begun, allowMissingColumns=True)
     in_30 = lambda m, how="sum": f"{how}(if(idx < end_30, {m}, null)) as {m}"
     counted = ("up", "down", "qty", "n_qty", "cancelled", "n_cancelled", "committed", "n_committed", "n_sources")
     per_cutoff = _aggregate(at, ("entity_key", "idx"), [
@@ -214,4 +228,5 @@ def memberships(
     days = dict(horizon_days=horizon_days, lookback_days=lookback_days, long_lookback_days=long_lookback_days)
     calendar = calendar_of(pairs if cutoffs is None else cutoffs)
     claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr("entity_key", "lo", "hi", *keep)
-    return _meet(claim_rows, _reads(pairs, calendar), calendar, "hi").select("entity_key", "cutoff_us", *keep)
+    reads = _reads(pairs, calendar)
+    return _meet(claim_rows, reads, _spread(claims, reads, calendar), calendar, "hi").select("entity_key", "cutoff_us", *keep)

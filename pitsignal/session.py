@@ -15,6 +15,10 @@ _DEFAULTS = {
     # HotSpot never compiles a method of more than 8000 bytes of bytecode.  A fused stage
     # above that size runs interpreted; below this limit Spark uses split projections.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Aggregates and sorts hold a shuffled partition many times its compressed size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    # Compressed files are several times as large once read; a join must not be planned by the file's size.
+    "spark.sql.sources.fileCompressionFactor": "10.0",
 }
 
 
@@ -29,8 +33,11 @@ def get_session(app_name: str = "pitsignal", master: str | None = None, **conf:
 
 
 def ensure_settings(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on (UTC clocks) and the compilation limit."""
+    """Apply the settings results depend on (UTC clocks) and the compilation limit; sizes only where the cluster names none."""
     for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
         if spark.conf.get(key) != _DEFAULTS[key]:
             spark.conf.set(key, _DEFAULTS[key])
+    for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.sources.fileCompressionFactor"):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, _DEFAULTS[key])
     return spark
