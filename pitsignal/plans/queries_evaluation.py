@@ -29,8 +29,9 @@ def noisy_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(k % 59 = 0, null, magnitude_unit) as magnitude_unit",
         "if(k % 7 = 0, named_struct('source_id', source_id, 'char_start', 9L, 'char_end', evidence_ref.char_end), "
         "evidence_ref) as evidence_ref")
-    again = kept.where("k % 41 = 0").withColumn("signal_id", F.concat("signal_id", F.lit("-again")))
-    return kept.union(again).drop("k")
+    # The repeated rows leave with the row itself, so that no note is read twice.
+    ids = "explode(if(k % 41 = 0, array(signal_id, concat(signal_id, '-again')), array(signal_id))) as signal_id"
+    return kept.selectExpr(*(ids if c == "signal_id" else c for c in kept.columns if c != "k"))
 
 
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
