@@ -273,5 +273,7 @@ def reconcile(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run_id",
         "supersedes_signal_id": "target_signal_id", "related_signal_ids": "array(target_signal_id)",
         "validation_status": "'PASS'", "abstention_reason": "cast(null as string)",
     }
-    return signals.join(links, "signal_id", "left").selectExpr(
-        *(f"if({linked}, {changed[c]}, {c}) as {c}" if c in changed else c for c in signals.columns))
+    # Only reversals can link, so only they are shuffled to meet their links.
+    rest = signals.where("not coalesce(is_reversal, false)")
+    return signals.where("is_reversal").join(links, "signal_id", "left").selectExpr(
+        *(f"if({linked}, {changed[c]}, {c}) as {c}" if c in changed else c for c in signals.columns)).union(rest)
