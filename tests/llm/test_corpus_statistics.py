@@ -236,6 +236,38 @@ def test_probabilities_sum_to_one_in_every_context(spark):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def asked(model, word, before):
+    one = pitman_yor.tokens([word.encode()])[0][:1]
+    scorers = [pitman_yor.Scorer(pitman_yor._dishes(r.data), model.samples) for r in model.shards.collect()]
+    known = [s for s in scorers if pitman_yor._find(s.words, one)[1][0]]
+    return (known or scorers)[0].ask(one, np.zeros(1, np.int64), pitman_yor.tokens([before.encode()])[1][-1:])[1][0]
+
+
+def test_contexts_are_whole_tokens_before(spark):
+    contexts = pitman_yor.tokens([b"redcat bigcat cat Cat", b"same"])[1]
+    assert len(set(contexts.tolist())) == 5 and contexts[0] == contexts[5] and contexts[3] == contexts[4]
+    model = fitted(spark, [(i, "redcat sings" if i % 2 else "bigcat sleeps") for i in range(40)])
+    assert asked(model, "sings", "redcat") > 0.8 > 0.1 > asked(model, "sings", "bigcat")
+
+
+def test_scores_are_sums_over_tokens_with_pairs_never_seen(spark):
+    draw = random.Random(5)
+    words = [f"w{n}" for n in range(12)]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(8))) for i in range(20)]
+    model = fitted(spark, rows, burn=1, samples=2)
+    new = [(100, "w3 w3 other w1 thing w1"), (101, "w1 w2"), (102, None), (103, "w5 w4 w3 w2 w1 w0 w5 w4")]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(new, "doc_id long, text string").repartition(3), model).collect()}
+    scorers = [pitman_yor.Scorer(pitman_yor._dishes(r.data), model.samples) for r in model.shards.collect()]
+    for key, text in new:
+        hashes, contexts, _ = pitman_yor.tokens([(text or "").encode()])
+        want = 0.0
+        for h, context in zip(hashes, contexts):
+            one = np.array([h], np.uint64)
+            known = [s for s in scorers if pitman_yor._find(s.words, one)[1][0]]
+            want += math.log10((known or scorers)[0].ask(one, np.zeros(1, np.int64), np.array([context], np.uint64))[1][0])
+        assert got[key] == pytest.approx(want, abs=1e-9)
+
+
 def test_seating_is_the_chinese_restaurant_process():
     rng, n, opening, discount = np.random.default_rng(3), 40, 2.5, 0.4
     got = pitman_yor.seat(np.full(40_000, n), np.full(40_000, opening), discount, rng)
@@ -265,6 +297,20 @@ def test_hot_shards_are_copied(spark):
     assert len(scored) == 60 and {r.n_tokens for r in scored} == {102} and all(r.n_known == 102 for r in scored)
 
 
+def test_copies_are_dealt_to_more_partitions_than_asked_for(spark, monkeypatch):
+    from pyspark import RDD
+
+    rows = [(i, "same word " * 50 + f"other{i}") for i in range(60)]
+    model = fitted(spark, rows, burn=0, samples=1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {r.doc_id: r.score for r in pitman_yor.score(docs, model).collect()}
+    deal = RDD.partitionBy
+    dealt = pitman_yor._dealt(docs, pitman_yor.F.lit(False), len(model.names))
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, f: deal(self, max(n, 23), f))
+    got = {r.doc_id: r.score for r in pitman_yor.answer(dealt, model, docs).collect()}
+    assert model.copies and got == pytest.approx(want, abs=1e-9)
+
+
 @pytest.mark.parametrize("name", ["op11_source_divergence", "op12_spelling_variants"])
 def test_query_equals_its_statement(spark, name):
     db = duckdb.connect()
