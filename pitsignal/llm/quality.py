@@ -91,8 +91,8 @@ class Speller:
             points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
             sizes = np.fromiter(map(len, part), np.int64, len(part))
             shape = self.classes[np.minimum(points, 0x250)]
-            slot = lambda x, mul: (((x[:-2] * mul + x[1:-1]) * mul + x[2:]) * 0x9E3779B1 >> 7) % SLOTS
-            spelled, shaped = slot(points, 8191), (slot(shape, 131) + 17) % SLOTS
+            slot = lambda x, mul: (((x[:-2] * mul + x[1:-1]) * mul + x[2:]) * 0x9E3779B1 >> 7) & (SLOTS - 1)
+            spelled, shaped = slot(points, 8191), (slot(shape, 131) + 17) & (SLOTS - 1)
             order = np.argsort(-sizes, kind="stable")
             first, n = (np.cumsum(sizes) - sizes)[order], sizes[order] - 2
             total = np.zeros((len(part), SPELLED), np.int16)
@@ -126,9 +126,12 @@ def coded(words: list[str]) -> list[bytes]:
     return [w.encode("utf-8", "surrogatepass") for w in words]
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes that stand for words, given in UTF-8."""
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+def hashes(words: list[str] | list[bytes]) -> np.ndarray:
+    """64-bit hashes that stand for words, of their UTF-8."""
+    try:
+        return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    except UnicodeEncodeError:  # lone surrogates
+        return hashes(coded(words))
 
 
 class Vectors:
@@ -153,7 +156,7 @@ class Vectors:
         return np.frombuffer(self.open[path].read_at(rows * ROW.itemsize, at * ROW.itemsize), ROW)
 
     def of(self, words: list[str]) -> np.ndarray:
-        return self.of_hashes(hashes(coded(words)))
+        return self.of_hashes(hashes(words))
 
     def of_hashes(self, asked: np.ndarray) -> np.ndarray:
         out = np.zeros((len(asked), LEARNED), np.float32)
@@ -223,18 +226,20 @@ class Pooler:
         if len(self.rows) > MEMO:
             self.clear()
         fresh = list(set().union(*documents.values()).difference(self.rows))
-        h = hashes(coded(fresh))
+        h = hashes(fresh)
         often = self.vectors.frequent(h)
         self._learn(fresh, h, often)
+        gathered = np.empty((8_192, SPELLED + LEARNED), np.float32)
         for k, counts in documents.items():
             at = np.fromiter(map(self.rows.__getitem__, counts), np.int64, len(counts))
             weight = np.fromiter(counts.values(), np.float32, len(counts))
             n = float(weight.sum())
             total = np.zeros((2, SPELLED + LEARNED), np.float64)
             for i in range(0, len(at), 8_192):  # bounded memory for very long texts
-                rows, w = self.table[at[i:i + 8_192]], weight[i:i + 8_192]
+                w = weight[i:i + 8_192]
+                rows = np.take(self.table, at[i:i + 8_192], axis=0, out=gathered[:len(w)], mode="clip")
                 total[0] += w @ rows
-                total[1] += w @ (rows * rows)
+                total[1] += w @ np.multiply(rows, rows, out=rows)
             mean = total[0] / n
             spread = np.sqrt(np.maximum(total[1] / n - mean * mean, 0))
             out[k] = np.concatenate([mean, spread, [np.log1p(n), len(counts) / n]])
@@ -441,7 +446,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(counts)
         for at in range(0, len(words), 10_000):
             part = words[at:at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(coded(part))), pa.array([counts[w] for w in part], pa.int64())], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(part)), pa.array([counts[w] for w in part], pa.int64())], ["h", "n"])
         counts.clear()
 
     for batch in batches:

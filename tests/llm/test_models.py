@@ -171,3 +171,8 @@ def test_clustered_vectors_leave_most_cells_unvisited():
     cells = multi_index.reachable(left, right, sizes, slack, 20)
     assert cells[entries[np.argsort(-scores)[:20]]].all() and cells.sum() < 30
     assert multi_index.reachable(left, right, sizes, slack, 10_000).sum() == np.count_nonzero(sizes)
+
+
+def test_word_hashes_are_those_of_their_utf8():
+    words = ["", "word", "é", "中", "\ud800x", "a" * 200]
+    assert np.array_equal(quality.hashes(words), quality.hashes(quality.coded(words)))
