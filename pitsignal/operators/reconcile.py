@@ -34,6 +34,10 @@ from pitsignal.vocabulary import REASON_NO_SUBJECT, REASON_REVERSAL, REASON_SEPA
 # A claim's identity on the time line: two 64-bit hashes, its end (0 = open) and type bit.
 _IDENTITY = ("h1", "h2", "end_us", "kind")
 _ANY = "*"
+# What linking reads of a signal, beside the scope.
+LINK_COLUMNS = (
+    "signal_id", "source_id", "forecast_key", "signal_type", "record_status", "validation_status", "abstention_reason",
+    "is_reversal", "negated", "authored_at", "available_at", "effective_end")
 
 ship_by_value(__name__)
 

@@ -9,7 +9,7 @@ from pitsignal.operators.access import FeatureStore
 from pitsignal.operators.grid import period_grid
 from pitsignal.operators.ledger import ledger_as_of
 from pitsignal.operators.oracle import build_oracle_features
-from pitsignal.operators.reconcile import reconcile, reversal_links, reversal_states
+from pitsignal.operators.reconcile import LINK_COLUMNS, reconcile, reversal_links, reversal_states
 from pitsignal.operators.shuffle import shuffle_features
 from pitsignal.plans.queries_extraction import CLOCK, order_signals
 from pitsignal.plans.queries_features import FEATURE_COLUMNS, event_features
@@ -30,13 +30,18 @@ def stored_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(order_signals(spark, sf_dir))
 
 
+def linkable_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the columns that linking reads; the others are not extracted."""
+    return stage(order_signals(spark, sf_dir).select("extraction_run_id", *LINK_COLUMNS))
+
+
 def reversal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open claims each reversal could mean when it was written, before any link."""
-    return reversal_states(stored_signals(spark, sf_dir)).selectExpr("source_id", "forecast_key", "n as candidates")
+    return reversal_states(linkable_signals(spark, sf_dir)).selectExpr("source_id", "forecast_key", "n as candidates")
 
 
 def reversal_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reversal_links(stored_signals(spark, sf_dir))
+    return reversal_links(linkable_signals(spark, sf_dir))
 
 
 def _event_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

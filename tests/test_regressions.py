@@ -77,3 +77,16 @@ def test_case_folding_of_every_code_point(spark):
     texts = ["".join(letters[at:at + 1000]) for at in range(0, len(letters), 1000)] + [c for c in letters if len(c.casefold()) > 1] + ["ΑΣ ΟΔΟΣ"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"{integrity.case_folded('t')} as f").collect()
     assert all(r["f"] == r["t"].casefold() for r in got) and len(got) == len(texts)
+
+
+def test_linking_stages_only_the_columns_it_reads(spark, monkeypatch):
+    from pitsignal.operators.reconcile import LINK_COLUMNS
+    from pitsignal.plans import queries_ledger
+
+    staged, stage = [], queries_ledger.stage
+    monkeypatch.setattr(queries_ledger, "stage", lambda df: staged.append(df.columns) or stage(df))
+    sf = "/root/testdata/sf0.001"
+    got = sorted(queries_ledger.reversal_candidates(spark, sf).collect())
+    assert staged == [["extraction_run_id", *LINK_COLUMNS]]
+    whole = queries_ledger.reversal_states(queries_ledger.stored_signals(spark, sf))
+    assert got and got == sorted(whole.selectExpr("source_id", "forecast_key", "n as candidates").collect())
