@@ -12,12 +12,14 @@ exists there); the cheaper of the two is chosen per band by the expected number
 
 Members of a group (equal segment) meet as rows, not as pairs: groups of up to ``FULL`` sets are
 told apart by their members, so a pair that shares fifty segments meets once, and larger
-ones are cut into blocks whose pairs are keys of their own.  There each set's profile (one
+ones are cut into blocks.  There each set's profile (one
 xor-ed byte per part of a finer partition; every differing shingle changes one byte at
 most) refutes nearly all pairs that are no links.  A first round emits a spanning forest of
-the rest, which is verified exactly on the shingles of the whole texts and merged into components;
-a second round emits every remaining pair across components and verifies it too, so no link
-between components is lost and no family of near copies is expanded into all its pairs.
+the rest, in large groups of each block with a few hubs of the whole group; it is verified exactly on the
+shingles of the whole texts and merged into components.  A second round emits every remaining pair
+across components and verifies it too: the blocks of a large group's largest component meet the blocks
+of its other members, and these meet each other.  So no link
+between components is lost and no family of near copies is expanded into all its pairs or blocks.
 
 Links with 100 * |A and B| >= ``percent`` * |A or B| are found.  A text without words is empty and linked
 with nothing; null ids and repeated rows are allowed (equal sets are one class).  Shingles
@@ -43,6 +45,7 @@ SLACK = 1.15  # segments over the number that must be indexed
 SMALL = 48  # sets above this size always index whole segments
 FULL = 48  # groups up to this size are paired completely
 BLOCK = 512  # larger groups are compared block by block
+HUBS = 16  # members, about, of a larger group that meet all of its blocks in the first round
 MEMO, _MASK = 200_000, (1 << 64) - 1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
         0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
@@ -312,6 +315,30 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def across_components(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """g1, g2, g3, cid, side: members of large groups (sig, cid), dealt so that pairs across components (node, root) meet.
+
+    A group inside one component is left out.  In others the members of the largest component do not
+    meet each other: their blocks meet the blocks of the others, and those meet among themselves.
+    """
+    def blocks(n: str, size: int) -> str:
+        return f"cast(({n} + {size - 1}) div {size} as int)"
+
+    named = groups.join(roots.selectExpr("node as cid", "root"), "cid", "left").select("sig", "cid", F.coalesce("root", "cid").alias("root"))
+    sizes = named.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(
+        F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("c")).where("c > m.n").selectExpr(
+        "sig", "c", "m.root as most", f"{blocks('m.n', 4 * BLOCK)} as inner", f"{blocks('c - m.n', BLOCK)} as outer")
+    rows = named.join(sizes, "sig").withColumn("own", F.expr("cast(pmod(xxhash64(cid), if(root = most, inner, outer)) as int)"))
+    met = F.expr(f"""case
+        when c <= {BLOCK} then array(struct(0 as g2, 0 as g3, -1 as side))
+        when root = most then transform(sequence(0, outer - 1), x -> struct(-2 - own as g2, x as g3, 0 as side))
+        else concat(
+            transform(sequence(0, inner - 1), x -> struct(-2 - x as g2, own as g3, 1 as side)),
+            transform(sequence(0, outer - 1), x -> struct(
+                least(own, x) as g2, greatest(own, x) as g3, case when own = x then -1 when own > x then 1 else 0 end as side))) end""")
+    return rows.select(F.col("sig").alias("g1"), "cid", F.explode(met).alias("met")).select("g1", "met.g2", "met.g3", "cid", "met.side")
+
+
 def describe_sets(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t1, t2, n, k (digest of the set), signs, profile: one row per input row, staged."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -335,17 +362,19 @@ def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int,
     met = stage(met, "groups")
     lists = met.where(F.col("c") <= FULL).groupBy("sig").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select("cids").distinct()
     few = lists.select(F.xxhash64("cids").alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3"), F.explode("cids").alias("cid"), F.lit(-1).alias("side"))
-    many = met.where(F.col("c") > FULL).withColumn("blocks", F.expr(f"cast((c + {BLOCK - 1}) div {BLOCK} as int)")).withColumn(
-        "own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    keys = many.select("sig", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    crossed = keys.select(F.col("sig").alias("g1"), F.least("own", "other").alias("g2"), F.greatest("own", "other").alias("g3"), "cid",
-                          F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
-    groups = stage(few.unionByName(crossed), "members")
+    many = met.where(F.col("c") > FULL)
+    # At first a member meets its own block and the group's hubs, which all blocks get.
+    blocks = many.select("sig", "cid", "c", F.expr(f"cast((c + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), "blocks").cast("int")
+    hub = F.pmod(F.xxhash64(F.lit(1), "cid"), "c") < HUBS
+    at = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    linear = blocks.select(F.col("sig").alias("g1"), F.explode(at).alias("g2"), F.lit(-1).alias("g3"), "cid", F.lit(-1).alias("side"))
+    groups = stage(few.unionByName(linear), "members")
     wanted = classes.join(groups.select("cid").distinct(), "cid", "left_semi").select(*key, "cid")
     known = stage(join_on(sets.select(*key, "n", "profile"), wanted, key).select("cid", "n", "profile").dropDuplicates(["cid"]), "profiles")
     discard(sets)
 
-    def candidates(component: DataFrame | None, spanning: bool) -> DataFrame:
+    def candidates(groups: DataFrame, component: DataFrame | None, spanning: bool) -> DataFrame:
         rows = groups.join(known, "cid")
         if component is not None:
             rows = rows.join(component.selectExpr("node as cid", "root"), "cid", "left")
@@ -365,9 +394,10 @@ def link_classes(docs: DataFrame, sets: DataFrame, *, width: int, percent: int,
         both = pairs.join(packed.selectExpr("cid as a", "packed as x"), "a").join(packed.selectExpr("cid as b", "packed as y"), "b")
         return stage(both.select("a", "b", "x", "y").mapInArrow(_verify(width, percent), "a long, b long, linked boolean"), "verified")
 
-    first = verified(stage(candidates(None, True), "pairs"))
+    first = verified(stage(candidates(groups, None, True), "pairs"))
     roots = components(first.where("linked").select("a", "b"))
-    rest = stage(candidates(roots, False).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    groups = stage(few.unionByName(across_components(many.select("sig", "cid"), roots)), "members")
+    rest = stage(candidates(groups, roots, False).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     second = verified(rest)
     links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
     return classes, components(links)

@@ -72,6 +72,44 @@ def test_large_families_and_small_sets(spark, monkeypatch):
         assert rows_of(got) == components_by_hand(rows, width, percent), (width, percent)
 
 
+def test_rows_of_a_family_of_near_copies_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FULL", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "HUBS", 2, raising=False)
+    dealt, stage = [], ngram_join.stage
+
+    def counted(df, name="stage"):
+        out = stage(df, name)
+        if name == "members":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    texts = family(7, 320, 200, 1)
+    made = []
+    for n in (80, 320):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        got = ngram_join.similar_documents(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id")
+        assert rows_of(got) == components_by_hand(list(enumerate(texts[:n])), 2, 80)
+        made.append(sum(dealt))
+        dealt.clear()
+    assert made[0] > 80 and made[1] <= 6 * made[0]
+
+
+def test_members_of_large_groups_meet_across_components(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    groups = [(1, i) for i in range(60)] + [(2, i) for i in range(40)]
+    root = {i: 0 if i < 45 else 45 if i < 50 else i for i in range(60)}
+    met = ngram_join.across_components(spark.createDataFrame(groups, "sig long, cid long"),
+                                       spark.createDataFrame([(i, r) for i, r in root.items() if i < 50], "node long, root long")).collect()
+    assert {r.g1 for r in met} == {1}
+    keys = {}
+    for r in met:
+        keys.setdefault((r.g2, r.g3), []).append((r.cid, r.side))
+    pairs = {(a, b) for rows in keys.values() for a, x in rows for b, y in rows if a < b and (x != y or x == -1)}
+    assert pairs >= {(a, b) for a in range(60) for b in range(a + 1, 60) if root[a] != root[b]}
+
+
 def test_join_of_odd_rows(spark):
     docs = documents(spark)
     got = ngram_join.similar_documents(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
