@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pitsignal.llm.common import new_folder, stage, text_key, worker_store
 from pitsignal.shipping import ship_by_value
 
 FRAME_BYTES = 1 << 20
-MEMO_WORDS = 300_000  # distinct pieces a worker remembers
+MEMO_WORDS = 300_000  # distinct pieces a worker remembers, and as many that it remembered before
 # Letters that are composed and lower-case one to one.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Fixed values of the public formats.
@@ -44,6 +46,17 @@ _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
 
+def _letters(piece: str) -> bool:
+    return piece.isalpha() if piece.isascii() else LETTERS.fullmatch(piece) is not None
+
+
+def _little_array(code: str, ids: list[int]) -> array:
+    out = array(code, ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
+
+
 class PieceMemo(dict):
     """Ids of blank-free pieces as bytes, each encoded once."""
 
@@ -59,10 +72,11 @@ class PieceMemo(dict):
         self.model = self.tokenizer.model
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.symbols = {b: 256 + i for i, b in enumerate(hidden)}
-        self.plain = {}
+        self.plain, self.older = {}, {}
+        self.code, self.pack = "H" if self.kind == "<u2" else "I", _little_array
 
-    def _encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+    def _packed(self, ids: list[int]) -> bytes:
+        return self.pack(self.code, ids).tobytes()
 
     def _run(self, piece: str) -> bytes:
         """Ids of one run of Latin letters or of one mark of punctuation."""
@@ -71,20 +85,27 @@ class PieceMemo(dict):
         if ids is None:
             if len(self.plain) >= MEMO_WORDS:
                 self.plain.clear()
-            ids = self.plain[piece] = np.array([t.id for t in self.model.tokenize(
-                piece.encode().decode("latin-1").translate(self.symbols))], self.kind).tobytes()
+            # ASCII letters and marks are printable and stand for themselves.
+            symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            ids = self.plain[piece] = self._packed([t.id for t in self.model.tokenize(symbols)])
         return ids
 
+    def _ids(self, piece: str) -> bytes:
+        if self.runs and _letters(piece):
+            return self._run(piece)
+        if self.runs and piece[-1:] in (".", ",") and _letters(piece[:-1]):
+            return self._run(piece[:-1]) + self._run(piece[-1])
+        return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > 64:
-            return self._encode(piece)
-        if self.runs and LETTERS.fullmatch(piece):
-            ids = self._run(piece)
-        elif self.runs and piece[-1:] in (".", ",") and LETTERS.fullmatch(piece, 0, len(piece) - 1):
-            ids = self._run(piece[:-1]) + self._run(piece[-1])
-        else:
-            ids = self._encode(piece)
+            return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._ids(piece)
         if len(self) >= MEMO_WORDS:
+            # Pieces that are met again come back from here.
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids

@@ -320,3 +320,25 @@ def test_shards_of_odd_rows(spark):
     assert kd_shards.assign_shards(empty(spark), 5).count() == 0
     same = spark.createDataFrame([(i, "same") for i in range(50)], "doc_id long, text string")
     assert {r.shard for r in kd_shards.assign_shards(same, 4).collect()} == {kd_shards.assign_shards(same, 4).first().shard}
+
+
+def test_pieces_met_again_are_encoded_once(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(seekable_tokens, "MEMO_WORDS", 4)
+    memo = seekable_tokens.PieceMemo(public_tokenizers.path("word_bpe_49k.json"))
+    calls, ids_of = [], memo.tokenizer.encode
+    text = "C3 Straße, ABC. abc x1 C3 ÀÉ ſ ıI K ª C3 word, ...  \t\n 日本 é" * 3
+    assert memo.encode(text) == np.array(ids_of(text, add_special_tokens=False).ids, memo.kind).tobytes()
+
+    class Counting:
+        def encode(self, piece, add_special_tokens):
+            calls.append(piece)
+            return ids_of(piece, add_special_tokens=add_special_tokens)
+
+    memo.tokenizer = Counting()
+    memo.clear()
+    memo.older = {}
+    for k in range(40):
+        assert memo.encode("C3") and memo.encode(f"n{k}")
+    assert calls.count("C3") == 1
