@@ -58,6 +58,23 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
+def _release() -> None:
+    """Give the memory of freed arrays back; a worker lives on after its task and other tasks run beside it."""
+    import ctypes
+
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def _released(function):
+    """A function of a partition that gives back its memory when its rows are read."""
+    def run(number: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        yield from function(number, rows)
+        _release()
+    return run
+
+
 # Tokens -------------------------------------------------------------------------------------
 
 
@@ -115,7 +132,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return all_hashes, before[:-1], np.repeat(np.arange(len(texts), dtype=np.int32), per_text + 1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     """Ids, marks of texts to learn from, hashes, contexts, text numbers of about ``BLOCK_TOKENS`` tokens of whole texts."""
     ids, learn, parts, held, count = [], [], [], 0, 0
     for batch in batches:
@@ -132,10 +149,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
                 count, held = count + len(some), held + len(found[0])
                 some, size = [], 0
                 if held >= BLOCK_TOKENS:
-                    yield ids, np.array(learn[:count], bool), *(np.concatenate(x) for x in zip(*parts))
-                    ids, learn, parts, held, count = [], learn[count:], [], 0, 0
+                    found = None
+                    yield _block(ids, learn[:count], parts)
+                    ids, learn, held, count = [], learn[count:], 0, 0
     if parts:
-        yield ids, np.array(learn, bool), *(np.concatenate(x) for x in zip(*parts))
+        found = None
+        yield _block(ids, learn, parts)
+
+
+def _block(ids: list, learn: list, parts: list[tuple]) -> list:
+    """The block of ``parts``, which are given up.  A list, so that who takes the arrays out holds them alone."""
+    out = [ids, np.array(learn, bool), *(np.concatenate(x) for x in zip(*parts))]
+    parts.clear()
+    return out
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -192,19 +218,32 @@ def _cut(shards: int):
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, (ids, learn, hashes, before, place) in enumerate(_blocks(batches)):
+        for number, held in enumerate(_blocks(batches)):
+            ids, learn, hashes, before, place = held
+            held.clear()
             block = (task << 24) + number
             order = np.argsort(~learn, kind="stable")
             rank = np.empty(len(ids), np.uint64)
             rank[order] = np.arange(len(ids), dtype=np.uint64)
             words, code = np.unique(hashes, return_inverse=True)
             # A context is the token before: its number there, plus one.
-            context = np.where(before == START, 0, np.concatenate([[0], code[:-1] + 1])).astype(np.uint64)
+            context = np.zeros(len(code), np.uint64)
+            context[1:] = code[:-1]
+            context[1:] += _U(1)
+            context[before == START] = 0
+            # From here on arrays are given up as soon as they are used: a worker holds some twenty times a block's text.
+            hashes = before = None
             wide, base = _U(max(1, int(len(ids) - 1).bit_length())), _U(len(words) + 1)
-            pair, pairs = code.astype(np.uint64) * base + context, None
+            pair, pairs = code.astype(np.uint64) * base, None
+            pair += context
+            code = context = None
             if int(base).bit_length() * 2 + int(wide) > 64:  # a text of very many words
                 pairs, pair = np.unique(pair, return_inverse=True)
-            keys = np.sort((pair.astype(np.uint64) << wide) | rank[place])
+            keys = pair.astype(np.uint64, copy=False)
+            keys <<= wide
+            keys |= rank[place]
+            pair = place = rank = None
+            keys.sort()
             at = _runs(keys)
             n, keys = np.diff(np.append(at, len(keys))), keys[at]
             place, keys = (keys & ((_U(1) << wide) - _U(1))).astype(np.int64), keys >> wide
@@ -223,6 +262,8 @@ def _cut(shards: int):
                 yield _request([(shard, block, 1, pack(
                     int(learn.sum()), words[a:b], _small(np.bincount(code[c:d] - a)), before_words[seen], _small(at),
                     _small(per_pair[c:d]), _small(place[e:f]), _small(n[e:f])))])
+            words = code = context = pairs = place = keys = n = at = pair_at = per_pair = before_words = seen = None
+        _release()
     return cut
 
 
@@ -523,16 +564,16 @@ def learn(spark: SparkSession, dealt: RDD, burn: int = 2, samples: int = 3, stre
     """Learn the model from the texts that are marked in dealt requests."""
     count = dealt.getNumPartitions()
     more = ", words long, tokens long, dishes long, ones array<long>"
-    dishes = _put(spark, dealt.mapPartitionsWithIndex(_merge), "dishes", more)
+    dishes = _put(spark, dealt.mapPartitionsWithIndex(_released(_merge)), "dishes", more)
     sizes = {r["shard"]: r for r in spark.read.schema(f"shard int, data binary{more}").parquet(dishes).drop("data").collect()}  # one row per shard
     vocabulary, total = sum(r["words"] for r in sizes.values()), sum(r["tokens"] for r in sizes.values())
     ones = np.array([r["ones"] for r in sizes.values()]).reshape(-1, 4).sum(axis=0)
     discounts = tuple(float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95)) for a, b in ones.reshape(2, 2))
-    homes = _put(spark, _numbers(spark, count).flatMap(_offered(dishes, count)).partitionBy(count, int).mapPartitionsWithIndex(_settle), "homes")
+    homes = _put(spark, _numbers(spark, count).flatMap(_offered(dishes, count)).partitionBy(count, int).mapPartitionsWithIndex(_released(_settle)), "homes")
     state = Totals(sum(r["dishes"] for r in sizes.values()), vocabulary, vocabulary, discounts, strength, count, homes)
     back, tables, kept, states = _numbers(spark, count).flatMap(_first(homes)), None, [], []
     for number in range(burn + samples):
-        swept = _put(spark, back.partitionBy(count, int).mapPartitionsWithIndex(_seated(dishes, tables, state, number, count)), "tables",
+        swept = _put(spark, back.partitionBy(count, int).mapPartitionsWithIndex(_released(_seated(dishes, tables, state, number, count))), "tables",
                      ", opened long, root long")
         if tables and tables not in kept:
             _discard(tables)
@@ -542,10 +583,10 @@ def learn(spark: SparkSession, dealt: RDD, burn: int = 2, samples: int = 3, stre
         state = Totals(opened[0] or 0, opened[1] or 0, vocabulary, discounts, strength, count, homes)
         if number >= burn:
             kept.append(tables)
-            state.kept = _put(spark, told.mapPartitionsWithIndex(_totals(homes)), "totals")
+            state.kept = _put(spark, told.mapPartitionsWithIndex(_released(_totals(homes))), "totals")
             states.append(state)
-        back = told.mapPartitionsWithIndex(_returned(homes))
-    met = _numbers(spark, count).flatMap(_all_kept(homes, [s.kept for s in states])).partitionBy(count, int).mapPartitionsWithIndex(_meet)
+        back = told.mapPartitionsWithIndex(_released(_returned(homes)))
+    met = _numbers(spark, count).flatMap(_all_kept(homes, [s.kept for s in states])).partitionBy(count, int).mapPartitionsWithIndex(_released(_meet))
     met = _put(spark, met, "met")
     names = [pack(shard, dishes, kept, met) for shard in range(count)]
     copies = {shard: round(r["tokens"] * count / max(1, total)) for shard, r in sizes.items()}
@@ -593,12 +634,12 @@ def unseen(samples: list[Totals], root: list[tuple], customers: np.ndarray, tabl
 class Scorer:
     """Averaged predictive probabilities of a shard's (word, context) pairs; without a model all words are unknown."""
 
-    def __init__(self, model: Dishes | None, samples: list[Totals]):
+    def __init__(self, model: Dishes | None, samples: list[Totals], chances: bool = True):
         none = np.zeros(0, np.uint64)
         self.words, self.contexts, self.keys = (model.words, model.contexts, model.keys) if model else (none,) * 3
         # The last number stands for the unknown word.
         self.counts = np.append(np.bincount(model.word_of, model.counts), 0).astype(np.int64) if model else np.zeros(1, np.int64)
-        self.samples, self.root, self.chance = samples, [], np.zeros(len(self.keys))
+        self.samples, self.root, self.chance = samples, [], np.zeros(len(self.keys) if chances else 0)
         for number, totals in enumerate(samples):
             if not model:
                 self.root.append((np.zeros(1, np.int64),) * 2)
@@ -606,6 +647,8 @@ class Scorer:
             t1, t0 = model.kept[number]
             top = model.customers_of_root(t1)
             self.root.append((np.append(top, 0), np.append(t0, 0)))
+            if not chances:
+                continue
             self.chance += totals.restaurant(model.customers[model.context_of], model.tables[number][model.context_of], model.counts, t1,
                                              totals.root(top, t0)[model.word_of]) / len(samples)
 
@@ -660,7 +703,7 @@ def _asked(names: list[bytes], samples: list[Totals], owners: dict[int, int]):
         for _, (block, kind, data) in rows if partition in owners else ():
             if kind == 0:
                 continue
-            scorer = scorer or Scorer(_dishes(names[owners[partition]]), samples)
+            scorer = scorer or Scorer(_dishes(names[owners[partition]]), samples, chances=False)
             _, words, per_word, contexts, at, per_pair, place, n = unpack(data)
             of = np.repeat(np.arange(len(words)), per_word)
             word, _, has = scorer.seen(words, of, contexts, at)
@@ -764,9 +807,9 @@ def answer(dealt: RDD, model: Model, docs: DataFrame) -> DataFrame:
             owners.update({len(owners) + copy: shard for copy in range(copies)})
         work.append((dealt.mapPartitionsWithIndex(_copied(first, model.copies)).partitionBy(len(owners), int), owners))
     union = spark.sparkContext.union
-    asked = union([rows.mapPartitionsWithIndex(_asked(model.names, model.samples, owners)) for rows, owners in work]).partitionBy(count, int)
-    answers = union([*(rows.mapPartitionsWithIndex(_answered(model.names, model.samples, model.tokens, model.vocabulary, owners)) for rows, owners in work),
-                     asked.mapPartitionsWithIndex(_replied(model.samples))])
+    asked = union([rows.mapPartitionsWithIndex(_released(_asked(model.names, model.samples, owners))) for rows, owners in work]).partitionBy(count, int)
+    answers = union([*(rows.mapPartitionsWithIndex(_released(_answered(model.names, model.samples, model.tokens, model.vocabulary, owners))) for rows, owners in work),
+                     asked.mapPartitionsWithIndex(_released(_replied(model.samples)))])
     met = spark.createDataFrame(answers, "block long, kind int, data binary", verifySchema=False)
     return met.repartition(count, "block").sortWithinPartitions("block", "kind").mapInArrow(
         _gather(to_arrow_type(kind)),

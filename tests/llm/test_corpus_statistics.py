@@ -318,3 +318,28 @@ def test_query_equals_its_statement(spark, name):
     want = db.execute(ORACLE[name])
     columns = [d[0] for d in want.description]
     assert rows_of(QUERIES[name](spark, SF).select(columns)) == sorted(want.fetchall(), key=repr)
+
+
+def test_a_block_is_held_once_while_it_is_cut(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task())
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pitman_yor, "TaskContext", Task)
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 400_000)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in draw.zipf(1.3, 2_000) % 50_000) for _ in range(620)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([i % 5 > 0 for i in range(len(texts))])],
+                            ["doc_id", "text", "learn"])
+    tracemalloc.start()
+    try:
+        rows = sum(1 for _ in pitman_yor._cut(4)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 15
+    assert peak < 160 * 400_000  # 195 bytes a token when blocks were held twice
