@@ -40,6 +40,7 @@ from pitsignal.shipping import ship_by_value
 SPELLED, LEARNED, SLOTS, SPARSE = 64, 32, 1 << 13, 4
 SEEN, MAX_TRAIN, MEMO = 5, 6_000, 80_000
 HELD, WINDOW, ROWS = 300_000, 150_000, 64  # words kept between flushes, words handled at once, rows of a block
+GAP, SPAN = 16, 256  # blocks: a read goes over shorter gaps, since a call costs as much as they do, and stays in a span
 BITS = 1 << 25  # of the set that tells frequent words; with more words it lets more rare ones through
 PIECES = 16  # files of that set
 CELLS = BITS // 64 // PIECES  # 64-bit cells of a file
@@ -168,16 +169,18 @@ class Vectors:
         lo = int(np.searchsorted(asked, self.starts[0]))
         for (firsts, path, n), hi in zip(self.files, ends.tolist()):
             block = np.searchsorted(firsts, asked[lo:hi], side="right") - 1
-            runs = [0, *(np.flatnonzero(np.diff(block) > 1) + 1).tolist(), len(block)] if len(block) else []
+            # Blocks near each other are read at once, at most SPAN of them.
+            apart = (np.diff(block) > GAP) | (np.diff(block // SPAN) > 0)
+            runs = [0, *(np.flatnonzero(apart) + 1).tolist(), len(block)] if len(block) else []
             for i, j in zip(runs, runs[1:]):
-                for k in range(i, j, 4_096):  # bounded memory for many adjacent blocks
-                    part = slice(k, min(k + 4_096, j))
-                    at, end = int(block[k]) * ROWS, min(n, (int(block[part.stop - 1]) + 1) * ROWS)
-                    rows = self._read(path, at, end - at)
-                    h = asked[lo:hi][part]
-                    place = np.minimum(np.searchsorted(rows["h"], h), len(rows) - 1)
-                    hit = rows["h"][place] == h
-                    out[order[lo:hi][part][hit]] = rows["v"][place[hit]]
+                part = slice(lo + i, lo + j)
+                at, end = int(block[i]) * ROWS, min(n, (int(block[j - 1]) + 1) * ROWS)
+                rows = self._read(path, at, end - at)
+                h = asked[part]
+                keys = np.ascontiguousarray(rows["h"])
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[place] == h
+                out[order[part][hit]] = rows["v"][place[hit]]
             lo = hi
         return out
 

@@ -176,3 +176,20 @@ def test_clustered_vectors_leave_most_cells_unvisited():
 def test_word_hashes_are_those_of_their_utf8():
     words = ["", "word", "é", "中", "\ud800x", "a" * 200]
     assert np.array_equal(quality.hashes(words), quality.hashes(quality.coded(words)))
+
+
+def test_vectors_of_near_blocks_are_read_together(tmp_path, monkeypatch):
+    draw = np.random.default_rng(8)
+    h = np.unique(draw.integers(-2 ** 63, 2 ** 63 - 1, 64 * 700 + 5))
+    rows = np.zeros(len(h), quality.ROW)
+    rows["h"], rows["v"] = h, draw.normal(size=(len(h), quality.LEARNED))
+    (tmp_path / "vectors-000000").write_bytes(rows.tobytes())
+    found = quality.Vectors([(f"file://{tmp_path}/vectors-000000", len(h), h[::quality.ROWS].tobytes())])
+    reads, read = [], found._read
+    monkeypatch.setattr(found, "_read", lambda path, at, n: reads.append(n) or read(path, at, n))
+    some = draw.permutation(np.concatenate([h[::150], h[:3], h[-3:], h[5::64 * 40], draw.integers(-2 ** 63, 2 ** 63 - 1, 50)]))
+    want = dict(zip(h.tolist(), rows["v"].astype(np.float32)))
+    none = np.zeros(quality.LEARNED, np.float32)
+    assert np.array_equal(found.of_hashes(some), np.array([want.get(x, none) for x in some.tolist()]))
+    assert len(reads) <= 4 and max(reads) <= quality.SPAN * quality.ROWS
+    assert not found.of_hashes(np.zeros(0, np.int64)).size
