@@ -267,8 +267,8 @@ def reversal_links(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run
         "signal_id", "target_signal_id", f"case target_kind {name} end as target_type")
 
 
-def reconcile(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run_id",)) -> DataFrame:
-    """Apply the links: a linked reversal passes and takes over the claim's type."""
+def relinked_reversals(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run_id",)) -> DataFrame:
+    """The reversals of ``signals`` with the links applied: a linked one passes and takes over the claim's type."""
     links = reversal_links(signals, scope)
     linked = "target_signal_id is not null"
     channel = "if(target_type = 'SUPPLY_FULFILLMENT', 'FULFILLMENT', if(target_type = 'OTHER_RELEVANT', 'UNKNOWN', 'DEMAND'))"
@@ -277,7 +277,14 @@ def reconcile(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run_id",
         "supersedes_signal_id": "target_signal_id", "related_signal_ids": "array(target_signal_id)",
         "validation_status": "'PASS'", "abstention_reason": "cast(null as string)",
     }
-    # Only reversals can link, so only they are shuffled to meet their links.
-    rest = signals.where("not coalesce(is_reversal, false)")
     return signals.where("is_reversal").join(links, "signal_id", "left").selectExpr(
-        *(f"if({linked}, {changed[c]}, {c}) as {c}" if c in changed else c for c in signals.columns)).union(rest)
+        *(f"if({linked}, {changed[c]}, {c}) as {c}" if c in changed else c for c in signals.columns))
+
+
+def not_reversals(signals: DataFrame) -> DataFrame:
+    return signals.where("not coalesce(is_reversal, false)")
+
+
+def reconcile(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run_id",)) -> DataFrame:
+    """All signals, the reversals among them linked; only these are shuffled to meet their links."""
+    return relinked_reversals(signals, scope).union(not_reversals(signals))

@@ -11,7 +11,7 @@ from pitsignal.operators.contracts import (
     EVIDENCE_MODEL_RULES, EVIDENCE_SCHEMA_RULES, classify, conformance, errors_of,
 )
 from pitsignal.operators.extract import extract_signals
-from pitsignal.operators.reconcile import reconcile
+from pitsignal.operators.reconcile import not_reversals, relinked_reversals
 from pitsignal.sources.schemas import EVIDENCE, SIGNAL
 from pitsignal.sources.sinks import append_quarantine, append_to_ledger
 from pitsignal.staging import stage
@@ -68,15 +68,17 @@ def run_extraction(
     if check_unique:
         require_unique_sources(notes)
     valid = with_evidence_errors(notes).where("size(errors) = 0").drop("errors")
-    # Linking reads the signals several times; the texts are interpreted once.
-    signals = stage(extract_signals(
+    # Linking reads the signals several times; the texts are interpreted and checked once.
+    checked = stage(classify(extract_signals(
         valid, known_entities, extraction_run_id=extraction_run_id,
-        keep=("authored_at", "available_at", *scope), **versions))
+        keep=("authored_at", "available_at", *scope), **versions), "signal_record"))
     # Only records that pass the contracts are linked, so no link names a quarantined one.
-    checked = classify(signals, "signal_record")
-    linked = reconcile(checked.where("stage is null").drop("stage", "error"), scope=("extraction_run_id", *scope))
+    sound = checked.where("stage is null").drop("stage", "error")
+    linked = relinked_reversals(sound, ("extraction_run_id", *scope))
     columns = [*SIGNAL.names, "stage", "error"]
-    classified = classify(linked, "signal_record").select(*columns).unionByName(checked.where("stage is not null").select(*columns))
+    # A link changes reversals only; what was checked before stands for the others.
+    settled = checked.where("stage is not null").union(not_reversals(checked.where("stage is null")))
+    classified = classify(linked, "signal_record").select(*columns).unionByName(settled.select(*columns))
     return ExtractionRun(extraction_run_id, classified, notes)
 
 

@@ -43,6 +43,17 @@ def test_no_reversal_is_linked_to_a_quarantined_claim(spark):
     assert [(r["source_id"], r["supersedes_signal_id"]) for r in run.accepted.collect()] == [("undo", None)]
 
 
+def test_contracts_are_checked_once_per_record_not_once_per_reader(spark):
+    notes = note_rows(spark, [
+        note("plan", "Customer expects to increase orders by roughly 9% next month.", "2026-01-05T09:00:00"),
+        note("undo", "Previous expansion plan has been cancelled.", "2026-01-07T09:00:00")])
+    run = run_extraction(notes, ["CUST-0001"], extraction_run_id="r", extracted_at="2026-02-01 00:00:00")
+    plan = run.classified._jdf.queryExecution().optimizedPlan().toString()
+    # Two mentions per check (stage and error) of the linked reversals; all else was checked when it was written.
+    assert plan.count("missing: logical_signal_id") <= 2
+    assert {r["source_id"]: bool(r["supersedes_signal_id"]) for r in run.accepted.collect()} == {"plan": False, "undo": True}
+
+
 def test_broken_note_lines_are_rejected_with_their_text(spark, tmp_path):
     good = dict(source_id="n1", source_type="account_note", source_record_id="n1", source_revision="r1", authored_at="2026-01-05T09:00:00",
                 available_at="2026-01-05T09:10:00", raw_text="x", content_hash="sha256:x", entity_mentions_raw=[], schema_version="0.1.0")
