@@ -9,6 +9,7 @@ from pitsignal.functions.clock import floor_days, from_us, to_us
 from pitsignal.functions.votes import days_since, direction_vote, net_direction, staleness, type_bit
 from pitsignal.operators.ledger import supersession_times
 from pitsignal.operators.sweep import memberships, sweep
+from pitsignal.staging import stage
 from pitsignal.vocabulary import (
     FEATURE_DEFINITION_VERSION, HORIZON_DAYS, LONG_LOOKBACK_DAYS, LOOKBACK_DAYS, SCHEMA_VERSION,
     STALENESS_THRESHOLD_DAYS,
@@ -17,6 +18,8 @@ from pitsignal.vocabulary import (
 # Active rows that passed or await review and carry a signal.
 ACTIONABLE = "record_status = 'ACTIVE' and validation_status in ('PASS', 'REVIEW') and signal_type <> 'NO_SIGNAL'"
 
+LINKS_PER_TASK = 500_000  # links that one task makes, or gathers into arrays
+
 
 def with_availability(signals: DataFrame, sources: DataFrame) -> DataFrame:
     """Attach ``available_at`` by source; signals without a source drop out.
@@ -126,12 +129,19 @@ def build_features(
 def _attach_lineage(
     raw: DataFrame, claims: DataFrame, request: DataFrame, cutoffs: DataFrame | None, days: dict,
 ) -> DataFrame:
-    """Collect the ids of each pair; a request that wants whole arrays in rows gets them at any size."""
+    """Collect the ids of each pair; a request that wants whole arrays in rows gets them at any size.
+
+    The swept rows hold the number of links of each pair, so the tasks that make and gather them are as many
+    as the links ask for: a fixed number of partitions would hold ever more of them.
+    """
     key = ["entity_key", "cutoff_us"]
+    raw = stage(raw)
     rest = [c for c in raw.columns if c not in key]
+    tasks = raw.selectExpr(f"cast(coalesce(sum(1 + n_eligible), 0) div {LINKS_PER_TASK} + 1 as int) as n").first()["n"]
     packed = raw.selectExpr(*key, f"struct({', '.join(rest)}) as row")
-    links = memberships(claims, request.distinct(), cutoffs=cutoffs, keep=("available_us", "source_id", "signal_id"), **days)
-    joined = packed.join(links, key, "left")
+    links = memberships(
+        claims, request.distinct(), cutoffs=cutoffs, keep=("available_us", "source_id", "signal_id"), tasks=tasks, **days)
+    joined = packed.repartition(tasks, *key).join(links.repartition(tasks, *key), key, "left")
     ordered = F.expr("transform(array_sort(links), x -> x.signal_id) as contributing_signal_ids")
     return joined.groupBy(*key).agg(
         F.first("row").alias("row"),

@@ -140,18 +140,24 @@ def _spread(claims: DataFrame, reads: DataFrame, calendar: Calendar) -> DataFram
         "entity_key", f"{_block(calendar)}L as size")
 
 
-def _meet(rows: DataFrame, reads: DataFrame, large: DataFrame, calendar: Calendar, end: str, how: str = "inner") -> DataFrame:
+def _meet(
+    rows: DataFrame, reads: DataFrame, large: DataFrame, calendar: Calendar, end: str, how: str = "inner",
+    tasks: int | None = None,
+) -> DataFrame:
     """The entity's own cutoffs with the rows whose ``[lo, end)`` they lie in; "left" keeps the others.
 
     A row of a large entity is repeated per block of its interval, not per cutoff of the
     calendar, and meets the requested cutoffs of its entity in that block, so such an entity
     is spread over its blocks; a row of a small one goes out once.  The cutoffs come out of an
     array, which Spark's size estimate does not see, so no join may be planned as a broadcast.
+    ``tasks`` deals the join out over so many tasks; without it Spark's settings do.
     """
     whole = f"coalesce(size, {max(1, calendar.size)}L)"
     dealt = rows.join(large.hint("merge"), "entity_key", "left").selectExpr(
         *rows.columns, f"explode(sequence(lo div {whole}, ({end} - 1) div {whole})) as block")
     placed = reads.join(large.hint("merge"), "entity_key", "left").selectExpr(*reads.columns, f"idx div {whole} as block")
+    if tasks is not None:
+        dealt, placed = (side.repartition(tasks, "entity_key", "block") for side in (dealt, placed))
     same = f"r.entity_key = c.entity_key and r.block = c.block and r.idx >= c.lo and r.idx < c.{end}"
     return placed.alias("r").join(dealt.alias("c").hint("merge"), F.expr(same), how).selectExpr(
         *(f"r.{c}" for c in reads.columns), *(f"c.`{c}`" for c in rows.columns if c not in reads.columns))
@@ -218,9 +224,9 @@ def sweep(
 def memberships(
     claims: DataFrame, pairs: DataFrame, *,
     horizon_days: int, lookback_days: int, long_lookback_days: int, keep: tuple[str, ...],
-    cutoffs: DataFrame | None = None,
+    cutoffs: DataFrame | None = None, tasks: int | None = None,
 ) -> DataFrame:
-    """Long lineage ``(entity_key, cutoff_us, *keep)``: one row per eligible claim and pair.
+    """Long lineage ``(entity_key, cutoff_us, *keep)``: one row per eligible claim and pair, made by ``tasks`` tasks.
 
     The output is as large as the answer itself.  It is never grouped here: an entity
     with many claims spreads over its cutoffs, and rows stay flat.
@@ -229,4 +235,5 @@ def memberships(
     calendar = calendar_of(pairs if cutoffs is None else cutoffs)
     claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr("entity_key", "lo", "hi", *keep)
     reads = _reads(pairs, calendar)
-    return _meet(claim_rows, reads, _spread(claims, reads, calendar), calendar, "hi").select("entity_key", "cutoff_us", *keep)
+    return _meet(claim_rows, reads, _spread(claims, reads, calendar), calendar, "hi", tasks=tasks).select(
+        "entity_key", "cutoff_us", *keep)

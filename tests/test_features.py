@@ -185,3 +185,14 @@ def test_repeated_sources_count_once_and_two_availabilities_fail(spark):
     twice = once.unionByName(once.selectExpr("source_id", "available_at + interval 1 microsecond as available_at"))
     with pytest.raises(Exception, match="two availabilities"):
         with_availability(signals, twice).collect()
+
+
+def test_tasks_that_gather_lineage_follow_the_number_of_links(spark, monkeypatch):
+    from pitsignal.operators import features
+
+    monkeypatch.setattr(features, "LINKS_PER_TASK", 10)
+    rows = [signal(f"s{i:03}", f"n{i}") for i in range(95)]
+    got = build_features(ledger_frame(spark, rows), pair_frame(spark, [("CUST-0001", CUTOFF)]), lineage="array")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 4 and ", 10" in plan  # 96 rows, whatever the session's partitions are
+    assert sorted(got.first()["contributing_signal_ids"]) == [f"s{i:03}" for i in range(95)]
