@@ -73,11 +73,23 @@ def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_actions(twice, first.union(other))
 
 
+# What features are made of; an experiment reads nothing else of a signal.
+CLAIM_COLUMNS = (
+    "signal_id", "source_id", "forecast_key", "available_at", "signal_type", "direction", "negated", "business_certainty",
+    "magnitude_basis", "magnitude_value", "effective_start", "effective_end", "record_status", "validation_status")
+
+
+def claim_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-note signals with the columns that features read; the others are not extracted.  Not staged."""
+    return order_signals(spark, sf_dir).select(*CLAIM_COLUMNS)
+
+
 def nation_signals(spark: SparkSession, sf_dir: str, *, linked: bool = False) -> DataFrame:
-    """Order-note signals keyed by the customer's nation, with availability."""
-    signals = stored_signals(spark, sf_dir)
-    if linked:
-        signals = reconcile(signals)
+    """Order-note signals keyed by the customer's nation, with availability.
+
+    Linking reads the signals several times, so they are stored before it; unlinked ones are read once.
+    """
+    signals = reconcile(stored_signals(spark, sf_dir)) if linked else claim_signals(spark, sf_dir)
     owners = nation_signals_key(spark, sf_dir)
     return stage(signals.join(owners, signals.forecast_key == owners.customer_key).withColumn(
         "forecast_key", F.col("nation_key")).drop("customer_key", "nation_key"))

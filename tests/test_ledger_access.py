@@ -191,3 +191,9 @@ def test_every_note_is_accepted_or_quarantined(spark):
     notes = note_rows(spark, [note(f"n{i}", texts[i % 3]) for i in range(9)])
     run = run_extraction(notes, ["CUST-0001"], extraction_run_id="r")
     assert run.accepted.count() + run.quarantined.count() == 9
+
+
+def test_experiments_store_only_what_features_read_of_a_signal(spark):
+    from pitsignal.plans.queries_ledger import CLAIM_COLUMNS, nation_signals
+
+    assert set(nation_signals(spark, "/root/testdata/sf0.001").columns) == set(CLAIM_COLUMNS)
