@@ -51,20 +51,28 @@ def _forecast_key(resolved: str) -> str:
     return f"if(size({resolved}) = 1, {resolved}[0], null)"
 
 
-def resolve_entities(notes: DataFrame, master: DataFrame) -> DataFrame:
-    """``(source_id, resolved_entities, forecast_key)`` against a master table of any size.
+def resolve_entities(notes: DataFrame, master: DataFrame, key: str = "source_id", carry: Iterable[str] = ()) -> DataFrame:
+    """``(key, resolved_entities, forecast_key, *carry)`` against a master table of any size.
 
-    Only ids and mentions are shuffled, never the text: once to meet the master on the
-    mention, once back to the note.
+    Only keys and mentions are shuffled, never the text: once to meet the master on the
+    mention, once back to the note.  ``carry`` names columns of the master that come along
+    with the forecast key; the master has one row per entity then.
     """
-    mentions = notes.selectExpr("source_id", "posexplode(array_distinct(entity_mentions_raw)) as (pos, entity_key)")
-    known = mentions.join(master.select("entity_key").distinct(), "entity_key")
-    return known.groupBy("source_id").agg(
-        F.expr("transform(array_sort(collect_list(struct(pos, entity_key))), x -> x.entity_key) as resolved_entities"),
-    ).selectExpr("source_id", "resolved_entities", f"{_forecast_key('resolved_entities')} as forecast_key")
+    carry = list(carry)
+    mentions = notes.selectExpr(key, "posexplode(array_distinct(entity_mentions_raw)) as (pos, entity_key)")
+    known = mentions.join(master.select("entity_key", *carry).distinct(), "entity_key")
+    hit = ", ".join(("pos", "entity_key", *carry))
+    return known.groupBy(key).agg(F.expr(f"array_sort(collect_list(struct({hit}))) as hits")).selectExpr(
+        key, "hits", "transform(hits, x -> x.entity_key) as resolved_entities",
+    ).selectExpr(
+        key, "resolved_entities", f"{_forecast_key('resolved_entities')} as forecast_key",
+        *(f"if(size(hits) = 1, hits[0].{c}, null) as {c}" for c in carry))
 
 
 def _with_resolution(rows: DataFrame, notes: DataFrame, known_entities) -> DataFrame:
+    if known_entities is None:
+        return rows.withColumn(
+            "resolved_entities", F.expr("coalesce(resolved_entities, cast(array() as array<string>))"))
     if isinstance(known_entities, DataFrame):
         resolved = resolve_entities(notes, known_entities)
         return rows.join(resolved, "source_id", "left").withColumn(
@@ -76,7 +84,7 @@ def _with_resolution(rows: DataFrame, notes: DataFrame, known_entities) -> DataF
 
 def extract_signals(
     notes: DataFrame,
-    known_entities: DataFrame | Iterable[str],
+    known_entities: DataFrame | Iterable[str] | None,
     *,
     extraction_run_id: str,
     extracted_at: str | None = None,
@@ -87,13 +95,15 @@ def extract_signals(
     """One signal row per note in the ledger layout, abstaining where evidence is missing.
 
     With a Python collection of entities this is a single projection (it also runs on a
-    stream); with a master table it adds the join of :func:`resolve_entities`.  ``keep``
-    carries further note columns along.
+    stream); with a master table it adds the join of :func:`resolve_entities`, which shuffles
+    the signals to their entities.  With None the notes carry the columns of that function, and
+    nothing is shuffled.  ``keep`` carries further note columns along.
     """
     keep = [c for c in dict.fromkeys(keep) if c not in SIGNAL.names]
+    resolved = ["resolved_entities", "forecast_key"] if known_entities is None else []
     evidence = list(dict.fromkeys([
         "source_id", "source_revision", "source_type", "source_record_id", "entity_mentions_raw", *keep]))
-    found = _with_resolution(detect_cues(notes, evidence), notes, known_entities)
+    found = _with_resolution(detect_cues(notes, [*evidence, *resolved]), notes, known_entities)
     reasons = ", ".join(f"if({when}, '{text}', null)" for when, text in (
         ("conflict", V.REASON_CONFLICT),
         ("no_cues", V.REASON_NO_CUES),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitsignal.functions.clock import floor_days, from_us, to_us
 from pitsignal.functions.votes import days_since, direction_vote, net_direction, staleness, type_bit
 from pitsignal.operators.ledger import supersession_times
+from pitsignal.operators.possible import with_possible
 from pitsignal.operators.sweep import memberships, sweep
 from pitsignal.staging import stage
 from pitsignal.vocabulary import (
@@ -45,7 +46,7 @@ def claims_from_signals(signals: DataFrame, *, supersession: str = "raw") -> Dat
     rows = signals.where(f"{ACTIONABLE} and forecast_key is not null and available_at is not null")
     closed = "cast(null as bigint)"
     if supersession == "as_of":
-        rows, closed = rows.join(supersession_times(signals), "signal_id", "left"), "superseded_us"
+        rows, closed = _with_supersession(rows, supersession_times(signals)), "superseded_us"
     cancelled = "signal_type = 'ORDER_LIFECYCLE' and direction = 'DECREASE'"
     return rows.selectExpr(
         "forecast_key as entity_key", "source_id", "signal_id",
@@ -63,6 +64,13 @@ def claims_from_signals(signals: DataFrame, *, supersession: str = "raw") -> Dat
     )
 
 
+def _with_supersession(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """Attach ``superseded_us``; rows that a bit set of the superseded rules out are not shuffled for it."""
+    flagged = with_possible(rows, times.select(F.xxhash64("signal_id").alias("h")), key="h", hashed="xxhash64(signal_id)")
+    met = flagged.where("possible").join(times, "signal_id", "left").select(*rows.columns, "superseded_us")
+    return met.union(flagged.where("not possible").selectExpr(*rows.columns, "cast(null as bigint) as superseded_us"))
+
+
 def request_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.selectExpr("entity_key", f"{to_us('forecast_cutoff')} as cutoff_us")
 
@@ -89,6 +97,11 @@ def build_features(
     ``cutoffs`` lists the request's distinct ``forecast_cutoff`` where already known.
     """
     claims = claims_from_signals(signals, supersession=supersession)
+    if lineage != "array":
+        claims = claims.drop("signal_id")
+    if supersession == "as_of":
+        # The sweep reads claims several times; signals meet their superseders once.
+        claims = stage(claims)
     days = dict(horizon_days=horizon_days, lookback_days=lookback_days, long_lookback_days=LONG_LOOKBACK_DAYS)
     request = request_pairs(pairs)
     known = None if cutoffs is None else cutoffs.selectExpr(

@@ -8,23 +8,31 @@ from pitsignal.functions.clock import from_us, to_us
 from pitsignal.functions.votes import days_since, direction_vote, net_direction, staleness
 from pitsignal.operators.features import request_pairs
 from pitsignal.operators.sweep import sweep
+from pitsignal.staging import stage
 from pitsignal.vocabulary import (
     HORIZON_DAYS, LONG_LOOKBACK_DAYS, LOOKBACK_DAYS, ORACLE_FEATURE_VERSION, SCHEMA_VERSION,
 )
 
 
-def claims_from_truth(truth: DataFrame, notes: DataFrame) -> DataFrame:
+def claims_from_truth(truth: DataFrame, notes: DataFrame | None) -> DataFrame:
     """Relevant truth rows as claims, available when their note was.
 
     The entity is the note's first mention; the period restricts a row only when both
-    ends are stated.
+    ends are stated.  Without ``notes`` the truth rows carry ``available_at`` and ``entity_key``.
     """
+    relevant = truth.where("not coalesce(is_irrelevant, false)")
+    if notes is None:
+        return _claims(relevant.where("available_at is not null and entity_key is not null"))
     known = notes.selectExpr(
         "source_id", "available_at", "try_element_at(entity_mentions_raw, 1) as entity_key",
     ).where("available_at is not null and entity_key is not null")
-    both = "effective_start is not null and effective_end is not null"
     # Both sides are as long as the notes, however small their files are: no broadcast.
-    return truth.where("not coalesce(is_irrelevant, false)").join(known.hint("merge"), "source_id").selectExpr(
+    return _claims(relevant.join(known.hint("merge"), "source_id"))
+
+
+def _claims(rows: DataFrame) -> DataFrame:
+    both = "effective_start is not null and effective_end is not null"
+    return rows.selectExpr(
         "entity_key", "source_id", "source_id as signal_id",
         f"{to_us('available_at')} as available_us",
         f"if({both}, {to_us('effective_start')}, null) as window_start_us",
@@ -39,13 +47,16 @@ def claims_from_truth(truth: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def build_oracle_features(
-    truth: DataFrame, notes: DataFrame, pairs: DataFrame, *, generated_at: str | None = None,
+    truth: DataFrame, notes: DataFrame | None, pairs: DataFrame, *, generated_at: str | None = None,
     horizon_days: int = HORIZON_DAYS, lookback_days: int = LOOKBACK_DAYS, cutoffs: DataFrame | None = None,
 ) -> DataFrame:
-    """Feature-shaped rows per distinct (entity_key, forecast_cutoff)."""
+    """Feature-shaped rows per distinct (entity_key, forecast_cutoff).
+
+    The claims are stored for the sweep, which reads them several times.
+    """
     known = None if cutoffs is None else cutoffs.selectExpr(f"{to_us('forecast_cutoff')} as cutoff_us")
     raw = sweep(
-        claims_from_truth(truth, notes), request_pairs(pairs), horizon_days=horizon_days,
+        stage(claims_from_truth(truth, notes).drop("signal_id")), request_pairs(pairs), horizon_days=horizon_days,
         lookback_days=lookback_days, long_lookback_days=LONG_LOOKBACK_DAYS, cutoffs=known)
     clock = f"timestamp '{generated_at}'" if generated_at else "current_timestamp()"
     since = days_since("cutoff_us", "latest_us")

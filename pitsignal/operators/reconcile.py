@@ -6,14 +6,17 @@ reversal-claim pairs would be quadratic in the claims of an entity.  Instead eac
 is an arrival and an expiry on a time line; the state of the time line is a count and a
 xor of identities, so "exactly one, and which" is read off the state:
 
-1. a two-level scan gives each reversal the state of the claims as written;
+1. running sums give each reversal the state of the claims as written; the time line of an entity
+   with many claims is cut into blocks of hours and scanned in two levels;
 2. links feed back (a superseded claim stops counting, a linked reversal that is not
    negated becomes a claim), so a small fold walks the reversals of an entity in time
    order and keeps only those corrections.  It streams over sorted Arrow batches, holds
    the links still in effect, and skips the reversals that cannot link with numpy;
 3. links are joined back to the signals.
 
-Only steps 2 and 3 see reversals one entity at a time, and no step pairs rows up.
+Only steps 2 and 3 see reversals one entity at a time, and no step pairs rows up.  A signal is
+shuffled once for the scan; to find the ids of linked claims only those signals are shuffled that
+a bit set of the links does not rule out.
 """
 
 from __future__ import annotations
@@ -24,16 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pitsignal.functions.clock import to_us
 from pitsignal.functions.votes import type_bit
-from pitsignal.operators.scan import running_before
+from pitsignal.operators.possible import with_possible
+from pitsignal.operators.scan import HOUR_US
 from pitsignal.shipping import ship_by_value
+from pitsignal.staging import stage
 from pitsignal.vocabulary import REASON_NO_SUBJECT, REASON_REVERSAL, REASON_SEPARATOR, SIGNAL_TYPES
 
 # A claim's identity on the time line: two 64-bit hashes, its end (0 = open) and type bit.
 _IDENTITY = ("h1", "h2", "end_us", "kind")
 _ANY = "*"
+WHOLE = 4096  # points of a bucket of entities, up to which the time lines of these are not cut into blocks
+BUCKETS = 1 << 16
 # What linking reads of a signal, beside the scope.
 LINK_COLUMNS = (
     "signal_id", "source_id", "forecast_key", "signal_type", "record_status", "validation_status", "abstention_reason",
@@ -65,75 +73,97 @@ def gated_reversals(signals: DataFrame, scope: tuple[str, ...]) -> DataFrame:
 
 
 def open_claims(signals: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """Claims a reversal could mean, once per time line (their type, and any type)."""
+    """Claims a reversal could mean; each is on two time lines, that of its type and that of any type."""
     claims = signals.where(
         "record_status = 'ACTIVE' and validation_status = 'PASS' and not negated "
         "and signal_type <> 'NO_SIGNAL' and forecast_key is not null"
     ).selectExpr(
-        *scope, "forecast_key", "source_id", f"explode(array(signal_type, '{_ANY}')) as kinds",
+        *scope, "forecast_key", "source_id", "signal_type as kinds",
         f"{to_us('available_at')} as available_us", *_identity(to_us("effective_end")),
     )
     # A claim that had ended before it became known is never open.
     return claims.where("end_us = 0 or end_us > available_us")
 
 
+def _known_points(signals: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """Open claims and gated reversals in one narrow layout: ``us`` is when a claim arrives or a reversal was written."""
+    entity = (*scope, "forecast_key")
+    claims = open_claims(signals, scope).selectExpr(
+        *entity, "kinds", "source_id", "available_us as us", *_IDENTITY, "false as reads",
+        "cast(null as string) as signal_id", "cast(null as bigint) as available_us", "cast(null as boolean) as negated")
+    matched = " and ".join(f"{c} is not null" for c in (*scope, "kinds", "read_us"))
+    reversals = gated_reversals(signals, scope).where(matched).selectExpr(
+        *entity, "kinds", "source_id", "read_us as us", "own_h1 as h1", "own_h2 as h2", "own_end_us as end_us", "0L as kind",
+        "true as reads", "signal_id", "available_us", "negated")
+    return claims.union(reversals)
+
+
+def _large(points: DataFrame, entity: tuple[str, ...]) -> DataFrame:
+    """``(bucket)`` of the entities that are cut into blocks of time: all whose bucket holds more than ``WHOLE`` points.
+
+    Buckets, unlike entities, are few, so they are counted map-side and the table is small and stored.
+    """
+    return stage(points.selectExpr(f"{_bucket(entity)} as bucket").groupBy("bucket").count().where(
+        f"count > {WHOLE}").select("bucket"))
+
+
+def _bucket(entity: tuple[str, ...]) -> str:
+    return f"pmod(xxhash64({', '.join(entity)}), {BUCKETS}L)"
+
+
 def reversal_states(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run_id",)) -> DataFrame:
     """Each gated reversal with the state of the claims as written when it was authored.
 
     Columns ``n`` and the xor of the identities; with ``n = 1`` they are the identity of
     the only candidate.  Links between reversals are not considered yet.
+
+    A claim or reversal is shuffled once, by entity and block; what it does to which time line, and
+    when, is spelled out after that.  At an instant come expiries, then arrivals and the reversals of
+    notes that became available at the very moment they were written, by source, then the reversals
+    of the others.
     """
-    line = (*scope, "forecast_key", "kinds")
-    reversals = gated_reversals(signals, scope)
-    entities = reversals.select(*scope, "forecast_key").distinct()
-    claims = open_claims(signals, scope).join(entities, [*scope, "forecast_key"], "left_semi")
-
-    same = {c: c for c in _IDENTITY}
-    event = lambda df, us, arrive, expire, cols: df.selectExpr(
-        *line, f"{us} as us", f"{arrive}L as arrived", f"{expire}L as expired",
-        *(f"{cols[c] if arrive else '0L'} as arrived_{c}" for c in _IDENTITY),
-        *(f"{cols[c] if expire else '0L'} as expired_{c}" for c in _IDENTITY))
-    none = dict.fromkeys(_IDENTITY, "0L")
-    events = (
-        event(claims, "available_us", 1, 0, same)
-        .union(event(claims.where("end_us > 0"), "end_us", 0, 1, same))
-        .union(event(reversals, "read_us", 0, 0, none))
-    )
-    counted = ["arrived", "expired"]
-    mixed = [f"{side}_{c}" for side in ("arrived", "expired") for c in _IDENTITY]
-    points = signals.sparkSession.sql(
-        f"select {', '.join(line)}, us, {', '.join(f'sum({c}) as {c}' for c in counted)}, "
-        f"{', '.join(f'bit_xor({c}) as {c}' for c in mixed)} from {{events}} group by {', '.join(line)}, us",
-        events=events,
-    ).selectExpr(
-        "*", "arrived - expired as n", *(f"arrived_{c} ^ expired_{c} as {c}" for c in _IDENTITY))
-    states = running_before(points, line, "us", sums=("n",), xors=_IDENTITY).selectExpr(
-        *line, "us as read_us",
-        # Expiries at an instant precede reads at it; arrivals follow the reads of notes
-        # that became available at the very moment they were written.
-        "before_n - expired as n_first", *(f"before_{c} ^ expired_{c} as first_{c}" for c in _IDENTITY),
-        "arrived", *(f"arrived_{c}" for c in _IDENTITY))
-    read = reversals.join(states, [*line, "read_us"]).join(
-        _instant_ties(claims, reversals, line), [*line, "read_us", "source_id"], "left")
-    late = "read_us < available_us"
-    return read.selectExpr(
-        *line, "signal_id", "source_id", "read_us", "available_us", "negated", "own_end_us", "own_h1", "own_h2",
-        f"n_first + if({late}, arrived, coalesce(tied, 0L)) as n",
-        *(f"first_{c} ^ if({late}, arrived_{c}, coalesce(tied_{c}, 0L)) as {c}" for c in _IDENTITY))
-
-
-def _instant_ties(claims: DataFrame, reversals: DataFrame, line: tuple[str, ...]) -> DataFrame:
-    """For notes available the moment they were written: claims of that moment sorted before them."""
-    instants = reversals.where("read_us = available_us").selectExpr(*line, "read_us", "source_id")
-    moments = instants.select(*line, "read_us").distinct()
-    tied = claims.withColumnRenamed("available_us", "read_us").join(moments, [*line, "read_us"], "left_semi")
-    rows = tied.selectExpr(*line, "read_us", "source_id", "1L as one", *_IDENTITY, "false as reads").union(
-        instants.selectExpr(*line, "read_us", "source_id", "0L", *("0L" for _ in _IDENTITY), "true"))
-    before = (f"(partition by {', '.join(line)}, read_us order by source_id "
+    entity = (*scope, "forecast_key")
+    line = (*entity, "kinds")
+    points = _known_points(signals, scope)
+    large = _large(points, entity)
+    cut = not large.isEmpty()
+    at = lambda us: f"if(cut, coalesce({us} div {HOUR_US}L, {-1 << 62}L), 0L)"
+    if cut:
+        marked = points.selectExpr("*", f"{_bucket(entity)} as bucket").join(
+            large.selectExpr("bucket", "true as large"), "bucket", "left").selectExpr(
+            *points.columns, "coalesce(large, false) as cut")
+        dealt = marked.selectExpr("*", f"explode(array_distinct(if(reads or end_us <= 0, array({at('us')}), "
+                                  f"array({at('us')}, {at('end_us')})))) as block")
+    else:
+        dealt = points.selectExpr("*", "false as cut", "0L as block")
+
+    def spelled_out(rows: DataFrame) -> DataFrame:
+        when = "case when us < available_us then 3 when us = available_us then 2 else 1 end"
+        rest = [c for c in rows.columns if c != "kinds"]
+        return rows.selectExpr(
+            *rest, f"explode(if(reads, array(kinds), array(kinds, '{_ANY}'))) as kinds",
+        ).selectExpr(
+            "*", f"explode(if(reads, array({when}), if(end_us > 0, array(2, 0), array(2)))) as phase",
+        ).selectExpr(
+            "*", "if(phase = 0, end_us, us) as at_us", "case when reads then 0L when phase = 0 then -1L else 1L end as step",
+        ).where(f"block = {at('at_us')}")
+
+    measures = [("n", "sum(step)"), *((c, f"bit_xor(if(reads, 0L, {c}))") for c in _IDENTITY)]
+    so_far = (f"(partition by {', '.join(line)}, block order by at_us, phase, source_id, if(reads, 0, 1) "
               "rows between unbounded preceding and current row)")
-    return rows.selectExpr(
-        *line, "read_us", "source_id", "reads", f"sum(one) over {before} as tied",
-        *(f"bit_xor({c}) over {before} as tied_{c}" for c in _IDENTITY)).where("reads").drop("reads")
+    own = ("signal_id", "source_id", "us as read_us", "available_us", "negated", "end_us as own_end_us", "h1 as own_h1", "h2 as own_h2")
+    read = spelled_out(dealt.repartition(*entity, "block")).selectExpr(
+        *line, "block", "reads", *own, *(f"{how} over {so_far} as in_{c}" for c, how in measures)).where("reads")
+    if not cut:
+        return read.selectExpr(*line, *(c.split()[-1] for c in own), *(f"in_{c} as {c}" for c, _ in measures))
+    # A large entity has the state before a block from one row for each of its blocks.
+    totals = spelled_out(dealt.where("cut")).groupBy(*line, "block").agg(*(F.expr(f"{how} as {c}") for c, how in measures))
+    before = f"(partition by {', '.join(line)} order by block rows between unbounded preceding and 1 preceding)"
+    offsets = totals.selectExpr(
+        *line, "block", f"sum(n) over {before} as off_n", *(f"bit_xor({c}) over {before} as off_{c}" for c in _IDENTITY))
+    return read.join(offsets, [*line, "block"], "left").selectExpr(
+        *line, *(c.split()[-1] for c in own), "in_n + coalesce(off_n, 0L) as n",
+        *(f"in_{c} ^ coalesce(off_{c}, 0L) as {c}" for c in _IDENTITY))
 
 
 _LINK_SCHEMA = "signal_id string, target_h1 bigint, target_h2 bigint, target_kind bigint"
@@ -258,8 +288,11 @@ def reversal_links(signals: DataFrame, scope: tuple[str, ...] = ("extraction_run
         .repartition(*group)
         .sortWithinPartitions(*group, "read_us", "late", "source_id")
     )
-    links = ordered.mapInPandas(lambda batches: _fold(batches, group), _LINK_SCHEMA)
-    targets = signals.where("validation_status = 'PASS' or is_reversal").selectExpr(
+    links = stage(ordered.mapInPandas(lambda batches: _fold(batches, group), _LINK_SCHEMA))
+    targets = with_possible(
+        signals.where("validation_status = 'PASS' or is_reversal").select("signal_id"), links,
+        key="target_h1", hashed="xxhash64(signal_id)",
+    ).where("possible").selectExpr(
         "xxhash64(signal_id) as target_h1", "xxhash64(signal_id, 'second') as target_h2",
         "signal_id as target_signal_id")
     name = " ".join(f"when {1 << i}L then '{t}'" for i, t in enumerate(SIGNAL_TYPES))

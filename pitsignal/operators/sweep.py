@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitsignal.functions.clock import DAY_US, Calendar, calendar_of
+from pitsignal.staging import stage
 
 BLOCKS = 64
 WHOLE = 4096  # an entity of so many claims and cutoffs together is one block
@@ -133,11 +134,12 @@ def _block(calendar: Calendar) -> int:
 def _spread(claims: DataFrame, reads: DataFrame, calendar: Calendar) -> DataFrame:
     """``(entity_key, size)``: calendar positions per block of the entities that are cut into blocks.
 
-    An entity of up to ``WHOLE`` claims and cutoffs is met whole, as one block.
+    An entity of up to ``WHOLE`` claims and cutoffs is met whole, as one block.  The table is at most one
+    ``WHOLE``-th of these, and stored: Spark knows its size then, and claims are read for it once.
     """
     sizes = claims.selectExpr("entity_key", "1L as n").union(reads.selectExpr("entity_key", "1L as n"))
-    return _aggregate(sizes, ("entity_key",), ["sum(n) as n"]).where(f"n > {WHOLE}").selectExpr(
-        "entity_key", f"{_block(calendar)}L as size")
+    return stage(_aggregate(sizes, ("entity_key",), ["sum(n) as n"]).where(f"n > {WHOLE}").selectExpr(
+        "entity_key", f"{_block(calendar)}L as size"))
 
 
 def _meet(
@@ -149,13 +151,14 @@ def _meet(
     A row of a large entity is repeated per block of its interval, not per cutoff of the
     calendar, and meets the requested cutoffs of its entity in that block, so such an entity
     is spread over its blocks; a row of a small one goes out once.  The cutoffs come out of an
-    array, which Spark's size estimate does not see, so no join may be planned as a broadcast.
-    ``tasks`` deals the join out over so many tasks; without it Spark's settings do.
+    array, which Spark's size estimate does not see, so the join with them may not be planned as a
+    broadcast.  ``tasks`` deals the join out over so many tasks; without it Spark's settings do.
     """
     whole = f"coalesce(size, {max(1, calendar.size)}L)"
-    dealt = rows.join(large.hint("merge"), "entity_key", "left").selectExpr(
-        *rows.columns, f"explode(sequence(lo div {whole}, ({end} - 1) div {whole})) as block")
-    placed = reads.join(large.hint("merge"), "entity_key", "left").selectExpr(*reads.columns, f"idx div {whole} as block")
+    cut = not large.isEmpty()
+    sized = lambda df: df.join(large, "entity_key", "left") if cut else df.selectExpr("*", "cast(null as bigint) as size")
+    dealt = sized(rows).selectExpr(*rows.columns, f"explode(sequence(lo div {whole}, ({end} - 1) div {whole})) as block")
+    placed = sized(reads).selectExpr(*reads.columns, f"idx div {whole} as block")
     if tasks is not None:
         dealt, placed = (side.repartition(tasks, "entity_key", "block") for side in (dealt, placed))
     same = f"r.entity_key = c.entity_key and r.block = c.block and r.idx >= c.lo and r.idx < c.{end}"
@@ -235,5 +238,6 @@ def memberships(
     calendar = calendar_of(pairs if cutoffs is None else cutoffs)
     claim_rows = eligibility_intervals(claims, calendar, **days).selectExpr("entity_key", "lo", "hi", *keep)
     reads = _reads(pairs, calendar)
-    return _meet(claim_rows, reads, _spread(claims, reads, calendar), calendar, "hi", tasks=tasks).select(
+    dealt = {} if tasks is None else {"tasks": tasks}
+    return _meet(claim_rows, reads, _spread(claims, reads, calendar), calendar, "hi", **dealt).select(
         "entity_key", "cutoff_us", *keep)

@@ -14,12 +14,13 @@ from pitsignal.staging import stage
 
 
 def run_experiment(
-    demand: DataFrame, truth: DataFrame, notes: DataFrame, store: FeatureStore, entities: DataFrame,
+    demand: DataFrame, truth: DataFrame, notes: DataFrame | None, store: FeatureStore, entities: DataFrame,
     config: ForecastConfig = ForecastConfig(), *, generated_at: str | None = None, shuffle_seed: int = 99,
     extracted: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Results of all arms and their metrics.
 
+    Without ``notes`` the truth rows carry the availability and the entity of their note.
     Arms C and D read the extracted features from a table: the one passed as
     ``extracted``, or one written here.
     """

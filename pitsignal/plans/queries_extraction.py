@@ -9,7 +9,7 @@ from pitsignal.operators import quality
 from pitsignal.operators.contracts import classify, conformance, violations
 from pitsignal.operators.extract import detect_cues, extract_signals, resolve_entities
 from pitsignal.sources.derived import (
-    RAW_NOTES_SQL, customer_master, notes_from_orders, signals_from_events, truth_from_orders, weekly_demand,
+    RAW_NOTES_SQL, customer_master, notes_from_orders, resolved_notes_from_orders, signals_from_events, truth_from_orders, weekly_demand,
 )
 from pitsignal.sources.readers import check_raw_notes
 from pitsignal.sources.tables import table
@@ -18,10 +18,13 @@ RUN = "run-1"
 CLOCK = "2002-01-01 00:00:00"
 
 
-def order_signals(spark: SparkSession, sf_dir: str, keep=("authored_at", "available_at")) -> DataFrame:
-    return extract_signals(
-        notes_from_orders(spark, sf_dir), customer_master(spark, sf_dir),
-        extraction_run_id=RUN, extracted_at=CLOCK, keep=keep)
+def order_signals(
+    spark: SparkSession, sf_dir: str, keep=("authored_at", "available_at"), *, master: DataFrame | None = None, carry=(),
+) -> DataFrame:
+    """Signals of the order notes; ``carry`` names columns of ``master`` that come along with the forecast key."""
+    notes = resolved_notes_from_orders(
+        spark, sf_dir, customer_master(spark, sf_dir) if master is None else master, tuple(carry))
+    return extract_signals(notes, None, extraction_run_id=RUN, extracted_at=CLOCK, keep=(*keep, *carry))
 
 
 def _ntz(*cols: str) -> list[str]:

@@ -15,9 +15,7 @@ from pitsignal.operators.quality import demand_sanity, series_quality
 from pitsignal.plans.experiment import run_experiment
 from pitsignal.plans.queries_extraction import CLOCK
 from pitsignal.plans.queries_ledger import nation_signals, nations
-from pitsignal.sources.derived import (
-    nation_signals_key, notes_from_orders, truth_from_orders, weekly_demand,
-)
+from pitsignal.sources.derived import truth_by_nation, weekly_demand
 from pitsignal.staging import stage
 
 
@@ -106,16 +104,12 @@ def simple_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _experiment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     demand = stage(weekly_demand(spark, sf_dir))
-    owners = nation_signals_key(spark, sf_dir)
-    notes = notes_from_orders(spark, sf_dir)
-    by_nation = notes.join(owners, notes.entity_mentions_raw[0] == owners.customer_key).selectExpr(
-        "source_id", "available_at", "array(nation_key) as entity_mentions_raw")
     entities = nations(spark, sf_dir)
     store = FeatureStore(nation_signals(spark, sf_dir, linked=True), supersession="as_of")
     features = stage(store.get_historical_features(
         period_grid(entities, demand), generated_at=CLOCK, lineage="none", unique=True))
     return run_experiment(
-        demand, truth_from_orders(spark, sf_dir), by_nation, store, entities, generated_at=CLOCK, extracted=features)
+        demand, truth_by_nation(spark, sf_dir), None, store, entities, generated_at=CLOCK, extracted=features)
 
 
 def forecast_arms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,12 @@ from pitsignal.operators.access import FeatureStore
 from pitsignal.operators.grid import period_grid
 from pitsignal.operators.ledger import ledger_as_of
 from pitsignal.operators.oracle import build_oracle_features
-from pitsignal.operators.reconcile import LINK_COLUMNS, reconcile, reversal_links, reversal_states
+from pitsignal.operators.reconcile import LINK_COLUMNS, not_reversals, relinked_reversals, reversal_links, reversal_states
 from pitsignal.operators.shuffle import shuffle_features
 from pitsignal.plans.queries_extraction import CLOCK, order_signals
 from pitsignal.plans.queries_features import FEATURE_COLUMNS, event_features
 from pitsignal.sources.derived import (
-    customer_master, nation_signals_key, notes_from_orders, signals_from_events, truth_from_orders, weekly_demand,
+    customer_master, customer_nations, nation_signals_key, notes_from_orders, signals_from_events, truth_from_orders, weekly_demand,
 )
 from pitsignal.sources.sinks import append_actions
 from pitsignal.staging import stage
@@ -79,20 +79,27 @@ CLAIM_COLUMNS = (
     "magnitude_basis", "magnitude_value", "effective_start", "effective_end", "record_status", "validation_status")
 
 
-def claim_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-note signals with the columns that features read; the others are not extracted.  Not staged."""
-    return order_signals(spark, sf_dir).select(*CLAIM_COLUMNS)
-
-
 def nation_signals(spark: SparkSession, sf_dir: str, *, linked: bool = False) -> DataFrame:
     """Order-note signals keyed by the customer's nation, with availability.
 
-    Linking reads the signals several times, so they are stored before it; unlinked ones are read once.
+    The nations come along with the customer that a note resolves to, so signals are not shuffled to meet them.
+    Linking reads the signals several times: what it and the features read is stored before it, for signals of
+    a customer that say something, and the reversals once more after it.
     """
-    signals = reconcile(stored_signals(spark, sf_dir)) if linked else claim_signals(spark, sf_dir)
-    owners = nation_signals_key(spark, sf_dir)
-    return stage(signals.join(owners, signals.forecast_key == owners.customer_key).withColumn(
-        "forecast_key", F.col("nation_key")).drop("customer_key", "nation_key"))
+    carry = ("nation_keys",)
+    signals = order_signals(spark, sf_dir, master=customer_nations(spark, sf_dir), carry=carry).where(
+        "forecast_key is not null and size(nation_keys) > 0")
+    if not linked:
+        return stage(_by_nation(signals.select(*CLAIM_COLUMNS, *carry)))
+    columns = dict.fromkeys(("extraction_run_id", *LINK_COLUMNS, *CLAIM_COLUMNS, "supersedes_signal_id", *carry))
+    stored = stage(signals.where("signal_type <> 'NO_SIGNAL'").select(*columns))
+    reversals = stage(relinked_reversals(stored).select(*CLAIM_COLUMNS, "supersedes_signal_id", *carry))
+    return _by_nation(reversals.union(not_reversals(stored).select(*reversals.columns)))
+
+
+def _by_nation(signals: DataFrame) -> DataFrame:
+    kept = [c for c in signals.columns if c not in ("forecast_key", "nation_keys")]
+    return signals.selectExpr(*kept, "explode(nation_keys) as forecast_key")
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
